@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("scans", "aggregates")
+AREAS = ("scans", "aggregates", "stakes", "streams")
 
 
 def load_all():
