@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("scans", "aggregates", "stakes", "streams")
+AREAS = ("scans", "aggregates", "stakes", "streams", "replication")
 
 
 def load_all():

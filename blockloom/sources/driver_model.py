@@ -244,6 +244,100 @@ class DriverModel:
             e.alias("seq"))
 
 
+    # ---- in-place mutated tables, one event type each ------------------------------------------------
+    def _events(self, kind: str) -> DataFrame:
+        return self.table("events").where(F.col("event_type") == kind).select(
+            F.col("event_id").alias("action_index"), F.expr("event_id div 10").alias("h"),
+            F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+    @cached_property
+    def attests(self) -> DataFrame:
+        k = F.col("k")
+        status = F.when(k % 4 == 0, "pending").when(k % 4 == 1, "fulfilled").when(k % 4 == 2, "errored").otherwise("expired")
+        return self._events("view").select(
+            "action_index", (F.col("action_index") % 2).alias("version"), status.alias("request_status"),
+            F.when(k % 4 != 0, F.col("h") + k).alias("resolved_block"))
+
+    @cached_property
+    def xcalls(self) -> DataFrame:
+        k = F.col("k")
+        status = F.when(k % 3 == 0, "pending").when(k % 3 == 1, "completed").otherwise("expired")
+        return self._events("click").select(
+            "action_index", (F.col("action_index") % 2).alias("version"), status.alias("request_status"),
+            F.when(k % 3 != 0, F.col("h") + k).alias("resolved_block"),
+            F.when(k % 3 == 1, "ok").alias("result_status"), F.when(k % 3 == 1, _text(k)).alias("result_payload"),
+            F.when(k % 6 == 1, F.col("action_index") + 1).alias("callback_action_index"))
+
+    @cached_property
+    def polls(self) -> DataFrame:
+        k = F.col("k")
+        done = k % 3 != 0
+        status = F.when(k % 3 == 0, "open").when(k % 3 == 1, "finalized").otherwise("failed_quorum")
+        return self._events("purchase").select(
+            "action_index", status.alias("poll_status"), F.when(done, k % 4).alias("winning_option"),
+            F.when(done, _text(k * 10)).alias("total_weight"), F.when(done, F.col("h") + k).alias("resolved_block"),
+            F.when(done & (k % 5 == 0), F.col("h") + k + 20).alias("callback_due_block"),
+            F.when(done & (k % 10 == 0), F.col("action_index") + 5).alias("callback_execute_action_index"))
+
+    @cached_property
+    def bet_feeds(self) -> DataFrame:
+        k = F.col("k")
+        status = F.when(k % 3 == 0, STATUS_ID["resolved"]).when(k % 2 == 0, STATUS_ID["closed"]).otherwise(STATUS_ID["open"])
+        return self._events("signup").select(
+            "action_index", status.cast("bigint").alias("feed_status_id"),
+            F.when(k % 2 == 0, F.col("h") + k % 30).alias("closed_block"),
+            F.when(k % 3 == 0, F.col("h") + k % 10 + 30).alias("terminal_block"))
+
+    @cached_property
+    def bets(self) -> DataFrame:
+        k = F.col("k")
+        status = F.when(k % 2 == 0, STATUS_ID["settled"]).otherwise(STATUS_ID["open"])
+        return self._events("error").select(
+            "action_index", status.cast("bigint").alias("bet_status_id"), F.when(k % 2 == 0, F.col("h") + k).alias("settled_block"))
+
+    @cached_property
+    def anchors(self) -> DataFrame:
+        key = F.col("o_orderkey")
+        version = F.when(key % 4 == 0, 1).when(key % 4 == 1, 2).when(key % 4 == 2, 6).otherwise(3)
+        chunk = F.when(key % 3 != 0, STATUS_ID["valid"]).otherwise(STATUS_ID["invalid"])
+        head = F.when(key % 5 < 3, STATUS_ID["invalid_archive"]).otherwise(STATUS_ID["valid"])
+        return self.orders_base.select(
+            "action_index", version.alias("version"), F.expr("o_orderkey div 8").alias("match_batch_seq"),
+            F.when(key % 4 == 1, chunk).otherwise(head).cast("bigint").alias("status_id"), "block_index",
+            (F.col("block_index") + 1).alias("block_index_doge"))
+
+    # ---- rewards --------------------------------------------------------------------------------------
+    @cached_property
+    def rewards(self) -> DataFrame:
+        n = F.col("l_linenumber")
+        return self.ledger_base.select(
+            F.col("address_id").alias("source_id"), (F.col("tick_id") + 1).alias("signing_pubkey_id"),
+            F.col("l_returnflag").alias("reward_type"), F.when(n % 3 != 0, F.col("l_orderkey")).alias("round_reference"),
+            _text(F.col("l_quantity").cast("bigint")).alias("amount"), "block_index",
+            F.when(F.col("address_id") % 4 == 0, F.col("block_index") + n - 2).alias("derive_block_index"))
+
+    @cached_property
+    def pending_rewards(self) -> DataFrame:
+        key = F.col("source_id") + F.col("block_index")
+        return self.rewards.where("derive_block_index is null").select(
+            "source_id", "reward_type", "round_reference", "amount", "block_index",
+            F.concat(F.lit("pk"), _text(F.col("signing_pubkey_id"))).alias("validator_pubkey"),
+            F.when(key % 5 == 0, 0).otherwise(1).alias("applied"),
+            (F.col("block_index") + key % 3).alias("applied_block"))
+
+    @cached_property
+    def pubkeys(self) -> DataFrame:
+        return self.index_tickers.select((F.col("id") + 1).alias("id"), F.concat(F.lit("pk"), _text(F.col("id") + 1)).alias("pubkey"))
+
+    @cached_property
+    def reconcile_log(self) -> DataFrame:
+        """Rewards taken away later: every reward of nation-like source 3 and 7."""
+        r = self.rewards.where("source_id % 10 in (3, 7)").distinct()
+        return r.select("source_id", "signing_pubkey_id", "reward_type", "round_reference", "amount",
+                        F.col("block_index").alias("reward_block_index"), F.col("derive_block_index").alias("reward_derive_block_index"),
+                        (F.col("block_index") + 50).alias("block_index"))
+
+
 _S = STATUS_ID
 SQL: dict[str, str] = {
     "orders_base": f"""SELECT *, CAST(date_diff('day', DATE '{GENESIS}', CAST(o_orderdate AS DATE)) AS BIGINT) AS block_index,
@@ -317,7 +411,36 @@ SQL: dict[str, str] = {
         sha256('block|' || (event_id // 3) || CASE WHEN event_type = 'error' THEN '|' || event_id ELSE '' END) AS ledger_hash,
         event_id AS seq FROM events WHERE event_type <> 'signup'""",
 }
+_EV = "SELECT event_id AS action_index, event_id // 10 AS h, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events WHERE event_type = "
+SQL.update({
+    "attests": f"""SELECT action_index, action_index % 2 AS version, CASE k % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'fulfilled' WHEN 2 THEN 'errored' ELSE 'expired' END AS request_status,
+        CASE WHEN k % 4 <> 0 THEN h + k END AS resolved_block FROM ({_EV}'view')""",
+    "xcalls": f"""SELECT action_index, action_index % 2 AS version, CASE k % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'completed' ELSE 'expired' END AS request_status,
+        CASE WHEN k % 3 <> 0 THEN h + k END AS resolved_block, CASE WHEN k % 3 = 1 THEN 'ok' END AS result_status,
+        CASE WHEN k % 3 = 1 THEN CAST(k AS VARCHAR) END AS result_payload, CASE WHEN k % 6 = 1 THEN action_index + 1 END AS callback_action_index FROM ({_EV}'click')""",
+    "polls": f"""SELECT action_index, CASE k % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'finalized' ELSE 'failed_quorum' END AS poll_status,
+        CASE WHEN k % 3 <> 0 THEN k % 4 END AS winning_option, CASE WHEN k % 3 <> 0 THEN CAST(k * 10 AS VARCHAR) END AS total_weight,
+        CASE WHEN k % 3 <> 0 THEN h + k END AS resolved_block, CASE WHEN k % 3 <> 0 AND k % 5 = 0 THEN h + k + 20 END AS callback_due_block,
+        CASE WHEN k % 3 <> 0 AND k % 10 = 0 THEN action_index + 5 END AS callback_execute_action_index FROM ({_EV}'purchase')""",
+    "bet_feeds": f"""SELECT action_index, CAST(CASE WHEN k % 3 = 0 THEN {_S['resolved']} WHEN k % 2 = 0 THEN {_S['closed']} ELSE {_S['open']} END AS BIGINT) AS feed_status_id,
+        CASE WHEN k % 2 = 0 THEN h + k % 30 END AS closed_block, CASE WHEN k % 3 = 0 THEN h + k % 10 + 30 END AS terminal_block FROM ({_EV}'signup')""",
+    "bets": f"""SELECT action_index, CAST(CASE WHEN k % 2 = 0 THEN {_S['settled']} ELSE {_S['open']} END AS BIGINT) AS bet_status_id,
+        CASE WHEN k % 2 = 0 THEN h + k END AS settled_block FROM ({_EV}'error')""",
+    "anchors": f"""SELECT action_index, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 6 ELSE 3 END AS version, o_orderkey // 8 AS match_batch_seq,
+        CAST(CASE WHEN o_orderkey % 4 = 1 THEN CASE WHEN o_orderkey % 3 <> 0 THEN {_S['valid']} ELSE {_S['invalid']} END
+          WHEN o_orderkey % 5 < 3 THEN {_S['invalid_archive']} ELSE {_S['valid']} END AS BIGINT) AS status_id, block_index, block_index + 1 AS block_index_doge FROM orders_base""",
+    "rewards": """SELECT address_id AS source_id, tick_id + 1 AS signing_pubkey_id, l_returnflag AS reward_type, CASE WHEN l_linenumber % 3 <> 0 THEN l_orderkey END AS round_reference,
+        CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS amount, block_index, CASE WHEN address_id % 4 = 0 THEN block_index + l_linenumber - 2 END AS derive_block_index FROM ledger_base""",
+    "pending_rewards": """SELECT source_id, reward_type, round_reference, amount, block_index, 'pk' || signing_pubkey_id AS validator_pubkey,
+        CASE WHEN (source_id + block_index) % 5 = 0 THEN 0 ELSE 1 END AS applied, block_index + (source_id + block_index) % 3 AS applied_block
+        FROM rewards WHERE derive_block_index IS NULL""",
+    "pubkeys": "SELECT id + 1 AS id, 'pk' || (id + 1) AS pubkey FROM index_tickers",
+    "reconcile_log": """SELECT DISTINCT source_id, signing_pubkey_id, reward_type, round_reference, amount, block_index AS reward_block_index,
+        derive_block_index AS reward_derive_block_index, block_index + 50 AS block_index FROM rewards WHERE source_id % 10 IN (3, 7)""",
+})
 DEPENDS = {
+    "anchors": ["orders_base"], "rewards": ["ledger_base"], "pending_rewards": ["rewards"],
+    "pubkeys": ["index_tickers"], "reconcile_log": ["rewards"],
     "actions": ["orders_base"], "transactions": ["orders_base"], "blocks": ["orders_base"],
     "ledger_base": ["orders_base"], "credits": ["ledger_base"], "debits": ["ledger_base"],
     "escrows": ["ledger_base"], "tokens": ["index_tickers"], "stakes": ["customers"],
