@@ -40,16 +40,15 @@ def with_gate(df: DataFrame, activations: DataFrame, feature: str, out: str,
               block: str = "block_index", coin: str = "coin", network: str = "network") -> DataFrame:
     """Per-row gate when coin and network are columns: exact scope wins over the bare network.
 
-    The activation table holds one row per feature and scope, so one feature is at most a few
-    rows; it is folded to a map on the plan and never shuffled.
+    The heights of one feature are a handful of rows; they arrive as one map (a scalar subquery).
     """
-    scoped = activations.where(F.col("feature") == feature).agg(
-        F.map_from_entries(F.collect_list(F.struct("scope", "height"))).alias("__heights"))
-    joined = df.crossJoin(F.broadcast(scoped))
+    heights = activations.where(F.col("feature") == feature).agg(
+        F.map_from_entries(F.collect_list(F.struct("scope", "height")))).scalar()
+    known = df.withColumn("__heights", heights)
     pair = F.concat_ws(":", F.col(coin), F.col(network))
     height = F.coalesce(F.try_element_at("__heights", pair), F.try_element_at("__heights", F.col(network)))
     active = F.coalesce(strict_height(F.col(block)) >= height, F.lit(False))
-    return joined.withColumn(out, active).drop("__heights")
+    return known.withColumn(out, active).drop("__heights")
 
 
 def gated_sub_roots(candidates: dict[str, Column], block: Column, coin: str, network: str) -> dict[str, Column]:

@@ -63,9 +63,8 @@ def reset_polls(df: DataFrame, height: int) -> DataFrame:
 
 
 def _status_value(df: DataFrame, statuses: DataFrame, name: str, out: str) -> DataFrame:
-    """Attach one status id as a column; an unknown name attaches NULL (one-row side)."""
-    one = statuses.where(F.col("status") == name).agg(F.min("id").alias(out))
-    return df.crossJoin(F.broadcast(one))
+    """Attach one status id as a column (a scalar subquery); an unknown name attaches NULL."""
+    return df.withColumn(out, statuses.where(F.col("status") == name).agg(F.min("id")).scalar())
 
 
 def reset_bet_feeds(df: DataFrame, statuses: DataFrame, height: int) -> DataFrame:
@@ -174,17 +173,18 @@ def _matured_after(height: int) -> Column:
 def drop_orphaned_refunds(credits: DataFrame, unstakes: DataFrame, contract_unstakes: DataFrame, tickers: DataFrame,
                           statuses: DataFrame, gas_tick: str, height: int) -> DataFrame:
     """Remove refund credits whose cooldown now matures again; runs even with no orphaned action."""
-    ready = statuses.where(F.col("status").isin("completed", "valid")).agg(
-        (F.countDistinct("status") == 2).alias("__both"))
-    both = F.broadcast(ready.where("__both"))  # one row or none
+    known = statuses.where(F.col("status").isin("completed", "valid")).agg(F.countDistinct("status") == 2).scalar()
     done = statuses.where("status = 'completed'").select(F.col("id").alias("status_id"))
     plain = unstakes.where(_matured_after(height)).join(done, "status_id", "left_semi").select(
         "action_index", F.col("source_id").alias("address_id")).distinct()
-    gas = tickers.where(F.col("tick") == gas_tick).select(F.col("id").alias("tick_id"))
+    gas = tickers.where(F.col("tick") == gas_tick).select(F.col("id").alias("tick_id")).distinct()
     bound = contract_unstakes.where(_matured_after(height)).join(done, "status_id", "left_semi").select(
-        "action_index", F.col("source_id").alias("address_id"), "tick_id")
-    gone = plain.crossJoin(F.broadcast(gas.limit(1))).unionByName(bound).distinct().crossJoin(both).drop("__both")
-    return credits.join(gone, changes.CREDIT_IDENTITY, "left_anti").select(*credits.columns)
+        "action_index", F.col("source_id").alias("address_id"), "tick_id").distinct()
+    marked = (credits.join(gas.withColumn("__gas", F.lit(True)), "tick_id", "left")
+              .join(plain.withColumn("__plain", F.lit(True)), ["action_index", "address_id"], "left")
+              .join(bound.withColumn("__bound", F.lit(True)), changes.CREDIT_IDENTITY, "left"))
+    refund = (F.col("__gas").isNotNull() & F.col("__plain").isNotNull()) | F.col("__bound").isNotNull()
+    return marked.where(~(refund & known)).select(*credits.columns)
 
 
 def reopen_cooldowns(df: DataFrame, statuses: DataFrame, height: int) -> DataFrame:
@@ -204,9 +204,10 @@ def keep_referenced(df: DataFrame, column: str, lookup: DataFrame) -> DataFrame:
     """Rows a `DELETE ... WHERE column NOT IN (lookup ids)` leaves: matched ids, and NULL ids unless
     the lookup is empty (then NOT IN is true for every row).  A NULL inside the lookup keeps all."""
     ids = lookup.select(F.col("id").alias(column)).where(F.col(column).isNotNull()).distinct()
-    facts = lookup.agg((F.count("*") > 0).alias("__any"), (F.count_if(F.col("id").isNull()) > 0).alias("__null"))
-    marked = df.join(ids.withColumn("__hit", F.lit(True)), column, "left").crossJoin(F.broadcast(facts))
-    keep = F.col("__hit") | F.col("__null") | (F.col(column).isNull() & F.col("__any"))
+    some = lookup.agg(F.count("*") > 0).scalar()
+    unknown = lookup.agg(F.count_if(F.col("id").isNull()) > 0).scalar()
+    marked = df.join(ids.withColumn("__hit", F.lit(True)), column, "left")
+    keep = F.col("__hit").isNotNull() | unknown | (F.col(column).isNull() & some)
     return marked.where(keep).select(*df.columns)
 
 

@@ -81,7 +81,7 @@ def log_page(log: DataFrame, page: int, limit: int, columns: list[str]) -> DataF
     """Page of the log, newest first, each row carrying the total."""
     size = min(LOG_PAGE_MAX, max(1, limit))
     rows = log.select(*columns).orderBy(F.desc("block_index")).offset(max(0, page) * size).limit(size)
-    return rows.crossJoin(log.agg(F.count("*").alias("total")))
+    return rows.withColumn("total", log.agg(F.count("*")).scalar())
 
 
 # ---- lookups -----------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("scans", "aggregates", "stakes", "streams", "replication", "rollbacks")
+AREAS = ("scans", "aggregates", "stakes", "streams", "replication", "rollbacks", "integrity")
 
 
 def load_all():

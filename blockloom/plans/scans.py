@@ -220,7 +220,6 @@ def smt_leaves(m):
     FROM events GROUP BY user_id""")
 def lag_report(m):
     seen = m.table("events").groupBy("user_id").agg(F.max("event_id").alias("last"))
-    tip = m.table("events").agg(F.expr("max(event_id) div 10").alias("tip"))
-    joined = seen.crossJoin(tip)
-    return joined.select("user_id", canon.lag_blocks(
+    tip = m.table("events").agg(F.expr("max(event_id) div 10")).scalar()
+    return seen.withColumn("tip", tip).select("user_id", canon.lag_blocks(
         F.col("tip"), F.expr("last div 10"), F.col("last") % 5 == 0).alias("lag_blocks"))
