@@ -13,126 +13,100 @@ from pyspark.sql import functions as F
 LIMB_DIGITS = 18
 INTEGER_LIMBS = 3
 SCALE = 18
-_LIMB_TYPE = "decimal(22,0)"
-_CARRY_TYPE = "decimal(38,0)"
-AMOUNT_PATTERN = r"^[+-]?[0-9]{1,54}([.][0-9]{1,18})?$"
+AMOUNT_PATTERN = "^[+-]?[0-9]{1,54}([.][0-9]{1,18})?$"
 CANONICAL_PATTERN = r"^[0-9]+([.][0-9]{1,18})?$"
-
-
-def limbs(amount: Column) -> list[Column]:
-    """Signed limbs of decimal text, lowest first.  Text that does not parse raises."""
-    text = F.trim(amount.cast("string"))
-    checked = F.when(amount.isNull(), F.lit(None).cast("string")).when(
-        text.rlike(AMOUNT_PATTERN), text
-    ).otherwise(F.raise_error(F.concat(F.lit("not a decimal amount: "), text)))
-    body = F.regexp_replace(checked, "^[+-]", "")
-    sign = F.when(checked.startswith("-"), -1).otherwise(1)
-    fraction = F.when(body.contains("."), F.substring_index(body, ".", -1)).otherwise("")
-    integer = F.lpad(F.substring_index(body, ".", 1), LIMB_DIGITS * INTEGER_LIMBS, "0")
-    pieces = [F.rpad(fraction, LIMB_DIGITS, "0")]
-    for limb in range(INTEGER_LIMBS):
-        start = LIMB_DIGITS * (INTEGER_LIMBS - 1 - limb) + 1
-        pieces.append(F.substring(integer, start, LIMB_DIGITS))
-    return [(piece.cast("bigint") * sign).cast(_LIMB_TYPE) for piece in pieces]
+_LIMB = "decimal(22,0)"   # sums to DECIMAL(32,0): 10^14 addends of a full limb
+_WIDE = "decimal(38,0)"
+_BASE = "cast(1000000000000000000 as decimal(19,0))"
 
 
 def limb_names(prefix: str) -> list[str]:
     return [f"{prefix}_{i}" for i in range(INTEGER_LIMBS + 1)]
 
 
-def with_limbs(df: DataFrame, amount: str | Column, prefix: str, sign: int | Column = 1) -> DataFrame:
-    source = F.col(amount) if isinstance(amount, str) else amount
-    cols = {n: (c * sign).cast(_LIMB_TYPE) for n, c in zip(limb_names(prefix), limbs(source))}
-    return df.withColumns(cols)
+def with_limbs(df: DataFrame, amount: str, prefix: str, sign: str = "1") -> DataFrame:
+    """Add the signed limbs of a decimal-text column, lowest first.  Text that does not parse raises."""
+    text, body = f"{prefix}_text", f"{prefix}_body"
+    checked = (f"case when `{amount}` is null or trim(`{amount}`) rlike '{AMOUNT_PATTERN}' then trim(`{amount}`) "
+               f"else raise_error(concat('not a decimal amount: ', `{amount}`)) end")
+    width = LIMB_DIGITS * INTEGER_LIMBS
+    staged = df.withColumns({text: F.expr(checked)}).withColumns({body: F.expr(f"ltrim('+-', {text})")})
+    signed = f"(case when startswith({text}, '-') then -1 else 1 end * ({sign}))"
+    pieces = [f"rpad(case when contains({body}, '.') then substring_index({body}, '.', -1) else '' end, {LIMB_DIGITS}, '0')"]
+    pieces += [f"substring(lpad(substring_index({body}, '.', 1), {width}, '0'), {width - LIMB_DIGITS * (k + 1) + 1}, {LIMB_DIGITS})"
+               for k in range(INTEGER_LIMBS)]
+    limbs = {n: F.expr(f"cast(cast({p} as bigint) * {signed} as {_LIMB})") for n, p in zip(limb_names(prefix), pieces)}
+    return staged.withColumns(limbs).drop(text, body)
 
 
 def limb_sums(prefix: str) -> list[Column]:
     return [F.sum(n).alias(n) for n in limb_names(prefix)]
 
 
-def settle(df: DataFrame, prefix: str) -> DataFrame:
-    """Turn summed limbs into a sign column and limbs in [0, 10^18); keeps the other columns."""
-    base = F.lit(10**LIMB_DIGITS).cast("decimal(19,0)")
+def _floor_div(value: str) -> str:
+    """Exact floor division by the base (decimal division would round)."""
+    return f"cast(({value} - pmod({value}, {_BASE})) div {_BASE} as {_WIDE})"
+
+
+def _carry_out(values: list[str]) -> str:
+    """What the limbs below the highest carry into it."""
+    return f"aggregate(array({', '.join(values[:-1])}), cast(0 as {_WIDE}), (c, x) -> {_floor_div('(x + c)')})"
+
+
+def _carried(df: DataFrame, prefix: str, values: list[str]) -> DataFrame:
+    """Replace the limbs by ones in [0, 10^18); only the highest may exceed that."""
     names = limb_names(prefix)
+    step = f"named_struct('c', {_floor_div('(x + a.c)')}, 'r', array_append(a.r, cast(pmod(x + a.c, {_BASE}) as {_WIDE})))"
+    start = f"named_struct('c', cast(0 as {_WIDE}), 'r', cast(array() as array<{_WIDE}>))"
+    packed = f"aggregate(array({', '.join(values[:-1])}), {start}, (a, x) -> {step})"
+    out = {n: F.expr(f"{prefix}_packed.r[{k}]") for k, n in enumerate(names[:-1])}
+    out[names[-1]] = F.expr(f"cast({values[-1]} + {prefix}_packed.c as {_WIDE})")
+    return df.withColumns({f"{prefix}_packed": F.expr(packed)}).withColumns(out).drop(f"{prefix}_packed")
 
-    def carried(frame: DataFrame) -> DataFrame:
-        for low, high in zip(names, names[1:]):
-            carry = F.floor(F.col(low) / base).cast(_CARRY_TYPE)
-            frame = frame.withColumn("__carry", carry)
-            frame = frame.withColumns({
-                low: (F.col(low) - F.col("__carry") * base).cast(_CARRY_TYPE),
-                high: (F.col(high) + F.col("__carry")).cast(_CARRY_TYPE),
-            }).drop("__carry")
-        return frame
 
-    frame = df.withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast(_CARRY_TYPE) for n in names})
-    frame = carried(frame)
-    sign = F.when(F.col(names[-1]) < 0, -1).otherwise(1)
-    frame = frame.withColumn(f"{prefix}_sign", sign)
-    frame = frame.withColumns({n: (F.col(n) * F.col(f"{prefix}_sign")).cast(_CARRY_TYPE) for n in names})
-    return carried(frame)
+def settle(df: DataFrame, prefix: str) -> DataFrame:
+    """Turn summed limbs into `<prefix>_sign` and limbs in [0, 10^18); other columns stay."""
+    plain = [f"cast(coalesce({n}, 0) as {_WIDE})" for n in limb_names(prefix)]
+    sign = f"{prefix}_sign"
+    marked = df.withColumns({sign: F.expr(f"case when {plain[-1]} + {_carry_out(plain)} < 0 then -1 else 1 end")})
+    return _carried(marked, prefix, [f"cast({v} * {sign} as {_WIDE})" for v in plain])
 
 
 def is_nonzero(prefix: str) -> Column:
-    names = limb_names(prefix)
-    test = F.col(names[0]) != 0
-    for n in names[1:]:
-        test = test | (F.col(n) != 0)
-    return test
+    return F.expr("(" + " or ".join(f"{n} <> 0" for n in limb_names(prefix)) + ")")
 
 
-def fixed_text(prefix: str, scale: int = SCALE) -> Column:
-    """Settled limbs as text with exactly `scale` fraction digits kept from the 18 stored."""
+def fixed_text(prefix: str) -> Column:
+    """Settled limbs as text with 18 fraction digits."""
     names = limb_names(prefix)
-    digits = F.concat(
-        F.col(names[-1]).cast("string"),
-        *[F.lpad(F.col(n).cast("string"), LIMB_DIGITS, "0") for n in reversed(names[1:-1])],
-    )
-    integer = F.regexp_replace(digits, "^0+(?=[0-9])", "")
-    fraction = F.substring(F.lpad(F.col(names[0]).cast("string"), LIMB_DIGITS, "0"), 1, scale)
-    minus = F.when((F.col(f"{prefix}_sign") < 0) & is_nonzero(prefix), "-").otherwise("")
-    return F.concat(minus, integer, F.lit("."), fraction) if scale else F.concat(minus, integer)
+    digits = ", ".join([f"cast({names[-1]} as string)"] + [f"lpad(cast({n} as string), {LIMB_DIGITS}, '0')" for n in reversed(names[1:-1])])
+    nonzero = " or ".join(f"{n} <> 0" for n in names)
+    return F.expr(f"concat(case when {prefix}_sign < 0 and ({nonzero}) then '-' else '' end, "
+                  f"coalesce(nullif(ltrim('0', concat({digits})), ''), '0'), '.', lpad(cast({names[0]} as string), {LIMB_DIGITS}, '0'))")
 
 
-def minimal(text: Column) -> Column:
-    """Drop trailing fraction zeros and then a bare dot; integer text is left alone."""
-    trimmed = F.regexp_replace(F.regexp_replace(text, "0+$", ""), "[.]$", "")
-    out = F.when(text.contains("."), trimmed).otherwise(text)
-    return F.when(out == "-0", "0").otherwise(out)
+def minimal_text(prefix: str) -> Column:
+    """Settled limbs as text without trailing fraction zeros; whole numbers without a dot."""
+    return F.rtrim(F.rtrim(fixed_text(prefix), F.lit("0")), F.lit("."))
 
 
-def exact_sum(df: DataFrame, keys: list[str], amount: str, out: str, sign: str | None = None) -> DataFrame:
+def exact_sum(df: DataFrame, keys: list[str], amount: str, out: str, sign: str = "1") -> DataFrame:
     """Exact sum of decimal text per key as minimal text, plus `<out>_nonzero`."""
     prefix = f"__{out}"
-    signed = with_limbs(df, amount, prefix, F.col(sign) if sign else 1)
-    grouped = signed.groupBy(*keys).agg(*limb_sums(prefix))
-    settled = settle(grouped, prefix)
-    return settled.select(
-        *keys, minimal(fixed_text(prefix)).alias(out), is_nonzero(prefix).alias(f"{out}_nonzero")
-    )
+    grouped = with_limbs(df, amount, prefix, sign).groupBy(*keys).agg(*limb_sums(prefix))
+    return settle(grouped, prefix).select(
+        *keys, minimal_text(prefix).alias(out), is_nonzero(prefix).alias(f"{out}_nonzero"))
 
 
-def round_settled(df: DataFrame, prefix: str, decimals: Column) -> DataFrame:
-    """Round settled limbs half away from zero to a per-row number of fraction digits."""
+def round_settled(df: DataFrame, prefix: str, decimals: str) -> DataFrame:
+    """Round settled limbs half away from zero to a per-row number of fraction digits (0 to 18)."""
     names = limb_names(prefix)
-    unit = F.expr("cast(1 as decimal(38,0))")
-    for d in range(SCALE + 1):
-        unit = F.when(decimals == d, F.lit(10 ** (SCALE - d)).cast(_CARRY_TYPE)).otherwise(unit)
-    frame = df.withColumn("__unit", unit)
-    low = F.col(names[0])
-    rest = (low % F.col("__unit")).cast(_CARRY_TYPE)
-    up = F.when(rest * 2 >= F.col("__unit"), F.col("__unit")).otherwise(F.lit(0).cast(_CARRY_TYPE))
-    frame = frame.withColumn("__low", F.when(
-        F.col("__unit") == 1, low
-    ).otherwise((low - rest + up)).cast(_CARRY_TYPE)).withColumn(names[0], F.col("__low")).drop("__low", "__unit")
-    base = F.lit(10**LIMB_DIGITS).cast("decimal(19,0)")
-    for low_name, high_name in zip(names, names[1:]):
-        over = F.when(F.col(low_name) >= base, 1).otherwise(0)
-        frame = frame.withColumn("__over", over).withColumns({
-            low_name: (F.col(low_name) - F.col("__over") * base).cast(_CARRY_TYPE),
-            high_name: (F.col(high_name) + F.col("__over")).cast(_CARRY_TYPE),
-        }).drop("__over")
-    return frame
+    units = ", ".join(f"{10 ** (SCALE - d)}L" for d in range(SCALE + 1))
+    unit = f"cast(element_at(array({units}), cast({decimals} as int) + 1) as {_WIDE})"
+    low = names[0]
+    rounded = f"({low} - {low} % __unit + case when __unit > 1 and ({low} % __unit) * 2 >= __unit then __unit else 0 end)"
+    values = [f"cast({rounded} as {_WIDE})", *names[1:]]
+    return _carried(df.withColumns({"__unit": F.expr(unit)}), prefix, values).drop("__unit")
 
 
 def canonical_amount(amount: Column) -> Column:

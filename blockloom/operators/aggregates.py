@@ -48,13 +48,12 @@ def token_supplies(tokens: DataFrame, credits: DataFrame, debits: DataFrame, esc
     """Supply per token: (credits - debits) + escrows, summed at 18 digits, rounded once to the
     token's decimals (clamped to 0..18), minimal text; no ledger row means '0'."""
     ledger = signed_ledger(credits, debits, escrows, keys=["tick_id"])
-    summed = D.with_limbs(ledger, "amount", "__s", F.col("sign")).groupBy("tick_id").agg(*D.limb_sums("__s"))
+    summed = D.with_limbs(ledger, "amount", "__s", "sign").groupBy("tick_id").agg(*D.limb_sums("__s"))
     joined = tokens.drop("supply").join(summed, "tick_id", "left")
     settled = D.settle(joined, "__s")
-    places = F.greatest(F.lit(0), F.least(F.lit(D.SCALE), F.coalesce(F.col("decimals"), F.lit(0))))
-    rounded = D.round_settled(settled, "__s", places)
+    rounded = D.round_settled(settled, "__s", f"greatest(0, least({D.SCALE}, coalesce(decimals, 0)))")
     kept = [c for c in tokens.columns if c != "supply"]
-    return rounded.select(*kept, D.minimal(D.fixed_text("__s")).alias("supply"))
+    return rounded.select(*kept, D.minimal_text("__s").alias("supply"))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

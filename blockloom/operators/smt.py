@@ -6,12 +6,22 @@ ledger's own skew is.  One task folds one prefix; the 2^bits prefix roots are fo
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
+from blockloom.fixed_values import SMT_DEPTH, STAKE_TOTAL_PUBKEY
 from blockloom.functions import canon
+from blockloom.functions import decimals as D
+from blockloom.functions.decimals import canonical_amount
 from blockloom.operators import aggregates as agg
 from blockloom.operators import scan
+from blockloom.session import materialise
+
+PREFIX_DIGITS = 3  # hex digits of the key that pick a subtree: 4096 even parts; raise with the data
+ZERO = "0." + "0" * D.SCALE
 
 
 def balance_leaves(credits: DataFrame, debits: DataFrame, addresses: DataFrame, tickers: DataFrame,
@@ -23,3 +33,271 @@ def balance_leaves(credits: DataFrame, debits: DataFrame, addresses: DataFrame,
         "address is not null and tick is not null")
     key = canon.balance_key(F.lit(chain), F.lit(network), F.col("address"), F.col("tick"))
     return named.select(key.alias("key"), canon.amount_leaf(F.col("amount")).alias("leaf"))
+
+
+# ---- leaves ------------------------------------------------------------------------------------
+def escrow_leaves(journal: DataFrame, addresses: DataFrame, tickers: DataFrame, chain: str, network: str,
+                  as_of: int | None = None) -> DataFrame:
+    """Key and leaf of every locked amount: latest journal row per pair; released or zero is absent."""
+    live = agg.latest_per_key(journal, agg.PAIR, "locked_amount", as_of=as_of).where("locked_amount <> ''")
+    named = (live.join(addresses.select(F.col("id").alias("address_id"), "address"), "address_id")
+             .join(tickers.select(F.col("id").alias("tick_id"), "tick"), "tick_id"))
+    amount = canonical_amount(F.col("locked_amount"))
+    key = canon.escrow_key(F.lit(chain), F.lit(network), F.col("address"), F.col("tick"))
+    return named.where(amount != ZERO).select(key.alias("key"), canon.leaf_hash(amount).alias("leaf"))
+
+
+def contract_state_leaves(journal: DataFrame, chain: str, network: str, as_of: int | None = None) -> DataFrame:
+    """Key and leaf of every live contract value; the raw text is hashed and '' is a value."""
+    live = agg.latest_per_key(journal, ["contract_index", "state_key"], "state_value", as_of=as_of)
+    key = canon.contract_state_key(F.lit(chain), F.lit(network), F.col("contract_index"), F.col("state_key"))
+    return live.select(key.alias("key"), canon.leaf_hash(F.col("state_value")).alias("leaf"))
+
+
+def stake_leaves(weights: DataFrame) -> DataFrame:
+    """Member leaf per (pubkey, capability) and one total leaf per capability, each source once.
+
+    `weights`: capability, pubkey, source, weight (decimal text).  Zero weights cannot qualify.
+    """
+    counted = weights.where(canonical_amount(F.col("weight")) != ZERO)
+    members = counted.select(canon.stake_key(F.col("pubkey"), F.col("capability")).alias("key"),
+                             canon.stake_member_leaf(F.col("source"), F.col("weight")).alias("leaf"))
+    per_source = counted.groupBy("capability", "source").agg(F.min("weight").alias("weight"))
+    totals = D.exact_sum(per_source, ["capability"], "weight", "total").where("total_nonzero")
+    return members.unionByName(totals.select(
+        canon.stake_key(F.lit(STAKE_TOTAL_PUBKEY), F.col("capability")).alias("key"),
+        canon.stake_total_leaf(F.col("total")).alias("leaf")))
+
+
+# ---- tree --------------------------------------------------------------------------------------
+def _bit(key: bytes, depth: int) -> int:
+    return key[depth >> 3] >> (7 - (depth & 7)) & 1
+
+
+class _Subtree:
+    """Leaves of one prefix, sorted by key; `node` gives the root of any run of them at a depth."""
+
+    def __init__(self, keys: list[str], leaves: list[str]):
+        pairs = sorted(zip((bytes.fromhex(k) for k in keys), (bytes.fromhex(v) for v in leaves)))
+        self.keys, self.leaves = [k for k, _ in pairs], [v for _, v in pairs]
+        if any(a == b for a, b in zip(self.keys, self.keys[1:])):
+            raise ValueError("duplicate tree key")
+        self.seen: dict[tuple[int, int, int], bytes] = {}
+
+    def split(self, low: int, high: int, depth: int) -> int:
+        """First index in [low, high) whose bit at `depth` is set."""
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if _bit(self.keys[mid], depth) else (mid + 1, high)
+        return low
+
+    def lift(self, i: int, depth: int) -> bytes:
+        """A lone leaf carried up to `depth` against empty siblings."""
+        node, key = self.leaves[i], self.keys[i]
+        for d in range(SMT_DEPTH - 1, depth - 1, -1):
+            empty = canon.EMPTY_ROOTS[SMT_DEPTH - 1 - d]
+            node = canon.pair_digest(empty, node) if _bit(key, d) else canon.pair_digest(node, empty)
+        return node
+
+    def node(self, low: int, high: int, depth: int) -> bytes:
+        if low == high:
+            return canon.EMPTY_ROOTS[SMT_DEPTH - depth]
+        found = self.seen.get((low, high, depth))
+        if found is None:
+            if high - low == 1:
+                found = self.lift(low, depth)
+            else:
+                mid = self.split(low, high, depth)
+                found = canon.pair_digest(self.node(low, mid, depth + 1), self.node(mid, high, depth + 1))
+            self.seen[low, high, depth] = found
+        return found
+
+    def path(self, key: bytes, depth: int) -> tuple[list[bytes], bytes | None]:
+        """Siblings from `depth` down to the leaf level, and the leaf when present."""
+        low, high, siblings = 0, len(self.keys), []
+        for d in range(depth, SMT_DEPTH):
+            mid = self.split(low, high, d)
+            if _bit(key, d):
+                siblings.append(self.node(low, mid, d + 1))
+                low = mid
+            else:
+                siblings.append(self.node(mid, high, d + 1))
+                high = mid
+        return siblings, self.leaves[low] if low < high else None
+
+
+def prefix_roots(leaves: DataFrame, digits: int = PREFIX_DIGITS, tree: list[str] = ()) -> DataFrame:
+    """(tree, prefix, root) of every non-empty subtree below the first `digits` hex digits."""
+    tree, depth = list(tree), 4 * digits
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        sub = _Subtree(pdf["key"].tolist(), pdf["leaf"].tolist())
+        head = {c: [pdf[c].iloc[0]] for c in [*tree, "prefix"]}
+        return pd.DataFrame({**head, "root": [sub.node(0, len(sub.keys), depth).hex()]})
+
+    keyed = leaves.select(*tree, F.substring("key", 1, digits).alias("prefix"), "key", "leaf")
+    schema = ", ".join([f"`{c}` {leaves.schema[c].dataType.simpleString()}" for c in tree] + ["prefix string", "root string"])
+    return keyed.groupBy(*tree, "prefix").applyInPandas(fold, schema)
+
+
+def combine(prefixes: DataFrame, digits: int = PREFIX_DIGITS, tree: list[str] = ()) -> DataFrame:
+    """(tree, root) over prefix roots, one hex digit per round: at most 16 nodes meet in a group."""
+    tree = list(tree)
+    level = prefixes.select(*tree, "prefix", "root")
+    for d in range(digits - 1, -1, -1):
+        nodes = F.array_sort(F.collect_list(F.struct(F.conv(F.substring("prefix", d + 1, 1), 16, 10).cast("int").alias("i"), F.col("root").alias("h"))))
+        level = level.groupBy(*tree, F.substring("prefix", 1, d).alias("prefix")).agg(nodes.alias("__n")).select(
+            *tree, "prefix", _fold16(F.col("__n.i"), F.col("__n.h"), F.lit(SMT_DEPTH - 4 * (d + 1)))["root"].alias("root"))
+    return level.select(*tree, "root")
+
+
+def _sixteen(positions, hashes, height: int) -> list[list[bytes]]:
+    """Levels over 16 slots whose absent ones are empty subtrees of `height`."""
+    layer = [canon.EMPTY_ROOTS[height]] * 16
+    for i, h in zip(positions, hashes):
+        layer[int(i)] = bytes.fromhex(h)
+    levels = [layer]
+    while len(layer) > 1:
+        layer = [canon.pair_digest(layer[i], layer[i + 1]) for i in range(0, len(layer), 2)]
+        levels.append(layer)
+    return levels
+
+
+@pandas_udf(T.StructType([T.StructField("root", T.StringType()), T.StructField("siblings", T.ArrayType(T.ArrayType(T.StringType())))]))
+def _fold16(positions: pd.Series, hashes: pd.Series, height: pd.Series) -> pd.DataFrame:
+    roots, paths = [], []
+    for p, h, up in zip(positions, hashes, height):
+        levels = _sixteen(p, h, int(up))
+        roots.append(levels[-1][0].hex())
+        # For each of the 16 slots: its siblings from the top of this digit down.
+        paths.append([[levels[k][(i >> k) ^ 1].hex() for k in (3, 2, 1, 0)] for i in range(16)])
+    return pd.DataFrame({"root": roots, "siblings": paths})
+
+
+def smt_root(leaves: DataFrame, digits: int = PREFIX_DIGITS, tree: list[str] = ()) -> DataFrame:
+    """Root per tree; no leaves at all gives the empty-tree root (only for a single tree)."""
+    roots = combine(prefix_roots(leaves, digits, tree), digits, tree)
+    if tree:
+        return roots
+    return roots.agg(F.coalesce(F.max("root"), F.lit(canon.EMPTY_SMT_ROOT)).alias("root"))
+
+
+def update_prefix_roots(previous: DataFrame, leaves: DataFrame, touched: DataFrame, digits: int = PREFIX_DIGITS,
+                        tree: list[str] = ()) -> DataFrame:
+    """Prefix roots after a change: only prefixes of touched keys are folded again.
+
+    `leaves` are the current leaves (a deleted key is simply absent), `touched` the changed keys.
+    """
+    tree = list(tree)
+    prefix = F.substring("key", 1, digits).alias("prefix")
+    hit = touched.select(*tree, prefix).distinct()
+    current = leaves.withColumn("prefix", F.substring("key", 1, digits)).join(hit, [*tree, "prefix"], "left_semi")
+    fresh = prefix_roots(current.select(*tree, "key", "leaf"), digits, tree)
+    return previous.join(hit, [*tree, "prefix"], "left_anti").select(*tree, "prefix", "root").unionByName(fresh)
+
+
+def _upper_siblings(prefixes: DataFrame, wanted: DataFrame, digits: int) -> DataFrame:
+    """(prefix, root, siblings of the first 4 x digits depths, top down) for the wanted prefixes."""
+    asked = wanted.select(F.substring("key", 1, digits).alias("prefix")).distinct()
+    out = asked.withColumn("__up", F.array().cast("array<string>"))
+    level = prefixes.select("prefix", "root")
+    for d in range(digits - 1, -1, -1):
+        nodes = F.array_sort(F.collect_list(F.struct(F.conv(F.substring("prefix", d + 1, 1), 16, 10).cast("int").alias("i"), F.col("root").alias("h"))))
+        folded = level.groupBy(F.substring("prefix", 1, d).alias("__head")).agg(nodes.alias("__n")).select(
+            "__head", _fold16(F.col("__n.i"), F.col("__n.h"), F.lit(SMT_DEPTH - 4 * (d + 1))).alias("__f"))
+        empty = [canon.EMPTY_ROOTS[SMT_DEPTH - 4 * (d + 1) + k].hex() for k in (3, 2, 1, 0)]
+        slot = F.conv(F.substring("prefix", d + 1, 1), 16, 10).cast("int")
+        own = F.coalesce(F.get(F.col("__f.siblings"), slot), F.array(*[F.lit(e) for e in empty]))
+        joined = out.withColumn("__head", F.substring("prefix", 1, d)).join(folded, "__head", "left")
+        out = joined.select("prefix", F.concat(own, "__up").alias("__up"), *([] if d else [F.col("__f.root").alias("root")]))
+        level = folded.select(F.col("__head").alias("prefix"), F.col("__f.root").alias("root"))
+    return out.withColumn("root", F.coalesce("root", F.lit(canon.EMPTY_SMT_ROOT)))
+
+
+PROOF = "key string, leaf_value string, root string, bitmap string, siblings array<string>"
+
+
+def smt_proofs(leaves: DataFrame, wanted: DataFrame, digits: int = PREFIX_DIGITS) -> DataFrame:
+    """Compressed (non-)membership proof of each wanted key.
+
+    `bitmap` has one bit per depth, most significant first; a clear bit means the sibling there
+    is the empty subtree, a set bit takes the next entry of `siblings` (top down).
+    """
+    depth = 4 * digits
+    asked = wanted.select(F.col("key").alias("key")).distinct()
+    upper = _upper_siblings(prefix_roots(leaves, digits), asked, digits)
+    keyed = asked.withColumn("prefix", F.substring("key", 1, digits)).join(upper, "prefix")
+    local = leaves.withColumn("prefix", F.substring("key", 1, digits)).join(
+        keyed.select("prefix").distinct(), "prefix", "left_semi")
+
+    def prove(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        sub = _Subtree(have["key"].tolist(), have["leaf"].tolist())
+        out = []
+        for key, root, up in zip(ask["key"], ask["root"], ask["__up"]):
+            lower, leaf = sub.path(bytes.fromhex(key), depth)
+            bitmap, real = compress([bytes.fromhex(s) for s in up] + lower)
+            out.append((key, leaf.hex() if leaf else None, root, bitmap.hex(), [r.hex() for r in real]))
+        return pd.DataFrame(out, columns=["key", "leaf_value", "root", "bitmap", "siblings"])
+
+    return local.select("prefix", "key", "leaf").groupBy("prefix").cogroup(keyed.groupBy("prefix")).applyInPandas(prove, PROOF)
+
+
+def compress(siblings: list[bytes]) -> tuple[bytes, list[bytes]]:
+    bits, real = bytearray(SMT_DEPTH // 8), []
+    for d, s in enumerate(siblings):
+        if s != canon.EMPTY_ROOTS[SMT_DEPTH - 1 - d]:
+            bits[d >> 3] |= 1 << (7 - (d & 7))
+            real.append(s)
+    return bytes(bits), real
+
+
+def decompress(bitmap: bytes, real: list[bytes]) -> list[bytes]:
+    rest = iter(real)
+    try:
+        out = [next(rest) if _bit(bitmap, d) else canon.EMPTY_ROOTS[SMT_DEPTH - 1 - d] for d in range(SMT_DEPTH)]
+    except StopIteration:
+        raise ValueError("too few siblings in compressed proof") from None
+    if next(rest, None) is not None:
+        raise ValueError("surplus siblings in compressed proof")
+    return out
+
+
+@pandas_udf(T.BooleanType())
+def verify_smt(root: pd.Series, key: pd.Series, leaf: pd.Series, bitmap: pd.Series, siblings: pd.Series) -> pd.Series:
+    """Does a compressed proof lead to the root?  A NULL leaf verifies absence."""
+    out = []
+    for r, k, v, b, s in zip(root, key, leaf, bitmap, siblings):
+        path, key_bytes = decompress(bytes.fromhex(b), [bytes.fromhex(x) for x in s]), bytes.fromhex(k)
+        node = canon.EMPTY_ROOTS[0] if v is None else bytes.fromhex(v)
+        for d in range(SMT_DEPTH - 1, -1, -1):
+            node = canon.pair_digest(path[d], node) if _bit(key_bytes, d) else canon.pair_digest(node, path[d])
+        out.append(node.hex() == r)
+    return pd.Series(out)
+
+
+# ---- stored nodes ------------------------------------------------------------------------------
+def reachable_nodes(nodes: DataFrame, roots: DataFrame, max_levels: int = SMT_DEPTH + 1) -> DataFrame:
+    """Stored nodes reachable from the roots, level by level; each level only joins its own frontier.
+
+    The tree has at most 256 levels, so the loop is bounded; lineage is cut at every level.
+    """
+    empties = [e.hex() for e in canon.EMPTY_ROOTS]
+    edges = nodes.select("node_hash", F.explode(F.array("left_hash", "right_hash")).alias("child")).where(
+        F.col("child").isNotNull() & ~F.col("child").isin(*empties))
+    stored = nodes.select("node_hash").distinct()
+    frontier = materialise(roots.select("node_hash").where(~F.col("node_hash").isin(*empties)).distinct().join(stored, "node_hash", "left_semi"))
+    seen = frontier
+    for _ in range(max_levels):
+        step = edges.join(frontier, "node_hash", "left_semi").select(F.col("child").alias("node_hash")).distinct()
+        frontier = materialise(step.join(stored, "node_hash", "left_semi").join(seen, "node_hash", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def orphan_stats(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    total = nodes.agg(F.countDistinct("node_hash").alias("total_nodes"))
+    reached = reachable_nodes(nodes, roots).agg(F.count("*")).scalar()
+    return total.withColumn("reachable_nodes", reached).withColumn(
+        "orphan_count", F.col("total_nodes") - F.col("reachable_nodes"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blockloom.session import ship_package
 from blockloom.sources.driver_model import DriverModel, sql_over
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +19,12 @@ def query(name: str, sql: str | None = None, over: tuple[str, ...] = ()):
     def register(build: Callable[[DriverModel], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
-        QUERIES[name] = lambda spark, sf_dir: build(DriverModel(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return build(DriverModel(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql_over(sql, *over) if over else sql.strip()
         return build

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder, so an executor loss cannot change the rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application, through Spark's own file service."""
+    context = spark.sparkContext
+    if any(f.endswith("/blockloom.zip") for f in context.listFiles):
+        return
+    home = Path(__file__).resolve().parent.parent
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "blockloom"), "zip", home, "blockloom")
+    context.addPyFile(archive)
