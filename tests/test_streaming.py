@@ -25,8 +25,9 @@ def run(spark, tmp_path):
             "checkpointLocation", str(tmp_path / f"cp{next(counter)}"))
         query = writer.start()
         try:
-            query.processAllAvailable()
-            if timers:
+            if not timers:
+                query.processAllAvailable()
+            else:  # processing-time timers keep the query busy, so wait for the rows instead
                 until = time.time() + 40
                 while time.time() < until and spark.table(name).count() < timers:
                     time.sleep(1)
@@ -64,7 +65,7 @@ def test_fork_guard(run):
 def test_agreement_equals_batch_twin(run, spark):
     schema = "source bigint, block_index bigint, hash string, seq bigint"
     rows = [(s, h, f"x{h}{s}" if (h * 7 + s * 3) % 5 == 0 else f"h{h}", h * 3 + s) for h in range(1, 25) for s in range(3)]
-    got = {r.block_index: (r.verdict, r.hash) for r in run([rows[:30], rows[30:]], schema, lambda s: st.agree(s, 3, timeout_ms=60_000))}
+    got = {r.block_index: (r.verdict, r.hash) for r in run([rows[:30], rows[30:]], schema, lambda s: st.agree(s, 3, timeout_ms=60_000), timers=24)}
     twin = batch.agreement(spark.createDataFrame(rows, schema), ["hash"], 3).collect()
     assert got == {r.block_index: (r.verdict, r.hash) for r in twin}
 
