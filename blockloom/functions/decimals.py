@@ -15,6 +15,8 @@ INTEGER_LIMBS = 3
 SCALE = 18
 AMOUNT_PATTERN = "^[+-]?[0-9]{1,54}([.][0-9]{1,18})?$"
 CANONICAL_PATTERN = r"^[0-9]+([.][0-9]{1,18})?$"
+SHORT_PATTERN = "^[+-]?[0-9]{1,6}([.][0-9]{1,18})?$"
+_SHORT = "decimal(28,18)"  # sums to DECIMAL(38,18): 10^14 addends below 10^6
 _LIMB = "decimal(22,0)"   # sums to DECIMAL(32,0): 10^14 addends of a full limb
 _WIDE = "decimal(38,0)"
 _BASE = "cast(1000000000000000000 as decimal(19,0))"
@@ -25,22 +27,29 @@ def limb_names(prefix: str) -> list[str]:
 
 
 def with_limbs(df: DataFrame, amount: str, prefix: str, sign: str = "1") -> DataFrame:
-    """Add the signed limbs of a decimal-text column, lowest first.  Text that does not parse raises."""
-    text, body = f"{prefix}_text", f"{prefix}_body"
-    checked = (f"case when `{amount}` is null or trim(`{amount}`) rlike '{AMOUNT_PATTERN}' then trim(`{amount}`) "
-               f"else raise_error(concat('not a decimal amount: ', `{amount}`)) end")
+    """Split a decimal-text column for summing.  Text that does not parse raises.
+
+    Everyday amounts (at most 6 whole digits) go into one DECIMAL column; only longer ones are
+    cut into signed limbs, lowest first, so the limb columns are mostly NULL.
+    """
+    text, body, short = f"{prefix}_text", f"{prefix}_body", f"{prefix}_short"
+    plain = f"case when `{amount}` rlike '{SHORT_PATTERN}' then cast(`{amount}` as {_SHORT}) end"
+    checked = (f"case when {short} is not null or `{amount}` is null then null when trim(`{amount}`) rlike '{AMOUNT_PATTERN}' "
+               f"then trim(`{amount}`) else raise_error(concat('not a decimal amount: ', `{amount}`)) end")
     width = LIMB_DIGITS * INTEGER_LIMBS
-    staged = df.withColumns({text: F.expr(checked)}).withColumns({body: F.expr(f"ltrim('+-', {text})")})
+    staged = df.withColumns({short: F.expr(plain)}).withColumns({text: F.expr(checked)}).withColumns({
+        body: F.expr(f"ltrim('+-', {text})"), short: F.expr(f"case when ({sign}) < 0 then -{short} else {short} end")})
     signed = f"(case when startswith({text}, '-') then -1 else 1 end * ({sign}))"
     pieces = [f"rpad(case when contains({body}, '.') then substring_index({body}, '.', -1) else '' end, {LIMB_DIGITS}, '0')"]
     pieces += [f"substring(lpad(substring_index({body}, '.', 1), {width}, '0'), {width - LIMB_DIGITS * (k + 1) + 1}, {LIMB_DIGITS})"
                for k in range(INTEGER_LIMBS)]
-    limbs = {n: F.expr(f"cast(cast({p} as bigint) * {signed} as {_LIMB})") for n, p in zip(limb_names(prefix), pieces)}
+    limbs = {n: F.expr(f"case when {text} is not null then cast(cast({p} as bigint) * {signed} as {_LIMB}) end")
+             for n, p in zip(limb_names(prefix), pieces)}
     return staged.withColumns(limbs).drop(text, body)
 
 
 def limb_sums(prefix: str) -> list[Column]:
-    return [F.sum(n).alias(n) for n in limb_names(prefix)]
+    return [F.sum(n).alias(n) for n in (f"{prefix}_short", *limb_names(prefix))]
 
 
 def _floor_div(value: str) -> str:
@@ -66,10 +75,14 @@ def _carried(df: DataFrame, prefix: str, values: list[str]) -> DataFrame:
 
 def settle(df: DataFrame, prefix: str) -> DataFrame:
     """Turn summed limbs into `<prefix>_sign` and limbs in [0, 10^18); other columns stay."""
+    short = f"cast({prefix}_short as string)"  # 18 fraction digits, so its limbs are cut from the text
+    low = f"coalesce(cast(right({short}, {LIMB_DIGITS}) as {_LIMB}) * case when startswith({short}, '-') then -1 else 1 end, 0)"
+    whole = f"coalesce(cast(substring_index({short}, '.', 1) as {_LIMB}), 0)"
     plain = [f"cast(coalesce({n}, 0) as {_WIDE})" for n in limb_names(prefix)]
+    plain[0], plain[1] = f"cast({plain[0]} + {low} as {_WIDE})", f"cast({plain[1]} + {whole} as {_WIDE})"
     sign = f"{prefix}_sign"
     marked = df.withColumns({sign: F.expr(f"case when {plain[-1]} + {_carry_out(plain)} < 0 then -1 else 1 end")})
-    return _carried(marked, prefix, [f"cast({v} * {sign} as {_WIDE})" for v in plain])
+    return _carried(marked, prefix, [f"cast({v} * {sign} as {_WIDE})" for v in plain]).drop(f"{prefix}_short")
 
 
 def is_nonzero(prefix: str) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql.functions import pandas_udf
 from blockloom.functions import canon
 from blockloom.operators.integrity import SHOWN, SORTED_BY, block_rows, canon_address
 from blockloom.operators.ordered_hash import ORDER
-from blockloom.session import materialise
+from blockloom.session import materialise, task_count
 
 FAN_BITS = 10
 ROUNDS = 4  # 2^40 leaves per block
@@ -95,7 +95,9 @@ def tree_nodes(leaves: DataFrame, group: list[str], all_levels: bool = True) ->
     for r in range(ROUNDS):
         base = r * FAN_BITS
         todo = current if r == 0 else current.where(F.col("height") > base)
-        grouped = todo.withColumn("__g", F.shiftright("position", FAN_BITS)).groupBy(*group, "height", "__g").agg(
+        tasks = task_count(leaves.sparkSession)
+        placed = todo.withColumn("__g", F.shiftright("position", FAN_BITS)).repartition(tasks, *group, "__g")
+        grouped = placed.groupBy(*group, "height", "__g").agg(
             F.array_sort(F.collect_list(F.struct("position", "hash"))).alias("__s"))
         steps = F.greatest(F.lit(0), F.least(F.lit(FAN_BITS), F.col("height") - base))
         folded = grouped.withColumn("__levels", _fold_levels(F.col("__s.hash"), steps, F.lit(base)))

@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.session import task_count
+
 ORDER = ["n1", "n2", "s1", "s2", "s3", "s4"]
 CHUNK = "block_index bigint, kind string, part int, run bigint, seq bigint, text string"
 SEPARATOR = "\x00"  # JSON text never holds a raw NUL
@@ -143,11 +145,12 @@ def hash_documents(rows: DataFrame, layouts: list[Layout], seeds: dict[str, str]
     window of new blocks.
     """
     by_kind = {layout.kind: layout for layout in layouts}
-    ranged = rows.repartitionByRange("block_index", "kind", "part", *ORDER, "row").sortWithinPartitions(
+    tasks = task_count(rows.sparkSession)
+    ranged = rows.repartitionByRange(tasks, "block_index", "kind", "part", *ORDER, "row").sortWithinPartitions(
         "block_index", "kind", "part", *ORDER, "row")
     chunks = ranged.select("block_index", "kind", "part", "row").mapInPandas(_chunks, CHUNK)
     group = ["kind"] if seeds is not None else ["block_index", "kind"]
     first = ["kind", "block_index"]
-    ordered = chunks.repartition(*group).sortWithinPartitions(*first, "part", "run", "seq")
+    ordered = chunks.repartition(tasks, *group).sortWithinPartitions(*first, "part", "run", "seq")
     return ordered.select("block_index", "kind", "part", "text").mapInPandas(
         _hasher(by_kind, seeds), "block_index bigint, kind string, hash string")

@@ -6,6 +6,8 @@ ledger's own skew is.  One task folds one prefix; the 2^bits prefix roots are fo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from blockloom.functions import decimals as D
 from blockloom.functions.decimals import canonical_amount
 from blockloom.operators import aggregates as agg
 from blockloom.operators import scan
-from blockloom.session import materialise
+from blockloom.session import materialise, task_count
 
 PREFIX_DIGITS = 3  # hex digits of the key that pick a subtree: 4096 even parts; raise with the data
 ZERO = "0." + "0" * D.SCALE
@@ -129,15 +131,36 @@ class _Subtree:
 def prefix_roots(leaves: DataFrame, digits: int = PREFIX_DIGITS, tree: list[str] = ()) -> DataFrame:
     """(tree, prefix, root) of every non-empty subtree below the first `digits` hex digits."""
     tree, depth = list(tree), 4 * digits
+    group = [*tree, "prefix"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        sub = _Subtree(pdf["key"].tolist(), pdf["leaf"].tolist())
-        head = {c: [pdf[c].iloc[0]] for c in [*tree, "prefix"]}
-        return pd.DataFrame({**head, "root": [sub.node(0, len(sub.keys), depth).hex()]})
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for pdf in _runs(batches, group):
+            sub = _Subtree(pdf["key"].tolist(), pdf["leaf"].tolist())
+            out.append((*[pdf[c].iloc[0] for c in group], sub.node(0, len(sub.keys), depth).hex()))
+        yield pd.DataFrame(out, columns=[*group, "root"])
 
     keyed = leaves.select(*tree, F.substring("key", 1, digits).alias("prefix"), "key", "leaf")
     schema = ", ".join([f"`{c}` {leaves.schema[c].dataType.simpleString()}" for c in tree] + ["prefix string", "root string"])
-    return keyed.groupBy(*tree, "prefix").applyInPandas(fold, schema)
+    placed = keyed.repartition(task_count(leaves.sparkSession), *group).sortWithinPartitions(*group)
+    return placed.mapInPandas(fold, schema)
+
+
+def _runs(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of one group as one frame each, across batch borders."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        keys = list(zip(*[pdf[c] for c in group]))
+        starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]] + [len(keys)]
+        for a, b in zip(starts, starts[1:]):
+            if held and tuple(held[-1][c].iloc[-1] for c in group) != keys[a]:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(pdf.iloc[a:b])
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def combine(prefixes: DataFrame, digits: int = PREFIX_DIGITS, tree: list[str] = ()) -> DataFrame:
@@ -224,22 +247,27 @@ def smt_proofs(leaves: DataFrame, wanted: DataFrame, digits: int = PREFIX_DIGITS
     is the empty subtree, a set bit takes the next entry of `siblings` (top down).
     """
     depth = 4 * digits
-    asked = wanted.select(F.col("key").alias("key")).distinct()
+    asked = wanted.select("key").distinct()
     upper = _upper_siblings(prefix_roots(leaves, digits), asked, digits)
     keyed = asked.withColumn("prefix", F.substring("key", 1, digits)).join(upper, "prefix")
     local = leaves.withColumn("prefix", F.substring("key", 1, digits)).join(
-        keyed.select("prefix").distinct(), "prefix", "left_semi")
-
-    def prove(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        sub = _Subtree(have["key"].tolist(), have["leaf"].tolist())
-        out = []
-        for key, root, up in zip(ask["key"], ask["root"], ask["__up"]):
-            lower, leaf = sub.path(bytes.fromhex(key), depth)
-            bitmap, real = compress([bytes.fromhex(s) for s in up] + lower)
-            out.append((key, leaf.hex() if leaf else None, root, bitmap.hex(), [r.hex() for r in real]))
-        return pd.DataFrame(out, columns=["key", "leaf_value", "root", "bitmap", "siblings"])
-
-    return local.select("prefix", "key", "leaf").groupBy("prefix").cogroup(keyed.groupBy("prefix")).applyInPandas(prove, PROOF)
+        asked.select(F.substring("key", 1, digits).alias("prefix")).distinct(), "prefix", "left_semi")
+    both = local.select("prefix", F.lit(0).alias("asked"), "key", "leaf").unionByName(
+        keyed.select("prefix", F.lit(1).alias("asked"), "key", "root", "__up"), allowMissingColumns=True)
+
+    def prove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _runs(batches, ["prefix"]):
+            have, ask = pdf[pdf["asked"] == 0], pdf[pdf["asked"] == 1]
+            sub, out = _Subtree(have["key"].tolist(), have["leaf"].tolist()), []
+            for key, root, up in zip(ask["key"], ask["root"], ask["__up"]):
+                lower, leaf = sub.path(bytes.fromhex(key), depth)
+                bitmap, real = compress([bytes.fromhex(s) for s in up] + lower)
+                out.append((key, leaf.hex() if leaf else None, root, bitmap.hex(), [r.hex() for r in real]))
+            if out:
+                yield pd.DataFrame(out, columns=["key", "leaf_value", "root", "bitmap", "siblings"])
+
+    placed = both.repartition(task_count(leaves.sparkSession), "prefix").sortWithinPartitions("prefix")
+    return placed.mapInPandas(prove, PROOF)
 
 
 def compress(siblings: list[bytes]) -> tuple[bytes, list[bytes]]:

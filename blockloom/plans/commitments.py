@@ -7,6 +7,7 @@ from blockloom.operators import epochs as ep
 from blockloom.operators import merkle, smt
 from blockloom.plans.integrity import block_tables
 from blockloom.plans.registry import query
+from blockloom.session import materialise
 
 LOG = """logged AS (SELECT block_index, ledger_hash, actions_hash, contract_hash FROM blocks WHERE block_index % 17 <> 5),
     leaves AS (SELECT (block_index + 99) // 100 AS epoch, block_index, sha256(coalesce(ledger_hash, '') || coalesce(actions_hash, '') || coalesce(contract_hash, '')) AS leaf
@@ -191,7 +192,7 @@ def smt_incremental(m):
     """Root after threading every height from 1200 on into the prefix roots of the state before it."""
     before = F.col("action_index") < 1200 * 1_000_000_000
     old = smt.balance_leaves(m.credits.where(before), m.debits.where(before), m.index_addresses, m.index_tickers, CHAIN, NETWORK)
-    now = balance_leaves(m)
+    old, now = materialise(old), materialise(balance_leaves(m))
     changed = now.join(old, ["key", "leaf"], "left_anti").select("key").unionByName(old.join(now, "key", "left_anti").select("key"))
     return smt.combine(smt.update_prefix_roots(smt.prefix_roots(old), now, changed))
 
@@ -199,7 +200,7 @@ def smt_incremental(m):
 @query("smt_proofs")
 def smt_proofs(m):
     """Proof and its check for every balance key and for as many keys that hold nothing."""
-    leaves = balance_leaves(m)
+    leaves = materialise(balance_leaves(m))  # read by the tree, the paths and the wanted keys
     absent = leaves.select(canon.sha256(F.concat(F.lit("none|"), "key")).alias("key"))
     proofs = smt.smt_proofs(leaves, leaves.select("key").unionByName(absent))
     return proofs.select("key", "leaf_value", "root", F.size("siblings").alias("n_siblings"),

@@ -42,6 +42,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions for CPU-bound Python stages: fixed, because byte-sized coalescing would put many
+    small but expensive groups into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give Python workers this package, once per application, through Spark's own file service."""
     context = spark.sparkContext

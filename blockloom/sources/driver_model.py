@@ -19,6 +19,7 @@ GENESIS = "1995-01-01"
 GENESIS_TIME = 788_918_400
 STATUSES = ("valid", "invalid", "completed", "open", "closed", "cancelling", "expiring", "filled",
             "invalid_archive", "unverified", "settled", "resolved")
+SPREAD_KEYS = {"lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "orders": ("o_orderkey",), "events": ("event_id",)}
 STATUS_ID = {name: i + 1 for i, name in enumerate(STATUSES)}
 ACTIVATION_DELAY = 6
 GAS_TICK = "TICK0"
@@ -33,7 +34,13 @@ class DriverModel:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A whole input table.  A large one kept in fewer files than there are cores is spread
+        once, since a file's row group is never split between tasks."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in SPREAD_KEYS and len(df.inputFiles()) < cores:
+            return df.repartition(cores, *SPREAD_KEYS[name])
+        return df
 
     # ---- actions and ledger ---------------------------------------------------------------------
     @cached_property
