@@ -31,8 +31,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
 
 def replace_by_key(existing: DataFrame, incoming: DataFrame, key: str, surrogate: str = "id") -> DataFrame:
     """Replace by natural key; the source's surrogate id is dropped, a missing key raises."""
-    needed = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"row without natural key {key}"))).otherwise(F.col(key))
-    checked = incoming.drop(surrogate).withColumn(key, needed)
+    keyed = F.when(F.col(key).isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit(f"row without natural key {key}")))
+    checked = incoming.drop(surrogate).where(keyed)
     return upsert(existing.drop(surrogate), checked, [key])
 
 

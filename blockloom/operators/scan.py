@@ -137,9 +137,8 @@ def exclude_tables(changes: DataFrame, tables: list[str]) -> DataFrame:
 
 def schema_gate(payload: DataFrame, expected: int) -> DataFrame:
     """Raise on any payload row of another schema version."""
-    ok = F.when(F.col("schema_version") == expected, F.col("schema_version")).otherwise(
-        F.raise_error(F.lit("schema version mismatch")))
-    return payload.withColumn("schema_version", ok)
+    return payload.where(F.when(F.col("schema_version") == expected, F.lit(True)).otherwise(
+        F.raise_error(F.lit("schema version mismatch"))))
 
 
 def skip_applied(payload: DataFrame, applied: DataFrame) -> DataFrame:
