@@ -118,6 +118,7 @@ def test_pipeline_applies_verifies_and_halts(spark, tmp_path):
     zero = {"ledger": "l0", "actions": "a0", "contracts": "c0"}
     full = build(spark, range(1, 9))
     hashes = integrity.commit_block_hashes(full, full["blocks"], zero)
+    hashes = spark.createDataFrame(hashes.collect(), hashes.schema)
     full["blocks"] = full["blocks"].join(hashes, "block_index")
     base = build(spark, range(0, 0))
     seed = spark.createDataFrame([(0, 0, "l0", "a0", "c0")], "block_index bigint, block_time bigint, ledger_hash string, actions_hash string, contract_hash string")
@@ -125,6 +126,8 @@ def test_pipeline_applies_verifies_and_halts(spark, tmp_path):
     base["balances"] = agg.balances(base["credits"], base["debits"])
     versions.write_version(spark, root, base, 0, bucket_width=4)
     rows = payload({t: full[t] for t in ("blocks", "transactions", "actions", "credits")}, range(1, 9))
+    rows.coalesce(1).write.parquet(str(tmp_path / "all"))
+    rows = spark.read.parquet(str(tmp_path / "all"))
     rows.where("block_index <= 5").coalesce(1).write.parquet(str(source / "a"))
     stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(source))
     query = pipeline.run_pipeline(stream, root, str(tmp_path / "cp"), bucket_width=4)
