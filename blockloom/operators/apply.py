@@ -190,3 +190,24 @@ def full_snapshot(tables: dict[str, DataFrame]) -> list[tuple[int, str, DataFram
     middle = sorted(t for t in eligible if t not in reg.PRIORITY_TABLES and t not in reg.TRAILING_TABLES)
     order = [t for t in reg.PRIORITY_TABLES if t in eligible] + middle + [t for t in reg.TRAILING_TABLES if t in eligible]
     return [(i, t, tables[t]) for i, t in enumerate(order)]
+
+
+def apply_full_snapshot(local: dict[str, DataFrame], snapshot: dict[str, DataFrame], height: int) -> dict[str, DataFrame]:
+    """Table set after a bootstrap: every exported table is the snapshot's, local-only tables stay,
+    exported tables the snapshot lacks are dropped, and derived roots at or above the height go."""
+    keep = set(reg.tables_where(lambda e: e.replication in ("local", "hub-mirror", "follower-derived"))) | set(reg.NEVER_EXPORTED)
+    out = {t: df for t, df in local.items() if t in keep}
+    out.update({t: df for t, df in snapshot.items() if t not in keep})
+    if "state_tree_roots" in out:
+        out["state_tree_roots"] = out["state_tree_roots"].where(F.col("block_index") < height)
+    return out
+
+
+def replace_table(tables: dict[str, DataFrame], name: str, rows: DataFrame) -> dict[str, DataFrame]:
+    """Reconcile a table whose rows expire in place: the full set read at one version replaces it."""
+    return {**tables, name: rows}
+
+
+def reconcile_due(resumed: bool, catch_ups: int, every: int, elapsed_ms: int, max_interval_ms: int) -> bool:
+    """Reconcile on the first catch-up after a resume, on every `every`-th one, or when overdue."""
+    return resumed or (every > 0 and catch_ups % every == 0) or elapsed_ms >= max_interval_ms

@@ -37,6 +37,14 @@ def balance_leaves(credits: DataFrame, debits: DataFrame, addresses: DataFrame,
     return named.select(key.alias("key"), canon.amount_leaf(F.col("amount")).alias("leaf"))
 
 
+def prefix_digits(leaf_count: int, per_part: int = 50_000) -> int:
+    """Hex digits that keep a subtree near `per_part` leaves; keys are digests, so parts are even."""
+    digits = PREFIX_DIGITS
+    while leaf_count > per_part * 16**digits and digits < 8:
+        digits += 1
+    return digits
+
+
 # ---- leaves ------------------------------------------------------------------------------------
 def escrow_leaves(journal: DataFrame, addresses: DataFrame, tickers: DataFrame, chain: str, network: str,
                   as_of: int | None = None) -> DataFrame:
