@@ -151,15 +151,21 @@ def balance_leaves(m):
     return smt.balance_leaves(m.credits, m.debits, m.index_addresses, m.index_tickers, CHAIN, NETWORK)
 
 
-@query("contract_state_leaves", f"""SELECT sha256('XCHAIN_CST' || chr(0) || 'BTC' || chr(0) || 'regtest' || chr(0) || contract_index || chr(0) || state_key) AS key, sha256(chr(0) || state_value) AS leaf FROM contract_state
-    WHERE id IN (SELECT max(id) FROM contract_state GROUP BY contract_index, state_key) AND state_value IS NOT NULL""", ("contract_state",))
+CONTRACT_LEAVES_SQL = f"""SELECT sha256('XCHAIN_CST' || chr(0) || 'BTC' || chr(0) || 'regtest' || chr(0) || contract_index || chr(0) || state_key) AS key, sha256(chr(0) || state_value) AS leaf FROM contract_state
+    WHERE id IN (SELECT max(id) FROM contract_state GROUP BY contract_index, state_key) AND state_value IS NOT NULL"""
+
+
+@query("contract_state_leaves", CONTRACT_LEAVES_SQL, ("contract_state",))
 def contract_state_leaves(m):
     return smt.contract_state_leaves(m.contract_state, CHAIN, NETWORK)
 
 
-@query("escrow_leaves", f"""SELECT sha256('XCHAIN_ESC' || chr(0) || 'BTC' || chr(0) || 'regtest' || chr(0) || i.address || chr(0) || k.tick) AS key,
+ESCROW_LEAVES_SQL = f"""SELECT sha256('XCHAIN_ESC' || chr(0) || 'BTC' || chr(0) || 'regtest' || chr(0) || i.address || chr(0) || k.tick) AS key,
       sha256(chr(0) || CAST(CAST(j.locked_amount AS DECIMAL(38,18)) AS VARCHAR)) AS leaf FROM escrow_journal j JOIN index_addresses i ON i.id = j.address_id JOIN index_tickers k ON k.id = j.tick_id
-    WHERE j.id IN (SELECT max(id) FROM escrow_journal GROUP BY address_id, tick_id) AND j.locked_amount IS NOT NULL AND CAST(j.locked_amount AS DECIMAL(38,18)) <> 0""",
+    WHERE j.id IN (SELECT max(id) FROM escrow_journal GROUP BY address_id, tick_id) AND j.locked_amount IS NOT NULL AND CAST(j.locked_amount AS DECIMAL(38,18)) <> 0"""
+
+
+@query("escrow_leaves", ESCROW_LEAVES_SQL,
        ("escrow_journal", "index_addresses", "index_tickers"))
 def escrow_leaves(m):
     return smt.escrow_leaves(m.escrow_journal, m.index_addresses, m.index_tickers, CHAIN, NETWORK)
@@ -174,20 +180,44 @@ def stake_weights(m):
         F.col("c_mktsegment").alias("capability"), "pubkey", F.col("c_nationkey").cast("string").alias("source"), "weight")
 
 
-@query("stake_leaves", f"""WITH q AS (SELECT c_mktsegment, c_nationkey, sum(CAST(c_acctbal AS DECIMAL(18,2))) AS w FROM customer WHERE c_acctbal > 0 GROUP BY 1, 2)
-    SELECT sha256('XCHAIN_STK' || chr(0) || c_name || chr(0) || c_mktsegment) AS key, sha256(chr(0) || 'STK' || chr(0) || c_nationkey || chr(0) || CAST(CAST(w AS DECIMAL(38,18)) AS VARCHAR)) AS leaf
-      FROM customer JOIN q USING (c_mktsegment, c_nationkey) WHERE c_acctbal > 0
-    UNION ALL SELECT sha256('XCHAIN_STK' || chr(0) || '__total__' || chr(0) || c_mktsegment), sha256(chr(0) || 'STKTOTAL' || chr(0) || CAST(CAST(sum(w) AS DECIMAL(38,18)) AS VARCHAR)) FROM q GROUP BY c_mktsegment""")
+STAKE_LEAVES_SQL = f"""SELECT sha256('XCHAIN_STK' || chr(0) || c_name || chr(0) || c_mktsegment) AS key, sha256(chr(0) || 'STK' || chr(0) || c_nationkey || chr(0) || CAST(CAST(w AS DECIMAL(38,18)) AS VARCHAR)) AS leaf
+      FROM customer JOIN (SELECT c_mktsegment, c_nationkey, sum(CAST(c_acctbal AS DECIMAL(18,2))) AS w FROM customer WHERE c_acctbal > 0 GROUP BY 1, 2) q USING (c_mktsegment, c_nationkey) WHERE c_acctbal > 0
+    UNION ALL SELECT sha256('XCHAIN_STK' || chr(0) || '__total__' || chr(0) || c_mktsegment), sha256(chr(0) || 'STKTOTAL' || chr(0) || CAST(CAST(sum(w) AS DECIMAL(38,18)) AS VARCHAR)) FROM (SELECT c_mktsegment, c_nationkey, sum(CAST(c_acctbal AS DECIMAL(18,2))) AS w FROM customer WHERE c_acctbal > 0 GROUP BY 1, 2) q GROUP BY c_mktsegment"""
+
+
+@query("stake_leaves", STAKE_LEAVES_SQL)
 def stake_leaves(m):
     return smt.stake_leaves(stake_weights(m))
 
 
-@query("smt_root")
+def quoted(*parts: str) -> str:
+    return " || chr(0) || ".join(parts)
+
+
+BALANCE_LEAVES_SQL = f"""SELECT sha256({quoted("'XCHAIN_BAL'", "'BTC'", "'regtest'", "address", "tick")}) AS key, sha256(chr(0) || CAST(net AS VARCHAR)) AS leaf FROM (
+      SELECT i.address, t.tick, sum(s.amount) AS net FROM (SELECT address_id, tick_id, CAST(amount AS DECIMAL(38,18)) AS amount FROM credits
+        UNION ALL SELECT address_id, tick_id, -CAST(amount AS DECIMAL(38,18)) FROM debits) s
+      JOIN index_addresses i ON i.id = s.address_id JOIN index_tickers t ON t.id = s.tick_id GROUP BY i.address, t.tick HAVING sum(s.amount) <> 0)"""
+TREE = ("credits", "debits", "index_addresses", "index_tickers")
+
+
+def tree_sql(name: str, leaves: str) -> str:
+    """Recursive fold of (key, leaf) from depth 256 up; `e` is the empty subtree of the level."""
+    return f"""{name} AS (SELECT 256 AS d, CAST(CAST(unhex(key) AS BIT) AS VARCHAR) AS bits, leaf AS h, '{canon.EMPTY_ROOTS[0].hex()}' AS e FROM ({leaves})
+      UNION ALL SELECT d - 1, substr(bits, 1, d - 1), sha256(unhex('01') || unhex(coalesce(max(CASE WHEN substr(bits, d, 1) = '0' THEN h END), e)) || unhex(coalesce(max(CASE WHEN substr(bits, d, 1) = '1' THEN h END), e))),
+        sha256(unhex('01') || unhex(e) || unhex(e)) FROM {name} WHERE d > 0 GROUP BY d, substr(bits, 1, d - 1), e)"""
+
+
+def root_sql(leaves: str) -> str:
+    return f"WITH RECURSIVE {tree_sql('tree', leaves)} SELECT h AS root FROM tree WHERE d = 0"
+
+
+@query("smt_root", root_sql(BALANCE_LEAVES_SQL), TREE)
 def smt_root(m):
     return smt.smt_root(balance_leaves(m))
 
 
-@query("smt_incremental")
+@query("smt_incremental", root_sql(BALANCE_LEAVES_SQL), TREE)
 def smt_incremental(m):
     """Root after threading every height from 1200 on into the prefix roots of the state before it."""
     before = F.col("action_index") < 1200 * 1_000_000_000
@@ -197,27 +227,38 @@ def smt_incremental(m):
     return smt.combine(smt.update_prefix_roots(smt.prefix_roots(old), now, changed))
 
 
-@query("smt_proofs")
+@query("smt_proofs", f"""WITH RECURSIVE leaves AS ({BALANCE_LEAVES_SQL}), {tree_sql('tree', 'SELECT * FROM leaves')}
+    SELECT key, leaf AS leaf_value, (SELECT h FROM tree WHERE d = 0) AS root, true AS verified FROM leaves
+    UNION ALL SELECT sha256('none|' || key), NULL, (SELECT h FROM tree WHERE d = 0), true FROM leaves""", TREE)
 def smt_proofs(m):
     """Proof and its check for every balance key and for as many keys that hold nothing."""
     leaves = materialise(balance_leaves(m))  # read by the tree, the paths and the wanted keys
     absent = leaves.select(canon.sha256(F.concat(F.lit("none|"), "key")).alias("key"))
     proofs = smt.smt_proofs(leaves, leaves.select("key").unionByName(absent))
-    return proofs.select("key", "leaf_value", "root", F.size("siblings").alias("n_siblings"),
-                         smt.verify_smt("root", "key", "leaf_value", "bitmap", "siblings").alias("verified"))
+    return proofs.select("key", "leaf_value", "root", smt.verify_smt("root", "key", "leaf_value", "bitmap", "siblings").alias("verified"))
 
 
-@query("contract_state_root")
+@query("contract_state_root", root_sql(CONTRACT_LEAVES_SQL), ("contract_state",))
 def contract_state_root(m):
     return smt.smt_root(contract_state_leaves(m))
 
 
-@query("stakes_root")
+@query("stakes_root", root_sql(STAKE_LEAVES_SQL))
 def stakes_root(m):
     return smt.smt_root(smt.stake_leaves(stake_weights(m)))
 
 
-@query("state_root")
+def pair_sql(a: str, b: str) -> str:
+    return f"sha256(unhex('01') || unhex({a}) || unhex({b}))"
+
+
+PAD, NONE = f"'{canon.EMPTY_ROOTS[0].hex()}'", f"'{canon.EMPTY_SMT_ROOT}'"
+
+
+@query("state_root", f"""WITH RECURSIVE {tree_sql('bt', BALANCE_LEAVES_SQL + ' UNION ALL ' + ESCROW_LEAVES_SQL)}, {tree_sql('st', STAKE_LEAVES_SQL)}, {tree_sql('ct', CONTRACT_LEAVES_SQL)},
+    r AS (SELECT (SELECT h FROM bt WHERE d = 0) AS balances_root, (SELECT h FROM st WHERE d = 0) AS stakes_root, (SELECT h FROM ct WHERE d = 0) AS contract_state_root)
+    SELECT *, {pair_sql(pair_sql(pair_sql('balances_root', 'stakes_root'), pair_sql(NONE, NONE)), pair_sql(pair_sql('contract_state_root', PAD), pair_sql(PAD, PAD)))} AS state_root FROM r""",
+       (*TREE, "escrow_journal", "contract_state"))
 def state_root(m):
     """The committed slots and the state root over them."""
     with_escrow = balance_leaves(m).unionByName(escrow_leaves(m))
@@ -227,8 +268,7 @@ def state_root(m):
         part = df.withColumn("tree", F.lit(name))
         leaves = part if leaves is None else leaves.unionByName(part)
     roots = smt.smt_root(leaves, tree=["tree"])
-    pick = {n: F.max(F.when(F.col("tree") == n, F.col("root"))).alias(n) for n, _ in trees}
-    row = roots.agg(*pick.values())
+    row = roots.agg(*[F.max(F.when(F.col("tree") == n, F.col("root"))).alias(n) for n, _ in trees])
     return row.withColumn("state_root", canon.state_root(**{n: F.col(n) for n, _ in trees}))
 
 

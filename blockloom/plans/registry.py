@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.session import ship_package
+from blockloom.session import prepare
 from blockloom.sources.driver_model import DriverModel, sql_over
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None, over: tuple[str, ...] = ()):
             raise ValueError(f"query registered twice: {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return build(DriverModel(spark, sf_dir))
 
         QUERIES[name] = run

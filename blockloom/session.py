@@ -10,6 +10,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Spark 4.1 may treat a union of two shuffled inputs as still partitioned and drop the next shuffle,
+# while adaptive execution coalesces the inputs differently: keys then meet in different tasks.
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings every session needs before running these operators, and the package on the workers."""
+    spark.conf.set(UNION_PARTITIONING, "false")
+    ship_package(spark)
+
+
 def local_session(cores: str | int = "*", app: str = "blockloom") -> SparkSession:
     """A local session for tests and benches. On a cluster pass your own session instead."""
     parts = os.cpu_count() if cores == "*" else int(cores)
@@ -19,6 +30,7 @@ def local_session(cores: str | int = "*", app: str = "blockloom") -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
+        .config(UNION_PARTITIONING, "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BLOCKLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -45,6 +57,7 @@ def materialise(df: DataFrame) -> DataFrame:
 def task_count(spark: SparkSession) -> int:
     """Partitions for CPU-bound Python stages: fixed, because byte-sized coalescing would put many
     small but expensive groups into one task."""
+    prepare(spark)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
@@ -52,7 +65,7 @@ def ship_package(spark: SparkSession) -> None:
     """Give Python workers this package, once per application, through Spark's own file service."""
     context = spark.sparkContext
     if any(f.endswith("/blockloom.zip") for f in context.listFiles):
-        return
+        return  # already there
     home = Path(__file__).resolve().parent.parent
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "blockloom"), "zip", home, "blockloom")
     context.addPyFile(archive)

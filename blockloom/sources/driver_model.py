@@ -19,7 +19,7 @@ GENESIS = "1995-01-01"
 GENESIS_TIME = 788_918_400
 STATUSES = ("valid", "invalid", "completed", "open", "closed", "cancelling", "expiring", "filled",
             "invalid_archive", "unverified", "settled", "resolved")
-SPREAD_KEYS = {"lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "orders": ("o_orderkey",), "events": ("event_id",)}
+SPREAD_KEYS = {"lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")}
 STATUS_ID = {name: i + 1 for i, name in enumerate(STATUSES)}
 ACTIVATION_DELAY = 6
 GAS_TICK = "TICK0"

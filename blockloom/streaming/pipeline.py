@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from blockloom.fixed_values import BLOCKS_PER_POLL
 from blockloom.operators import integrity, scan
 from blockloom.operators.apply import apply_changes
+from blockloom.session import prepare
 from blockloom.sources.versions import latest_version, manifest, read_table, write_version
 
 VERDICTS = "at timestamp, kind string, block_index bigint, detail string"
@@ -72,6 +73,7 @@ def apply_batch(spark: SparkSession, root: str, batch: DataFrame, bucket_width:
     heights' hashes are recomputed from the landed rows before anything is published; a
     difference is recorded as a halt.
     """
+    prepare(spark)
     reason = active_halt(spark, root)
     if reason is not None:
         raise Halted(reason)

@@ -1,6 +1,6 @@
 import pytest
 
-from blockloom.session import local_session, ship_package
+from blockloom.session import local_session, prepare
 
 
 @pytest.fixture(scope="session")
@@ -8,5 +8,5 @@ def spark():
     session = local_session(8, "blockloom-tests")
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
-    ship_package(session)
+    prepare(session)
     return session
