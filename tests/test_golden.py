@@ -9,7 +9,7 @@ from blockloom.operators import integrity, merkle, smt
 # --- Fixed values: published input rows and digests ---------------------------------------------
 A_MAIN, A_ADMIN, A_GEN, A_BOAT = ("1JDogZS6tQcSxwfxhv6XKKjcyicYA4Feev", "1AdminZS6tQcSxwfxhv6XKKjcyicYA4Fee",
                                   "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "1BoatSLRHtKNngkdXEeobR76b53LETtpyT")
-A_OTHER, A_OTHER_BAL = "1FuckButtZ6tQcSxwfxhv6XKKjcyiabcde", "1FuckButtZ6tQcSxwfxhv6XKKjcyicYA4Feev"
+A_OTHER = "1FuckButtZ6tQcSxwfxhv6XKKjcyiabcde"
 LEDGER = "b877b7b65bae57b5f7db81a32013bc69afea70549f7bf1fe7e6dccd82929acdc"
 ACTIONS = "a87f2987494bbe53eafdddaf8a6d5fea0672a9cded1c8ad157f107181d5bae36"
 CONTRACT = "2e473721e1df1581a90e7e8fa57bf5928b166fe1e5efab79efacc3f88b0da0dd"
@@ -19,7 +19,7 @@ EMPTY = {0: "7d0eefdcd395118b3a5c35e09d967d4c8f3ccc6db2a7ba96fbb4a9689d9151dd",
          255: "2d4c4f019ddb70dc0e833b8828f9e58947eba161d2a4cd8849e741a8ade8c06e",
          256: "c59a65441e85aa19393ca1ecf1c6d9e92bd5250dac74318a264eefb0dc0595a8"}
 LEAF_HELLO = "8a2a5c9b768827de5a9552c38a044c66959c68f6d2f21b5260af54d2f87db827"
-BALANCES = [(A_MAIN, "XCHAIN", "1000.5"), (A_OTHER_BAL, "JDOG", "0.000000000000000001"), (A_GEN, "XCHAIN", "42"),
+BALANCES = [(A_MAIN, "XCHAIN", "1000.5"), (A_OTHER, "JDOG", "0.000000000000000001"), (A_GEN, "XCHAIN", "42"),
             (A_BOAT, "PEPE", "7777777.123456789012345678")]
 BALANCES_ROOT = "9d6c046a4a5918eb50f79e09ed61fa0c575f64ac0e684c3d2d553d8f6c03bca1"
 BALANCES_AFTER_DELETE = "56579813303cb7b290d40a3c94ce93822ebdf24b59670ebf7d54f43df3aed743"
