@@ -38,3 +38,23 @@ def op5(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@registered("op1_token_counts")
+def op1(spark, sf_dir):
+    from blockloom.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@registered("op2_language_id")
+def op2(spark, sf_dir):
+    from blockloom.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
