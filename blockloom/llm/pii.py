@@ -64,8 +64,11 @@ def _luhn(v: Column) -> Column:
 
 def _octets(v: Column) -> Column:
     """Every part at most 255, however many digits it is written with."""
-    return F.forall(F.split(v, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+", "")).between(0, 3)
-                    & (F.coalesce(F.expr("1") * F.substring(F.concat(F.lit("000"), p), -3, 3).cast("int"), F.lit(0)) <= 255))
+    def small(part):
+        bare = F.regexp_replace(part, "^0+", "")
+        return (F.length(bare) <= 3) & (F.concat(F.lit("0"), F.substring(bare, 1, 3)).cast("int") <= 255)
+
+    return F.forall(F.split(v, r"\."), small)
 
 
 KEEP = {
@@ -76,38 +79,44 @@ KEEP = {
 }
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and `base`: array<struct<kind,s,e,v>> by kind as listed, then start."""
-    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def base_spans(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, text, columns in `also`, and `base`: array<struct<kind,s,e,v>> by kind as listed, then start."""
+    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *also)
     # one look for a digit or an @ spares most texts all four patterns
     d = d.withColumn("maybe", F.col("text").rlike("[0-9@]"))
     for kind in PATTERNS:
         has = F.col("maybe") & (F.instr("text", NEEDS[kind]) > 0) if NEEDS[kind] else F.col("maybe")
         d = d.withColumn(f"raw_{kind}", F.when(has, _spans(F.col("text"), kind)).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)")))
-    kept = [F.transform(F.filter(F.col(f"raw_{kind}"), lambda x, k=kind: KEEP[k](x["v"])),
-                        lambda x, k=kind: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"))) for kind in PATTERNS]
-    return d.select("doc_id", "text", F.concat(*kept).alias("base"))
+    kept = [_checked(kind) for kind in PATTERNS]
+    return d.select("doc_id", "text", *also, F.concat(*kept).alias("base"))
+
+
+def _checked(kind: str) -> Column:
+    passing = F.filter(F.col(f"raw_{kind}"), lambda x: KEEP[kind](x["v"]))
+    return F.transform(passing, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """Identifier-like words with the two words before them: doc_id, base_sha256, s, e, v, pattern, seed.
-
-    Only lines of texts that hold such a word are cut into words.  `seed` is true inside a base span.
-    """
+def _lines(found: DataFrame) -> DataFrame:
+    """The lines that hold a digit, with their place in the text."""
     lines = found.where(F.col("text").rlike("[0-9]")).select(
         "doc_id", "text_hash", "base", F.split("text", "\n").alias("lines"))
-    starts = F.expr("""transform(lines, (l, i) -> struct(l AS line, i AS i))""")
+    starts = F.expr("transform(lines, (l, i) -> struct(l AS line, i AS i))")
     one = lines.select("doc_id", "text_hash", "base", "lines", F.explode(F.filter(starts, lambda x: x["line"].rlike("[0-9]"))).alias("x"))
     return one.select("doc_id", "text_hash", "base", F.col("x.line").alias("line"),
                       F.expr("aggregate(slice(lines, 1, x.i), 0, (a, l) -> a + length(l) + 1)").alias("at"))
 
 
 def _words(lines: DataFrame) -> DataFrame:
-    """Each identifier-like word of the lines with its span in the text and its pattern."""
+    """Each identifier-like word of the lines with its span in the text and its pattern; `seed` is true
+    where it overlaps a base span."""
     cut = lines.withColumn("w", F.split("line", " ", -1))
     cut = cut.withColumn("i", F.explode(F.expr("filter(sequence(0, size(w) - 1), i -> w[i] rlike '[0-9]')")))
     bare = F.regexp_replace(F.expr("w[i]"), r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
@@ -123,7 +132,7 @@ def _words(lines: DataFrame) -> DataFrame:
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, text_hash, s, e of words outside base spans that confident patterns and instances mark."""
-    seen = materialise(_words(candidates(found)).dropDuplicates(["doc_id", "text_hash", "s", "e"]))
+    seen = materialise(_words(_lines(found)).dropDuplicates(["doc_id", "text_hash", "s", "e"]))
     known = seen.where("seed").select("v").distinct()
     graph = seen.groupBy("pattern", "v").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     support = seen.groupBy("pattern").agg(F.approx_count_distinct("doc_id", 0.05).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("pattern")
@@ -140,11 +149,10 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_id, base_sha256, spans (text), span_list, text."""
+    """doc_id, text_hash, n_email, n_ip, n_card, n_phone, n_id, base_sha256, spans (text), span_list."""
     found = base_spans(docs).withColumn("text_hash", F.xxhash64("text"))
     extra = bootstrap(found, rounds).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("ids"))
-    kind = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in PATTERNS]
-    base = found.select("doc_id", "text_hash", "base", *kind, F.sha2(joined(F.col("base")), 256).alias("base_sha256"))
+    base = found.select("doc_id", "text_hash", "base", *map(_count, PATTERNS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"))
     left = base.join(extra.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h"),
                      F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     ids = F.transform(F.coalesce("ids", F.expr("cast(array() as array<struct<s:int,e:int>>)")),
@@ -153,3 +161,34 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     out = left.withColumn("span_list", F.concat(plain, ids))
     return out.select("doc_id", "text_hash", *[f"n_{k}" for k in PATTERNS], F.size(F.coalesce("ids", F.expr("cast(array() as array<struct<s:int,e:int>>)"))).cast("long").alias("n_id"),
                       "base_sha256", joined(F.col("span_list")).alias("spans"), "span_list")
+
+
+def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """`docs` with each personal span of `text` replaced by its kind in brackets; a null text stays null.
+
+    Overlapping spans are replaced as one, under the kind of the first.  `n_chars`, where it is a
+    column, follows the new text; all other columns stay.
+    """
+    found = base_spans(docs.select("doc_id", "text")).withColumn("text_hash", F.xxhash64("text"))
+    extra = bootstrap(found, rounds).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("s", "e")).alias("ids")) \\
+        .select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "ids")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    spanned = base_spans(row, "row").withColumn("text_hash", F.xxhash64("text")).join(
+        extra, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")
+    ids = F.transform(F.coalesce("ids", F.expr("cast(array() as array<struct<s:int,e:int>>)")),
+                      lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("ID").alias("kind")))
+    base = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.upper(x["kind"]).alias("kind")))
+    spanned = spanned.withColumn("spans", F.sort_array(F.concat(base, ids)))
+
+    def step(acc, x):
+        fresh = x["s"] >= acc["at"]
+        before = F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"])
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"),
+                        F.when(fresh, F.concat(acc["out"], before, F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.aggregate(
+        "spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))))
+    done = spanned.select("row", F.when(F.col("row.text").isNotNull(), clean).alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("clean").isNotNull(), F.length("clean")).cast("long")}
+    return done.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

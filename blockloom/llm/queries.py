@@ -58,3 +58,24 @@ def op2(spark, sf_dir):
     from blockloom.llm.langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@registered("op9_pii")
+def op9(spark, sf_dir):
+    from blockloom.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_id")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    from blockloom.llm.packing import pack
+
+    return pack(docs, tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@registered("op10_retrieval_packing")
+def op10(spark, sf_dir):
+    return packed(table(spark, sf_dir, "documents"))
