@@ -79,3 +79,10 @@ def packed(docs: DataFrame) -> DataFrame:
 @registered("op10_retrieval_packing")
 def op10(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"))
+
+
+@registered("op6_decontamination")
+def op6(spark, sf_dir):
+    from blockloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

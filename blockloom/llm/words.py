@@ -41,10 +41,36 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _BASE, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+BLOCK = 1 << 17  # bytes hashed at a time
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * BLOCK)
+        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            out = np.full(size, np.uint64(base), np.uint64)
+            out[0] = 1
+            _POWERS[k] = np.multiply.accumulate(out)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each word, from running sums over blocks of whole words."""
+    out = np.empty(len(start), np.uint64)
+    first = 0
+    while first < len(start):
+        low = int(start[first])
+        last = max(first + 1, int(np.searchsorted(end, low + BLOCK, side="right")))
+        high = int(end[last - 1])
+        forth, back = powers(high - low)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE[data[low:high]] * forth, out=sums[1:])
+        s, e = start[first:last] - low, end[first:last] - low
+        out[first:last] = (sums[e] - sums[s]) * back[s]
+        first = last
+    return mix(out + (end - start).astype(np.uint64) * _STEPS[63])
 
 
 class Words:
@@ -63,42 +89,59 @@ class Words:
         closes[:-1] &= ~inside[1:]
         closes[heads[1:] - 1] = inside[heads[1:] - 1]
         self.end = np.flatnonzero(closes) + 1
-        self.text = np.searchsorted(offsets, self.start, side="right") - 1
-        self.counts = np.bincount(self.text, minlength=len(offsets) - 1)
-        if len(self.start):
-            length = self.end - self.start
-            spot = np.flatnonzero(inside)
-            place = np.arange(len(spot)) - np.repeat(np.cumsum(length) - length, length)
-            values = _BYTE[data[spot]] * powers(int(length.max()))[place]
-            self.hash = mix(np.add.reduceat(values, np.cumsum(length) - length) + length.astype(np.uint64) * _STEPS[63])
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        self.counts = np.diff(np.searchsorted(self.start, offsets))
+        self.text = np.repeat(np.arange(len(offsets) - 1), self.counts)
+        self.hash = _hashes(data, self.start, self.end)
+
+    def windows(self, size: int) -> np.ndarray:
+        """The hash of the `size` words from each word on, whether or not they are of one text."""
+        n = len(self.hash) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        total = self.hash[:n] * _STEPS[0]
+        for j in range(1, size):
+            total += self.hash[j: n + j] * _STEPS[j]
+        return mix(total + np.uint64(size))
 
     def shingles(self, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-        """(text, hash) of every window of `size` words in order; a shorter text is one window of all its words."""
+        """(text, hash) of every window of `size` words by text; a shorter text is one window of all its words."""
         n = len(self.hash)
         texts, hashes = [], []
         for k in range(min(size, n), 0, -1):
-            total = np.zeros(n - k + 1, np.uint64)
-            for j in range(k):
-                total += self.hash[j: n - k + 1 + j] * _STEPS[j]
+            if k < size and not (self.counts == k).any():
+                continue
             fits = self.text[: n - k + 1] == self.text[k - 1:]
             if k < size:
                 fits &= self.counts[self.text[: n - k + 1]] == k
             texts.append(self.text[: n - k + 1][fits])
-            hashes.append(mix(total[fits] + np.uint64(k)))
+            hashes.append(self.windows(k)[fits])
         if not texts:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        if len(texts) == 1:
+            return texts[0], hashes[0]
         text, hashed = np.concatenate(texts), np.concatenate(hashes)
         order = np.argsort(text, kind="stable")
         return text[order], hashed[order]
 
 
+def slices(column: pa.Array, size: int = 4 << 20) -> list[tuple[int, int]]:
+    """Row ranges of a column with some `size` bytes of text each, or one longer text."""
+    _, offsets = utf8(column)
+    out, first = [], 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
+        out.append((first, last))
+        first = last
+    return out
+
+
 def distinct_sets(text: np.ndarray, hashed: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of each text, ascending inside a text, and n_texts + 1 offsets."""
-    order = np.lexsort((hashed, text))
-    text, hashed = text[order], hashed[order]
-    keep = np.ones(len(text), bool)
-    keep[1:] = (text[1:] != text[:-1]) | (hashed[1:] != hashed[:-1])
-    text, hashed = text[keep], hashed[keep]
-    return hashed, np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_texts))]).astype(np.int64)
+    first = np.searchsorted(text, np.arange(n_texts + 1))
+    hashed = hashed.copy()
+    for i in range(n_texts):  # `text` is ascending: each one's hashes are sorted where they are
+        hashed[first[i]: first[i + 1]].sort()
+    keep = np.ones(len(hashed), bool)
+    keep[1:] = (hashed[1:] != hashed[:-1]) | (text[1:] != text[:-1])
+    counts = np.bincount(text[keep], minlength=n_texts) if len(text) else np.zeros(n_texts, np.int64)
+    return hashed[keep], np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
