@@ -136,14 +136,25 @@ class Items:
         window, column = np.nonzero(np.unpackbits(mask, axis=1, count=len(at)))
         item = at[column]
         close = distance(prints[window], self.print[item]) <= RADIUS
-        for k, i in zip(window[close], item[close]):
-            hashes, weight = np.unique(every[start[k]: start[k] + span], return_counts=True)
+        window, item = window[close], item[close]
+        for i in np.unique(item):
+            bag = self.bags[int(self.number[i])][0]
+            own = window[item == i]
+            inside = every[start[own][:, None] + np.arange(span)[None, :]]
+            at_bag = np.searchsorted(bag, inside)
+            at_bag[at_bag == len(bag)] = 0
+            enough = (bag[at_bag] == inside).sum(axis=1) * 100 >= SIMILARITY * span  # bounds what they can share
+            self._compare(w, every, start[own[enough]], span, i, best)
+
+    def _compare(self, w, every, starts, span, i, best) -> None:
+        for k in starts:
+            hashes, weight = np.unique(every[k: k + span], return_counts=True)
             other, other_weight = self.bags[int(self.number[i])]
             _, a, b = np.intersect1d(hashes, other, assume_unique=True, return_indices=True)
             shared = int(np.minimum(weight[a], other_weight[b]).sum())
             union = int(weight.sum() + other_weight.sum() - shared)
             if shared * 100 >= SIMILARITY * union:
-                key = (int(w.text[start[k]]), int(self.number[i]))
+                key = (int(w.text[k]), int(self.number[i]))
                 best[key] = max(best.get(key, 0.0), shared / union)
 
 
