@@ -86,3 +86,10 @@ def op6(spark, sf_dir):
     from blockloom.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@registered("op7_jaccard_join")
+def op7(spark, sf_dir):
+    from blockloom.llm.jaccard import similar
+
+    return similar(table(spark, sf_dir, "documents"))
