@@ -9,8 +9,8 @@ Each differing shingle changes one part, so of more non-empty parts than that bo
     its band also takes part in the next.  It gives out as many parts as its bound plus one, those
     first that a bounded sample doesn't show to be frequent.  A document with too few non-empty
     parts also gives out single shingles, by which any two such documents meet.
-2.  Documents that share a part meet.  Sizes and a 512-bit sketch with one bit a shingle - its Hamming
-    distance never exceeds the sets' difference - discard most pairs.  Groups with the same members
+2.  Documents that share a part meet.  Sizes and sketches in which each shingle flips one bit - their
+    Hamming distance never exceeds the sets' difference - discard most pairs.  Groups with the same members
     are compared once; large ones in blocks against blocks, so no task holds a whole group.
 3.  The rest is verified on the shingle sets themselves, again in blocks, and only between documents
     that aren't connected yet: what comes out is links enough for the same components.
@@ -37,13 +37,12 @@ from blockloom.session import materialise, prepare
 SIMILARITY = 75            # percent
 SAMPLE_DOCS = 20_000       # documents in the sample that shows frequent parts: it steers order, not results
 FREQUENT = 3               # of them that share a part
-SKETCH = 512               # bits
-FINE_SKETCH = 4096         # bits, where sets are at hand
+COARSE = 2                 # bits of a sketch for each shingle
+FINE = 16                  # the same, where sets are at hand
 BLOCK_MEMBERS = 400        # of a group in one block
 BLOCK_SHINGLES = 1_000_000 # of a component in one block
 FILTER_BITS = 24           # log2 of the bits of the filter for documents whose sets are needed again
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-POPCOUNT8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def bound(a, b):
@@ -55,13 +54,16 @@ def linked(shared, a, b):
     return 100 * shared >= SIMILARITY * (a + b - shared)
 
 
-def sketches(hashes: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
-    """A row of `bits` parity bits, packed, for each set."""
-    n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    spot = (hashes * _B) >> np.uint64(64 - bits.bit_length() + 1)
-    parity = np.bincount(row * bits + spot.astype(np.int64), minlength=n * bits) & 1
-    return np.packbits(parity.astype(np.uint8).reshape(n, bits), axis=1)
+def width(n: int, per: int) -> int:
+    """Bits of the sketch of a set of n: a power of two, at least `per` * n and 512."""
+    return max(512, 1 << (per * n - 1).bit_length())
+
+
+def sketch_of(own: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bits of a set in 64-bit words; half as many bits are the XOR of the two halves."""
+    spot = ((own * _B) >> np.uint64(20)).astype(np.int64) & (bits - 1)
+    parity = (np.bincount(spot, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(parity, bitorder="little").view(np.uint64)
 
 
 def _salt(n: int) -> np.uint64:
@@ -126,7 +128,7 @@ def _give_out(docs: DataFrame, frequent) -> DataFrame:
             for first, last in slices(batch.column(1)):
                 hashes, offsets = _sets(batch.column(1).slice(first, last - first))
                 sid, other = _identity(hashes, offsets)
-                sketch = sketches(hashes, offsets, SKETCH)
+                sketch = [sketch_of(own, width(len(own), COARSE)).tobytes() for own in np.split(hashes, offsets[1:-1])]
                 ids = batch.column(0).slice(first, last - first).to_pylist()
                 keys, owners, seen = [], [], set()
                 for i in range(len(ids)):
@@ -135,7 +137,7 @@ def _give_out(docs: DataFrame, frequent) -> DataFrame:
                         seen.add(mark)
                         keys.append(keys_of(own, frequent.value))
                         owners.append(np.full(len(keys[-1]), sid[i], np.uint64))
-                docs_out = [struct.pack("<?qqq", d is not None, d or 0, int(offsets[i + 1] - offsets[i]), int(other[i].astype(np.int64))) + sketch[i].tobytes() for i, d in enumerate(ids)]
+                docs_out = [struct.pack("<?qqq", d is not None, d or 0, int(offsets[i + 1] - offsets[i]), int(other[i].astype(np.int64))) + sketch[i] for i, d in enumerate(ids)]
                 k = np.concatenate([*keys, mix(sid + _B)]).view(np.int64)
                 o = np.concatenate([*owners, sid]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(o), pa.array([None] * (len(k) - len(ids)) + docs_out, pa.binary())], ["key", "sid", "doc"])
@@ -281,18 +283,35 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(change), table.num_rows)
 
 
-def _close(n: np.ndarray, sketch: np.ndarray, block: np.ndarray, b1: int, b2: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, others, distance) for members i < others that sizes and sketches allow; across blocks where there are two."""
-    for i in range(len(n) - 1):
-        other = np.arange(i + 1, len(n))
-        fits = (n[other] * SIMILARITY <= n[i] * 100) & (n[i] * SIMILARITY <= n[other] * 100)
+def _close(n: np.ndarray, sketch: list[np.ndarray], block: np.ndarray, b1: int, b2: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, others, distance) for the pairs that sizes and sketches allow; across blocks where there are two.
+
+    Partners of a set are no smaller than it, so their sketches are folded to its width.
+    """
+    order = np.argsort(n, kind="stable")
+    size = n[order]
+    upto = np.searchsorted(size, size * 100 // SIMILARITY, side="right")
+    words = np.array([len(sketch[k]) for k in order])
+    matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for i in range(len(order) - 1):
+        if upto[i] <= i + 1:
+            continue
+        w = int(words[i])
+        if w not in matrices:
+            at = np.flatnonzero((words == w) | (words == 2 * w))
+            rows = [sketch[order[k]] if words[k] == w else sketch[order[k]][:w] ^ sketch[order[k]][w:] for k in at]
+            place = np.full(len(order), -1)
+            place[at] = np.arange(len(at))
+            matrices[w] = np.stack(rows), place
+        rows, place = matrices[w]
+        other = np.arange(i + 1, upto[i])
         if b1 != b2:
-            fits &= block[other] != block[i]
-        other = other[fits]
+            other = other[block[order[other]] != block[order[i]]]
         if len(other):
-            far = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            near = far <= bound(n[other] + n[i], 0)
-            yield i, other[near], far[near]
+            far = np.bitwise_count(rows[place[other]] ^ rows[place[i]]).sum(axis=1, dtype=np.int64)
+            near = far <= bound(size[other] + size[i], 0)
+            if near.any():
+                yield int(order[i]), order[other[near]], far[near]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,13 +320,14 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _runs(batches, keys):
         starts = _starts(table, keys)
         rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
+        sketch = table.column("sketch")
         block, b1, b2 = (table.column(c).to_numpy() for c in ("_block", "b1", "b2"))
         out = []
         for s, e in zip(starts[:-1], starts[1:]):
             if e - s < 2:
                 continue
-            for i, others, _ in _close(n[s:e], sketch[s:e], block[s:e], b1[s], b2[s]):
+            own = [np.frombuffer(x.as_py(), np.uint64) for x in sketch.slice(s, e - s)]
+            for i, others, _ in _close(n[s:e], own, block[s:e], b1[s], b2[s]):
                 a = int(rep[s + i])
                 for b in rep[s + others].tolist():
                     if forest.join(a, b):
@@ -331,9 +351,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             own = [np.frombuffer(x.as_py(), np.uint64) for x in raw.slice(s, e - s)]
             n = np.array([len(x) for x in own])
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            sketch = np.concatenate([sketches(np.concatenate(own[k: k + 256]), offsets[k: k + 257] - offsets[k], FINE_SKETCH) for k in range(0, e - s, 256)]).view(np.uint64)
-            pairs = [(np.full(len(o), i), o, d) for i, o, d in _close(n, sketch, block[s:e], b1[s], b2[s]) if len(o)]
+            sketch = [sketch_of(x, width(len(x), FINE)) for x in own]
+            pairs = [(np.full(len(o), i), o, d) for i, o, d in _close(n, sketch, block[s:e], b1[s], b2[s])]
             if not pairs:
                 continue
             left, right, far = (np.concatenate(x) for x in zip(*pairs))
@@ -400,7 +419,7 @@ def similar(docs: DataFrame) -> DataFrame:
     near = coarse.join(named, F.col("node") == F.col("rep")).select("component", "rep", "sid", "n")
     weight = near.groupBy("component").agg(F.sum("n").alias("weight"))
     sets = _needed_sets(docs, near.select("rep").distinct())
-    held = near.join(weight, "component").join(sets.dropDuplicates(["doc_id", "sid"]).withColumnRenamed("sid", "s"), (F.col("rep") == F.col("doc_id")) & (F.col("sid") == F.col("s")))
+    held = near.join(weight, "component").join(sets.withColumnRenamed("sid", "s"), (F.col("rep") == F.col("doc_id")) & (F.col("sid") == F.col("s")))
     blocks = _blocks(held.select("component", "weight", "rep", "sid", "set"), F.col("weight"), BLOCK_SHINGLES) \
         .repartition("component", "b1", "b2").sortWithinPartitions("component", "b1", "b2", "rep", "sid")
     found = components(blocks.mapInArrow(_verified, "a long, b long"))
