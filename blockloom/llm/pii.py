@@ -170,7 +170,7 @@ def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     column, follows the new text; all other columns stay.
     """
     found = base_spans(docs.select("doc_id", "text")).withColumn("text_hash", F.xxhash64("text"))
-    extra = bootstrap(found, rounds).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("s", "e")).alias("ids")) \\
+    extra = bootstrap(found, rounds).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("s", "e")).alias("ids")) \
         .select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "ids")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     spanned = base_spans(row, "row").withColumn("text_hash", F.xxhash64("text")).join(

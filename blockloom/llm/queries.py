@@ -93,3 +93,10 @@ def op7(spark, sf_dir):
     from blockloom.llm.jaccard import similar
 
     return similar(table(spark, sf_dir, "documents"))
+
+
+@registered("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
