@@ -100,3 +100,10 @@ def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@registered("op8_html_extraction")
+def op8(spark, sf_dir):
+    from blockloom.llm.extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
