@@ -107,3 +107,10 @@ def op8(spark, sf_dir):
     from blockloom.llm.extract import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@registered("op4_lm_scoring")
+def op4(spark, sf_dir):
+    from blockloom.llm.lm_score import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
