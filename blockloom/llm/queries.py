@@ -114,3 +114,10 @@ def op4(spark, sf_dir):
     from blockloom.llm.lm_score import lm_scores
 
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+@registered("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    from blockloom.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
