@@ -120,35 +120,42 @@ ACTIVATION_HEIGHTS.update(
 )
 
 # --- Fixed values: protocol addresses that hash as a role token ------------------------------
-ROLE_ADDRESSES = {
-    "BURN": (
-        "1XChainBurnAddressXXXXXXXXXbRsd2N", "mxchainburnaddressXXXXXXXXXXa8EAfp",
-        "LXChainBurnAddressXXXXXXXXXXSkrYkJ", "DChainBurnAddressXXXXXXXXXXXawc9pt",
-        "nchainburnaddressXXXXXXXXXXXYKgF7W", "mvs8WdppEhzQLxfcYwrr1eoKA2nUFi55ff",
-    ),
-    "GAS": (
-        "1XChain3M4uRwcHqt4XuhVBUQ8cL4qQsA", "mgassdEpzH2AuKGK9W5FZh8drWYKrpXk6D",
-        "mgash6jYSKAR3Q5HPpDgNX2BYr18q9N6GQ", "LXChainCN6yjHVqqS9tYzYVYZ8CCZcSx72",
-        "mgashLN9oSvj2CUJYKWdNxh6VkamPg1Ges", "mgas5QYE38Bg34hwEjFKaE7Gs536FARue4",
-        "DGasfpttCnTijuuoAdiJ9sXJjG7vQ5pMkW", "ngasn6zHFzJ72zpk3DBKmXhD2XtszujSDW",
-        "mgasDTdKu5DsbW97qSRnE8raAuYpKMfmhg",
-    ),
-    "DONATE1": (
-        "1Donate1GERVKPW6GFQcnGeTa8dgL6Abyp", "mfztXKX1HeVdCQf6pDCZFEzo5i5wYNHAM6",
-        "muYHF9MMnK6Nmd5zx7EBtqEYZdaf2Xy8JX", "Ldonate18tNZcVThKm5MX33EjvhaanJ6Mg",
-        "mybp5CceJvVV5tNCCiF7oBiZWko2fNkmnT", "mgNY2ZXbnNEkRT5ZRF8yGamivrSX2QH97h",
-        "DDonate1RBcwGnCRNnVtwuCmQyWW1Gn25f", "ndonate1dE87UXUFf4gjyhPg7hfQRJXVXr",
-        "mzdg8wGxgP3Jk45FuZPspumCL3Ruup37ob",
-    ),
-    "DONATE2": (
-        "1Donate2LkbBrsanwCVRPWZCXAqQcvcqGz", "myBbbZ4t7BPoyNcT4sHtFwZDuiyYGDXLQM",
-        "mkQd27aJSqsQ666z1Q4MLFmd3Ybqzy3TNw", "Ldonate2io846q2e7q8dUArh3TNnaq9ENb",
-        "muKEjejjXQvLY7Lp7Ecpn29gM2TCb5BLTF", "n2DLJPppXUi8jC6fLiSkthZi2sc9UKiZHd",
-        "DDonate2o3Sg4phybp92oFpkmv8S9ZhGSV", "ndonate2wev8vKDgvd1DHhtJtvkRbn2usJ",
-        "mmXU8RU7q3BUsyT66rtw1H6P7B2ZZd9c5Y",
-    ),
-    "REWARD": (
-        "1rewardsZAyeuLeFJKoAepYiNN5N6uSzn", "mrewards4RQFYoZ5yEv4xr12PzfjDYViks",
-        "mrewardshQqD1ptkEBZGjPDF77L5uKJQmk", "XXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXX",
-    ),
+ADDRESS_ROLES = {
+    "1XChainBurnAddressXXXXXXXXXbRsd2N": "BURN",
+    "mxchainburnaddressXXXXXXXXXXa8EAfp": "BURN",
+    "LXChainBurnAddressXXXXXXXXXXSkrYkJ": "BURN",
+    "DChainBurnAddressXXXXXXXXXXXawc9pt": "BURN",
+    "nchainburnaddressXXXXXXXXXXXYKgF7W": "BURN",
+    "mvs8WdppEhzQLxfcYwrr1eoKA2nUFi55ff": "BURN",
+    "1XChain3M4uRwcHqt4XuhVBUQ8cL4qQsA": "GAS",
+    "mgassdEpzH2AuKGK9W5FZh8drWYKrpXk6D": "GAS",
+    "mgash6jYSKAR3Q5HPpDgNX2BYr18q9N6GQ": "GAS",
+    "LXChainCN6yjHVqqS9tYzYVYZ8CCZcSx72": "GAS",
+    "mgashLN9oSvj2CUJYKWdNxh6VkamPg1Ges": "GAS",
+    "mgas5QYE38Bg34hwEjFKaE7Gs536FARue4": "GAS",
+    "DGasfpttCnTijuuoAdiJ9sXJjG7vQ5pMkW": "GAS",
+    "ngasn6zHFzJ72zpk3DBKmXhD2XtszujSDW": "GAS",
+    "mgasDTdKu5DsbW97qSRnE8raAuYpKMfmhg": "GAS",
+    "1Donate1GERVKPW6GFQcnGeTa8dgL6Abyp": "DONATE1",
+    "mfztXKX1HeVdCQf6pDCZFEzo5i5wYNHAM6": "DONATE1",
+    "muYHF9MMnK6Nmd5zx7EBtqEYZdaf2Xy8JX": "DONATE1",
+    "Ldonate18tNZcVThKm5MX33EjvhaanJ6Mg": "DONATE1",
+    "mybp5CceJvVV5tNCCiF7oBiZWko2fNkmnT": "DONATE1",
+    "mgNY2ZXbnNEkRT5ZRF8yGamivrSX2QH97h": "DONATE1",
+    "DDonate1RBcwGnCRNnVtwuCmQyWW1Gn25f": "DONATE1",
+    "ndonate1dE87UXUFf4gjyhPg7hfQRJXVXr": "DONATE1",
+    "mzdg8wGxgP3Jk45FuZPspumCL3Ruup37ob": "DONATE1",
+    "1Donate2LkbBrsanwCVRPWZCXAqQcvcqGz": "DONATE2",
+    "myBbbZ4t7BPoyNcT4sHtFwZDuiyYGDXLQM": "DONATE2",
+    "mkQd27aJSqsQ666z1Q4MLFmd3Ybqzy3TNw": "DONATE2",
+    "Ldonate2io846q2e7q8dUArh3TNnaq9ENb": "DONATE2",
+    "muKEjejjXQvLY7Lp7Ecpn29gM2TCb5BLTF": "DONATE2",
+    "n2DLJPppXUi8jC6fLiSkthZi2sc9UKiZHd": "DONATE2",
+    "DDonate2o3Sg4phybp92oFpkmv8S9ZhGSV": "DONATE2",
+    "ndonate2wev8vKDgvd1DHhtJtvkRbn2usJ": "DONATE2",
+    "mmXU8RU7q3BUsyT66rtw1H6P7B2ZZd9c5Y": "DONATE2",
+    "1rewardsZAyeuLeFJKoAepYiNN5N6uSzn": "REWARD",
+    "mrewards4RQFYoZ5yEv4xr12PzfjDYViks": "REWARD",
+    "mrewardshQqD1ptkEBZGjPDF77L5uKJQmk": "REWARD",
+    "XXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXX": "REWARD",
 }

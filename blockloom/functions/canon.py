@@ -186,8 +186,8 @@ def encode_binary_json(df):
     return df.select(json_row(*shown).alias("row_json"))
 
 
-def decode_binary_json(df, schema, column: str = "row_json"):
-    """Inverse of `encode_binary_json` for a known schema."""
+def decode_binary_json(df, schema, column: str = "row_json", also: list = ()):
+    """Inverse of `encode_binary_json` for a known schema; `also` are columns of `df` to keep."""
     from pyspark.sql import types as T
 
     wire = T.StructType([
@@ -195,12 +195,12 @@ def decode_binary_json(df, schema, column: str = "row_json"):
                       if f.dataType.typeName() == "binary" else f.dataType)
         for f in schema.fields
     ])
-    parsed = df.select(F.from_json(column, wire).alias("r"))
+    parsed = df.select(F.from_json(column, wire).alias("r"), *also)
     return parsed.select(*[
         (F.unbase64(F.col(f"r.`{f.name}`.__xbin__")) if f.dataType.typeName() == "binary"
          else F.col(f"r.`{f.name}`")).alias(f.name)
         for f in schema.fields
-    ])
+    ], *parsed.columns[1:])
 
 
 def checkpoint_text(with_commitment: Column, with_header: Column) -> Column:

@@ -85,6 +85,22 @@ def settle(df: DataFrame, prefix: str) -> DataFrame:
     return _carried(marked, prefix, [f"cast({v} * {sign} as {_WIDE})" for v in plain]).drop(f"{prefix}_short")
 
 
+def exceeds(left: str, times_left: int, right: str, times_right: int) -> Column:
+    """Whether times_left * left > times_right * right, exactly, for settled non-negative limbs."""
+    d = [f"cast(cast({a} as decimal(30,0)) * {times_left} - cast({b} as decimal(30,0)) * {times_right} as {_WIDE})"
+         for a, b in zip(limb_names(left), limb_names(right))]
+    step = f"named_struct('c', {_floor_div('(x + a.c)')}, 'rest', a.rest or pmod(x + a.c, {_BASE}) <> 0)"
+    low = f"aggregate(array({', '.join(d[:-1])}), named_struct('c', cast(0 as {_WIDE}), 'rest', false), (a, x) -> {step})"
+    return F.expr(f"{d[-1]} + ({low}).c > 0 or ({d[-1]} + ({low}).c = 0 and ({low}).rest)")
+
+
+def sortable(amount: Column) -> Column:
+    """Non-negative decimal text padded to one width, so that text order is the order of the numbers."""
+    body = F.ltrim(F.trim(amount.cast("string")), F.lit("+-"))
+    fraction = F.when(body.contains("."), F.substring_index(body, ".", -1)).otherwise("")
+    return F.concat(F.lpad(F.substring_index(body, ".", 1), LIMB_DIGITS * INTEGER_LIMBS, "0"), F.lit("."), F.rpad(fraction, SCALE, "0"))
+
+
 def is_nonzero(prefix: str) -> Column:
     return F.expr("(" + " or ".join(f"{n} <> 0" for n in limb_names(prefix)) + ")")
 

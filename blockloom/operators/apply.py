@@ -12,21 +12,36 @@ from blockloom.operators import changes, scan
 
 
 # ---- write modes -------------------------------------------------------------------------------
+HEIGHT = "__height"  # of the block an incoming row came with, where a batch spans several
+
+
+def last_per_key(incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Of several incoming rows with one key the one of the highest block; of one block, the greatest row."""
+    rest = [c for c in incoming.columns if c not in (*keys, HEIGHT)]
+    if not rest:
+        return incoming.select(*keys).distinct()
+    height = F.col(HEIGHT) if HEIGHT in incoming.columns else F.lit(0)
+    last = incoming.groupBy(*keys).agg(F.max(F.struct(height.alias("h"), *rest)).alias("__r"))
+    picked = {c: F.col(f"__r.{c}").alias(c) for c in rest} | {k: F.col(k) for k in keys}
+    return last.select(*[picked[c] for c in incoming.columns if c != HEIGHT])
+
+
 def insert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    incoming = incoming.drop(HEIGHT)
     return existing.unionByName(incoming, allowMissingColumns=True)
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Existing keys win; of several incoming rows with one key the smallest row lands."""
-    rest = [c for c in incoming.columns if c not in keys]
+    rest = [c for c in incoming.columns if c not in (*keys, HEIGHT)]
     first = incoming.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(
         *keys, *[F.col(f"__r.{c}").alias(c) for c in rest]) if rest else incoming.select(*keys).distinct()
     return insert(existing, first.join(existing.select(*keys), keys, "left_anti"))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows replace existing ones of the same key, all columns."""
-    return insert(existing.join(incoming.select(*keys), keys, "left_anti"), incoming)
+    """Incoming rows replace existing ones of the same key, all columns; the last incoming one lands."""
+    return insert(existing.join(incoming.select(*keys), keys, "left_anti"), last_per_key(incoming, keys))
 
 
 def replace_by_key(existing: DataFrame, incoming: DataFrame, key: str, surrogate: str = "id") -> DataFrame:
@@ -104,9 +119,9 @@ def apply_changes(tables: dict[str, DataFrame], data: dict[str, DataFrame], upda
     re-deriving the gate and rebuilding the balances the new ledger rows touch."""
     nxt = dict(tables)
     for name, rows in data.items():
-        nxt[name] = land(name, nxt[name], rows) if name in nxt else rows
+        nxt[name] = land(name, nxt[name], rows) if name in nxt else rows.drop(HEIGHT)
     for name, rows in updated.items():
-        nxt[name] = upsert(nxt[name], rows, ["action_index"]) if name in nxt else rows
+        nxt[name] = upsert(nxt[name], rows, ["action_index"]) if name in nxt else rows.drop(HEIGHT)
     if window and {"validator_rewards", "anchor_reward_reconcile_log"} <= set(nxt):
         nxt["validator_rewards"] = mirror_delete(nxt["validator_rewards"], nxt["anchor_reward_reconcile_log"], *window)
     moved = (set(data) | set(updated)) & set(reg.ESCROW_TRIGGER_TABLES)
@@ -121,6 +136,31 @@ def apply_changes(tables: dict[str, DataFrame], data: dict[str, DataFrame], upda
     return nxt
 
 
+def touched_buckets(table: str, existing: DataFrame, nxt: DataFrame, incoming: list[tuple[DataFrame, list[str] | None]],
+                    width: int) -> DataFrame:
+    """Height buckets in which a table differs after an apply: a `bucket` row each, null for rows without height.
+
+    `incoming`: landed rows, with the key by which they replaced existing rows (None for inserts).  Both
+    the landed rows' buckets and those of the rows they replaced count; a table that rows were deleted
+    from is compared with what it was.
+    """
+    bucket = F.floor(F.col("block_index") / width).cast("bigint").alias("bucket")
+    found = existing.limit(0).select(bucket)
+    for rows, keys in incoming:
+        found = found.unionByName(rows.select(bucket))
+        if keys:
+            found = found.unionByName(existing.join(rows.select(*keys), keys, "left_semi").select(bucket))
+    if table == "validator_rewards":
+        shared = [c for c in existing.columns if c in nxt.columns]
+        found = found.unionByName(existing.select(*shared).exceptAll(nxt.select(*shared)).select(bucket))
+    return found.distinct()
+
+
+def replace_keys(table: str) -> list[str] | None:
+    mode = reg.write_mode(table)
+    return KEYS[table] if mode == "upsert" else [reg.NATURAL_KEYS[table]] if mode == "replace" else None
+
+
 # ---- snapshots ---------------------------------------------------------------------------------
 def incremental_snapshot(tables: dict[str, DataFrame], since: int, tip: int, delay: int | None, gas_tick: str,
                          statuses: DataFrame, skip_lookups: bool = False) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:

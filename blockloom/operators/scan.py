@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.fixed_values import LOG_PAGE_MAX, PAGE_DEFAULT, PAGE_MAX, ROLE_ADDRESSES
+from blockloom.fixed_values import LOG_PAGE_MAX, PAGE_DEFAULT, PAGE_MAX, ADDRESS_ROLES
 
 
 # ---- windows -----------------------------------------------------------------------------------
@@ -110,7 +110,7 @@ def resolve(df: DataFrame, lookup: DataFrame, id_col: str, text_col: str, out: s
 
 def canonical_role(address: Column) -> Column:
     """Protocol address -> role token; other addresses and NULL unchanged."""
-    pairs = [F.lit(x) for role, known in ROLE_ADDRESSES.items() for a in known for x in (a, role)]
+    pairs = [F.lit(x) for pair in ADDRESS_ROLES.items() for x in pair]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), address), address)
 
 
@@ -172,8 +172,9 @@ def event_reason(kind: Column, block_index: Column, block_height: Column) -> Col
 def merge_side_channel(base: DataFrame, extra: DataFrame, identity: list[str]) -> DataFrame:
     """Every base row stays, keyless duplicates included; an extra row joins only when its
     identity is in neither the base nor an earlier extra (rows of one identity are equal)."""
-    fresh = extra.dropDuplicates(identity).join(
-        base.select(*identity).distinct(), identity, "left_anti")
+    held = base.select(*[F.col(c).alias(f"__held_{c}") for c in identity]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"__held_{c}")) for c in identity]  # NULL is one value here
+    fresh = extra.dropDuplicates(identity).join(held, same, "left_anti")
     return base.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.fixed_values import STAKE_MAX_KEYS_PER_SOURCE, STAKE_MAX_SOURCES
+from blockloom.functions import decimals
 from blockloom.operators.scan import bad_weight, status_id_rows
 
 WEIGHT = "decimal(30,8)"
@@ -89,29 +90,31 @@ def cap_rows(weights: DataFrame, limit: int) -> DataFrame:
 
 
 def stake_quorum(members: DataFrame, signers: DataFrame, group: list[str]) -> DataFrame:
-    """Stake-weighted verdict per group: 3 x signing stake > 2 x total stake, each source once.
+    """Stake-weighted verdict per group: 3 x signing stake > 2 x total stake, each source once, exactly.
 
-    `members`: group, pubkey, source, weight, truncated.  `signers`: group, pubkey.  Any bad entry
-    or a truncated set voids its group.  Members are reduced to one row per source before the
-    group is summed, so a group with very many keys pre-aggregates.
+    `members`: group, pubkey, source, weight, truncated.  `signers`: group, pubkey.  Any bad entry,
+    a weight that isn't plain decimal text of at most 54 whole and 18 fraction digits, or a
+    truncated set voids its group.  Members are reduced to one row per source before the group is
+    summed, so a group with very many keys pre-aggregates.  Stakes come out as exact decimal text.
     """
+    plain = F.coalesce(F.trim(F.col("weight").cast("string")).rlike(decimals.AMOUNT_PATTERN), F.lit(False))
     keyed = members.withColumns({
         "__pk": F.lower(F.col("pubkey").cast("string")),
-        "__bad": bad_weight(F.col("source"), F.col("weight")) | F.coalesce(F.col("truncated"), F.lit(False)),
+        "__bad": bad_weight(F.col("source"), F.col("weight")) | ~plain | F.coalesce(F.col("truncated"), F.lit(False)),
     })
     signed = signers.select(*group, F.lower(F.col("pubkey").cast("string")).alias("__pk")).distinct()
     marked = keyed.join(signed.withColumn("__signed", F.lit(True)), [*group, "__pk"], "left")
-    weight = F.when(~F.col("__bad"), F.col("weight")).try_cast("decimal(38,8)")
+    weight = F.when(~F.col("__bad"), decimals.sortable(F.col("weight")))
     per_source = marked.groupBy(*group, "source").agg(
         F.max(weight).alias("w"), F.bool_or(F.col("__signed").isNotNull()).alias("signed"),
         F.bool_or("__bad").alias("bad"))
-    totals = per_source.groupBy(*group).agg(
-        F.sum("w").alias("total_stake"), F.sum(F.when(F.col("signed"), F.col("w"))).alias("signed_stake"),
-        F.bool_or("bad").alias("bad"))
-    signed_stake = F.coalesce("signed_stake", F.lit(0).cast("decimal(38,8)"))
-    passed = ~F.col("bad") & (F.col("total_stake") > 0) & (signed_stake * 3 > F.col("total_stake") * 2)
-    return totals.select(*group, "total_stake", signed_stake.alias("signed_stake"),
-                         F.coalesce(passed, F.lit(False)).alias("meets_quorum"))
+    both = decimals.with_limbs(per_source.withColumn("v", F.when(F.col("signed"), F.col("w"))), "w", "__t")
+    both = decimals.with_limbs(both, "v", "__s")
+    totals = both.groupBy(*group).agg(*decimals.limb_sums("__t"), *decimals.limb_sums("__s"), F.bool_or("bad").alias("bad"))
+    settled = decimals.settle(decimals.settle(totals, "__t"), "__s")
+    passed = ~F.col("bad") & decimals.is_nonzero("__t") & decimals.exceeds("__s", 3, "__t", 2)
+    return settled.select(*group, decimals.minimal_text("__t").alias("total_stake"), decimals.minimal_text("__s").alias("signed_stake"),
+                          F.coalesce(passed, F.lit(False)).alias("meets_quorum"))
 
 
 def count_threshold(n: Column) -> Column:

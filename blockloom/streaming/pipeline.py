@@ -7,6 +7,8 @@ verified, and a repeated batch is recognised by its heights.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from blockloom.fixed_values import BLOCKS_PER_POLL
 from blockloom.operators import integrity, scan
-from blockloom.operators.apply import apply_changes
+from blockloom.operators.apply import HEIGHT, apply_changes, replace_keys, touched_buckets
 from blockloom.session import prepare
-from blockloom.sources.versions import latest_version, manifest, read_table, write_version
+from blockloom.sources.versions import WHOLE, latest_version, manifest, read_table, write_version
 
 VERDICTS = "at timestamp, kind string, block_index bigint, detail string"
 
@@ -25,6 +27,10 @@ class Halted(RuntimeError):
     """An uncleared halt forbids further applies."""
 
 
+class NeedsCatchUp(RuntimeError):
+    """The batch does not follow the committed tip: a gap before or in it, or another block at a known height."""
+
+
 def verdicts(spark: SparkSession, root: str) -> DataFrame:
     try:
         return spark.read.schema(VERDICTS).parquet(f"{root}/verdicts")
@@ -61,7 +67,30 @@ def decode_payload(batch: DataFrame, schemas: dict[str, object], channel: str) -
     from blockloom.functions.canon import decode_binary_json
 
     rows = batch.where(F.col("channel") == channel)
-    return {t: decode_binary_json(rows.where(F.col("table") == t), s) for t, s in schemas.items()}
+    height = [F.col("block_index").alias(HEIGHT)] if "block_index" in batch.columns else []
+    return {t: decode_binary_json(rows.where(F.col("table") == t), s, also=height) for t, s in schemas.items()}
+
+
+def check_continuity(spark: SparkSession, root: str, batch: DataFrame, blocks: DataFrame) -> None:
+    """Record a verdict and raise where a batch shows another block at a known height, or leaves a gap.
+
+    A block of a known height must carry the committed hashes; new heights must follow the tip one by one.
+    """
+    fields = [c for c in ("ledger_hash", "actions_hash", "contract_hash", "block_hash") if c in blocks.columns]
+    shown = decode_payload(batch.where(F.col("table") == "blocks"), {"blocks": blocks.schema}, "data")["blocks"]
+    if fields:
+        known = blocks.select("block_index", *[F.col(c).alias(f"__{c}") for c in fields])
+        differs = [~F.col(c).eqNullSafe(F.col(f"__{c}")) & F.col(c).isNotNull() for c in fields]
+        fork = shown.join(known, "block_index").where(reduce(or_, differs)).agg(F.min("block_index")).first()[0]
+        if fork is not None:
+            record_verdict(spark, root, "fork", fork, f"block {fork} differs from the committed one")
+            raise NeedsCatchUp(f"fork at {fork}")
+    tip = blocks.agg(F.max("block_index")).first()[0]
+    new = batch.where(F.col("block_index") > tip) if tip is not None else batch
+    low, high, n = new.agg(F.min("block_index"), F.max("block_index"), F.countDistinct("block_index")).first()
+    if low is not None and ((tip is not None and low != tip + 1) or n != high - low + 1):
+        record_verdict(spark, root, "gap", low, f"tip {tip}, batch {low} to {high} with {n} heights")
+        raise NeedsCatchUp(f"gap after {tip}")
 
 
 def apply_batch(spark: SparkSession, root: str, batch: DataFrame, bucket_width: int | None = None,
@@ -69,7 +98,8 @@ def apply_batch(spark: SparkSession, root: str, batch: DataFrame, bucket_width:
     """Apply one payload batch on the newest version and publish the next; returns its number.
 
     `batch`: block_index, table, channel, row_json, and schema_version when that is checked.
-    Heights already applied are skipped, so replaying a batch is harmless.  With `verify` the new
+    Heights already applied are skipped, so replaying a batch is harmless; a different block at such a
+    height, or a gap, is recorded and raises `NeedsCatchUp`, with nothing published.  With `verify` the new
     heights' hashes are recomputed from the landed rows before anything is published; a
     difference is recorded as a halt.
     """
@@ -80,6 +110,7 @@ def apply_batch(spark: SparkSession, root: str, batch: DataFrame, bucket_width:
     tables = load_tables(spark, root)
     if schema_version is not None:
         batch = scan.schema_gate(batch, schema_version)
+    check_continuity(spark, root, batch, tables["blocks"])
     fresh = scan.skip_applied(batch, tables["blocks"])
     if fresh.isEmpty():
         return None
@@ -100,8 +131,13 @@ def apply_batch(spark: SparkSession, root: str, batch: DataFrame, bucket_width:
     changed = {t: nxt[t] for t in nxt if nxt[t] is not tables.get(t)}
     touched = None
     if bucket_width:
-        buckets = list(range(low // bucket_width, high // bucket_width + 1))
-        touched = {t: buckets for t in changed if "block_index" in changed[t].columns and (t, "updated") not in present}
+        touched = {}
+        for t in changed:
+            if t in tables and "block_index" in tables[t].columns:
+                landed = [(data[t], replace_keys(t))] if t in data else []
+                landed += [(updated[t], ["action_index"])] if t in updated else []
+                rows = touched_buckets(t, tables[t], nxt[t], landed, bucket_width).collect()  # one row per part
+                touched[t] = [WHOLE if r.bucket is None else r.bucket for r in rows]
     return write_version(spark, root, changed, high, bucket_width, touched)
 
 
