@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockloom.llm.components import components
+from blockloom.llm.idfilter import filter_of, passes
 from blockloom.llm.words import Words, distinct_sets, mix, slices, utf8
 from blockloom.session import materialise, prepare
 
@@ -41,7 +42,6 @@ COARSE = 2                 # bits of a sketch for each shingle
 FINE = 16                  # the same, where sets are at hand
 BLOCK_MEMBERS = 400        # of a group in one block
 BLOCK_SHINGLES = 1_000_000 # of a component in one block
-FILTER_BITS = 24           # log2 of the bits of the filter for documents whose sets are needed again
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -369,37 +369,19 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the ids of documents whose sets are needed again: 2 bits for each."""
-    bit = F.explode(F.array(*[F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(1 << FILTER_BITS)) for salt in (1, 2)]))
-    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
-    got = words.toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[got.column("word").to_numpy()] = got.column("mask").to_numpy()
-    return out
-
-
 def _needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, sid, set of the documents in `wanted` (and a few others, which the join after this drops)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_filter_of(wanted))
-    marks = [F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << FILTER_BITS)).alias(f"m{salt}") for salt in (1, 2)]
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(wanted, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            keep = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for c in (2, 3):
-                m = batch.column(c).to_numpy()
-                keep = keep & ((bits[m >> 6] >> (m & 63)) & 1).astype(bool)
-            kept = batch.filter(pa.array(keep))
-            for first, last in slices(kept.column(1)):
-                hashes, offsets = _sets(kept.column(1).slice(first, last - first))
+            for first, last in slices(batch.column(1)):
+                hashes, offsets = _sets(batch.column(1).slice(first, last - first))
                 sid, _ = _identity(hashes, offsets)
-                yield pa.RecordBatch.from_arrays([kept.column(0).slice(first, last - first), pa.array(sid.view(np.int64)),
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sid.view(np.int64)),
                                                   pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], ["doc_id", "sid", "set"])
 
-    return docs.select("doc_id", "text", *marks).mapInArrow(run, "doc_id long, sid long, set binary")
+    return docs.where(F.col("doc_id").isNotNull() & passes(shared, F.col("doc_id"))).mapInArrow(run, "doc_id long, sid long, set binary")
 
 
 def similar(docs: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.llm.idfilter import filter_of, passes
 from blockloom.llm.words import _BYTE, mix, powers, slices, utf8
 from blockloom.session import materialise, prepare
 
@@ -36,6 +37,7 @@ HEAD = 50
 CHUNK = 1 << 19     # string starts looked at together
 SLICE_DOCS = 800
 _PLACE = np.uint64((1 << 24) - 1)
+REPEATS, OPEN, KNOWN = 0, 1, 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -111,8 +113,9 @@ def _suffixes(docs: DataFrame, length: int, head: int) -> DataFrame:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From a sorted bucket: (id, low, high, repeats) - true for suffixes whose coverage repeats, false for
-    one suffix of each coverage that has yet to be compared with others of its head."""
+    """From a sorted bucket: (id, low, high, kind).  REPEATS: a suffix whose coverage repeats.  OPEN: the only one
+    of its coverage, yet to be compared with others of its head; KNOWN: one that the OPEN ones are compared with,
+    of a coverage that repeats."""
     names = ["key", "cover", "id", "low", "high"]
     rest, opening = None, True
     for batch in batches:
@@ -155,8 +158,8 @@ def _compared(rows: list[np.ndarray], opening: bool, closing: bool) -> Iterator[
         passed |= head[first] == head[-1]
     repeats = np.flatnonzero(size[group] > 1)
     at = np.concatenate([repeats, first[passed]])
-    flag = np.concatenate([np.ones(len(repeats), bool), np.zeros(int(passed.sum()), bool)])
-    yield pa.RecordBatch.from_arrays([pa.array(ident[at]), pa.array(low[at]), pa.array(high[at]), pa.array(flag)], ["id", "low", "high", "repeats"])
+    kind = np.concatenate([np.full(len(repeats), REPEATS, np.int8), np.where(size[passed] > 1, KNOWN, OPEN).astype(np.int8)])
+    yield pa.RecordBatch.from_arrays([pa.array(ident[at]), pa.array(low[at]), pa.array(high[at]), pa.array(kind)], ["id", "low", "high", "kind"])
 
 
 def _strings(length: int):
@@ -165,7 +168,7 @@ def _strings(length: int):
         prints, ids, starts = [], [], []
         if wanted.num_rows:
             order = np.argsort(wanted.column("id").to_numpy(), kind="stable")
-            ident, low, high = (wanted.column(c).to_numpy()[order] for c in ("id", "low", "high"))
+            ident, low, high, kind = (wanted.column(c).to_numpy()[order] for c in ("id", "low", "high", "kind"))
             texts = docs.column("text")
             for k, doc in enumerate(docs.column("id").to_pylist()):
                 a, b = np.searchsorted(ident, doc), np.searchsorted(ident, doc, side="right")
@@ -175,7 +178,8 @@ def _strings(length: int):
                 for c in range(a, b):
                     own = Sums(data[low[c]: high[c] + length])
                     prints.append(own.every(length))
-                    starts.append(np.arange(low[c], high[c] + 1))
+                    place = np.arange(low[c], high[c] + 1)
+                    starts.append(place if kind[c] == OPEN else -1 - place)  # negative: only to compare with
                     ids.append(np.full(len(starts[-1]), doc))
         none = np.zeros(0, np.int64)
         return pa.table({"string": pa.array(np.concatenate(prints).view(np.int64) if prints else none), "id": pa.array(np.concatenate(ids) if ids else none),
@@ -185,7 +189,8 @@ def _strings(length: int):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, low, high) of the string starts whose string some other row of the sorted partition has too."""
+    """(id, low, high) of the string starts whose string some other row of the sorted partition has too, but
+    for negative ones, of which that is known."""
     last: list | None = None  # the row before, and whether it is given out already
     for batch in batches:
         if not batch.num_rows:
@@ -197,9 +202,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extra_id, extra_low = ident[:0], low[:0]
         if last is not None and last[0] == string[0]:
             same[0] = True
-            if not last[3]:
+            if not last[3] and last[2] >= 0:
                 extra_id, extra_low = np.array([last[1]], ident.dtype), np.array([last[2]], low.dtype)
-        at = np.flatnonzero(same)
+        at = np.flatnonzero(same & (low >= 0))
         out_id, out_low = np.concatenate([extra_id, ident[at]]), np.concatenate([extra_low, low[at]])
         last = [string[-1], ident[-1], low[-1], bool(same[-1])]
         yield pa.RecordBatch.from_arrays([pa.array(out_id), pa.array(out_low), pa.array(out_low)], ["id", "low", "high"])
@@ -242,12 +247,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -> D
     docs = docs.withColumn("id", F.xxhash64("doc_id", "text"))
     order = ["key", "cover", "id", "low"]
     suffixes = _suffixes(docs, length, head).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = materialise(suffixes.mapInArrow(_neighbours, "id long, low int, high int, repeats boolean"))
+    found = materialise(suffixes.mapInArrow(_neighbours, "id long, low int, high int, kind tinyint"))
     slice_of = F.pmod("id", F.lit(n_slices))
-    dealt = docs.withColumn("slice", slice_of)
-    open_ones = found.where(~F.col("repeats")).withColumn("slice", slice_of)
+    # documents without any such suffix stay as they are and need not be dealt
+    concerned = passes(docs.sparkSession.sparkContext.broadcast(filter_of(found.select("id").distinct(), "id")), F.col("id"))
+    dealt = docs.where(concerned).withColumn("slice", slice_of)
+    open_ones = found.where(F.col("kind") != REPEATS).withColumn("slice", slice_of)
     strings = dealt.groupBy("slice").cogroup(open_ones.groupBy("slice")).applyInArrow(_strings(length), "string long, id long, low int")
     late = strings.repartition("string").sortWithinPartitions("string", "id", "low").mapInArrow(_repeated, "id long, low int, high int")
-    marks = found.where("repeats").select("id", "low", "high").unionByName(late).withColumn("slice", slice_of)
-    return dealt.groupBy("slice").cogroup(marks.groupBy("slice")).applyInArrow(
+    marks = found.where(F.col("kind") == REPEATS).select("id", "low", "high").unionByName(late).withColumn("slice", slice_of)
+    changed = dealt.groupBy("slice").cogroup(marks.groupBy("slice")).applyInArrow(
         _cleaned(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    raw = F.col("text").cast("binary")
+    return changed.unionByName(docs.where(~concerned).select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+        F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), raw.alias("kept")))
