@@ -404,7 +404,10 @@ def similar(docs: DataFrame) -> DataFrame:
     held = near.join(weight, "component").join(sets.withColumnRenamed("sid", "s"), (F.col("rep") == F.col("doc_id")) & (F.col("sid") == F.col("s")))
     blocks = _blocks(held.select("component", "weight", "rep", "sid", "set"), F.col("weight"), BLOCK_SHINGLES) \
         .repartition("component", "b1", "b2").sortWithinPartitions("component", "b1", "b2", "rep", "sid")
-    found = components(blocks.mapInArrow(_verified, "a long, b long"))
+    several = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("doc_id")
+    one_id = rows.join(several, "doc_id", "left_semi").join(classes.select("sid", "other", "rep"), ["sid", "other"]) \
+        .select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = components(blocks.mapInArrow(_verified, "a long, b long").unionByName(one_id))
     named_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("sid").alias("s"), F.col("other").alias("o"), F.col("rep"), F.coalesce("component", "rep").alias("c"))
     whole = rows.where("n > 0").join(named_class, (F.col("sid") == F.col("s")) & (F.col("other") == F.col("o"))).select(
