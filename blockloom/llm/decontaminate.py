@@ -29,7 +29,7 @@ from blockloom.llm.words import SHINGLE, Words, mix, slices, utf8
 SIMILARITY = 75     # percent
 RADIUS = 24         # of 64 bits: at similarity 0.75 some 11 differ, deviation 3
 BLOCKS = 4
-SLICE = 5_000       # items in one pass
+SLICE = 1_000       # items in one pass
 SHIFTS = np.arange(64, dtype=np.uint64)
 POPCOUNT16 = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 

@@ -24,6 +24,7 @@ ORDER = 4
 DISCOUNT = 0.75
 DOCS_PER_LANGUAGE = 1500  # bound of the fitting sample, drawn by a hash of doc_id
 LANGUAGES = 500           # the most frequent labels are learned
+COUNTED_AT_ONCE = 1 << 20  # n-grams a task holds while it counts
 CALIBRATION = 5           # one sampled row in so many measures the rejection line and isn't counted
 REJECT_SIGMAS = 8.0
 REJECT_SLACK = 0.7        # nats per character on top
@@ -214,10 +215,16 @@ def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                found = [grams(c) for c in map(codes, texts) if len(c)]
-                if found:
-                    gram, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": n.astype(np.int64)})
+                found: list[np.ndarray] = []
+                held = 0
+                for k, c in enumerate(map(codes, texts)):
+                    if len(c):
+                        found.append(grams(c))
+                        held += len(found[-1])
+                    if found and (held > COUNTED_AT_ONCE or k == len(texts) - 1):
+                        gram, n = np.unique(np.concatenate(found), return_counts=True)
+                        found, held = [], 0
+                        yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": n.astype(np.int64)})
 
     counts = drawn.where(F.col("part") != 0).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     model = Model.fit(counts.toPandas())

@@ -15,6 +15,7 @@ a null doc_id stays null; other columns are not looked at.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import deque
@@ -32,7 +33,7 @@ END = 1
 POOL = 192          # documents in one index
 QUERY_TERMS = 32    # of a seed document, its rarest ones in the pool
 K1, B = 1.2, 0.75
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 120_000
 SHAPE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _UNEVEN = re.compile(r"\s\s")
@@ -47,13 +48,13 @@ class Ids:
     """
 
     def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        if self.whole.get_vocab_size() > 1 << 16:
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        self.special = [t["content"] for t in given["added_tokens"]]
+        if len(given["model"]["vocab"]) + len(self.special) > 1 << 16:
             raise ValueError("ids beyond 16 bits are not supported")
-        self.fast = None
+        del given
+        self.path, self.loaded, self.fast = path, None, None
         if ranks_path:
             import tiktoken
 
@@ -62,17 +63,22 @@ class Ids:
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> list[int]:
+        if self.loaded is None:  # with ranks at hand it is rarely needed
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.path)
+        return self.loaded.encode(text, add_special_tokens=False).ids
+
     def _encode(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text) if self.fast else self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, np.uint16).tobytes()
+        return np.array(self.fast.encode_ordinary(text) if self.fast else self._whole(text), np.uint16).tobytes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The ids of a text with the end id after them."""
         if not text:
             return np.array([END], np.uint16)
         if any(s in text for s in self.special):
-            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
-            return np.append(ids, np.uint16(END))
+            return np.append(np.array(self._whole(text), np.uint16), np.uint16(END))
         if _UNEVEN.search(text):
             return np.append(np.frombuffer(self._encode(text), np.uint16), np.uint16(END))
         chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]

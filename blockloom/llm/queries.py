@@ -17,10 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ready(spark: SparkSession) -> None:
+    """Session settings of these queries: small Arrow batches, as rows are whole texts."""
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def registered(name: str, sql: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            prepare(spark)
+            ready(spark)
             return build(spark, sf_dir)
 
         QUERIES[name] = run

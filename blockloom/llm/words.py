@@ -124,7 +124,7 @@ class Words:
         return text[order], hashed[order]
 
 
-def slices(column: pa.Array, size: int = 4 << 20) -> list[tuple[int, int]]:
+def slices(column: pa.Array, size: int = 2 << 20) -> list[tuple[int, int]]:
     """Row ranges of a column with some `size` bytes of text each, or one longer text."""
     _, offsets = utf8(column)
     out, first = [], 0

@@ -10,37 +10,37 @@ from blockloom.llm.decontaminate import remove_contaminated
 from blockloom.llm.jaccard import keep_one
 from blockloom.llm.langid import keep_identified
 from blockloom.llm.pii import redact
-from blockloom.llm.queries import packed, table
-from blockloom.session import ensure_checkpoint_dir, prepare
+from blockloom.llm.queries import packed, ready, table
+from blockloom.session import ensure_checkpoint_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models, fitted on these documents, don't reject."""
-    prepare(spark)
+    ready(spark)
     return keep_identified(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    prepare(spark)
+    ready(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    prepare(spark)
+    ready(spark)
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in them replaced by its kind."""
-    prepare(spark)
+    ready(spark)
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of the packed sequences."""
-    prepare(spark)
+    ready(spark)
     return packed(docs)
 
 
