@@ -69,13 +69,12 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size("words").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.filter("words", lambda w: w.isin(COMMON + [c.capitalize() for c in COMMON])).alias("known"),
         F.expr(f"""CASE WHEN size(words) < 3 THEN array() ELSE sort_array(transform(sequence(0, size(words) - 3),
             i -> (shiftleft(shiftright(xxhash64(words[i], words[i + 1], words[i + 2]), {PLACE_BITS}), {PLACE_BITS}) + i))) END""").alias("packed"))
     d = d.select(
         "doc_id", "lang", "words", "n_words", "word_chars", "n_dup_lines", "packed",
         class_counts(F.col("rest"), F.col("word_chars")).alias("classes"),
-        _common_counts(F.col("known")).alias("common"))
+        _common_counts(F.col("words")).alias("common"))
     d = d.withColumn("n_symbols", F.col("classes")[CLASSES.index("symbol")])
     # neighbours that agree give both positions
     d = d.withColumn("near", F.expr(f"""CASE WHEN size(packed) < 2 THEN array() ELSE flatten(transform(
@@ -96,9 +95,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         _common_counts(F.col("words")).alias("common"))
 
 
-def _common_counts(known: Column) -> Column:
-    """How often each common word occurs among the words that are common ones."""
-    joined = F.lower(F.concat(F.lit(" "), F.array_join(known, "  "), F.lit(" ")))
+def _common_counts(words: Column) -> Column:
+    """How often each common word occurs, in whatever case."""
+    joined = F.lower(F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")))
     return F.array(*[((F.length(joined) - F.length(F.replace(joined, F.lit(f" {w} "), F.lit("")))) / F.lit(len(w) + 2)).cast("long") for w in COMMON])
 
 
@@ -128,7 +127,8 @@ def js_distance(left: Column, right: Column) -> Column:
         return F.when(p > 0, p * F.log2(p * 2 / (p + q)) / 2).otherwise(0.0)
 
     terms = F.zip_with(left, right, lambda p, q: part(p, q) + part(q, p))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+    total = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0))))  # rounding may go below 0
 
 
 def quality(docs: DataFrame) -> DataFrame:

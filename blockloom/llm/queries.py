@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.llm import oracles
 from blockloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +38,7 @@ def registered(name: str, sql: str | None = None):
     return register
 
 
-@registered("op5_quality_rules")
+@registered("op5_quality_rules", oracles.QUALITY)
 def op5(spark, sf_dir):
     from blockloom.llm.quality import quality
 
@@ -94,7 +95,7 @@ def op6(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@registered("op7_jaccard_join")
+@registered("op7_jaccard_join", oracles.JACCARD)
 def op7(spark, sf_dir):
     from blockloom.llm.jaccard import similar
 
@@ -115,11 +116,11 @@ def op8(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
 
 
-@registered("op4_lm_scoring")
+@registered("op4_lm_scoring", oracles.LM_SCORES)
 def op4(spark, sf_dir):
     from blockloom.llm.lm_score import lm_scores
 
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
 @registered("op3_suffix_dedup")
