@@ -117,7 +117,9 @@ def merkle_roots(leaves: DataFrame, group: list[str]) -> DataFrame:
     """(group, root, leaf_count) over leaves with positions."""
     nodes = tree_nodes(leaves, group, all_levels=False)
     top = nodes.where("level = height").select(*group, F.col("hash").alias("root"))
-    return top.join(leaves.groupBy(*group).agg(F.count("*").alias("leaf_count")), group)
+    counted = leaves.groupBy(*group).agg(F.count("*").alias("leaf_count")).join(top, group, "left")
+    too_many = F.raise_error(F.lit(f"a group has more than 2^{FAN_BITS * ROUNDS} leaves"))
+    return counted.select(*group, F.coalesce("root", too_many.cast("string")).alias("root"), "leaf_count")
 
 
 def block_merkle_roots(tables: dict[str, DataFrame], blocks: DataFrame, state_key_binary: bool = True) -> DataFrame:

@@ -327,9 +327,9 @@ def reachable_nodes(nodes: DataFrame, roots: DataFrame, max_levels: int = SMT_DE
         step = edges.join(frontier, "node_hash", "left_semi").select(F.col("child").alias("node_hash")).distinct()
         frontier = materialise(step.join(stored, "node_hash", "left_semi").join(seen, "node_hash", "left_anti"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+    raise ValueError(f"nodes deeper than {max_levels} levels: not a tree of this depth")
 
 
 def orphan_stats(nodes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -119,12 +119,10 @@ class ForkGuard(StatefulProcessor):
         return self.recent.getValue((height,))[0] if self.recent.containsKey((height,)) else None
 
     def _fork(self, start: int, shown: dict[int, str]) -> int:
-        while start - 1 >= 1:
-            before, now = self._hash_at(start - 1), shown.get(start - 1)
-            if before is None or now is None or now == before:
-                break
-            start -= 1
-        return start
+        """One above the highest earlier height that doesn't differ: agreed, unrecorded, not shown, or below 1."""
+        heights = range(max(0, start - self.cap - 1), start)
+        recorded = {h: self._hash_at(h) for h in heights}
+        return 1 + max((h for h in heights if h < 1 or recorded[h] is None or shown.get(h) in (None, recorded[h])), default=start - 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         polls: dict[int, dict[int, str]] = {}
@@ -187,6 +185,9 @@ class Agreement(StatefulProcessor):
         self.decided.update((verdict,))
         agreeing = sum(1 for h in reports.values() if h == chosen)
         against = ",".join(str(s) for s, h in sorted(reports.items()) if verdict == "apply" and h != chosen)
+        if verdict != "hold":  # nothing more is decided for this height
+            self.reports.clear()
+            self.first.clear()
         return (int(key[0]), verdict, chosen, agreeing, against)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
