@@ -36,6 +36,7 @@ LENGTH = 200
 HEAD = 50
 CHUNK = 1 << 19     # string starts looked at together
 SLICE_DOCS = 800
+HELD = 500_000      # suffixes with one head that a task holds
 _PLACE = np.uint64((1 << 24) - 1)
 REPEATS, OPEN, KNOWN = 0, 1, 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -130,11 +131,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _compared([r[:cut] for r in rows], opening, False)
             opening = False
             rest = [r[cut:] for r in rows]
-        elif len(rows[0]) > 500_000:
+        elif len(rows[0]) > HELD:
             # one head fills it all: what is known is given out, and the last coverage stays
             last = int(np.searchsorted(rows[1], rows[1][-1], side="left")) if rows[1][0] != rows[1][-1] else len(rows[1]) - 2
             yield from _compared([r[:last] for r in rows], True, True)
-            rest = [r[last:] for r in rows]
+            rest, opening = [r[last:] for r in rows], True
         else:
             rest = rows
     if rest is not None:

@@ -341,3 +341,27 @@ def test_minimum_cut_is_least():
         cost = lambda side: sum(c for u, v, c in edges if u in side and v not in side)
         got = extract.source_side([dict(x) for x in capacity], n, n + 1)
         assert cost(got) == min(cost({n} | {i for i in range(n) if m >> i & 1}) for m in range(1 << n))
+
+
+@pytest.mark.parametrize("held", [30, 500_000])
+def test_neighbours_in_small_batches(monkeypatch, held):
+    """Every repeated string is known or passed on, however a bucket is cut into batches."""
+    monkeypatch.setattr(substrings, "HELD", held)
+    rng = random.Random(8)
+    parts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(5, 60))) for _ in range(9)]
+    raw = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 8))).encode() for _ in range(80)]
+    raw += [raw[0][3:] + b"zz"] * 90
+    length, head = 20, 5
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    text, low, high, key, cover = substrings.sampled(np.frombuffer(b"".join(raw), np.uint8), offsets, length, head)
+    order = np.lexsort((low, text, cover.view(np.int64), key.view(np.int64)))
+    bucket = pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (key.view(np.int64), cover.view(np.int64), text, low.astype(np.int32), high.astype(np.int32))], ["key", "cover", "id", "low", "high"])
+    found = pa.Table.from_batches(list(substrings._neighbours(bucket.slice(i, 17) for i in range(0, bucket.num_rows, 17)))).to_pandas()
+    known = found[found.kind == substrings.REPEATS]
+    passed = found[found.kind != substrings.REPEATS]
+    docs = pa.table({"id": np.arange(len(raw)), "text": [r.decode() for r in raw]})
+    strings = substrings._strings(length)(None, docs, pa.Table.from_pandas(passed, preserve_index=False)).to_pandas().sort_values(["string", "id", "low"])
+    late = pa.Table.from_batches(list(substrings._repeated(iter(pa.Table.from_pandas(strings, preserve_index=False).to_batches(13))))).to_pandas()
+    got = {(i, s) for f in (known, late) for i, a, b in f[["id", "low", "high"]].to_numpy() for s in range(a, b + 1)}
+    seen = collections.Counter(r[s: s + length] for r in raw for s in range(len(r) - length + 1))
+    assert got == {(i, s) for i, r in enumerate(raw) for s in range(len(r) - length + 1) if seen[r[s: s + length]] > 1}
