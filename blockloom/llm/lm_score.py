@@ -58,6 +58,21 @@ def _histories(w: Words, order: int) -> list[np.ndarray]:
     return out
 
 
+def packed(ascending: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as the first one and steps of as few bytes as the largest needs."""
+    steps = np.diff(ascending, prepend=ascending[:1])
+    size = max(1, -(-int(steps.max()).bit_length() // 8))
+    return bytes([size]) + ascending[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    size, first = raw[0], np.frombuffer(raw, "<u8", 1, 1)
+    steps = np.frombuffer(raw, np.uint8, -1, 9).reshape(-1, size)
+    wide = np.zeros((len(steps), 8), np.uint8)
+    wide[:, :size] = steps
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + first
+
+
 def _text(table: pa.Table, name: str) -> pa.Array:
     column = table.column(name).combine_chunks()
     return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
@@ -86,15 +101,16 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         ends = np.append(cuts[1:], len(grams))
         return pa.table({"slice": pa.array([key[0].as_py()] * len(cuts), pa.int64()), "part": pa.array(at[cuts]),
-                         "grams": pa.array([grams[a:b].view(np.int64) for a, b in zip(cuts, ends)], pa.list_(pa.int64())),
+                         "grams": pa.array([packed(grams[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
                          "n": pa.array([n[a:b] for a, b in zip(cuts, ends)], pa.list_(pa.int64()))})
 
     def total(key: tuple, table: pa.Table) -> pa.Table:
         grams, n = (_text(table, c) for c in ("grams", "n"))
-        every, inverse = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+        lists = [unpacked(raw) for raw in grams.to_pylist()]
+        every, inverse = np.unique(np.concatenate(lists), return_inverse=True)
         sums = np.zeros(len(every), np.int64)
         np.add.at(sums, inverse, n.flatten().to_numpy())
-        ends = np.cumsum(grams.value_lengths().to_numpy())
+        ends = np.cumsum([len(x) for x in lists])
         answer = [sums[x] for x in np.split(inverse, ends[:-1])]
         return pa.table({"slice": table.column("slice"), "part": table.column("part"), "totals": pa.array(answer, pa.list_(pa.int64()))})
 
@@ -129,6 +145,6 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
                          "n_seen": pa.array(np.bincount(w.text[seen], minlength=own.num_rows).astype(np.int64)),
                          "score": pa.array(logs / np.maximum(w.counts, 1), mask=w.counts == 0)})
 
-    asking = dealt.groupBy("slice").applyInArrow(ask, "slice long, part long, grams array<long>, n array<long>")
+    asking = dealt.groupBy("slice").applyInArrow(ask, "slice long, part long, grams binary, n array<long>")
     answers = asking.groupBy("part").applyInArrow(total, "slice long, part long, totals array<long>")
     return dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, "doc_id long, n_words long, n_seen long, score double")
