@@ -1,12 +1,12 @@
 """Packing of documents into training windows by lexical retrieval.
 
-Documents are range-partitioned by language and a hash, so that every shard has documents of one
-kind and any language spreads over as many shards as it needs.  A shard streams: texts are turned
-into token ids, whole windows are cut off long documents, and the rest waits in a pool.  A full pool
-gets an inverted index with BM25 weights; each window starts with the oldest waiting document, then
-takes its best-ranked unused neighbours that fit, and is closed with the first part of the best
-one that doesn't.  What is left of a pool moves on to the next.  Only the tail of a shard is no
-whole window: it is cut at powers of two.
+Documents are range-partitioned by language, content and a hash, so that a shard has documents that
+belong together and any language or topic spreads over as many shards as it needs (`shards.py`).
+Texts are turned into token ids, whole windows are cut off long documents, and the rest waits.  What
+waits, up to the tokens that a task can hold, gets one inverted index with BM25 weights over all
+terms; each window starts with the oldest waiting document, then takes its best-ranked unused
+neighbours that fit, and is closed with the first part of the best one that doesn't.  What is left
+moves on to the next index.  Only the tail of a partition is no whole window: it is cut at powers of two.
 
 A null text counts as empty: one piece with just the end id.  Rows repeat as they come (each is packed);
 a null doc_id stays null; other columns are not looked at.
@@ -28,10 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.llm.shards import placed
+
 WINDOW = 2048
 END = 1
-POOL = 192          # documents in one index
-QUERY_TERMS = 32    # of a seed document, its rarest ones in the pool
+SHARD_TOKENS = 1 << 24  # of waiting documents in one index: what a task can hold
+WIDE = 8                # terms in more than one document of so many lie open in the index
+HELD = 64               # tokens that a waiting document counts for at least
 K1, B = 1.2, 0.75
 CACHED_CHUNKS = 120_000
 SHAPE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -102,34 +105,66 @@ def _ids(path: str, ranks_path: str | None, pattern: str | None) -> Ids:
 
 
 class Index:
-    """BM25 over a pool's documents, as postings sorted by term."""
+    """BM25 over a shard's documents, as postings sorted by term; used documents leave the postings.
+
+    Scores add up every term that a seed shares with a document.  Weights are those of the whole
+    shard, whatever has been used since.
+    """
 
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
-        doc = np.repeat(np.arange(n, dtype=np.int64), [len(d) for d in docs])
-        pairs, tf = np.unique(np.concatenate(docs).astype(np.int64) << 20 | doc, return_counts=True)
-        self.term, self.doc = pairs >> 20, pairs & 0xFFFFF
+        found = [np.unique(d, return_counts=True) for d in docs]
+        self.own = [terms for terms, _ in found]
+        term = np.concatenate(self.own)
+        tf = np.concatenate([count for _, count in found]).astype(np.float32)
+        del found
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in self.own])
         length = np.array([len(d) for d in docs], float)
-        norm = K1 * (1 - B + B * length / length.mean())
-        self.terms, self.first, df = np.unique(self.term, return_index=True, return_counts=True)
-        self.df = df
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.n = n
-        order = np.argsort(self.doc, kind="stable")  # each document's postings, to read its terms
-        self.own = np.split(np.repeat(np.arange(len(self.terms)), df)[order], np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
+        norm = (K1 * (1 - B + B * length / length.mean())).astype(np.float32)
+        tf = tf * np.float32(K1 + 1) / (tf + norm[self.doc])
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = self.doc[order], tf[order]
+        df = np.bincount(term, minlength=1 << 16)
+        del order, term, tf
+        self.weight *= np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), df)
+        self.alive = np.arange(n)  # the documents that still are in the postings
+        self._lay_out(df)
+
+    def _lay_out(self, df: np.ndarray) -> None:
+        """Where each term's postings are; those of terms in many documents lie open, as whole rows."""
+        self.first = np.concatenate([[0], np.cumsum(df)])
+        wide = np.flatnonzero(df * WIDE > max(len(self.alive), 64))
+        self.row = dict(zip(wide.tolist(), range(len(wide))))
+        self.rows = np.zeros((len(wide), len(self.alive)), np.float32)
+        for t, k in self.row.items():
+            at = slice(self.first[t], self.first[t + 1])
+            self.rows[k, self.doc[at]] = self.weight[at]
+
+    def drop(self, unused: np.ndarray) -> None:
+        """Leave used documents out of the postings, once they are a quarter of them."""
+        keep = unused[self.alive]
+        if keep.sum() * 4 > len(self.alive) * 3:
+            return
+        at = keep[self.doc]
+        df = np.bincount(np.repeat(np.arange(1 << 16), np.diff(self.first))[at], minlength=1 << 16)
+        self.doc, self.weight = (np.cumsum(keep, dtype=np.int32) - 1)[self.doc[at]].astype(np.int32), self.weight[at]
+        self.alive = self.alive[keep]
+        self._lay_out(df)
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Of each document in `alive`, over all terms it shares with the seed."""
+        score = np.zeros(len(self.alive), np.float32)
+        for t in self.own[seed].tolist():
+            if (k := self.row.get(t)) is not None:
+                score += self.rows[k]
+            else:
+                at = slice(self.first[t], self.first[t + 1])
+                score[self.doc[at]] += self.weight[at]
+        return score
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """All documents of the pool, best first; ties in the pool's order."""
-        own = self.own[seed]
-        shared = own[self.df[own] > 1]
-        if len(shared) > QUERY_TERMS:
-            shared = shared[np.argsort(self.df[shared], kind="stable")[:QUERY_TERMS]]
-        score = np.zeros(self.n)
-        for t in shared:
-            at = slice(self.first[t], self.first[t] + self.df[t])
-            score[self.doc[at]] += self.weight[at]
-        return np.argsort(-score, kind="stable")
+        """All documents in the postings, best first; ties in the shard's order."""
+        return self.alive[np.argsort(-self.scores(seed), kind="stable")]
 
 
 class Packer:
@@ -138,6 +173,7 @@ class Packer:
     def __init__(self, shard: int):
         self.next_id = shard << 40
         self.pool: deque = deque()  # (doc_id, ids, start): what is left of each document
+        self.held = 0               # tokens in the pool
         self.rows: list[tuple] = []
 
     def _piece(self, doc, ids, start, length, offset):
@@ -152,7 +188,8 @@ class Packer:
             start += WINDOW
         if start < len(ids):
             self.pool.append((doc, ids, start))
-            if len(self.pool) >= POOL:
+            self.held += max(len(ids) - start, HELD)
+            if self.held >= SHARD_TOKENS:
                 self.fill()
 
     def fill(self) -> None:
@@ -165,24 +202,30 @@ class Packer:
         while total >= WINDOW:
             while not left[seed]:
                 seed += 1
-            ranked = index.neighbours(seed)
-            ranked = ranked[(left[ranked] > 0) & (ranked != seed)]
-            room, offset, take = WINDOW, 0, seed
+            index.drop(left > 0)
+            alive, score = index.alive, index.scores(seed)
+            size = left[alive]
+            score[size == 0] = -1
+            room, offset, take, at = WINDOW, 0, seed, int(np.searchsorted(alive, seed))
             while True:
                 doc, ids, _ = waiting[take]
                 length = int(min(left[take], room))
                 self._piece(doc, ids, int(start[take]), length, offset)
                 start[take] += length
                 left[take] -= length
+                score[at] = -1
                 room, offset = room - length, offset + length
                 if not room:
                     break
-                ranked = ranked[left[ranked] > 0]
-                fits = ranked[left[ranked] <= room]
-                take = int(fits[0]) if len(fits) else int(ranked[0])
+                fits = np.where(size <= room, score, np.float32(-1))
+                at = int(np.argmax(fits))
+                if fits[at] < 0:
+                    at = int(np.argmax(score))
+                take = int(alive[at])
             self.next_id += 1
             total -= WINDOW
         self.pool = deque((doc, ids, int(start[i])) for i, (doc, ids, _) in enumerate(waiting) if left[i])
+        self.held = sum(max(len(ids) - s, HELD) for _, ids, s in self.pool)
 
     def finish(self) -> None:
         """The tail: sequences of a power of two each."""
@@ -214,10 +257,11 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pa
     `ranks_path` with `pattern` may name the same vocabulary as ranks, for a faster encoder with the
     same ids.  `shard_by` are columns that documents of a window should share.
     """
-    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"k{i}") for i, c in enumerate(shard_by) if c in docs.columns]
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keys)
-    d = d.withColumn("h", F.xxhash64("doc_id", "text"))
-    by = [*[f"k{i}" for i in range(len(keys))], "h", "doc_id"]
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in shard_by if c in docs.columns]
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                    F.concat_ws("\x1f", *keys).alias("kind"))
+    d = placed(d, SHARD_TOKENS).withColumn("h", F.xxhash64("doc_id", "text"))
+    by = ["kind", "place", "twin", "h", "doc_id"]
     # one order of rows whichever way blocks arrive, so that a repeated task gives the same pieces
     d = d.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
 

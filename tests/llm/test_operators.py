@@ -315,6 +315,54 @@ def test_bm25_ranks_shared_rare_terms_first():
     assert packing.Index(docs).neighbours(0)[:2].tolist() == [0, 2]
 
 
+def test_bm25_scores_all_shared_terms_over_a_whole_shard():
+    rng = np.random.default_rng(2)
+    docs = [np.minimum(rng.geometric(0.01, rng.integers(60, 300)), 900).astype(np.uint16) for _ in range(400)]
+    index = packing.Index(docs)
+    bags = [collections.Counter(d.tolist()) for d in docs]
+    df = collections.Counter(t for b in bags for t in b)
+    mean = sum(map(len, docs)) / len(docs)
+
+    def bm25(a, b):
+        return sum(math.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for t in a if t in b)
+
+    want = np.array([bm25(bags[7], b) for b in bags])
+    assert np.allclose(index.scores(7), want, rtol=1e-4)
+    unused = rng.random(len(docs)) < 0.4
+    index.drop(unused)
+    assert index.alive.tolist() == np.flatnonzero(unused).tolist() and np.allclose(index.scores(7), want[unused], rtol=1e-4)
+
+
+def test_packing_finds_neighbours_across_a_whole_shard():
+    """Twins that lie hundreds of documents apart share a window."""
+    rng = np.random.default_rng(6)
+    texts = [np.append(rng.integers(10, 60_000, 1000), 1).astype(np.uint16) for _ in range(500)]
+    packer = packing.Packer(0)
+    for i in range(1000):
+        packer.add(i, texts[i % 500])
+    packer.finish()
+    windows = collections.defaultdict(set)
+    for doc, *_, sequence, _offset in packer.rows:
+        windows[sequence].add(doc % 500 if doc >= 500 else doc + 1000)
+    together = sum(any(i in w and i + 1000 in w for w in windows.values()) for i in range(500))
+    assert together >= 450
+
+
+def test_places_bring_documents_of_a_topic_together():
+    from blockloom.llm import shards
+
+    rng = random.Random(9)
+    topics = [[f"w{k}x{j}" for j in range(60)] for k in range(4)]
+    texts = [" ".join(rng.choice(topics[i % 4]) if rng.random() < 0.5 else f"common{rng.randrange(40)}" for _ in range(80)) for i in range(400)]
+    found = list(shards.bags(pa.array([*texts, "", None])))
+    assert len(found) == 402 and len(found[400]) == len(found[401]) == 0
+    places = shards.Places(["en"] * 400, found[:400], {"en": 8})
+    got = [places.place("en", b)[0] for b in found[:400]]
+    most = sum(max(collections.Counter(i % 4 for i in range(400) if got[i] == p).values()) for p in set(got))
+    assert most >= 380 and len(set(got)) > 1
+    assert places.place("en", found[400]) == (places.place("en", found[401])) and places.place("xx", found[0])[0] == 0
+
+
 def test_extract(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=/>Home</a></nav>
 <div class="cookie-notice">We use cookies.</div><main><article><header><h1>T &amp; U</h1></header><p>One para<br>graph, <a href=x>a link</a>.<p>Short.
