@@ -4,8 +4,8 @@ Built-in functions only.  A pattern's matches and the text between them (`regexp
 `split`) give all positions by running sums of lengths, in code points.
 
 Bootstrapping.  The two words before a word are its lexical pattern.  Fixed-pattern entities are the
-first instances.  A pattern's confidence is the share of its identifier-like words that are known
-instances; an instance's, one minus the product of its patterns' doubts.  Confident patterns make
+first instances: whole spans, with the two words before their start.  A pattern's confidence is the
+share of its entities and identifier-like words that are known instances; an instance's, one minus the product of its patterns' doubts.  Confident patterns make
 new instances known, round by round, and in the end those outside base spans become spans of kind
 `id`.  Patterns and instances are counted by partial sums before any shuffle, so a frequent pattern
 or value is a row per task.  Null and empty texts have no spans; rows repeat as they come; other
@@ -105,34 +105,47 @@ def joined(spans: Column) -> Column:
 
 
 def _lines(found: DataFrame) -> DataFrame:
-    """The lines that hold a digit, with their place in the text."""
-    lines = found.where(F.col("text").rlike("[0-9]")).select(
+    """The lines that may hold a span or an identifier, with their place in the text and their base spans."""
+    lines = found.where(F.col("text").rlike("[0-9@]")).select(
         "doc_id", "text_hash", "base", F.split("text", "\n").alias("lines"))
     starts = F.expr("transform(lines, (l, i) -> struct(l AS line, i AS i))")
-    one = lines.select("doc_id", "text_hash", "base", "lines", F.explode(F.filter(starts, lambda x: x["line"].rlike("[0-9]"))).alias("x"))
-    return one.select("doc_id", "text_hash", "base", F.col("x.line").alias("line"),
-                      F.expr("aggregate(slice(lines, 1, x.i), 0, (a, l) -> a + length(l) + 1)").alias("at"))
+    one = lines.select("doc_id", "text_hash", "base", "lines", F.explode(F.filter(starts, lambda x: x["line"].rlike("[0-9@]"))).alias("x"))
+    one = one.select("doc_id", "text_hash", "base", F.col("x.line").alias("line"),
+                     F.expr("aggregate(slice(lines, 1, x.i), 0, (a, l) -> a + length(l) + 1)").alias("at"))
+    return one.withColumn("base", F.expr("filter(base, b -> b.s >= at AND b.s < at + length(line))"))
+
+
+#: The two words before word i of w.
+BEFORE = "lower(concat_ws(' ', CASE WHEN i > 1 THEN w[i - 2] ELSE '^' END, CASE WHEN i > 0 THEN w[i - 1] ELSE '^' END))"
+
+
+def _entities(lines: DataFrame) -> DataFrame:
+    """Each base span with the two words before its start; of those that overlap, the one that starts first."""
+    own = F.expr("filter(base, b -> NOT exists(base, x -> x.s < b.s AND x.e > b.s))")
+    cut = lines.select("doc_id", "text_hash", "line", "at", F.explode(own).alias("b"))
+    cut = cut.withColumn("w", F.split(F.expr("substring(line, 1, b.s - at)"), " ", -1)).withColumn("i", F.size("w") - 1)
+    return cut.select("doc_id", "text_hash", F.col("b.v").alias("v"), F.expr(BEFORE).alias("pattern"), F.col("b.s").alias("s"), F.col("b.e").alias("e"),
+                      F.lit(True).alias("seed"))
 
 
 def _words(lines: DataFrame) -> DataFrame:
-    """Each identifier-like word of the lines with its span in the text and its pattern; `seed` is true
-    where it overlaps a base span."""
+    """Each identifier-like word of the lines outside base spans, with its span in the text and its pattern."""
     cut = lines.withColumn("w", F.split("line", " ", -1))
     cut = cut.withColumn("i", F.explode(F.expr("filter(sequence(0, size(w) - 1), i -> w[i] rlike '[0-9]')")))
     bare = F.regexp_replace(F.expr("w[i]"), r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
     cut = cut.select("doc_id", "text_hash", "base", bare.alias("v"),
                      F.expr("at + length(array_join(slice(w, 1, i), ' ')) + (CASE WHEN i > 0 THEN 1 ELSE 0 END)").alias("s0"),
-                     F.expr("w[i]").alias("whole"),
-                     F.lower(F.concat_ws(" ", F.expr("CASE WHEN i > 1 THEN w[i - 2] ELSE '^' END"), F.expr("CASE WHEN i > 0 THEN w[i - 1] ELSE '^' END"))).alias("pattern"))
+                     F.expr("w[i]").alias("whole"), F.expr(BEFORE).alias("pattern"))
     cut = cut.where(F.col("v").rlike(ID_SHAPE))
     s = F.col("s0") + F.expr("locate(v, whole) - 1")
-    return cut.select("doc_id", "text_hash", "v", "pattern", s.alias("s"), (s + F.length("v")).alias("e"),
-                      F.exists("base", lambda b: (b["s"] < s + F.length("v")) & (b["e"] > s)).alias("seed"))
+    free = ~F.exists("base", lambda b: (b["s"] < s + F.length("v")) & (b["e"] > s))
+    return cut.where(free).select("doc_id", "text_hash", "v", "pattern", s.alias("s"), (s + F.length("v")).alias("e"), F.lit(False).alias("seed"))
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, text_hash, s, e of words outside base spans that confident patterns and instances mark."""
-    seen = materialise(_words(_lines(found)).dropDuplicates(["doc_id", "text_hash", "s", "e"]))
+    lines = _lines(found)
+    seen = materialise(_words(lines).unionByName(_entities(lines)).dropDuplicates(["doc_id", "text_hash", "s", "e"]))
     known = seen.where("seed").select("v").distinct()
     graph = seen.groupBy("pattern", "v").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     support = seen.groupBy("pattern").agg(F.approx_count_distinct("doc_id", 0.05).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("pattern")

@@ -288,6 +288,30 @@ def test_pii_bootstraps_and_redacts(spark):
     assert text[3].text == "text. customer number [IP] ends" and text[3].n_chars == len(text[3].text)
 
 
+def test_pii_whole_entities_teach_their_contexts(spark):
+    """E-mails without a digit, and phones and cards in groups, are instances with the words before them."""
+    def card(i):
+        body = f"4{i:014d}"
+        for last in "0123456789":
+            digits = [int(c) for c in reversed(body + last)]
+            if sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(digits)) % 10 == 0:
+                whole = body + last
+                return " ".join(whole[k: k + 4] for k in range(0, 16, 4))
+
+    name = lambda i: "abcdefgh"[i // 8] + "ijklmnop"[i % 8]
+    rows = [(i, f"please write (to {name(i)}@example.com now") for i in range(60)]
+    rows += [(100 + i, f"text\nalways dial us +1 (091) 555-{3000 + i} today") for i in range(60)]
+    rows += [(200 + i, f"the charged card {card(i)} was") for i in range(60)]
+    marked = [(300, "please write (to QX77123 now"), (301, "always dial us ZZ88123 today"), (302, "the charged card KK99123 was")]
+    docs = spark.createDataFrame([*rows, *marked, (303, "+1 (091) AB12345"), (304, "another room RR12345")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    for doc, text in marked:
+        word = text.split()[3]
+        assert got[doc].spans == f"id:{text.index(word)}:{text.index(word) + len(word)}"
+    assert got[303].n_id == got[304].n_id == 0 and all(got[i].n_id == 0 for i, _ in rows)
+    assert got[0].n_email == got[100].n_phone == got[200].n_card == 1
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
