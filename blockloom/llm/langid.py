@@ -3,8 +3,10 @@
 Each language has a model of order 4 over letters (lower case; every run of other characters is one
 space).  The models of all languages lie together in sorted arrays of 64-bit n-gram keys: a row
 holds the log-probability in every language, so one binary search serves them all.  A text gets
-the language with the lowest cross-entropy per character, and is rejected where that is far above
-what texts of the language show at its length.
+the language with the lowest cross-entropy per character, and is rejected where that is above what
+nearly all pieces of its length, cut from texts of the language, show.  A language with few such
+pieces takes the distance from its median to that line from the others; one without any rejects what
+is no more likely than letters drawn at random.
 
 A null text, or one without letters, is `und` with score 0, and rejected.  Without any labelled row
 every text is `und`.  Rows repeat as they come; other columns are not looked at.
@@ -26,8 +28,10 @@ DOCS_PER_LANGUAGE = 1500  # bound of the fitting sample, drawn by a hash of doc_
 LANGUAGES = 500           # the most frequent labels are learned
 COUNTED_AT_ONCE = 1 << 20  # n-grams a task holds while it counts
 CALIBRATION = 5           # one sampled row in so many measures the rejection line and isn't counted
-REJECT_SIGMAS = 8.0
+PIECES = (3, 6, 12, 25, 50, 100, 200, 400, 800, 1600, 3200)  # letters of the pieces that it is measured on
+REJECT_QUANTILE = 0.995   # of a language's pieces of one length, its own texts' cross-entropy
 REJECT_SLACK = 0.7        # nats per character on top
+ENOUGH_PIECES = 20        # for a quantile of a language's own
 SCORE_CHARS = 50          # characters' worth of evidence that the score may show
 SPACE = 1
 
@@ -132,8 +136,7 @@ class Model:
     contexts: list[np.ndarray]
     weights: list[np.ndarray]
     floor: float
-    mean: np.ndarray
-    spread: np.ndarray
+    lines: np.ndarray  # a row for each language: highest cross-entropy that isn't rejected, by length as in PIECES
 
     @staticmethod
     def fit(counts: pd.DataFrame) -> "Model":
@@ -156,7 +159,7 @@ class Model:
             logs.append(np.stack([np.log(m.probability(order, k)) for m in each], axis=1).astype(np.float32) if each else np.zeros((0, 0), np.float32))
             weights.append(np.stack([np.log(m.weight(order, c)) for m in each], axis=1).astype(np.float32) if each else np.zeros((0, 0), np.float32))
         n = len(languages)
-        return Model(languages, keys, logs, contexts, weights, -np.log(alphabet), np.zeros(n), np.full(n, np.inf))
+        return Model(languages, keys, logs, contexts, weights, -np.log(alphabet), np.full((n, len(PIECES)), np.log(alphabet)))
 
     def totals(self, c: np.ndarray, block: int = 1 << 18) -> np.ndarray:
         """Summed log-probability of a text in each language; long texts go block by block."""
@@ -186,7 +189,7 @@ class Model:
         entropy = -self.totals(c) / n
         best = int(np.argmin(entropy))
         score = 1.0 / float(np.exp(-(entropy - entropy[best]) * min(n, SCORE_CHARS)).sum())
-        line = self.mean[best] + REJECT_SLACK + REJECT_SIGMAS * self.spread[best] / np.sqrt(n)
+        line = np.interp(np.log(n), np.log(PIECES), self.lines[best])
         return self.languages[best], score, float(entropy[best]), n, bool(entropy[best] > line)
 
 
@@ -228,17 +231,58 @@ def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
 
     counts = drawn.where(F.col("part") != 0).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     model = Model.fit(counts.toPandas())
-    measured = drawn.where(F.col("part") == 0).select("lang", _predicted(model, "text").alias("p"))
-    lines = measured.where(F.col("p.lang_pred") == F.col("lang")).groupBy("lang").agg(
-        F.avg("p.cross_entropy").alias("mean"),
-        F.avg("p.n_letters").alias("length"), F.stddev_pop("p.cross_entropy").alias("sd"), F.count("*").alias("n")).toPandas()
-    for r in lines.itertuples():
-        i = model.languages.index(r.lang)
-        if r.n >= 20:
-            model.mean[i], model.spread[i] = r.mean, r.sd * np.sqrt(r.length)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for batch in batches:
+            rows = []
+            for lang, c in zip(batch["lang"], map(codes, batch["text"])):
+                for length, piece in pieces(c):
+                    entropy = -m.totals(piece) / length
+                    best = int(np.argmin(entropy))
+                    if m.languages[best] == lang:
+                        rows.append((lang, length, entropy[best]))
+            yield pd.DataFrame(rows, columns=["lang", "length", "entropy"])
+
+    if model.languages:
+        found = drawn.where(F.col("part") == 0).select("lang", "text").mapInPandas(measure, "lang string, length long, entropy double")
+        model.lines = _lines(model, found.groupBy("lang", "length").agg(
+            F.percentile_approx("entropy", [0.5, REJECT_QUANTILE]).alias("q"), F.count("*").alias("n")).toPandas())
     return model
 
 
+def pieces(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, codes) of up to three pieces of each length, from words' starts near the text's start, middle and end."""
+    c = c[ORDER - 1:]
+    opens = np.flatnonzero((c != SPACE) & np.concatenate([[True], c[:-1] == SPACE])) if len(c) else c
+    for length in PIECES:
+        last = np.searchsorted(opens, len(c) - length, side="right") - 1
+        if last >= 0:
+            for k in sorted({0, last // 2, last}):
+                yield length, np.concatenate([np.full(ORDER - 1, SPACE, np.uint64), c[opens[k]: opens[k] + length]])
+
+
+def _lines(model: Model, measured: pd.DataFrame) -> np.ndarray:
+    """By language and length; `measured` has rows lang, length, q (median and quantile), n."""
+    shape = len(model.languages), len(PIECES)
+    middle, spread = np.full(shape, np.nan), np.full(shape, np.nan)
+    for r in measured.itertuples():
+        at = model.languages.index(r.lang), PIECES.index(r.length)
+        middle[at] = r.q[0]
+        if r.n >= ENOUGH_PIECES:
+            spread[at] = r.q[1] - r.q[0]
+    for j in range(shape[1]):
+        known = spread[:, j][~np.isnan(spread[:, j])]
+        pooled = known.mean() if len(known) else (spread[:, j - 1].mean() if j else np.nan)
+        spread[:, j] = np.where(np.isnan(spread[:, j]), pooled, spread[:, j])
+    lines = middle + spread + REJECT_SLACK
+    for j in range(shape[1]):  # where texts of a length lack, as shorter ones
+        before = lines[:, j - 1] if j else np.full(shape[0], -model.floor)
+        lines[:, j] = np.where(np.isnan(lines[:, j]), before, lines[:, j])
+    return lines
+
+
 def _predicted(model: Model, column: str) -> Column:
     from pyspark.sql import SparkSession
 

@@ -119,6 +119,23 @@ def test_language_id(spark):
     assert langid.identify(docs.where("false")).count() == 0
 
 
+def test_language_id_rejects_short_gibberish_and_foreign_script(spark):
+    rng = random.Random(11)
+    vocabulary = {"en": ["the", "of", "and", "thing", "with", "house", "water"], "fr": ["le", "les", "dans", "être", "où", "maison", "eau"], "xx": ["zuk", "ozul", "kzan"]}
+    text = lambda lang, n: " ".join(rng.choice(vocabulary[lang]) for _ in range(n))
+    rows = [(i, text(lang, rng.randint(1, 60)), lang) for i, lang in enumerate(["en", "fr"] * 150 + ["xx"] * 12)]
+    good = [(1000 + i, text(lang, n), None) for i, (lang, n) in enumerate((lang, n) for lang in ("en", "fr", "xx") for n in (3, 10, 40))]
+    bad = [(2000 + i, "".join(rng.choice(letters) for _ in range(n)), None)
+           for i, (letters, n) in enumerate((letters, n) for letters in ("abcdefghijklmnopqrstuvwxyz ", "абвгдежзиклмнопрст ") for n in (50, 100, 200, 500))]
+    docs = spark.createDataFrame([*rows, *good, *bad], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    assert not any(got[i].rejected for i, _, _ in good) and all(got[i].rejected for i, _, _ in bad)
+    assert np.isfinite(model.lines).all()
+    few = langid.fit(docs.where("doc_id < 1000 and (lang <> 'fr' or doc_id < 9)"))
+    assert all(r.rejected for r in langid.identify(docs.where("doc_id >= 2000"), few).collect())
+
+
 def test_quality(docs, texts):
     def base(t):
         w = words(t, False)
