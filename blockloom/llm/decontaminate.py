@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
 
-A window of a document has as many words as the item it is held against.  Both are sets of five-word
+A window of a document has as many words as the item it is held against; a document with fewer words is
+one window, whole.  Both are sets of five-word
 shingles with weights (how often each occurs), and a window holds an item where the weighted
 Jaccard similarity - sum of minima over sum of maxima - is 0.75 or more.
 
@@ -96,6 +97,7 @@ class Items:
 
     def _search(self, w: Words) -> dict[tuple[int, int], float]:
         best: dict[tuple[int, int], float] = {}
+        opens = np.cumsum(w.counts) - w.counts  # each text's first word
         for size in {min(SHINGLE, length) for length, _, _ in self.tables}:
             every = w.windows(size)
             hit = self._held(every) if len(every) else np.zeros(0, bool)
@@ -110,7 +112,15 @@ class Items:
                 # a window that can reach the similarity has the better part of an item's shingles
                 span, m = length - size + 1, len(w.hash) - length + 1
                 need = -(-SIMILARITY * span // 100)
-                if m <= 0 or len(spots) < need:
+                if len(spots) < need:
+                    continue
+                short = np.flatnonzero((w.counts < length) & (w.counts >= need + size - 1))
+                short = short[seen[opens[short] + w.counts[short] - size + 1] - seen[opens[short]] >= need]
+                for n in np.unique(w.counts[short]):
+                    whole = opens[short[w.counts[short] == n]]
+                    for part in np.array_split(whole, -(-len(whole) // 4096)):
+                        self._verify(w, every, part, int(n) - size + 1, at, blocks, best)
+                if m <= 0:
                     continue
                 near = spots[: len(spots) - need + 1][spots[need - 1:] - spots[: len(spots) - need + 1] < span]
                 start = np.unique((near[:, None] - np.arange(span)[None, :]).ravel())

@@ -271,6 +271,25 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    rng = random.Random(15)
+    item = " ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(400)) for _ in range(50)).split()
+    texts = [item[:45], item[5:], item[:39], item[:38], item[:45] + ["x"], item[:20], item[:4], ["other"] * 45, item]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "Two words"), (3, "a b c d e f")], "item_id long, text string")
+
+    def similarity(t):
+        a, b = ({tuple(x[i: i + 5]) for i in range(len(x) - 4)} for x in (t, item))
+        return len(a & b) / len(a | b)
+
+    want = {(i, 1, round(similarity(t), 9)) for i, t in enumerate(texts) if similarity(t) >= 0.75}
+    assert {i for i, _, _ in want} == {0, 1, 2, 4, 8}
+    assert {(r.doc_id, r.item_id, round(r.similarity, 9)) for r in decontaminate.contaminated(docs, bench).collect()} == want
+    assert sorted(r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()) == [3, 5, 6, 7]
+    alone = decontaminate.contaminated(docs.where("doc_id = 0"), bench).collect()
+    assert [(r.doc_id, r.item_id) for r in alone] == [(0, 1)]
+
+
 def spans_of(t):
     out = []
     for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
