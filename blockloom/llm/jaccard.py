@@ -339,7 +339,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """True links (a, b) within each pair of blocks, nearest first, between documents not yet connected."""
+    """True links (a, b) within each pair of blocks, between documents not yet connected; the pairs of one
+    set at a time, nearest first."""
     keys = ["component", "b1", "b2"]
     for table in _runs(batches, keys):
         starts = _starts(table, keys)
@@ -352,19 +353,15 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [np.frombuffer(x.as_py(), np.uint64) for x in raw.slice(s, e - s)]
             n = np.array([len(x) for x in own])
             sketch = [sketch_of(x, width(len(x), FINE)) for x in own]
-            pairs = [(np.full(len(o), i), o, d) for i, o, d in _close(n, sketch, block[s:e], b1[s], b2[s])]
-            if not pairs:
-                continue
-            left, right, far = (np.concatenate(x) for x in zip(*pairs))
             forest = Forest()
-            for k in np.argsort(far, kind="stable"):
-                i, j = int(left[k]), int(right[k])
-                if forest.root(i) != forest.root(j):
-                    both = np.concatenate([own[i], own[j]])
-                    both.sort()
-                    if linked(int((both[1:] == both[:-1]).sum()), n[i], n[j]):
-                        forest.join(i, j)
-                        out.append((rep[s + i], rep[s + j]))
+            for i, others, far in _close(n, sketch, block[s:e], b1[s], b2[s]):
+                for j in others[np.argsort(far, kind="stable")].tolist():
+                    if forest.root(i) != forest.root(j):
+                        both = np.concatenate([own[i], own[j]])
+                        both.sort()
+                        if linked(int((both[1:] == both[:-1]).sum()), n[i], n[j]):
+                            forest.join(i, j)
+                            out.append((rep[s + i], rep[s + j]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 

@@ -201,6 +201,23 @@ def test_every_link_shares_a_part(sizes):
             assert far <= len(np.setxor1d(a, b)) <= jaccard.bound(len(a), len(b))
 
 
+def test_pairs_of_a_large_group_are_not_held():
+    """A group of different near copies is verified in memory that its pairs, some 1.1 million, don't fit."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(1, 1 << 63, 40, dtype=np.uint64)
+    sets = [np.unique(np.append(base, rng.integers(1, 1 << 63, 2, dtype=np.uint64))).tobytes() for _ in range(1500)]
+    n = len(sets)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n)),
+                                        pa.array(np.zeros(n, np.int32)), pa.array(sets, pa.binary())], ["component", "b1", "b2", "rep", "_block", "set"])
+    tracemalloc.start()
+    links = sum(out.num_rows for out in jaccard._verified(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == n - 1 and peak < 12 << 20
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (300, 299)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
