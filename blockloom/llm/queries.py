@@ -128,3 +128,10 @@ def op3(spark, sf_dir):
     from blockloom.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@registered("op12_periodic_runs")
+def op12(spark, sf_dir):
+    from blockloom.llm.periodic import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), rewrite=True).drop("n_words")
