@@ -135,3 +135,10 @@ def op12(spark, sf_dir):
     from blockloom.llm.periodic import periodic_runs
 
     return periodic_runs(table(spark, sf_dir, "documents"), rewrite=True).drop("n_words")
+
+
+@registered("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    from blockloom.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
