@@ -142,3 +142,12 @@ def op13(spark, sf_dir):
     from blockloom.llm.whitening import whitened
 
     return whitened(table(spark, sf_dir, "embeddings"))
+
+
+@registered("op11_toxicity")
+def op11(spark, sf_dir):
+    from blockloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted",
+        F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))).alias("spans"))

@@ -56,7 +56,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A polynomial hash of each word, from running sums over blocks of whole words."""
     out = np.empty(len(start), np.uint64)
     first = 0
@@ -91,7 +91,7 @@ class Words:
         self.end = np.flatnonzero(closes) + 1
         self.counts = np.diff(np.searchsorted(self.start, offsets))
         self.text = np.repeat(np.arange(len(offsets) - 1), self.counts)
-        self.hash = _hashes(data, self.start, self.end)
+        self.hash = span_hashes(data, self.start, self.end)
 
     def windows(self, size: int) -> np.ndarray:
         """The hash of the `size` words from each word on, whether or not they are of one text."""

@@ -9,8 +9,8 @@ from blockloom.sources.compare import difference, duck_connection
 SF = "/root/testdata/sf0.001"
 
 
-def test_ten_and_the_pipeline():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 11)) and "pipeline" in QUERIES
+def test_thirteen_and_the_pipeline():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 14)) and "pipeline" in QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
