@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.words import LOWER, Words, mix, slices, span_hashes, utf8
 
-DOCS_PER_LABEL = 4_000
+DOCS_PER_LABEL = 3_000
 FIT_CHARS = 20_000
 BITS = 20  # log2 of the number of weights
 BEGINNINGS, ENDINGS = (3, 4, 5, 6, 7, 8), (3, 4, 5)  # bytes
 SEQUENCE = 64  # words
-EPOCHS, STEPS, BATCH_WORDS, RATE, DECAY = 4, 150, 40_000, 0.3, 1e-6  # at least so many passes and so many steps
+EPOCHS, STEPS, BATCH_BYTES, RATE, DECAY = 4, 150, 1 << 18, 0.3, 1e-6  # at least so many passes and so many steps
 SHOWN = 0.5  # part of a word's features that a step sees, so that words never seen whole are known by what is left
 EVIDENCE, PRECISION = 4.5, 0.8  # standard deviations, and share in toxic documents where both labels weigh the same
 SUSPECT, FLOOR = 0.2, 0.05  # marginals from here on count one by one in a score; differences far below the floor do not
@@ -135,22 +135,18 @@ class Field:
             p[at] = toxic[at] * b
         return np.clip(p, 0.0, 1.0), moved
 
-    def trained(self, tokens: Tokens, tags: np.ndarray, rng: np.random.Generator) -> None:
+    def trained(self, batches: list[Tokens], tags: list[np.ndarray], rng: np.random.Generator) -> None:
         """Maximum likelihood of the tags by steps in the direction of each batch's gradient, scaled by past ones."""
         past, past_moves, past_bias = np.full(1 << BITS, 1e-3, np.float32), np.full(3, 1e-3), 1e-3
-        edges = np.concatenate([[0], np.cumsum(tokens.size)])
-        cuts = np.unique(np.searchsorted(edges, np.arange(0, edges[-1] + BATCH_WORDS, BATCH_WORDS)).clip(0, len(tokens.size)))
-        for _ in range(max(EPOCHS, -(-STEPS // max(1, len(cuts) - 1)))):
-            for k in rng.permutation(len(cuts) - 1):
-                low, high = cuts[k], cuts[k + 1]
-                words = slice(edges[low], edges[high])
-                first, size = edges[low:high] - edges[low], tokens.size[low:high]
-                features, y = tokens.features[words], tags[words]
+        for _ in range(max(EPOCHS, -(-STEPS // max(1, len(batches))))):
+            for k in rng.permutation(len(batches)):
+                tokens, y = batches[k], tags[k]
+                features = tokens.features
                 shown = (rng.random(features.shape, np.float32) < SHOWN).astype(np.float32) / np.float32(SHOWN)
-                p, moved = self.marginals(self.emissions(features, shown), first, size)
+                p, moved = self.marginals(self.emissions(features, shown), tokens.first, tokens.size)
                 gap = (y - p).astype(np.float32)
                 inner = np.ones(len(y), bool)
-                inner[first] = False
+                inner[tokens.first] = False
                 before, after = y[:-1][inner[1:]], y[1:][inner[1:]]
                 seen = np.array([((1 - before) * after).sum(), (before * (1 - after)).sum(), (before * after).sum()], float)
                 step = np.bincount(features.ravel(), (gap[:, None] * shown).ravel(), 1 << BITS).astype(np.float32) - DECAY * len(y) * self.weights
@@ -174,19 +170,27 @@ class Field:
         return 1.0 / (1.0 + np.exp(-np.clip(self.level + self.slope * np.log(suspicion + FLOOR), -30, 30)))
 
 
-def word_tags(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
-    """1 for words of toxic texts with a feature that tells, else 0; `toxic` by text."""
-    pairs = np.unique(tokens.features.astype(np.int64) * len(toxic) + tokens.text[:, None])
-    feature, text = pairs // len(toxic), pairs % len(toxic)
-    a = np.bincount(feature[toxic[text]], minlength=1 << BITS).astype(float)
-    b = np.bincount(feature[~toxic[text]], minlength=1 << BITS).astype(float)
+def batched(texts: pa.Array) -> list[tuple[int, int, Tokens]]:
+    """The texts as batches of some BATCH_BYTES bytes, with their row ranges; batches without words are left out."""
+    out = [(a, b, Tokens(texts.slice(a, b - a))) for a, b in slices(texts, BATCH_BYTES)]
+    return [x for x in out if len(x[2].features)]
+
+
+def word_tags(batches: list[tuple[int, int, Tokens]], toxic: np.ndarray) -> list[np.ndarray]:
+    """1 for words of toxic texts with a feature that tells, else 0, by batch; `toxic` by text."""
+    a, b = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for first, last, tokens in batches:
+        marks = toxic[first:last]
+        pairs = np.unique(tokens.features.astype(np.int64) * len(marks) + tokens.text[:, None])
+        feature, text = pairs // len(marks), pairs % len(marks)
+        a += np.bincount(feature[marks[text]], minlength=1 << BITS)
+        b += np.bincount(feature[~marks[text]], minlength=1 << BITS)
     n_a, n_b = max(1, toxic.sum()), max(1, (~toxic).sum())
     share, n = n_a / (n_a + n_b), np.maximum(a + b, 1)
     part = np.clip(a / n, 1e-9, 1 - 1e-9)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = np.sqrt(np.maximum(0, 2 * n * (part * np.log(part / share) + (1 - part) * np.log((1 - part) / (1 - share)))))
+    z = np.sqrt(np.maximum(0, 2 * n * (part * np.log(part / share) + (1 - part) * np.log((1 - part) / (1 - share)))))
     tells = (part > share) & (z >= EVIDENCE) & (a / n_a >= PRECISION * (a / n_a + b / n_b)) & (a > 0)
-    return (tells[tokens.features].any(1) & toxic[tokens.text]).astype(np.int64)
+    return [(tells[tokens.features].any(1) & toxic[first:last][tokens.text]).astype(np.int64) for first, last, tokens in batches]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -229,11 +233,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
         return model
     learn = part != 0
     if toxic[learn].any() and not toxic[learn].all():
-        tokens = Tokens(table.column("text").filter(pa.array(learn)).combine_chunks())
-        model.trained(tokens, word_tags(tokens, toxic[learn]), np.random.default_rng(11))
+        batches = batched(table.column("text").filter(pa.array(learn)).combine_chunks())
+        model.trained([x[2] for x in batches], word_tags(batches, toxic[learn]), np.random.default_rng(11))
+        del batches
     unseen = ~learn if toxic[~learn].sum() >= 5 and (~toxic[~learn]).sum() >= 5 else np.ones(len(part), bool)
-    tokens = Tokens(table.column("text").filter(pa.array(unseen)).combine_chunks())
-    _, suspicion = model.suspicion(tokens)
+    texts = table.column("text").filter(pa.array(unseen)).combine_chunks()
+    suspicion = np.concatenate([model.suspicion(Tokens(texts.slice(a, b - a)))[1] for a, b in slices(texts, BATCH_BYTES)])
     x, y = np.log(suspicion + FLOOR), toxic[unseen].astype(float)
     weight = np.where(y == 1, sizes[1] / max(1, y.sum()), sizes[0] / max(1, (1 - y).sum()))
     weight *= len(y) / weight.sum()

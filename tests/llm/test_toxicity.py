@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from blockloom.llm.toxicity import SEQUENCE, Field, Tokens, fit, toxicity, word_tags
+from blockloom.llm.toxicity import SEQUENCE, Field, Tokens, batched, fit, toxicity, word_tags
 
 SF = "/root/testdata/sf0.1"
 
@@ -78,8 +78,7 @@ def test_without_labels(spark):
 def test_tags_need_evidence():
     texts = ["the vile one"] * 40 + ["the good one"] * 160 + ["the rare one"]
     toxic = np.array([True] * 40 + [False] * 160 + [True])
-    tokens = Tokens(pa.array(texts))
-    tags = word_tags(tokens, toxic)
+    tags, = word_tags(batched(pa.array(texts)), toxic)
     assert tags.sum() == 40 and set(np.flatnonzero(tags) % 3) == {1}
 
 
