@@ -44,6 +44,16 @@ def balances_scoped(existing: DataFrame, credits: DataFrame, debits: DataFrame,
     return existing.join(asked, keys, "left_anti").unionByName(fresh)
 
 
+def balances_moved(existing: DataFrame, credits: DataFrame, debits: DataFrame, touched: DataFrame,
+                   keys: list[str] = PAIR) -> DataFrame:
+    """Balances of the touched keys after some new ledger rows: what they were plus the exact sum of the news, so the
+    ledger itself isn't read.  Equals a rebuild where `existing` did; zero balances are pruned."""
+    asked = touched.select(*keys).distinct()
+    was = existing.join(asked, keys, "left_semi").select(*keys, "amount")
+    news = [df.join(asked, keys, "left_semi").select(*keys, "amount") for df in (credits, debits)]
+    return balances(was.unionByName(news[0]), news[1], keys)
+
+
 def token_supplies(tokens: DataFrame, credits: DataFrame, debits: DataFrame, escrows: DataFrame) -> DataFrame:
     """Supply per token: (credits - debits) + escrows, summed at 18 digits, rounded once to the
     token's decimals (clamped to 0..18), minimal text; no ledger row means '0'."""

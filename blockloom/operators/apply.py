@@ -9,21 +9,31 @@ from blockloom import registry as reg
 from blockloom.fixed_values import OPEN_OFFER_STATUSES
 from blockloom.operators import aggregates as agg
 from blockloom.operators import changes, scan
+from blockloom.sources.versions import Delta, without
 
 
 # ---- write modes -------------------------------------------------------------------------------
 HEIGHT = "__height"  # of the block an incoming row came with, where a batch spans several
 
 
-def last_per_key(incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Of several incoming rows with one key the one of the highest block; of one block, the greatest row."""
+def _one_per_key(incoming: DataFrame, keys: list[str], pick) -> DataFrame:
     rest = [c for c in incoming.columns if c not in (*keys, HEIGHT)]
     if not rest:
         return incoming.select(*keys).distinct()
     height = F.col(HEIGHT) if HEIGHT in incoming.columns else F.lit(0)
-    last = incoming.groupBy(*keys).agg(F.max(F.struct(height.alias("h"), *rest)).alias("__r"))
+    one = incoming.groupBy(*keys).agg(pick(F.struct(height.alias("h"), *rest)).alias("__r"))
     picked = {c: F.col(f"__r.{c}").alias(c) for c in rest} | {k: F.col(k) for k in keys}
-    return last.select(*[picked[c] for c in incoming.columns if c != HEIGHT])
+    return one.select(*[picked[c] for c in incoming.columns if c != HEIGHT])
+
+
+def last_per_key(incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Of several incoming rows with one key the one of the highest block; of one block, the greatest row."""
+    return _one_per_key(incoming, keys, F.max)
+
+
+def first_per_key(incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Of several incoming rows with one key the one of the lowest block; of one block, the smallest row."""
+    return _one_per_key(incoming, keys, F.min)
 
 
 def insert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -32,11 +42,8 @@ def insert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing keys win; of several incoming rows with one key the smallest row lands."""
-    rest = [c for c in incoming.columns if c not in (*keys, HEIGHT)]
-    first = incoming.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(
-        *keys, *[F.col(f"__r.{c}").alias(c) for c in rest]) if rest else incoming.select(*keys).distinct()
-    return insert(existing, first.join(existing.select(*keys), keys, "left_anti"))
+    """Existing keys win; of several incoming rows with one key the first to come lands."""
+    return insert(existing, first_per_key(incoming, keys).join(existing.select(*keys), keys, "left_anti"))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,9 +53,12 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
 
 def replace_by_key(existing: DataFrame, incoming: DataFrame, key: str, surrogate: str = "id") -> DataFrame:
     """Replace by natural key; the source's surrogate id is dropped, a missing key raises."""
+    return upsert(existing.drop(surrogate), natural_rows(incoming, key, surrogate), [key])
+
+
+def natural_rows(incoming: DataFrame, key: str, surrogate: str = "id") -> DataFrame:
     keyed = F.when(F.col(key).isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit(f"row without natural key {key}")))
-    checked = incoming.drop(surrogate).where(keyed)
-    return upsert(existing.drop(surrogate), checked, [key])
+    return incoming.drop(surrogate).where(keyed)
 
 
 def mirror_delete(rewards: DataFrame, reconcile_log: DataFrame, start: int, end: int) -> DataFrame:
@@ -101,64 +111,78 @@ KEYS = {"index_addresses": ["id"], "index_tickers": ["id"], "sync_meta": ["block
         "validator_rewards": changes.REWARD_IDENTITY}
 
 
-def land(table: str, existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Land incoming rows the way the registry says this table is written."""
+def landing(table: str, existing: DataFrame, incoming: DataFrame) -> Delta:
+    """How incoming rows change a table, by the way the registry says it is written."""
     mode = reg.write_mode(table)
     if mode == "ignore":
-        return insert_ignore(existing, incoming, KEYS.get(table, ["id"]))
+        keys = KEYS.get(table, ["id"])
+        return Delta(without(first_per_key(incoming, keys), existing.select(*keys), keys))
     if mode == "upsert":
-        return upsert(existing, incoming, KEYS[table])
+        return Delta(last_per_key(incoming, KEYS[table]), [(incoming.select(*KEYS[table]), KEYS[table])])
     if mode == "replace":
-        return replace_by_key(existing, incoming, reg.NATURAL_KEYS[table])
-    return insert(existing, incoming)
-
-
-def apply_changes(tables: dict[str, DataFrame], data: dict[str, DataFrame], updated: dict[str, DataFrame],
-                  window: tuple[int, int] | None = None, statuses: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Next table set after landing new rows, upserting changed rows, mirroring reward deletes,
-    re-deriving the gate and rebuilding the balances the new ledger rows touch."""
-    nxt = dict(tables)
+        key = reg.NATURAL_KEYS[table]
+        rows = natural_rows(incoming, key)
+        return Delta(last_per_key(rows, [key]), [(rows.select(key), [key])], ["id"] if "id" in existing.columns else [])
+    return Delta(incoming.drop(HEIGHT))
+
+
+def reward_changes(existing: DataFrame, incoming: DataFrame | None, log: DataFrame, window: tuple[int, int]) -> Delta:
+    """Rewards of a batch, landed and mirror-deleted block by block: a reconcile log row takes away what landed up to
+    its own block; a reward earned again in a later block lands."""
+    keys = changes.REWARD_IDENTITY
+    logged = log.where(scan.in_window("block_index", *window)).groupBy(*keys).agg(F.max("block_index").alias("__until"))
+    gone = existing.select(*keys).distinct()
+    gone = without(gone, without(gone, logged, keys), keys)  # those logged
+    if incoming is None:
+        return Delta(None, [(gone, keys)])
+    r, g = incoming.alias("r"), logged.alias("g")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
+    landed = F.col(f"r.{HEIGHT}") > F.col("g.__until") if HEIGHT in incoming.columns else F.lit(False)
+    live = r.join(g, [*same, ~F.coalesce(landed, F.lit(False))], "left_anti")
+    stays = without(existing.select(*keys), gone, keys)
+    return Delta(without(first_per_key(live, keys), stays, keys), [(gone, keys)])
+
+
+def batch_changes(tables: dict[str, DataFrame], data: dict[str, DataFrame], updated: dict[str, DataFrame],
+                  window: tuple[int, int] | None = None, statuses: DataFrame | None = None) -> dict[str, Delta]:
+    """What landing new rows, upserting changed rows, mirroring reward deletes, re-deriving the gate and
+    adding up the balances that the new ledger rows touch does to each table."""
+    out: dict[str, Delta] = {}
+    log_name, rewards = "anchor_reward_reconcile_log", "validator_rewards"
     for name, rows in data.items():
-        nxt[name] = land(name, nxt[name], rows) if name in nxt else rows.drop(HEIGHT)
+        out[name] = landing(name, tables[name], rows) if name in tables else Delta(rows.drop(HEIGHT))
+    if window and rewards in tables and (log_name in tables or log_name in out):
+        log = out[log_name].on(tables[log_name]) if log_name in out and log_name in tables else tables[log_name] if log_name in tables else out[log_name].rows
+        out[rewards] = reward_changes(tables[rewards], data.get(rewards), log, window)
     for name, rows in updated.items():
-        nxt[name] = upsert(nxt[name], rows, ["action_index"]) if name in nxt else rows.drop(HEIGHT)
-    if window and {"validator_rewards", "anchor_reward_reconcile_log"} <= set(nxt):
-        nxt["validator_rewards"] = mirror_delete(nxt["validator_rewards"], nxt["anchor_reward_reconcile_log"], *window)
+        gone = [(rows.select("action_index"), ["action_index"])]
+        out[name] = out.get(name, Delta()).then(last_per_key(rows, ["action_index"]), gone) if name in tables else Delta(rows.drop(HEIGHT))
+
+    def now(name: str) -> DataFrame:
+        return out[name].on(tables[name]) if name in out and name in tables else tables[name] if name in tables else out[name].rows
+
+    have = set(tables) | set(out)
     moved = (set(data) | set(updated)) & set(reg.ESCROW_TRIGGER_TABLES)
-    families = [(nxt[o], nxt[s]) for o, s in (("orders", "order_statuses"), ("swaps", "swap_statuses"),
-                                              ("dispensers", "dispenser_statuses")) if o in nxt and s in nxt]
-    if moved and families and statuses is not None and {"tokens", "index_tickers"} <= set(nxt):
-        nxt["tokens"] = rederive_escrow_gate(nxt["tokens"], families, statuses, nxt["index_tickers"])
+    families = [(now(o), now(s)) for o, s in (("orders", "order_statuses"), ("swaps", "swap_statuses"),
+                                              ("dispensers", "dispenser_statuses")) if {o, s} <= have]
+    if moved and families and statuses is not None and {"tokens", "index_tickers"} <= have:
+        before = now("tokens")
+        after = rederive_escrow_gate(before, families, statuses, now("index_tickers"))
+        ticks = after.exceptAll(before).select("tick_id").distinct()
+        out["tokens"] = out.get("tokens", Delta()).then(after.join(ticks, "tick_id", "left_semi").select(*before.columns), [(ticks, ["tick_id"])])
     ledger_news = [data[t] for t in ("credits", "debits") if t in data]
-    if ledger_news and "balances" in nxt:
+    if ledger_news and "balances" in tables:
         touched = agg.touched_keys(ledger_news, agg.PAIR)
-        nxt["balances"] = agg.balances_scoped(nxt["balances"], nxt["credits"], nxt["debits"], touched)
-    return nxt
-
+        news = {t: data[t] if t in data else ledger_news[0].limit(0) for t in ("credits", "debits")}
+        out["balances"] = Delta(agg.balances_moved(tables["balances"], news["credits"], news["debits"], touched), [(touched, agg.PAIR)])
+    return out
 
-def touched_buckets(table: str, existing: DataFrame, nxt: DataFrame, incoming: list[tuple[DataFrame, list[str] | None]],
-                    width: int) -> DataFrame:
-    """Height buckets in which a table differs after an apply: a `bucket` row each, null for rows without height.
 
-    `incoming`: landed rows, with the key by which they replaced existing rows (None for inserts).  Both
-    the landed rows' buckets and those of the rows they replaced count; a table that rows were deleted
-    from is compared with what it was.
-    """
-    bucket = F.floor(F.col("block_index") / width).cast("bigint").alias("bucket")
-    found = existing.limit(0).select(bucket)
-    for rows, keys in incoming:
-        found = found.unionByName(rows.select(bucket))
-        if keys:
-            found = found.unionByName(existing.join(rows.select(*keys), keys, "left_semi").select(bucket))
-    if table == "validator_rewards":
-        shared = [c for c in existing.columns if c in nxt.columns]
-        found = found.unionByName(existing.select(*shared).exceptAll(nxt.select(*shared)).select(bucket))
-    return found.distinct()
-
-
-def replace_keys(table: str) -> list[str] | None:
-    mode = reg.write_mode(table)
-    return KEYS[table] if mode == "upsert" else [reg.NATURAL_KEYS[table]] if mode == "replace" else None
+def apply_changes(tables: dict[str, DataFrame], data: dict[str, DataFrame], updated: dict[str, DataFrame],
+                  window: tuple[int, int] | None = None, statuses: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Next table set after `batch_changes`."""
+    moved = batch_changes(tables, data, updated, window, statuses)
+    return {**tables, **{n: d.on(tables[n]) if n in tables else d.rows for n, d in moved.items()}}
 
 
 # ---- snapshots ---------------------------------------------------------------------------------

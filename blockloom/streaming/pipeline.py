@@ -1,7 +1,8 @@
-"""Applying change batches to versioned tables: apply, verify, publish, stop on a verdict.
+"""Applying change batches to versioned tables: apply, verify, publish, follow reorganisations, stop on a halt.
 
-One micro-batch is one atomic step: the next table version becomes visible only after its rows
-verified, and a repeated batch is recognised by its heights.
+One micro-batch is one atomic step: its parts are written, verified as they landed, and become visible with
+the manifest, which also names the micro-batch; so a batch that comes again after a crash is recognised,
+whether or not its version was published.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from blockloom.fixed_values import BLOCKS_PER_POLL
-from blockloom.operators import integrity, scan
-from blockloom.operators.apply import HEIGHT, apply_changes, replace_keys, touched_buckets
+from blockloom.fixed_values import BLOCKS_PER_POLL, MAX_ROLLBACK_DEPTH
+from blockloom.operators import follow, integrity, rollback, scan
+from blockloom.operators.apply import HEIGHT, batch_changes
 from blockloom.session import prepare
-from blockloom.sources.versions import WHOLE, latest_version, manifest, read_table, write_version
+from blockloom.sources.versions import Staged, branch, chain, compact, latest_version, read_manifest, read_tables, write_version
 
 VERDICTS = "at timestamp, kind string, block_index bigint, detail string"
+PAYLOAD = "block_index bigint, table string, channel string, row_json string"
+HASHES = ("ledger_hash", "actions_hash", "contract_hash")
+Fetch = Callable[[int, int], DataFrame]
 
 
 class Halted(RuntimeError):
@@ -41,22 +45,20 @@ def verdicts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def record_verdict(spark: SparkSession, root: str, kind: str, block_index: int | None, detail: str) -> None:
-    """Durable halt or clear; the newest row decides."""
+    """A durable verdict; of halts and clears the newest decides, other kinds are a record."""
     row = spark.createDataFrame([(kind, block_index, detail)], "kind string, block_index bigint, detail string")
     row.select(F.current_timestamp().alias("at"), "kind", "block_index", "detail").coalesce(1).write.mode("append").parquet(f"{root}/verdicts")
 
 
 def active_halt(spark: SparkSession, root: str) -> str | None:
-    last = verdicts(spark, root).agg(F.max_by(F.struct("kind", "detail"), "at").alias("v")).first().v
+    deciding = verdicts(spark, root).where(F.col("kind").isin("halt", "clear"))
+    last = deciding.agg(F.max_by(F.struct("kind", "detail"), "at").alias("v")).first().v
     return last.detail if last is not None and last.kind == "halt" else None
 
 
 def load_tables(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
     version = latest_version(spark, root) if version is None else version
-    if version is None:
-        return {}
-    names = [r.table for r in manifest(spark, root).where(F.col("version") == version).select("table").distinct().collect()]
-    return {n: read_table(spark, root, n, version) for n in names}
+    return {} if version is None else read_tables(spark, root, version)
 
 
 def decode_payload(batch: DataFrame, schemas: dict[str, object], channel: str) -> dict[str, DataFrame]:
@@ -71,86 +73,178 @@ def decode_payload(batch: DataFrame, schemas: dict[str, object], channel: str) -
     return {t: decode_binary_json(rows.where(F.col("table") == t), s, also=height) for t, s in schemas.items()}
 
 
+# ---- what follows what ---------------------------------------------------------------------------
+def first_fork(batch: DataFrame, blocks: DataFrame) -> int | None:
+    """Lowest height at which the batch shows a block with other hashes than the committed one."""
+    fields = [c for c in (*HASHES, "block_hash") if c in blocks.columns]
+    if not fields:
+        return None
+    shown = decode_payload(batch.where(F.col("table") == "blocks"), {"blocks": blocks.schema}, "data")["blocks"]
+    known = blocks.select("block_index", *[F.col(c).alias(f"__{c}") for c in fields])
+    differs = [~F.col(c).eqNullSafe(F.col(f"__{c}")) & F.col(c).isNotNull() for c in fields]
+    return shown.join(known, "block_index").where(reduce(or_, differs)).agg(F.min("block_index")).first()[0]
+
+
+def missing_range(batch: DataFrame, tip: int | None) -> tuple[int, int] | None:
+    """First and last height that the batch lacks between the committed tip and its own highest block."""
+    new = batch.where(F.col("block_index") > tip) if tip is not None else batch
+    low, high, n = new.agg(F.min("block_index"), F.max("block_index"), F.countDistinct("block_index")).first()
+    if low is None or ((tip is None or low == tip + 1) and n == high - low + 1):
+        return None
+    return (tip + 1 if tip is not None else low), high
+
+
+def tip_of(blocks: DataFrame) -> int | None:
+    return blocks.agg(F.max("block_index")).first()[0]
+
+
 def check_continuity(spark: SparkSession, root: str, batch: DataFrame, blocks: DataFrame) -> None:
     """Record a verdict and raise where a batch shows another block at a known height, or leaves a gap.
 
     A block of a known height must carry the committed hashes; new heights must follow the tip one by one.
     """
-    fields = [c for c in ("ledger_hash", "actions_hash", "contract_hash", "block_hash") if c in blocks.columns]
-    shown = decode_payload(batch.where(F.col("table") == "blocks"), {"blocks": blocks.schema}, "data")["blocks"]
-    if fields:
-        known = blocks.select("block_index", *[F.col(c).alias(f"__{c}") for c in fields])
-        differs = [~F.col(c).eqNullSafe(F.col(f"__{c}")) & F.col(c).isNotNull() for c in fields]
-        fork = shown.join(known, "block_index").where(reduce(or_, differs)).agg(F.min("block_index")).first()[0]
-        if fork is not None:
-            record_verdict(spark, root, "fork", fork, f"block {fork} differs from the committed one")
-            raise NeedsCatchUp(f"fork at {fork}")
-    tip = blocks.agg(F.max("block_index")).first()[0]
-    new = batch.where(F.col("block_index") > tip) if tip is not None else batch
-    low, high, n = new.agg(F.min("block_index"), F.max("block_index"), F.countDistinct("block_index")).first()
-    if low is not None and ((tip is not None and low != tip + 1) or n != high - low + 1):
-        record_verdict(spark, root, "gap", low, f"tip {tip}, batch {low} to {high} with {n} heights")
+    fork = first_fork(batch, blocks)
+    if fork is not None:
+        record_verdict(spark, root, "fork", fork, f"block {fork} differs from the committed one")
+        raise NeedsCatchUp(f"fork at {fork}")
+    tip = tip_of(blocks)
+    gap = missing_range(batch, tip)
+    if gap is not None:
+        record_verdict(spark, root, "gap", gap[0], f"tip {tip}, batch up to {gap[1]}")
         raise NeedsCatchUp(f"gap after {tip}")
 
 
+# ---- reorganisation -------------------------------------------------------------------------------
+def roll_back(spark: SparkSession, root: str, height: int, **how) -> int:
+    """Publish the tables as they were just below a height, as a branch of the version chain; returns the version.
+
+    Where a version ends right below the height, the branch starts there and nothing is written but a
+    manifest.  Where the height lies inside a version, that version's tables are rolled back and written; `how`
+    goes to `rollback.rollback_indexer`.
+    """
+    head = latest_version(spark, root)
+    discarded: list[int] = []
+    above: int | None = None
+    for found in chain(spark, root, head):
+        if found["height"] < height:
+            if found["height"] == height - 1 or above is None:
+                return branch(spark, root, found["version"]) if above is not None else head
+            break
+        above = found["version"]
+        discarded.append(above)
+    if above is None:
+        raise ValueError(f"nothing to roll back to below {height}")
+    tables = load_tables(spark, root, above)
+    rolled = rollback.rollback_indexer(tables, height, **how)
+    changed = {t: df for t, df in rolled.items() if df is not tables.get(t)}
+    return write_version(spark, root, changed, height - 1, kind="rollback", parent=above, discards=discarded[:-1])
+
+
+def follow_reorg(spark: SparkSession, root: str, fork: int, tip: int, max_depth: int = MAX_ROLLBACK_DEPTH, **how) -> int:
+    """Roll back to a fork, or record a halt where that is too deep; the verdict is recorded either way."""
+    event = spark.createDataFrame([(fork,)], "block_index bigint")
+    verdict = follow.reorg_verdicts(event, tip, max_depth).first().verdict
+    if verdict != "rollback":
+        detail = f"reorg at {fork} below tip {tip}: {verdict}"
+        record_verdict(spark, root, "halt", fork, detail)
+        raise Halted(detail)
+    version = roll_back(spark, root, fork, **how)
+    gone = read_manifest(spark, root, version)["discards"]
+    record_verdict(spark, root, "reorg", fork, f"tip {tip} rolled back to {fork - 1}; versions {gone} discarded")
+    return version
+
+
+# ---- apply ----------------------------------------------------------------------------------------
+def already_published(spark: SparkSession, root: str, batch_key: str) -> bool:
+    """Whether a version on the head's chain came from this micro-batch.  Only a stream's last batch can come
+    again, so the search ends at the last version of the same stream."""
+    stream = batch_key.rpartition("/")[0]
+    head = latest_version(spark, root)
+    for found in chain(spark, root, head) if head is not None else ():
+        if (found["batch"] or "").rpartition("/")[0] == stream:
+            return found["batch"] == batch_key
+    return False
+
+
 def apply_batch(spark: SparkSession, root: str, batch: DataFrame, bucket_width: int | None = None,
-                verify: bool = True, schema_version: int | None = None) -> int | None:
+                verify: bool = True, schema_version: int | None = None, fetch: Fetch | None = None, reorg: bool = False,
+                batch_key: str | None = None, **how) -> int | None:
     """Apply one payload batch on the newest version and publish the next; returns its number.
 
     `batch`: block_index, table, channel, row_json, and schema_version when that is checked.
-    Heights already applied are skipped, so replaying a batch is harmless; a different block at such a
-    height, or a gap, is recorded and raises `NeedsCatchUp`, with nothing published.  With `verify` the new
-    heights' hashes are recomputed from the landed rows before anything is published; a
-    difference is recorded as a halt.
+    Heights already applied are skipped, so replaying a batch is harmless.  A different block at such a
+    height is recorded and raises `NeedsCatchUp`, or, with `reorg`, rolls back to it and goes on with the new
+    blocks.  Heights that lack between the tip and the batch are asked from `fetch(low, high)`; without it, or
+    where it lacks them too, that raises `NeedsCatchUp`.  With `verify` the new heights' hashes are recomputed
+    from the landed rows before anything is published; a difference is recorded as a halt.  What is written
+    grows with the batch, not with the tables.
     """
     prepare(spark)
     reason = active_halt(spark, root)
     if reason is not None:
         raise Halted(reason)
+    if batch_key is not None and already_published(spark, root, batch_key):
+        return None
     tables = load_tables(spark, root)
     if schema_version is not None:
         batch = scan.schema_gate(batch, schema_version)
+    if reorg:
+        fork = first_fork(batch, tables["blocks"])
+        if fork is not None:
+            follow_reorg(spark, root, fork, tip_of(tables["blocks"]), **how)
+            tables = load_tables(spark, root)
+    gap = missing_range(batch, tip_of(tables["blocks"])) if fetch is not None else None
+    if gap is not None:
+        columns = ["block_index", "table", "channel", "row_json"]
+        shown = batch.select("block_index").distinct()
+        batch = batch.select(*columns).unionByName(fetch(*gap).select(*columns).join(shown, "block_index", "left_anti"))
     check_continuity(spark, root, batch, tables["blocks"])
     fresh = scan.skip_applied(batch, tables["blocks"])
-    if fresh.isEmpty():
-        return None
     low, high = fresh.agg(F.min("block_index"), F.max("block_index")).first()
+    if low is None:
+        return None
     schemas = {t: df.schema for t, df in tables.items()}
     present = {(r.table, r.channel) for r in fresh.select("table", "channel").distinct().collect()}  # bounded by the table list
     data = {t: df for t, df in decode_payload(fresh, schemas, "data").items() if (t, "data") in present}
     updated = {t: df for t, df in decode_payload(fresh, schemas, "updated").items() if (t, "updated") in present}
-    nxt = apply_changes(tables, data, updated, (low, high), tables.get("index_statuses"))
-    if verify and {"ledger_hash", "actions_hash", "contract_hash"} <= set(nxt["blocks"].columns):
-        window = nxt["blocks"].where(F.col("block_index").between(low - 1, high))
-        computed = integrity.block_hashes(nxt, window).where(F.col("block_index") >= low)
-        bad = integrity.compare_roots(computed, window, ["ledger_hash", "actions_hash", "contract_hash"]).orderBy("block_index", "field").first()
-        if bad is not None:
-            detail = f"{bad.field} of block {bad.block_index} does not match its rows"
-            record_verdict(spark, root, "halt", bad.block_index, detail)
-            raise Halted(detail)
-    changed = {t: nxt[t] for t in nxt if nxt[t] is not tables.get(t)}
-    touched = None
-    if bucket_width:
-        touched = {}
-        for t in changed:
-            if t in tables and "block_index" in tables[t].columns:
-                landed = [(data[t], replace_keys(t))] if t in data else []
-                landed += [(updated[t], ["action_index"])] if t in updated else []
-                rows = touched_buckets(t, tables[t], nxt[t], landed, bucket_width).collect()  # one row per part
-                touched[t] = [WHOLE if r.bucket is None else r.bucket for r in rows]
-    return write_version(spark, root, changed, high, bucket_width, touched)
+    staged = Staged(spark, root, batch_changes(tables, data, updated, (low, high), tables.get("index_statuses")))
+    if verify:
+        check_landed(spark, root, staged.tables(), low, high)
+    return staged.publish(high, batch=batch_key)
+
+
+def check_landed(spark: SparkSession, root: str, landed: dict[str, DataFrame], low: int, high: int) -> None:
+    """Recompute the hashes of the heights low..high from landed rows; the lowest difference is recorded as a halt."""
+    if not set(HASHES) <= set(landed["blocks"].columns):
+        return
+    window = landed["blocks"].where(F.col("block_index").between(low - 1, high))
+    computed = integrity.block_hashes(landed, window).where(F.col("block_index") >= low)
+    bad = integrity.compare_roots(computed, window, list(HASHES)).orderBy("block_index", "field").first()
+    if bad is not None:
+        detail = f"{bad.field} of block {bad.block_index} does not match its rows"
+        record_verdict(spark, root, "halt", bad.block_index, detail)
+        raise Halted(detail)
 
 
 def run_pipeline(payloads: DataFrame, root: str, checkpoint: str, bucket_width: int | None = None,
-                 on_version: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Follow a payload stream; batches are serial, so catch-up always starts at the committed tip + 1."""
+                 on_version: Callable[[int], None] | None = None, fetch: Fetch | None = None, reorg: bool = False,
+                 compact_every: int | None = None, **how) -> StreamingQuery:
+    """Follow a payload stream; batches are serial, so catch-up always starts at the committed tip + 1.
+
+    With `reorg` and `fetch` the stream goes on through forks and gaps.  Tables of more than `compact_every`
+    added parts are rewritten whole after a batch.
+    """
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         kept = batch.persist()
         try:
-            version = apply_batch(batch.sparkSession, root, kept, bucket_width)
+            key = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}/{number}"
+            version = apply_batch(spark, root, kept, fetch=fetch, reorg=reorg, batch_key=key, **how)
         finally:
             kept.unpersist()
+        if version is not None and compact_every is not None:
+            compact(spark, root, bucket_width, compact_every)
         if version is not None and on_version is not None:
             on_version(version)
 
@@ -159,5 +253,17 @@ def run_pipeline(payloads: DataFrame, root: str, checkpoint: str, bucket_width:
 
 def payload_source(spark: SparkSession, path: str, files_per_batch: int = BLOCKS_PER_POLL) -> DataFrame:
     """Payload files as a stream, a bounded number per micro-batch."""
-    schema = "block_index bigint, table string, channel string, row_json string"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(path)
+
+
+def range_source(spark: SparkSession, path: str) -> Fetch:
+    """A bounded source of payload rows by height, to catch up from; of a height written several times the rows of
+    the newest file count, as after a reorganisation."""
+
+    def fetch(low: int, high: int) -> DataFrame:
+        rows = spark.read.schema(PAYLOAD).option("recursiveFileLookup", "true").parquet(path).where(F.col("block_index").between(low, high))
+        stamped = rows.select("*", F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file")).alias("__from"))
+        newest = stamped.groupBy("block_index").agg(F.max("__from").alias("__newest"))
+        return stamped.join(newest, "block_index").where("__from = __newest").drop("__from", "__newest")
+
+    return fetch
