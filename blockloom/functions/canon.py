@@ -175,15 +175,15 @@ def sorted_row_json(df_schema, excluded: set[str] = frozenset()) -> Column:
     return json_row(*shown)
 
 
-def encode_binary_json(df):
-    """Row JSON for exchange: binary columns become {"__xbin__": base64}."""
+def encode_binary_json(df, also: list[str] = ()):
+    """Row JSON for exchange: binary columns become {"__xbin__": base64}; `also` are columns kept beside it."""
     shown = []
-    for f in df.schema.fields:
+    for f in (f for f in df.schema.fields if f.name not in also):
         col = F.col(f"`{f.name}`")
         if f.dataType.typeName() == "binary":
             col = F.when(col.isNotNull(), F.struct(F.base64(col).alias("__xbin__")))
         shown.append(col.alias(f.name))
-    return df.select(json_row(*shown).alias("row_json"))
+    return df.select(json_row(*shown).alias("row_json"), *also)
 
 
 def decode_binary_json(df, schema, column: str = "row_json", also: list = ()):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom import registry as reg
 from blockloom.fixed_values import OPEN_OFFER_STATUSES
+from blockloom.functions.canon import encode_binary_json
 from blockloom.operators import aggregates as agg
 from blockloom.operators import changes, scan
 from blockloom.sources.versions import Delta, without
@@ -223,12 +226,77 @@ def incremental_snapshot(tables: dict[str, DataFrame], since: int, tip: int, del
     return data, changes.updated_rows(tables, since, tip, delay, statuses)
 
 
+def window_rows(tables: dict[str, DataFrame], start: int, end: int, delay: int | None, gas_tick: str,
+                statuses: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(data, updated rows) of every block of a window, each row with the height it belongs to, in one plan for all heights.
+
+    Rows of actions take their action's height, emissions their execution's; a lookup row comes at the first height
+    that points at it; backdated credits and rewards come at the height that completed them.  Of lookups over-fetch
+    is harmless: any `*_id` value counts for every lookup.
+    """
+    at = F.col("block_index").cast("bigint").alias(HEIGHT)
+    own = tables["actions"].where(scan.in_window("block_index", start, end)).select("action_index", at)
+    data: dict[str, DataFrame] = {}
+    for entry in reg.INDEXER:
+        df = tables.get(entry.table)
+        if df is None or not entry.replication.startswith("stream:") or entry.replication == "stream:index":
+            continue
+        if entry.table == "contract_emissions":
+            runs = tables["contract_executions"].join(own, "action_index").select(F.col("action_index").alias("execution_index"), HEIGHT)
+            data[entry.table] = df.join(runs, "execution_index").select("execution_index", "emitted_action", "action_index", "position", HEIGHT)
+        elif entry.table == "actions" or entry.replication in ("stream:block", "stream:special"):
+            data[entry.table] = scan.block_scan(df, start, end).select("*", at)
+        else:
+            data[entry.table] = df.join(own, "action_index").select(*df.columns, HEIGHT)
+    if {"unstakes", "contract_unstakes", "credits", "index_tickers"} <= set(tables):
+        late = changes.matured_credits(tables["credits"], tables["unstakes"], tables["contract_unstakes"],
+                                       tables["index_tickers"], statuses, gas_tick, start, end)
+        ended = [tables[t].where(scan.in_window("cooldown_end_block", start, end)).select(
+            "action_index", F.col("source_id").alias("address_id"), F.col("cooldown_end_block").cast("bigint").alias(HEIGHT)) for t in ("unstakes", "contract_unstakes")]
+        when = ended[0].unionByName(ended[1]).groupBy("action_index", "address_id").agg(F.min(HEIGHT).alias(HEIGHT))
+        late = late.join(when, ["action_index", "address_id"]).select(*late.columns, HEIGHT)
+        data["credits"] = scan.merge_side_channel(data["credits"], late, changes.CREDIT_IDENTITY)
+    if "validator_rewards" in tables:
+        rewards = tables["validator_rewards"]
+        late = changes.derived_rewards(rewards, start, end)
+        late = late.withColumn(HEIGHT, F.col("derive_block_index").cast("bigint"))
+        if {"recovery_pending_rewards", "index_pubkeys"} <= set(tables):
+            again = changes.redriven_rewards(rewards, tables["recovery_pending_rewards"], tables["index_pubkeys"], start, end)
+            done = tables["recovery_pending_rewards"].where((F.col("applied") == 1) & scan.in_window("applied_block", start, end)).groupBy(
+                "source_id", "reward_type", "round_reference").agg(F.min("applied_block").cast("bigint").alias("__done"))
+            a, d = again.alias("a"), done.alias("d")
+            same = [F.col(f"a.{c}").eqNullSafe(F.col(f"d.{c}")) for c in ("source_id", "reward_type", "round_reference")]
+            late = late.unionByName(a.join(d, same).select(*[F.col(f"a.{c}") for c in again.columns], F.col("d.__done").alias(HEIGHT)))
+        data["validator_rewards"] = scan.merge_side_channel(data["validator_rewards"], late, changes.REWARD_IDENTITY)
+    lookups = [e.table for e in reg.INDEXER if e.replication == "stream:index" and e.table in tables]
+    if lookups:
+        ids = scan.first_references(list(data.values()), HEIGHT)
+        for name in lookups:
+            data[name] = tables[name].join(ids, "id").select(*tables[name].columns, HEIGHT)
+    return data, changes.updated_rows_by_height(tables, start, end, delay, statuses, HEIGHT)
+
+
+def window_payload(tables: dict[str, DataFrame], start: int, end: int, delay: int | None, gas_tick: str, statuses: DataFrame,
+                   view_tip: int | None = None) -> DataFrame:
+    """Payload of every block of a window as rows block_index, table, channel, row_json, ready for `apply_batch`.
+
+    Rows show the state at the tables' version (`view_tip`, else the window's end), so blocks below it ship no
+    state hash or state root; their other hashes hold at any time.
+    """
+    data, updated = window_rows(tables, start, end, delay, gas_tick, statuses)
+    if "blocks" in data:
+        data["blocks"] = withhold_burst_hashes(data["blocks"], end if view_tip is None else view_tip)
+    parts = [encode_binary_json(df, also=[HEIGHT]).select(
+        F.col(HEIGHT).alias("block_index"), F.lit(name).alias("table"), F.lit(channel).alias("channel"), "row_json")
+        for channel, frames in (("data", data), ("updated", updated)) for name, df in frames.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def block_payload(data: dict[str, DataFrame], updated: dict[str, DataFrame]) -> DataFrame:
     """Change rows in exchange form: table, channel (data or updated) and the row as JSON."""
     parts = []
     for channel, frames in (("data", data), ("updated", updated)):
         for name, df in frames.items():
-            from blockloom.functions.canon import encode_binary_json
             parts.append(encode_binary_json(df).select(F.lit(name).alias("table"), F.lit(channel).alias("channel"), "row_json"))
     out = parts[0]
     for p in parts[1:]:

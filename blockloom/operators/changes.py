@@ -123,6 +123,45 @@ def updated_rows(tables: dict[str, DataFrame], start: int, end: int, delay: int
     return out
 
 
+def updated_rows_by_height(tables: dict[str, DataFrame], start: int, end: int, delay: int | None,
+                           statuses: DataFrame | None = None, height: str = "__height") -> dict[str, DataFrame]:
+    """As `updated_rows`, with the height at which each change happened: a row changed at several heights comes once
+    for each of them, every time in its current state."""
+    out: dict[str, DataFrame] = {}
+    for table in dict.fromkeys([s.table for s in STAMPS] + [j.table for j in JOURNALS]):
+        df = tables.get(table)
+        if df is None:
+            continue
+        heights = []
+        for s in (s for s in STAMPS if s.table == table and set(s.columns) <= set(df.columns)):
+            if s.delayed and delay is None:
+                continue
+            for c in s.columns:
+                at = (F.col(c) - F.lit(delay if s.delayed else 0)).cast("bigint")
+                heights.append(F.when(in_window(at, start, end) & (F.expr(s.where) if s.where else F.lit(True)), at))
+        journals = [j.journal for j in JOURNALS if j.table == table and j.journal in tables]
+        parts = [df.withColumn(height, F.explode(F.array_distinct(F.filter(F.array(*heights), lambda h: h.isNotNull()))))] if heights else []
+        for journal in journals:
+            hits = tables[journal].where((F.col("target_table") == table) & in_window("block_index", start, end)).select(
+                F.col("stake_action_index").alias("action_index"), F.col("block_index").cast("bigint").alias(height)).distinct()
+            parts.append(df.join(hits, "action_index").select(*df.columns, height))
+        if parts:
+            both = reduce(DataFrame.unionByName, parts)
+            out[table] = both if len(parts) == 1 else both.dropDuplicates(["action_index", height])
+    if "anchor_actions" in tables and statuses is not None:
+        anchors = tables["anchor_actions"]
+        valid = anchors.join(statuses.where("status = 'valid'").select(F.col("id").alias("status_id")), "status_id", "left_semi")
+        chunks = valid.where((F.col("version") == ARCHIVE_CHUNK_VERSION) & in_window("block_index_doge", start, end)).select(
+            "match_batch_seq", F.col("block_index_doge").cast("bigint").alias(height)).distinct()
+        out["anchor_actions"] = archive_heads(anchors, statuses, start, end).join(chunks, "match_batch_seq").select(*anchors.columns, height)
+    if {"tokens", "actions", "credits", "debits", "escrows"} <= set(tables):
+        window = tables["actions"].where(in_window("block_index", start, end)).select("action_index", F.col("block_index").alias(height))
+        ticks = reduce(DataFrame.union, [tables[t].where("tick_id is not null").join(window, "action_index").select("tick_id", height).distinct()
+                                         for t in ("credits", "debits", "escrows")]).distinct()
+        out["tokens"] = tables["tokens"].join(ticks, "tick_id").select(*tables["tokens"].columns, height)
+    return out
+
+
 def _one_per_identity(df: DataFrame, identity: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in identity]
     kept = df.groupBy(*identity).agg(F.max(F.struct(*rest)).alias("__r"))

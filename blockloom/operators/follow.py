@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +126,30 @@ def reorg_verdicts(reorgs: DataFrame, tip: int | None, max_depth: int = MAX_ROLL
                              .when(depth > max_depth, "halt: too deep").otherwise("rollback"))
 
 
+def batch_verdicts(shown: DataFrame, blocks: DataFrame, fields: list[str], max_depth: int = MAX_ROLLBACK_DEPTH) -> DataFrame:
+    """What each batch of shown blocks (batch, block_index and hashes) means to a replica that holds `blocks`: a row
+    per batch with its verdict, lowest fork height, and the heights it lacks above the tip.
+
+    `skip`: only known blocks.  `apply`: its new heights follow the tip one by one.  `gap`: some lack.  A block of a
+    known height with another hash is a fork, which is judged as a reorganisation.
+    """
+    tip = blocks.agg(F.max("block_index").cast("bigint").alias("tip"))
+    known = blocks.select("block_index", *[F.col(c).alias(f"__{c}") for c in fields])
+    differs = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"__{c}")) & F.col(c).isNotNull() for c in fields])
+    held = known.withColumn("__held", F.lit(True))
+    joined = shown.join(held, "block_index", "left")
+    fork = F.min(F.when(F.col("__held") & differs, F.col("block_index"))).alias("fork_block")
+    per = joined.withColumn("tip", tip.scalar())
+    new = F.when(F.col("tip").isNull() | (F.col("block_index") > F.col("tip")), F.col("block_index"))
+    per = per.groupBy("batch").agg(fork, F.first("tip").alias("tip"), F.min(new).alias("low"), F.max(new).alias("high"), F.countDistinct(new).alias("n"))
+    lacks = F.col("high") - F.coalesce(F.col("tip"), F.col("low") - 1) - F.col("n")
+    depth = F.col("tip") - F.col("fork_block") + 1
+    verdict = (F.when(F.col("fork_block").isNotNull(), F.when(depth > max_depth, "halt: too deep").otherwise("rollback"))
+               .when(F.col("low").isNull(), "skip").when(lacks > 0, "gap").otherwise("apply"))
+    return per.select("batch", verdict.alias("verdict"), F.col("fork_block").cast("bigint").alias("fork_block"),
+                      F.coalesce(lacks, F.lit(0)).cast("bigint").alias("n_missing"))
+
+
 def heartbeat_status(beats: DataFrame, roster: DataFrame, now: int, ttl: int, source_height: int | None) -> DataFrame:
     """Latest beat per validator with its lag: `stale` after the TTL, dropped after a further TTL
     unless on the roster, `absent` for roster members never seen."""

@@ -102,6 +102,17 @@ def referenced_lookups(frames: list[DataFrame], lookups: dict[str, DataFrame]) -
     return {name: df.join(ids, "id", "left_semi") for name, df in lookups.items()}
 
 
+def first_references(frames: list[DataFrame], height: str) -> DataFrame:
+    """Every non-null value of any `*_id` column, with the lowest height of a row that holds it."""
+    parts = []
+    for df in frames:
+        cols = [c for c in df.columns if c.endswith("_id")]
+        if cols:
+            ids = F.explode(F.array(*[F.col(c).cast("bigint") for c in cols]))
+            parts.append(df.select(ids.alias("id"), height).where("id is not null").groupBy("id").agg(F.min(height).alias(height)))
+    return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.min(height).alias(height))
+
+
 def resolve(df: DataFrame, lookup: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
     """Left lookup of an interned id; the optimizer broadcasts the lookup only when it is small."""
     names = lookup.select(F.col("id").alias(id_col), F.col(text_col).alias(out))

@@ -1,13 +1,20 @@
 """Change capture, write-mode and snapshot queries."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.operators import apply as ap
-from blockloom.operators import changes, scan
+from blockloom.functions.canon import encode_binary_json
+from blockloom.operators import aggregates as agg
+from blockloom.operators import changes, follow, scan
+from blockloom.plans.aggregates import SIGNED, TEXT
 from blockloom.plans.registry import query
+from blockloom.session import ensure_checkpoint_dir
+from blockloom.sources import versions
+from blockloom.streaming import pipeline
 from blockloom.sources.driver_model import ACTIVATION_DELAY, GAS_TICK
 
 LOW, HIGH = 1100, 1200
@@ -180,3 +187,103 @@ def config_merge(m):
     delta = lines.where("l_linenumber >= 3").groupBy(*keys).agg(
         F.min("l_quantity").cast("string").alias("value"), F.min("l_orderkey").alias("updated_at"))
     return scan.config_merge(base, delta)
+
+
+WINDOW_PAYLOAD = """WITH refs AS (SELECT id, min(h) AS h FROM (SELECT source_id AS id, block_index AS h FROM actions WHERE block_index BETWEEN 1100 AND 1200
+      UNION ALL SELECT address_id, block_index FROM debits JOIN actions USING (action_index) WHERE block_index BETWEEN 1100 AND 1200
+      UNION ALL SELECT tick_id, block_index FROM debits JOIN actions USING (action_index) WHERE block_index BETWEEN 1100 AND 1200) GROUP BY id)
+    SELECT block_index, 'blocks' AS "table", 'data' AS channel, '{"block_index":' || block_index || ',"block_time":' || block_time || ',"ledger_hash":' || coalesce('"' || ledger_hash || '"', 'null')
+      || ',"state_hash":' || CASE WHEN block_index = 1200 THEN '"s1200"' ELSE 'null' END || '}' AS row_json FROM blocks WHERE block_index BETWEEN 1100 AND 1200
+    UNION ALL SELECT block_index, 'debits', 'data', '{"action_index":' || action_index || ',"address_id":' || address_id || ',"tick_id":' || tick_id || ',"amount":"' || amount || '"}'
+      FROM debits JOIN actions USING (action_index) WHERE block_index BETWEEN 1100 AND 1200
+    UNION ALL SELECT h, 'index_addresses', 'data', '{"id":' || id || ',"address":"' || address || '"}' FROM index_addresses JOIN refs USING (id)
+    UNION ALL SELECT settled_block, 'bets', 'updated', '{"action_index":' || action_index || ',"bet_status_id":' || bet_status_id || ',"settled_block":' || settled_block || '}'
+      FROM bets WHERE settled_block BETWEEN 1100 AND 1200"""
+
+
+@query("window_payload", WINDOW_PAYLOAD, ("blocks", "actions", "debits", "index_addresses", "bets"))
+def window_payload(m):
+    tables = {"blocks": m.blocks.select("block_index", "block_time", "ledger_hash", F.concat(F.lit("s"), "block_index").alias("state_hash")),
+              "actions": m.actions, "debits": m.debits.select("action_index", "address_id", "tick_id", "amount"),
+              "index_addresses": m.index_addresses.select("id", "address"), "bets": m.bets}
+    rows = ap.window_payload(tables, LOW, HIGH, None, GAS_TICK, m.statuses)
+    return rows.where("table <> 'actions'").withColumn("block_index", F.col("block_index").cast("bigint"))
+
+
+SPLIT, LAST = (2300, 2350), 2404
+APPLIED = f"""SELECT 'balances' AS "table", address_id || '|' || tick_id || '|' || {TEXT.format('sum(amount)')} AS row_text FROM ({SIGNED})
+      GROUP BY address_id, tick_id HAVING sum(amount) <> 0
+    UNION ALL SELECT 'bets', action_index || '|' || bet_status_id || '|' || coalesce(CAST(settled_block AS VARCHAR), '') FROM bets
+    UNION ALL SELECT 'blocks', block_index || '|' || block_time || '|' || coalesce(ledger_hash, '') FROM blocks
+    UNION ALL SELECT 'debits', action_index || '|' || address_id || '|' || tick_id || '|' || amount FROM debits"""
+
+
+@query("apply_window", APPLIED, ("credits", "debits", "actions", "blocks", "bets"))
+def apply_window(m):
+    """The ledger below a height loaded as a version, the rest applied as payloads of two windows, and read back."""
+    spark = m.spark
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    whole = {"blocks": m.blocks.select("block_index", "block_time", "ledger_hash"), "actions": m.actions, "credits": m.credits, "debits": m.debits, "bets": m.bets}
+    early = m.actions.where(F.col("block_index") < SPLIT[0]).select("action_index")
+    unsettled = F.coalesce(F.col("settled_block") >= SPLIT[0], F.lit(False))
+    base = {"blocks": whole["blocks"].where(F.col("block_index") < SPLIT[0]), "actions": m.actions.where(F.col("block_index") < SPLIT[0]),
+            "credits": m.credits.join(early, "action_index", "left_semi"), "debits": m.debits.join(early, "action_index", "left_semi"),
+            "bets": m.bets.withColumns({"bet_status_id": F.when(unsettled, F.lit(0)).otherwise(F.col("bet_status_id")).cast("bigint"), "settled_block": F.when(~unsettled, F.col("settled_block"))})}
+    base["balances"] = agg.balances(base["credits"], base["debits"])
+    versions.write_version(spark, root, base, SPLIT[0] - 1)
+    # bets settle up to some way beyond the last block
+    for low, high in ((SPLIT[0], SPLIT[1] - 1), (SPLIT[1], 10 * LAST)):
+        ap.window_payload(whole, low, high, None, GAS_TICK, m.statuses).write.parquet(f"{root}/payload/{low}")
+        rows = spark.read.schema(pipeline.PAYLOAD).parquet(f"{root}/payload/{low}")
+        pipeline.stage(spark, root, pipeline.load_tables(spark, root), rows, (low, high)).publish(high)
+    now = pipeline.load_tables(spark, root)
+    shown = {"balances": ("address_id", "tick_id", "amount"), "bets": ("action_index", "bet_status_id", "settled_block"),
+             "blocks": ("block_index", "block_time", "ledger_hash"), "debits": ("action_index", "address_id", "tick_id", "amount")}
+    return reduce(DataFrame.unionByName, [now[t].select(F.lit(t).alias("table"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("row_text"))
+                                          for t, columns in shown.items()])
+
+
+UPDATES = """SELECT 'bets' AS "table", CAST(o_custkey AS VARCHAR) AS key, arg_max(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY o_custkey
+    UNION ALL SELECT 'index_addresses', CAST(o_custkey AS VARCHAR), arg_min(o_orderpriority, o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT id FROM index_addresses) GROUP BY o_custkey
+    UNION ALL SELECT 'index_addresses', CAST(id AS VARCHAR), address FROM index_addresses
+    UNION ALL SELECT 'validator_rewards', CAST(k AS VARCHAR), CAST(v AS VARCHAR) FROM (SELECT k, min(h) AS v FROM (SELECT o_custkey AS k, min(o_orderkey) AS h, 0 AS news FROM orders GROUP BY 1
+        UNION ALL SELECT o_custkey, o_orderkey, 1 FROM orders WHERE o_orderkey % 2 = 0) r
+      LEFT JOIN (SELECT o_custkey AS k, max(o_orderkey) AS until FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) g USING (k)
+      WHERE until IS NULL OR (news = 1 AND h > until) GROUP BY k)"""
+
+
+@query("apply_updates", UPDATES, ("index_addresses",))
+def apply_updates(m):
+    """Every order is a change of its customer's row at the height of its number: many heights of one key in a batch."""
+    orders = m.table("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").cast("bigint").alias("h"), F.col("o_orderpriority").alias("v"))
+    reward = lambda df, height: df.select(F.col("k").alias("source_id"), F.lit(1).alias("signing_pubkey_id"), F.lit("work").alias("reward_type"),
+                                          F.lit(None).cast("string").alias("round_reference"), height.alias("block_index"))
+    first = orders.groupBy("k").agg(F.min("h").alias("h"))
+    tables = {"bets": first.select(F.col("k").alias("action_index"), F.lit("old").alias("value")), "index_addresses": m.index_addresses.select("id", "address"),
+              "validator_rewards": reward(first, F.col("h")), "anchor_reward_reconcile_log": reward(orders.where("h % 3 = 0"), F.col("h"))}
+    data = {"index_addresses": orders.select(F.col("k").alias("id"), F.col("v").alias("address"), F.col("h").alias(ap.HEIGHT)),
+            "validator_rewards": reward(orders.where("h % 2 = 0"), F.col("h")).withColumn(ap.HEIGHT, F.col("block_index"))}
+    updated = {"bets": orders.select(F.col("k").alias("action_index"), F.col("v").alias("value"), F.col("h").alias(ap.HEIGHT))}
+    now = ap.apply_changes(tables, data, updated, (0, 10**12))
+    shown = {"bets": ("action_index", "value"), "index_addresses": ("id", "address"), "validator_rewards": ("source_id", "block_index")}
+    return reduce(DataFrame.unionByName, [now[t].select(F.lit(t).alias("table"), F.col(k).cast("string").alias("key"), F.col(v).cast("string").alias("value")) for t, (k, v) in shown.items()])
+
+
+VERDICTS = """WITH shown AS (SELECT block_index, block_index // 40 AS batch, CASE WHEN block_index % 97 = 0 THEN 'other' ELSE ledger_hash END AS ledger_hash FROM blocks
+      WHERE block_index % 211 <> 5 OR block_index <= 2000),
+    k AS (SELECT block_index, ledger_hash AS known, true AS held FROM blocks WHERE block_index <= 2000), t AS (SELECT max(block_index) AS tip FROM k),
+    b AS (SELECT batch, min(CASE WHEN held AND known IS DISTINCT FROM ledger_hash AND ledger_hash IS NOT NULL THEN block_index END) AS fork_block, any_value(tip) AS tip,
+      min(CASE WHEN block_index > tip THEN block_index END) AS low, max(CASE WHEN block_index > tip THEN block_index END) AS high,
+      count(DISTINCT CASE WHEN block_index > tip THEN block_index END) AS n FROM shown LEFT JOIN k USING (block_index) CROSS JOIN t GROUP BY batch)
+    SELECT batch, CASE WHEN fork_block IS NOT NULL THEN CASE WHEN tip - fork_block + 1 > 100 THEN 'halt: too deep' ELSE 'rollback' END
+      WHEN low IS NULL THEN 'skip' WHEN high - tip - n > 0 THEN 'gap' ELSE 'apply' END AS verdict, fork_block, coalesce(high - tip - n, 0) AS n_missing FROM b"""
+
+
+@query("apply_verdicts", VERDICTS, ("blocks",))
+def apply_verdicts(m):
+    """Batches of 40 heights, some with another hash or without a block, against a replica that ends at 2000."""
+    b = F.col("block_index")
+    shown = m.blocks.where((b % 211 != 5) | (b <= 2000)).select(
+        b, F.floor(b / 40).cast("bigint").alias("batch"), F.when(b % 97 == 0, "other").otherwise(F.col("ledger_hash")).alias("ledger_hash"))
+    return follow.batch_verdicts(shown, m.blocks.where(b <= 2000), ["ledger_hash"], 100)

@@ -203,16 +203,21 @@ def apply_batch(spark: SparkSession, root: str, batch: DataFrame, bucket_width:
     low, high = fresh.agg(F.min("block_index"), F.max("block_index")).first()
     if low is None:
         return None
-    schemas = {t: df.schema for t, df in tables.items()}
-    present = {(r.table, r.channel) for r in fresh.select("table", "channel").distinct().collect()}  # bounded by the table list
-    data = {t: df for t, df in decode_payload(fresh, schemas, "data").items() if (t, "data") in present}
-    updated = {t: df for t, df in decode_payload(fresh, schemas, "updated").items() if (t, "updated") in present}
-    staged = Staged(spark, root, batch_changes(tables, data, updated, (low, high), tables.get("index_statuses")))
+    staged = stage(spark, root, tables, fresh, (low, high))
     if verify:
         check_landed(spark, root, staged.tables(), low, high)
     return staged.publish(high, batch=batch_key)
 
 
+def stage(spark: SparkSession, root: str, tables: dict[str, DataFrame], rows: DataFrame, window: tuple[int, int]) -> Staged:
+    """Payload rows of a window of heights, written as parts of the next version; unchecked and not yet published."""
+    schemas = {t: df.schema for t, df in tables.items()}
+    present = {(r.table, r.channel) for r in rows.select("table", "channel").distinct().collect()}  # bounded by the table list
+    data = {t: df for t, df in decode_payload(rows, schemas, "data").items() if (t, "data") in present}
+    updated = {t: df for t, df in decode_payload(rows, schemas, "updated").items() if (t, "updated") in present}
+    return Staged(spark, root, batch_changes(tables, data, updated, window, tables.get("index_statuses")))
+
+
 def check_landed(spark: SparkSession, root: str, landed: dict[str, DataFrame], low: int, high: int) -> None:
     """Recompute the hashes of the heights low..high from landed rows; the lowest difference is recorded as a halt."""
     if not set(HASHES) <= set(landed["blocks"].columns):
@@ -257,13 +262,14 @@ def payload_source(spark: SparkSession, path: str, files_per_batch: int = BLOCKS
 
 
 def range_source(spark: SparkSession, path: str) -> Fetch:
-    """A bounded source of payload rows by height, to catch up from; of a height written several times the rows of
-    the newest file count, as after a reorganisation."""
+    """A bounded source of payload rows by height, to catch up from.  Each write has a folder of its own; of a height
+    written several times, as after a reorganisation, the newest folder counts."""
 
     def fetch(low: int, high: int) -> DataFrame:
         rows = spark.read.schema(PAYLOAD).option("recursiveFileLookup", "true").parquet(path).where(F.col("block_index").between(low, high))
-        stamped = rows.select("*", F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file")).alias("__from"))
-        newest = stamped.groupBy("block_index").agg(F.max("__from").alias("__newest"))
-        return stamped.join(newest, "block_index").where("__from = __newest").drop("__from", "__newest")
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+        stamped = rows.select("*", folder.alias("__folder"), F.col("_metadata.file_modification_time").alias("__at"))
+        newest = stamped.groupBy("block_index").agg(F.max_by("__folder", F.struct("__at", "__folder")).alias("__folder"))
+        return stamped.drop("__at").join(newest, ["block_index", "__folder"], "left_semi").drop("__folder")
 
     return fetch
