@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.fixed_values import EPOCH_SIZE
@@ -152,6 +152,21 @@ def resolve_markers(markers: DataFrame, epochs: DataFrame) -> DataFrame:
     return joined.withColumn("new_root", F.coalesce("new_root", "__r")).select(*markers.columns)
 
 
+def marker_chain(prunes: DataFrame, commits: DataFrame) -> DataFrame:
+    """Reorg markers of a whole history: (seq, epoch, old_root, new_root) for each invalidation of a committed epoch.
+
+    `prunes`: seq, epoch, old_root of every epoch each reorg invalidates; `commits`: seq, epoch, merkle_root.  A marker is
+    completed by its epoch's next commit; while one is pending, further prunes of the epoch add none, since the epoch
+    was not committed in between.
+    """
+    events = prunes.select("epoch", "seq", F.lit(1).alias("__prune"), "old_root", F.lit(None).cast("string").alias("__root")).unionByName(
+        commits.select("epoch", "seq", F.lit(0).alias("__prune"), F.lit(None).cast("string").alias("old_root"), F.col("merkle_root").alias("__root")))
+    by_epoch = Window.partitionBy("epoch").orderBy("seq", "__prune")  # an epoch has as many events as it was reorganised
+    later = by_epoch.rowsBetween(1, Window.unboundedFollowing)
+    told = events.withColumns({"__before": F.lag("__prune").over(by_epoch), "new_root": F.first("__root", ignorenulls=True).over(later)})
+    return told.where((F.col("__prune") == 1) & ~F.col("__before").eqNullSafe(F.lit(1))).select("seq", "epoch", "old_root", "new_root")
+
+
 def retention_boundary(log: DataFrame, epochs: DataFrame, keep: int) -> DataFrame:
     """One row: tip, cutoff, boundary (last committed end at or below the cutoff), straddling epochs,
     and whether pruning may go ahead."""

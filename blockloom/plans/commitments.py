@@ -1,13 +1,15 @@
 """Epoch log, Merkle and state-commitment queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from blockloom.functions import canon
 from blockloom.operators import epochs as ep
-from blockloom.operators import merkle, smt
+from blockloom.operators import merkle, smt, smt_store
 from blockloom.plans.integrity import block_tables
 from blockloom.plans.registry import query
-from blockloom.session import materialise
+from blockloom.session import ensure_checkpoint_dir, materialise
 
 LOG = """logged AS (SELECT block_index, ledger_hash, actions_hash, contract_hash FROM blocks WHERE block_index % 17 <> 5),
     leaves AS (SELECT (block_index + 99) // 100 AS epoch, block_index, sha256(coalesce(ledger_hash, '') || coalesce(actions_hash, '') || coalesce(contract_hash, '')) AS leaf
@@ -227,6 +229,27 @@ def smt_incremental(m):
     return smt.combine(smt.update_prefix_roots(smt.prefix_roots(old), now, changed))
 
 
+@query("smt_nodes", f"""WITH RECURSIVE leaves AS ({BALANCE_LEAVES_SQL}), {tree_sql('tree', 'SELECT * FROM leaves')}
+    SELECT h AS root, (SELECT count(*) FROM leaves) AS n_leaves, true AS shares_nodes FROM tree WHERE d = 0""", TREE)
+def smt_nodes(m):
+    """The tree as stored nodes: the state before height 1200 committed, then the leaves that differ; with the number of
+    lone-leaf nodes that the new version reaches, which is the number of its leaves."""
+    ensure_checkpoint_dir(m.spark)
+    root = f"{m.spark.sparkContext.getCheckpointDir()}/tree-{uuid.uuid4().hex}"
+    before = F.col("action_index") < 1200 * 1_000_000_000
+    old = materialise(smt.balance_leaves(m.credits.where(before), m.debits.where(before), m.index_addresses, m.index_tickers, CHAIN, NETWORK))
+    now = materialise(balance_leaves(m))
+    smt_store.commit(m.spark, root, old, 1199)
+    changed = now.join(old, ["key", "leaf"], "left_anti").unionByName(
+        old.join(now, "key", "left_anti").select("key", F.lit(None).cast("string").alias("leaf")))
+    smt_store.commit(m.spark, root, changed, 2404)
+    stored = smt_store.stored_nodes(m.spark, root)
+    live = materialise(smt_store.live_nodes(m.spark, root))
+    leaves = stored.where("key is not null").join(live, "node_hash", "left_semi").agg(F.countDistinct("key").alias("n"))
+    stats = stored.agg((F.countDistinct("node_hash") < 4 * live.agg(F.count("*")).scalar()).alias("s"))
+    return smt_store.tree_root(m.spark, root).select("root", leaves.select("n").scalar().alias("n_leaves"), stats.select("s").scalar().alias("shares_nodes"))
+
+
 @query("smt_proofs", f"""WITH RECURSIVE leaves AS ({BALANCE_LEAVES_SQL}), {tree_sql('tree', 'SELECT * FROM leaves')}
     SELECT key, leaf AS leaf_value, (SELECT h FROM tree WHERE d = 0) AS root, true AS verified FROM leaves
     UNION ALL SELECT sha256('none|' || key), NULL, (SELECT h FROM tree WHERE d = 0), true FROM leaves""", TREE)
