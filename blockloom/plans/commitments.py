@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import canon
 from blockloom.operators import epochs as ep
-from blockloom.operators import merkle, smt, smt_store
+from blockloom.operators import aggregates as agg
+from blockloom.operators import merkle, smt, smt_store, verify
 from blockloom.plans.integrity import block_tables
 from blockloom.plans.registry import query
 from blockloom.session import ensure_checkpoint_dir, materialise
@@ -229,6 +230,25 @@ def smt_incremental(m):
     return smt.combine(smt.update_prefix_roots(smt.prefix_roots(old), now, changed))
 
 
+def leaves_below(height: int) -> str:
+    """SQL of the balance leaves as of right after a height."""
+    out = BALANCE_LEAVES_SQL
+    for t in ("credits", "debits"):
+        out = out.replace(f"FROM {t}", f"FROM {t} JOIN actions USING (action_index) WHERE block_index <= {height}")
+    return out
+
+
+@query("balances_roots", " UNION ALL ".join(f"SELECT {h} AS block_index, (SELECT root FROM ({root_sql(leaves_below(h))})) AS balances_root" for h in (2401, 2402)), (*TREE, "actions"))
+def balances_roots(m):
+    """The balances tree right after each of two heights, threaded from the balances below them."""
+    low, high = 2401, 2402
+    early = m.actions.where(F.col("block_index") < low).select("action_index")
+    before = agg.balances(m.credits.join(early, "action_index", "left_semi"), m.debits.join(early, "action_index", "left_semi"))
+    landed = {"actions": m.actions, "credits": m.credits, "debits": m.debits, "index_addresses": m.index_addresses, "index_tickers": m.index_tickers,
+              "blocks": m.spark.range(low, high + 1).toDF("block_index")}
+    return verify.balances_roots(before, landed, low, high, CHAIN, NETWORK)
+
+
 @query("smt_nodes", f"""WITH RECURSIVE leaves AS ({BALANCE_LEAVES_SQL}), {tree_sql('tree', 'SELECT * FROM leaves')}
     SELECT h AS root, (SELECT count(*) FROM leaves) AS n_leaves, true AS shares_nodes FROM tree WHERE d = 0""", TREE)
 def smt_nodes(m):

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from blockloom.fixed_values import BLOCKS_PER_POLL, MAX_ROLLBACK_DEPTH
-from blockloom.operators import follow, integrity, rollback, scan
+from blockloom.operators import follow, rollback, scan
+from blockloom.operators.verify import mismatches
 from blockloom.operators.apply import HEIGHT, batch_changes
 from blockloom.session import prepare
 from blockloom.sources.versions import Staged, branch, chain, compact, latest_version, read_manifest, read_tables, write_version
@@ -168,16 +169,17 @@ def already_published(spark: SparkSession, root: str, batch_key: str) -> bool:
 
 def apply_batch(spark: SparkSession, root: str, batch: DataFrame, bucket_width: int | None = None,
                 verify: bool = True, schema_version: int | None = None, fetch: Fetch | None = None, reorg: bool = False,
-                batch_key: str | None = None, **how) -> int | None:
+                batch_key: str | None = None, commitments: dict | None = None, **how) -> int | None:
     """Apply one payload batch on the newest version and publish the next; returns its number.
 
     `batch`: block_index, table, channel, row_json, and schema_version when that is checked.
     Heights already applied are skipped, so replaying a batch is harmless.  A different block at such a
     height is recorded and raises `NeedsCatchUp`, or, with `reorg`, rolls back to it and goes on with the new
     blocks.  Heights that lack between the tip and the batch are asked from `fetch(low, high)`; without it, or
-    where it lacks them too, that raises `NeedsCatchUp`.  With `verify` the new heights' hashes are recomputed
-    from the landed rows before anything is published; a difference is recorded as a halt.  What is written
-    grows with the batch, not with the tables.
+    where it lacks them too, that raises `NeedsCatchUp`.  With `verify` the new heights' hashes, and with
+    `commitments` (chain, network, delay) also their roots and state hash, are recomputed from the landed rows
+    before anything is published; a difference is recorded as a halt.  What is written grows with the batch, not
+    with the tables.
     """
     prepare(spark)
     reason = active_halt(spark, root)
@@ -205,7 +207,7 @@ def apply_batch(spark: SparkSession, root: str, batch: DataFrame, bucket_width:
         return None
     staged = stage(spark, root, tables, fresh, (low, high))
     if verify:
-        check_landed(spark, root, staged.tables(), low, high)
+        check_landed(spark, root, tables, staged.tables(), low, high, **(commitments or {}))
     return staged.publish(high, batch=batch_key)
 
 
@@ -218,13 +220,9 @@ def stage(spark: SparkSession, root: str, tables: dict[str, DataFrame], rows: Da
     return Staged(spark, root, batch_changes(tables, data, updated, window, tables.get("index_statuses")))
 
 
-def check_landed(spark: SparkSession, root: str, landed: dict[str, DataFrame], low: int, high: int) -> None:
-    """Recompute the hashes of the heights low..high from landed rows; the lowest difference is recorded as a halt."""
-    if not set(HASHES) <= set(landed["blocks"].columns):
-        return
-    window = landed["blocks"].where(F.col("block_index").between(low - 1, high))
-    computed = integrity.block_hashes(landed, window).where(F.col("block_index") >= low)
-    bad = integrity.compare_roots(computed, window, list(HASHES)).orderBy("block_index", "field").first()
+def check_landed(spark: SparkSession, root: str, before: dict[str, DataFrame], landed: dict[str, DataFrame], low: int, high: int, **commitments) -> None:
+    """Recompute the commitments of the heights low..high from landed rows; the lowest difference is recorded as a halt."""
+    bad = mismatches(before, landed, low, high, **commitments).orderBy("block_index", "field").first()
     if bad is not None:
         detail = f"{bad.field} of block {bad.block_index} does not match its rows"
         record_verdict(spark, root, "halt", bad.block_index, detail)
