@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from blockloom.fixed_values import (
@@ -115,6 +116,16 @@ class ForkGuard(StatefulProcessor):
         self.cursor = handle.getValueState("cursor", "height bigint")
         self.recent = handle.getMapState("recent", "height bigint", "hash string")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Start from what the log recorded as sent, not from what the source shows now: a reorganisation that ended
+        while the guard was down is found at the first poll."""
+        cursor = self.cursor.get()[0] if self.cursor.exists() else -1
+        for at, known in zip(initialState["block_index"], initialState["hash"]):
+            cursor = max(cursor, int(at))
+            if not pd.isna(known):
+                self.recent.updateValue((int(at),), (known,))
+        self.cursor.update((cursor,))
+
     def _hash_at(self, height: int) -> str | None:
         return self.recent.getValue((height,))[0] if self.recent.containsKey((height,)) else None
 
@@ -259,8 +270,14 @@ def follow(events: DataFrame, max_depth: int = MAX_ROLLBACK_DEPTH) -> DataFrame:
     return events.groupBy("chain").transformWithStateInPandas(Follow(max_depth), FOLLOW_OUT, "Append", "None")
 
 
-def guard_forks(observed: DataFrame) -> DataFrame:
-    return observed.groupBy("chain").transformWithStateInPandas(ForkGuard(), GUARD_OUT, "Append", "None")
+def guard_forks(observed: DataFrame, recorded: DataFrame | None = None, cap: int = RECENT_HASH_CAP) -> DataFrame:
+    """`recorded` (chain, block_index, hash): heights that the log says were sent, to start from where the stream has no
+    state yet; the last `cap` of each chain are used."""
+    seed = None
+    if recorded is not None:
+        tip = recorded.groupBy("chain").agg(F.max("block_index").alias("__tip"))
+        seed = recorded.join(tip, "chain").where(F.col("block_index") > F.col("__tip") - cap).select("chain", "block_index", "hash").groupBy("chain")
+    return observed.groupBy("chain").transformWithStateInPandas(ForkGuard(cap), GUARD_OUT, "Append", "None", initialState=seed)
 
 
 def agree(reports: DataFrame, n_sources: int, quorum: int | None = None, strict: bool = False,

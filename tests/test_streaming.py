@@ -62,6 +62,17 @@ def test_fork_guard(run):
     assert got[12:] == [("reorg", 7)]
 
 
+def test_fork_guard_starts_from_the_log(run, spark):
+    """The source was reorganised at 5 while the guard was down and its state was lost."""
+    schema = "chain string, seq bigint, block_index bigint, hash string"
+    recorded = spark.createDataFrame([("c", h, None if h == 3 else f"h{h}") for h in range(1, 8)], "chain string, block_index bigint, hash string")
+    shown = [("c", 1, h, f"h{h}" if h < 5 else f"n{h}") for h in range(1, 9)]
+    seeded = [(r.verdict, r.block_index) for r in run([shown], schema, lambda s: st.guard_forks(s, recorded))]
+    assert seeded == [("reorg", 5)] + [("send", h) for h in (5, 6, 7, 8)]
+    same = [("c", 1, h, f"h{h}") for h in range(1, 9)]
+    assert [(r.verdict, r.block_index) for r in run([same], schema, lambda s: st.guard_forks(s, recorded))] == [("send", 8)]
+
+
 def test_agreement_equals_batch_twin(run, spark):
     schema = "source bigint, block_index bigint, hash string, seq bigint"
     rows = [(s, h, f"x{h}{s}" if (h * 7 + s * 3) % 5 == 0 else f"h{h}", h * 3 + s) for h in range(1, 25) for s in range(3)]
