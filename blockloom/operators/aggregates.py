@@ -92,19 +92,24 @@ def latest_per_key(journal: DataFrame, keys: list[str], value: str, order: str =
 
 
 def as_of_many(journal: DataFrame, probes: DataFrame, keys: list[str], value: str,
-               order: str = "id") -> DataFrame:
+               order: str = "id", bucket: int = 1_000) -> DataFrame:
     """As-of value of each (keys, block_index) probe: highest id at or below the probe's height.
 
-    The journal is first reduced to one running-maximum row per key and height, so a key's
-    window holds heights, not rows.
+    The journal is first reduced to one row per key and height.  A key's heights are cut into buckets that run on
+    their own; only one row per bucket of a key meets its others, to carry what earlier buckets ended with.
     """
     per_height = journal.groupBy(*keys, "block_index").agg(
         F.max(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("__e"))
     asked = probes.select(*keys, "block_index", F.lit(1).alias("__probe"))
-    both = per_height.withColumn("__probe", F.lit(0)).unionByName(asked, allowMissingColumns=True)
-    upto = Window.partitionBy(*keys).orderBy("block_index").rangeBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("__best", F.max("__e").over(upto))
-    return seen.where("__probe = 1").select(*keys, "block_index", F.col("__best.v").alias(value))
+    both = per_height.withColumn("__probe", F.lit(0)).unionByName(asked, allowMissingColumns=True).withColumn(
+        "__bucket", F.floor(F.col("block_index") / bucket))
+    upto = Window.partitionBy(*keys, "__bucket").orderBy("block_index").rangeBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("__best", F.max("__e").over(upto)).where("__probe = 1").alias("n")
+    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(*keys, "__bucket").agg(F.max("__e").alias("__last")).withColumn("__carry", F.max("__last").over(earlier)).alias("c")
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "__bucket")]
+    best = F.greatest(F.col("n.__best"), F.col("c.__carry"))
+    return near.join(ends, same, "left").select(*[F.col(f"n.{k}").alias(k) for k in (*keys, "block_index")], best["v"].alias(value))
 
 
 def latest_in_block(journal: DataFrame, group: list[str], key: str, value: str, binary: bool = True) -> DataFrame:

@@ -77,10 +77,21 @@ def keyset_page(df: DataFrame, keys: list[str], after: list, limit: int) -> Data
     return df.where(beyond).orderBy(*keys).limit(limit)
 
 
-def log_page(log: DataFrame, page: int, limit: int, columns: list[str]) -> DataFrame:
-    """Page of the log, newest first, each row carrying the total."""
+def log_page(log: DataFrame, page: int, limit: int, columns: list[str], bucket: int = 10_000) -> DataFrame:
+    """Page of the log, newest first, each row carrying the total.
+
+    Heights are counted by bucket, so a deep page reads and orders the buckets it lies in, not all that come before it.
+    """
     size = min(LOG_PAGE_MAX, max(1, limit))
-    rows = log.select(*columns).orderBy(F.desc("block_index")).offset(max(0, page) * size).limit(size)
+    first = max(0, page) * size
+    at = F.floor(F.col("block_index") / bucket)
+    counts = log.groupBy(at.alias("__bucket")).agg(F.count("*").alias("__n"))
+    newer = Window.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    hit = counts.withColumn("__before", F.coalesce(F.sum("__n").over(newer), F.lit(0))).where(
+        (F.col("__before") < first + size) & (F.col("__before") + F.col("__n") > first)).select("__bucket", "__before")
+    inside = Window.partitionBy("__bucket").orderBy(F.desc("block_index"))
+    placed = log.withColumn("__bucket", at).join(hit, "__bucket").withColumn("__at", F.col("__before") + F.row_number().over(inside) - 1)
+    rows = placed.where(F.col("__at").between(first, first + size - 1)).orderBy(F.desc("block_index")).select(*columns)
     return rows.withColumn("total", log.agg(F.count("*")).scalar())
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("scans", "aggregates", "stakes", "streams", "replication", "rollbacks", "integrity", "commitments", "snapshots")
+AREAS = ("scans", "aggregates", "stakes", "streams", "replication", "rollbacks", "integrity", "commitments", "snapshots", "forms")
 
 
 def load_all():

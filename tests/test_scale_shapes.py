@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom.functions import canon
-from blockloom.operators import epochs, follow, integrity, merkle, smt
+from blockloom.operators import aggregates as agg
+from blockloom.operators import epochs, follow, integrity, merkle, scan, smt
 
 
 def tree(leaves):
@@ -116,3 +117,29 @@ def test_gaps_across_buckets(spark):
     for bucket in (1, 3, 10, 100):
         got = sorted((r.from_block, r.to_block) for r in follow.gap_ranges(df, bucket).collect())
         assert got == [(3, 6), (8, 18), (22, 54)]
+
+
+def test_as_of_over_bucket_edges(spark):
+    """A busy key, a null key, probes before, between and after its rows, and buckets that hold probes only."""
+    import bisect
+
+    rows = [(1, b, b if b % 3 else None) for b in range(0, 95, 5)] + [(None, 7, 70), (2, 50, 500)]
+    journal = spark.createDataFrame([(i, k, b, None if v is None else str(v)) for i, (k, b, v) in enumerate(rows)], "id int, k int, block_index int, v string")
+    probes = spark.createDataFrame([(k, b) for k in (1, 2, 3, None) for b in range(-3, 130, 4)], "k int, block_index int")
+
+    def want(k, b):
+        mine = sorted((x, v) for kk, x, v in rows if kk == k)
+        at = bisect.bisect_right([x for x, _ in mine], b) - 1
+        return None if at < 0 or mine[at][1] is None else str(mine[at][1])
+
+    for bucket in (1, 10, 1_000):
+        got = agg.as_of_many(journal, probes, ["k"], "v", bucket=bucket).collect()
+        assert len(got) == probes.count() and all(r.v == want(r.k, r.block_index) for r in got)
+
+
+def test_log_pages_over_bucket_edges(spark):
+    log = spark.range(0, 57).where("id % 7 <> 3").select((F.col("id") + 3).alias("block_index"), F.lit("x").alias("h"))
+    heights = sorted((r.block_index for r in log.collect()), reverse=True)
+    for page in range(0, 8):
+        got = scan.log_page(log, page, 9, ["block_index"], bucket=10).collect()
+        assert [r.block_index for r in got] == heights[9 * page: 9 * page + 9] and all(r.total == len(heights) for r in got)
