@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions import decimals as D
@@ -112,10 +112,13 @@ def as_of_many(journal: DataFrame, probes: DataFrame, keys: list[str], value: st
     return near.join(ends, same, "left").select(*[F.col(f"n.{k}").alias(k) for k in (*keys, "block_index")], best["v"].alias(value))
 
 
-def latest_in_block(journal: DataFrame, group: list[str], key: str, value: str, binary: bool = True) -> DataFrame:
-    """Latest journal row per (block, group, key); `binary=False` folds letter case when grouping.
-    The row that wins keeps its own spelling of the key."""
-    folded = F.col(key) if binary else F.collate(F.col(key), "UTF8_LCASE")
+def latest_in_block(journal: DataFrame, group: list[str], key: str, value: str, binary: bool | Column = True) -> DataFrame:
+    """Latest journal row per (block, group, key); `binary=False` folds letter case when grouping, and a column
+    decides row by row.  The row that wins keeps its own spelling of the key."""
+    if isinstance(binary, Column):
+        folded = F.when(binary, F.col(key)).otherwise(F.lower(key))
+    else:
+        folded = F.col(key) if binary else F.collate(F.col(key), "UTF8_LCASE")
     newest = F.max_by(F.struct(F.col(key).alias("k"), F.col(value).alias("v")), F.col("id"))
     keyed = journal.withColumn("__key", folded)
     return keyed.groupBy("block_index", *group, "__key").agg(newest.alias("__n")).select(

@@ -45,8 +45,26 @@ TICK = ("tick_id", "index_tickers", "tick")
 STATUS = ("status_id", "index_statuses", "status")
 
 
-def block_rows(tables: dict[str, DataFrame], state_key_binary: bool = True) -> dict[tuple[str, int], DataFrame]:
-    """The canonical per-block rows, one frame per document array present in `tables`."""
+def key_collation(coin: str | None, network: str) -> Column:
+    """Whether state keys of a row's height compare byte by byte; below its activation they fold letter case."""
+    return gates.is_active("state_key_binary", F.col("block_index"), coin, network)
+
+
+SORT_KEY = "__sort_key"  # a text key as it sorts, where that isn't as it is shown
+
+
+def sort_columns(df: DataFrame, kind: str, i: int) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(numeric, text) sort keys of an array's rows."""
+    numbers, texts = SORTED_BY[kind][i]
+    return numbers, (SORT_KEY,) if SORT_KEY in df.columns else texts
+
+
+def block_rows(tables: dict[str, DataFrame], state_key_binary: bool | Column = True) -> dict[tuple[str, int], DataFrame]:
+    """The canonical per-block rows, one frame per document array present in `tables`.
+
+    `state_key_binary`, for all heights or as a column over block_index, tells whether state keys that differ in case
+    only are two keys; where they are one, keys also sort by their folded form.
+    """
     out: dict[tuple[str, int], DataFrame] = {}
     for i, name in enumerate(LEDGER_PARTS):
         if name in tables:
@@ -59,7 +77,9 @@ def block_rows(tables: dict[str, DataFrame], state_key_binary: bool = True) -> d
     if "contracts" in tables:
         out["contracts", 0] = named_rows(tables, "contracts", {"source_address": ("source_id", *ADDRESS), "status": STATUS})
     if "contract_state" in tables:
-        out["contracts", 1] = latest_in_block(tables["contract_state"], ["contract_index"], "state_key", "state_value", state_key_binary)
+        binary = F.lit(state_key_binary) if isinstance(state_key_binary, bool) else state_key_binary
+        state = latest_in_block(tables["contract_state"], ["contract_index"], "state_key", "state_value", binary)
+        out["contracts", 1] = state.withColumn(SORT_KEY, F.when(binary, F.col("state_key")).otherwise(F.upper("state_key")))
     if "contract_executions" in tables:
         out["contracts", 2] = named_rows(tables, "contract_executions", {"caller_address": ("caller_id", *ADDRESS), "status": STATUS})
     if "contract_emissions" in tables:
@@ -98,10 +118,10 @@ SORTED_BY = {
 }
 
 
-def _block_fragments(tables: dict[str, DataFrame], state_key_binary: bool) -> list[DataFrame]:
+def _block_fragments(tables: dict[str, DataFrame], state_key_binary: bool | Column) -> list[DataFrame]:
     parts = []
     for (kind, i), df in block_rows(tables, state_key_binary).items():
-        numbers, texts = SORTED_BY[kind][i]
+        numbers, texts = sort_columns(df, kind, i)
         shown = [canon_address(c) if kind == "ledger" and c == "address" else F.col(c) for c in SHOWN[kind][i]]
         parts.append(fragments(df, kind, i, shown, numbers, texts))
     return parts
@@ -117,7 +137,7 @@ def _block_tail(previous: Column) -> Column:
                     F.lit(f',"hash_version":{BLOCK_HASH_VERSION}}}'))
 
 
-def block_hashes(tables: dict[str, DataFrame], blocks: DataFrame, state_key_binary: bool = True) -> DataFrame:
+def block_hashes(tables: dict[str, DataFrame], blocks: DataFrame, state_key_binary: bool | Column = True) -> DataFrame:
     """(block_index, ledger_hash, actions_hash, contract_hash) recomputed from rows.
 
     `blocks` holds every block to hash with its committed hashes; the previous hash comes from
@@ -146,7 +166,7 @@ def _by_block(hashes: DataFrame) -> DataFrame:
 
 
 def commit_block_hashes(tables: dict[str, DataFrame], new_blocks: DataFrame, seeds: dict[str, str],
-                        state_key_binary: bool = True) -> DataFrame:
+                        state_key_binary: bool | Column = True) -> DataFrame:
     """Hashes for a window of consecutive new blocks, each chained to the one before; `seeds` holds
     the last committed ledger, actions and contracts hash."""
     parts = _block_fragments(tables, state_key_binary)

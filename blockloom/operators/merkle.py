@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from blockloom.functions import canon
-from blockloom.operators.integrity import SHOWN, SORTED_BY, block_rows, canon_address
+from blockloom.operators.integrity import SHOWN, block_rows, canon_address, sort_columns
 from blockloom.operators.ordered_hash import ORDER
 from blockloom.session import materialise, task_count
 
@@ -24,7 +24,7 @@ ROUNDS = 4  # 2^40 leaves per block
 LEDGER_KINDS = ("credit", "debit", "escrow")
 
 
-def block_leaves(tables: dict[str, DataFrame], state_key_binary: bool = True) -> DataFrame:
+def block_leaves(tables: dict[str, DataFrame], state_key_binary: bool | Column = True) -> DataFrame:
     """(block_index, rank, order keys, leaf): all ledger leaves, then actions, then the contract arrays."""
     parts = []
     for (kind, i), df in block_rows(tables, state_key_binary).items():
@@ -37,7 +37,7 @@ def block_leaves(tables: dict[str, DataFrame], state_key_binary: bool = True) ->
         else:
             name = ("contracts", "state", "executions", "emissions", "deposits", "withdrawals")[i]
             rank, leaf = 4 + i, canon.contract_leaf(name, *cols)
-        numbers, texts = SORTED_BY[kind][i]
+        numbers, texts = sort_columns(df, kind, i)
         keys = {f"n{j + 1}": F.col(c).cast("bigint") for j, c in enumerate(numbers)}
         keys.update({f"s{j + 1}": F.col(c).cast("string") for j, c in enumerate(texts)})
         order = [keys.get(k, F.lit(None).cast("bigint" if k[0] == "n" else "string")).alias(k) for k in ORDER]
@@ -122,7 +122,7 @@ def merkle_roots(leaves: DataFrame, group: list[str]) -> DataFrame:
     return counted.select(*group, F.coalesce("root", too_many.cast("string")).alias("root"), "leaf_count")
 
 
-def block_merkle_roots(tables: dict[str, DataFrame], blocks: DataFrame, state_key_binary: bool = True) -> DataFrame:
+def block_merkle_roots(tables: dict[str, DataFrame], blocks: DataFrame, state_key_binary: bool | Column = True) -> DataFrame:
     """Content root per block; a block with no rows has the empty-leaf root."""
     rows = block_leaves(tables, state_key_binary).join(blocks.select("block_index"), "block_index", "left_semi")
     placed = with_positions(rows, ["block_index"], ["rank", *ORDER, "leaf"])

@@ -103,12 +103,13 @@ def mismatches(before: dict[str, DataFrame], landed: dict[str, DataFrame], low:
     window = blocks.where(F.col("block_index").between(low - 1, high))
     own = blocks.where(F.col("block_index").between(low, high))
     parts = []
+    binary = integrity.key_collation(chain, network) if chain is not None else True
     hashes = ["ledger_hash", "actions_hash", "contract_hash"]
     if set(hashes) <= set(blocks.columns):
-        computed = integrity.block_hashes(landed, window).where(F.col("block_index") >= low)
+        computed = integrity.block_hashes(landed, window, binary).where(F.col("block_index") >= low)
         parts.append(integrity.compare_roots(computed, window, hashes))
     if chain is not None and "block_merkle_root" in blocks.columns:
-        parts.append(integrity.compare_roots(merkle.block_merkle_roots(landed, own), own, ["block_merkle_root"]))
+        parts.append(integrity.compare_roots(merkle.block_merkle_roots(landed, own, binary), own, ["block_merkle_root"]))
     if chain is not None and "balances_root" in blocks.columns and "balances" in before:
         parts.append(integrity.compare_roots(balances_roots(before["balances"], landed, low, high, chain, network, digits), own, ["balances_root"]))
     if chain is not None and "state_hash" in blocks.columns:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from blockloom.functions import canon
 from blockloom.operators import epochs as ep
 from blockloom.operators import aggregates as agg
-from blockloom.operators import merkle, smt, smt_store, verify
-from blockloom.plans.integrity import block_tables
+from blockloom.operators import integrity, merkle, smt, smt_store, verify
+from blockloom.plans.integrity import block_tables, execution_tables, jtext, tail
 from blockloom.plans.registry import query
 from blockloom.session import ensure_checkpoint_dir, materialise
 
@@ -146,6 +146,74 @@ def block_merkle_proofs(m):
     return proofs.select("block_index", "position", "root", "verified")
 
 
+# ---- over the height from which state keys compare byte by byte -------------------------------------
+ARMED = 1200
+TWINS_SQL = f"""twins AS (SELECT event_id AS id, user_id % 2 AS contract_index, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS state_key, CAST(value AS DECIMAL(18,2)) || '' AS state_value,
+      event_id // 10 AS block_index FROM events), folded AS (SELECT *, CASE WHEN block_index >= {ARMED} THEN state_key ELSE upper(state_key) END AS f FROM twins),
+    state AS (SELECT * FROM folded WHERE id IN (SELECT max(id) FROM folded GROUP BY block_index, contract_index, f)),
+    made AS (SELECT a.block_index, a.action_index, i.address AS source_address, 'code' || tx_index AS code_hash, 'valid' AS status FROM actions a LEFT JOIN index_addresses i ON i.id = a.source_id % 100 WHERE action = '2-HIGH'),
+    runs AS (SELECT a.block_index, a.action_index, a.source_id AS contract_index, i.address AS caller_address, CAST(tx_index AS VARCHAR) AS gas_used, 'valid' AS status, 2 AS emitted_count
+      FROM actions a LEFT JOIN index_addresses i ON i.id = a.source_id % 100 WHERE action = '1-URGENT'),
+    em AS (SELECT r.block_index, l.action_index AS execution_index, l.l_returnflag AS emitted_action, l.address_id AS action_index, l.l_linenumber AS position FROM ledger_base l JOIN runs r ON r.action_index = l.action_index),
+    moved AS (SELECT a.block_index, a.action_index, a.source_id AS contract_index, i.address AS source_address, k.tick, CAST(a.source_id * 3 AS VARCHAR) AS amount, 'valid' AS status, a.action
+      FROM actions a LEFT JOIN index_addresses i ON i.id = a.source_id % 100 LEFT JOIN index_tickers k ON k.id = a.source_id % 20)"""
+MOVE_PAIRS = (("action_index", "n"), ("contract_index", "n"), ("source_address", "s"), ("tick", "s"), ("amount", "s"), ("status", "s"))
+CONTRACT_ARRAYS = (  # name, rows, columns, order
+    ("contracts", "made", (("action_index", "n"), ("source_address", "s"), ("code_hash", "s"), ("status", "s")), "action_index"),
+    ("state", "state", (("contract_index", "n"), ("state_key", "s"), ("state_value", "s")), "contract_index, f"),
+    ("executions", "runs", (("action_index", "n"), ("contract_index", "n"), ("caller_address", "s"), ("gas_used", "s"), ("status", "s"), ("emitted_count", "n")), "action_index"),
+    ("emissions", "em", (("execution_index", "n"), ("emitted_action", "s"), ("action_index", "n"), ("position", "n")), "execution_index, position"),
+    ("deposits", "(SELECT * FROM moved WHERE action = '3-MEDIUM')", MOVE_PAIRS, "action_index, contract_index"),
+    ("withdrawals", "(SELECT * FROM moved WHERE action = '5-LOW')", MOVE_PAIRS, "action_index, contract_index"),
+)
+GATED_TABLES = ("actions", "blocks", "index_addresses", "index_tickers", "ledger_base")
+
+
+def gated_hash_sql() -> str:
+    arrays = ", ".join(f"t_{n} AS (SELECT block_index, string_agg(j, ',' ORDER BY {order}, j) AS t FROM (SELECT *, {jtext(*pairs)} AS j FROM {rows}) GROUP BY 1)" for n, rows, pairs, order in CONTRACT_ARRAYS)
+    shown = " || ".join(f"'{'{' if i == 0 else ','}\"{n}\":[' || coalesce(t_{n}.t, '') || ']'" for i, (n, *_) in enumerate(CONTRACT_ARRAYS))
+    joins = " ".join(f"LEFT JOIN t_{n} ON t_{n}.block_index = b.block_index" for n, *_ in CONTRACT_ARRAYS)
+    return f"WITH {TWINS_SQL}, {arrays} SELECT b.block_index, sha256({shown} || ',' {tail('contract_hash')}) AS contract_hash FROM blocks b LEFT JOIN blocks p ON p.block_index = b.block_index - 1 {joins}"
+
+
+def contract_tables(m):
+    """All six contract arrays; every other state key of a kind is written in capitals."""
+    executions, emissions = execution_tables(m)
+    e = F.col("event_id")
+    state = m.table("events").select(
+        e.alias("id"), (F.col("user_id") % 2).alias("contract_index"), F.when(e % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("state_key"),
+        F.col("value").cast("decimal(18,2)").cast("string").alias("state_value"), F.expr("event_id div 10").alias("block_index"))
+    source, valid = (F.col("source_id") % 100).alias("source_id"), F.lit(1).cast("bigint").alias("status_id")
+    moved = lambda kind: m.actions.where(F.col("action") == kind).select(
+        "action_index", F.col("source_id").alias("contract_index"), source, (F.col("source_id") % 20).alias("tick_id"), (F.col("source_id") * 3).cast("string").alias("amount"), valid)
+    return {"actions": m.actions, "contract_state": state, "contract_executions": executions, "contract_emissions": emissions,
+            "contracts": m.actions.where("action = '2-HIGH'").select("action_index", source, F.concat(F.lit("code"), "tx_index").alias("code_hash"), valid),
+            "deposits": moved("3-MEDIUM"), "withdrawals": moved("5-LOW"),
+            "index_addresses": m.index_addresses, "index_tickers": m.index_tickers, "index_statuses": m.statuses}
+
+
+@query("contract_hashes_gated", gated_hash_sql(), GATED_TABLES)
+def contract_hashes_gated(m):
+    return integrity.block_hashes(contract_tables(m), m.blocks, F.col("block_index") >= ARMED).select("block_index", "contract_hash")
+
+
+def gated_leaves_sql() -> str:
+    parts = []
+    for rank, (name, rows, pairs, order) in enumerate(CONTRACT_ARRAYS):
+        n1, n2 = ([c for c in order.split(", ") if c != "f"] + ["NULL"])[:2]
+        texts = ("f", "NULL", "NULL", "NULL") if name == "state" else ("source_address", "tick", "amount", "status") if name in ("deposits", "withdrawals") else ("NULL",) * 4
+        parts.append(f"SELECT block_index, {4 + rank} AS rank, {n1} AS n1, {n2} AS n2, {', '.join(f'CAST({t} AS VARCHAR) AS s{k + 1}' for k, t in enumerate(texts))}, {leaf_sql(chr(39) + 'C' + chr(39), chr(39) + name + chr(39), *[c for c, _ in pairs])} AS leaf FROM {rows}")
+    return " UNION ALL ".join(parts)
+
+
+@query("contract_leaf_positions", f"""WITH {TWINS_SQL} SELECT block_index, leaf, row_number() OVER (PARTITION BY block_index ORDER BY rank, n1, n2, s1, s2, s3, s4, leaf) - 1 AS position FROM ({gated_leaves_sql()})""", GATED_TABLES)
+def contract_leaf_positions(m):
+    """Order of the contract leaves of each block's content tree on both sides of the height."""
+    leaves = merkle.block_leaves(contract_tables(m), F.col("block_index") >= ARMED).where("rank >= 4")
+    placed = merkle.with_positions(leaves, ["block_index"], ["rank", *merkle.ORDER, "leaf"])
+    return placed.select("block_index", "leaf", "position")
+
+
 # ---- state trees ---------------------------------------------------------------------------------
 CHAIN, NETWORK = "BTC", "regtest"
 
