@@ -3,11 +3,15 @@
 Built-in functions only.  A pattern's matches and the text between them (`regexp_extract_all`,
 `split`) give all positions by running sums of lengths, in code points.
 
-Bootstrapping.  The two words before a word are its lexical pattern.  Fixed-pattern entities are the
-first instances: whole spans, with the two words before their start.  A pattern's confidence is the
-share of its entities and identifier-like words that are known instances; an instance's, one minus the product of its patterns' doubts.  Confident patterns make
-new instances known, round by round, and in the end those outside base spans become spans of kind
-`id`.  Patterns and instances are counted by partial sums before any shuffle, so a frequent pattern
+Bootstrapping.  A word's lexical patterns are the two words before it and, where the word before it is
+a label (`key:`, `key=`), that label alone.  The first instances are the fixed-pattern entities, whole
+spans with the words before their start, and words that are keys by their form (`KEY_SHAPE`).  A
+pattern's confidence is the share of known instances among all different words that follow it in lines
+with a digit or an @, so words of plain prose are no pattern; an instance's, one minus the product of
+its patterns' doubts.  Confident patterns make new instances
+known, round by round, and in the end those outside base spans become spans of kind `id`.  A key of
+hex digits alone may be a mere checksum: without a confident pattern it stays unmarked; one that opens
+with its issuer's mark (`ISSUED_KEY`) is marked anywhere.  Patterns and instances are counted by partial sums before any shuffle, so a frequent pattern
 or value is a row per task.  Null and empty texts have no spans; rows repeat as they come; other
 columns are not looked at.
 """
@@ -32,6 +36,10 @@ ROUNDS = 3
 MIN_DOCS = 5             # documents that a pattern must be seen in
 MIN_CONFIDENCE = 0.8     # of a pattern and of an instance
 PRIOR = 2.0              # unknown instances assumed for each pattern besides its own
+#: Published forms of access keys that open with a mark of who issued them.
+ISSUED_KEY = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[0-9A-Za-z-]{10,56})$"
+#: The same, and keys of 128, 160 or 256 bits in lower-case hex with a letter and a digit.
+KEY_SHAPE = ISSUED_KEY + r"|^(?=.*[0-9])(?=.*[a-f])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
 ID_SHAPE = r"^(?=.*[0-9])[A-Za-z0-9][A-Za-z0-9_./:@+-]{4,62}[A-Za-z0-9]$"
 
 
@@ -115,50 +123,66 @@ def _lines(found: DataFrame) -> DataFrame:
     return one.withColumn("base", F.expr("filter(base, b -> b.s >= at AND b.s < at + length(line))"))
 
 
-#: The two words before word i of w.
-BEFORE = "lower(concat_ws(' ', CASE WHEN i > 1 THEN w[i - 2] ELSE '^' END, CASE WHEN i > 0 THEN w[i - 1] ELSE '^' END))"
+#: The patterns of word i of w: the two words before it, with a space between them, and a label without one.
+BEFORE = """filter(array(lower(concat_ws(' ', CASE WHEN i > 1 THEN w[i - 2] ELSE '^' END, CASE WHEN i > 0 THEN w[i - 1] ELSE '^' END)),
+    CASE WHEN i > 0 AND w[i - 1] rlike '[A-Za-z].*[:=#]$' THEN lower(w[i - 1]) END), p -> p IS NOT NULL)"""
 
 
 def _entities(lines: DataFrame) -> DataFrame:
-    """Each base span with the two words before its start; of those that overlap, the one that starts first."""
+    """Each base span with the patterns before its start; of those that overlap, the one that starts first."""
     own = F.expr("filter(base, b -> NOT exists(base, x -> x.s < b.s AND x.e > b.s))")
     cut = lines.select("doc_id", "text_hash", "line", "at", F.explode(own).alias("b"))
     cut = cut.withColumn("w", F.split(F.expr("substring(line, 1, b.s - at)"), " ", -1)).withColumn("i", F.size("w") - 1)
-    return cut.select("doc_id", "text_hash", F.col("b.v").alias("v"), F.expr(BEFORE).alias("pattern"), F.col("b.s").alias("s"), F.col("b.e").alias("e"),
-                      F.lit(True).alias("seed"))
+    return cut.select("doc_id", "text_hash", F.col("b.v").alias("v"), F.expr(BEFORE).alias("patterns"), F.col("b.s").alias("s"), F.col("b.e").alias("e"),
+                      F.lit(True).alias("seed"), F.lit(True).alias("base"))
 
 
 def _words(lines: DataFrame) -> DataFrame:
-    """Each identifier-like word of the lines outside base spans, with its span in the text and its pattern."""
+    """Each identifier-like word of the lines outside base spans, with its span in the text and its patterns."""
     cut = lines.withColumn("w", F.split("line", " ", -1))
     cut = cut.withColumn("i", F.explode(F.expr("filter(sequence(0, size(w) - 1), i -> w[i] rlike '[0-9]')")))
     bare = F.regexp_replace(F.expr("w[i]"), r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
     cut = cut.select("doc_id", "text_hash", "base", bare.alias("v"),
                      F.expr("at + length(array_join(slice(w, 1, i), ' ')) + (CASE WHEN i > 0 THEN 1 ELSE 0 END)").alias("s0"),
-                     F.expr("w[i]").alias("whole"), F.expr(BEFORE).alias("pattern"))
+                     F.expr("w[i]").alias("whole"), F.expr(BEFORE).alias("patterns"))
     cut = cut.where(F.col("v").rlike(ID_SHAPE))
     s = F.col("s0") + F.expr("locate(v, whole) - 1")
-    free = ~F.exists("base", lambda b: (b["s"] < s + F.length("v")) & (b["e"] > s))
-    return cut.where(free).select("doc_id", "text_hash", "v", "pattern", s.alias("s"), (s + F.length("v")).alias("e"), F.lit(False).alias("seed"))
+    # digits of a key may look like a card
+    free = ~F.exists("base", lambda b: (b["s"] < s + F.length("v")) & (b["e"] > s)) | F.col("v").rlike(KEY_SHAPE)
+    return cut.where(free).select("doc_id", "text_hash", "v", "patterns", s.alias("s"), (s + F.length("v")).alias("e"),
+                                  F.col("v").rlike(KEY_SHAPE).alias("seed"), F.lit(False).alias("base"))
+
+
+def _plain(lines: DataFrame) -> DataFrame:
+    """Each pattern with the number of different words without a digit or @ that follow it in the lines."""
+    cut = lines.select(F.split("line", " ", -1).alias("w"))
+    follow = F.expr("transform(filter(sequence(0, size(w) - 1), i -> w[i] <> '' AND NOT w[i] rlike '[0-9@]'), "
+                    f"i -> struct(xxhash64(w[i]) AS v, {BEFORE} AS patterns))")
+    pairs = cut.select(F.explode(follow).alias("x")).select("x.v", F.explode("x.patterns").alias("pattern"))
+    return pairs.distinct().groupBy("pattern").agg(F.count("*").alias("others"))
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, text_hash, s, e of words outside base spans that confident patterns and instances mark."""
     lines = _lines(found)
-    seen = materialise(_words(lines).unionByName(_entities(lines)).dropDuplicates(["doc_id", "text_hash", "s", "e"]))
+    words = _words(lines).unionByName(_entities(lines)).withColumn("pattern", F.explode("patterns")).drop("patterns")
+    seen = materialise(words.dropDuplicates(["doc_id", "text_hash", "s", "e", "pattern"]))
     known = seen.where("seed").select("v").distinct()
     graph = seen.groupBy("pattern", "v").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    support = seen.groupBy("pattern").agg(F.approx_count_distinct("doc_id", 0.05).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("pattern")
-    edges = materialise(graph.join(support, "pattern"))
+    support = seen.select("pattern", "doc_id").distinct().groupBy("pattern").agg(F.count("doc_id").alias("docs")).where(F.col("docs") >= MIN_DOCS).select("pattern")
+    supported = materialise(support.join(_plain(lines), "pattern", "left").fillna(0, ["others"]))
+    edges = materialise(graph.join(supported, "pattern"))
     for _ in range(rounds):
         marked = edges.join(known.withColumn("known", F.lit(1)), "v", "left")
-        trusted = marked.groupBy("pattern").agg((F.sum(F.coalesce("known", F.lit(0))) / (F.count("*") + F.lit(PRIOR))).alias("confidence")) \
+        trusted = marked.groupBy("pattern").agg((F.sum(F.coalesce("known", F.lit(0))) / (F.count("*") + F.max("others") + F.lit(PRIOR))).alias("confidence")) \
             .where(F.col("confidence") >= MIN_CONFIDENCE)
         doubt = edges.join(trusted, "pattern").groupBy("v").agg(F.sum(F.log(F.lit(1.0001) - F.col("confidence"))).alias("doubt"))
         found_now = doubt.where(F.lit(1.0) - F.exp("doubt") >= MIN_CONFIDENCE).select("v")
         known = materialise(known.unionByName(found_now).distinct())
     good = edges.join(trusted.select("pattern"), "pattern").select("pattern", "v").join(known, "v")
-    return seen.where(~F.col("seed")).join(good, ["pattern", "v"]).select("doc_id", "text_hash", "s", "e").distinct()
+    inside = seen.where(~F.col("base"))
+    marked = inside.join(good, ["pattern", "v"]).unionByName(inside.where(F.col("v").rlike(ISSUED_KEY)))
+    return marked.select("doc_id", "text_hash", "s", "e").distinct()
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
