@@ -2,21 +2,24 @@
 
 A page is cut into blocks of text.  A linear classifier gives each block evidence for content or for boilerplate: 
 its sign and size are the capacity to one of two terminals.  Neighbours in the page are tied to each other,
-more strongly the closer they are in the tree.  The maximum flow between the terminals is the cheapest
+more strongly the closer they are in the tree, and so are the nearest blocks of one container with others between.  The maximum flow between the terminals is the cheapest
 labelling; blocks on the content side, in page order, are the text.
 
 Blocks next to each other with one container and the same sign are one node, so a page has about as many
 nodes as it has regions.  Null and empty pages, and pages without content, give an empty text.
 Unclosed and stray tags are taken as browsers do: a block tag ends an open paragraph, an end tag closes
-all that is open inside it.  Rows repeat as they come; other columns are not looked at.
+all that is open inside it.  A tag without a `>` after it is text.  Whole pages of any length are read, in time
+about linear in their length.  Rows repeat as they come; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import collections
 import html
 import math
 import re
 from collections import deque
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,7 +29,7 @@ BLOCK = frozenset("""address article aside blockquote body center dd details dia
 form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary
 table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes svg math object select button canvas audio video".split())
+RAW = frozenset("script style title textarea template iframe noembed noframes svg select".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 BOILER_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent
@@ -37,18 +40,35 @@ CONTENT_WORDS = frozenset("article articles post entry story content main body t
 #: Weights of the classifier, in log-odds for content.
 WEIGHTS = {"bias": -0.6, "article": 4.0, "content_name": 1.5, "boiler": -8.0, "header": -5.0, "length": 0.45, "links": -3.0, "stop": 0.7, "heading": 0.8}
 ADJACENT, NEARER = 0.3, 0.6  # capacity between neighbours, and on top where they have one container
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+APART = 0.3                  # capacity between the nearest two of one container that are not neighbours
+LEAST = 1e-9                 # capacities below are none
+# a quote that nothing closes is part of its tag, which ends at the next > then
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+(?=>)|[^>]*)>""", re.S)
+UNCLOSED = re.compile(r"<[!?].*", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=\s|/|$))""", re.I)
 NAME = re.compile(r"[a-z]+")
 
 
+def _boiler_name(value: str, tag: str) -> bool:
+    """Whether a class or id names boilerplate.
+
+    `article-footer` does.  Beside a name of content (`post tag-social`, or the tag itself) only a name
+    that is nothing else does (`comment-7`): the rest tell of topics and layout.
+    """
+    names = [set(NAME.findall(name)) for name in value.split()]
+    if tag in ("article", "main") or any(n and n <= CONTENT_WORDS for n in names):
+        return any(n and n <= BOILER_WORDS for n in names)
+    return any(n & BOILER_WORDS and not (n & CONTENT_WORDS and n & {"with", "has", "no", "left", "right"}) for n in names)
+
+
 class Element:
     __slots__ = ("tag", "parent", "depth", "boiler", "article", "named", "header")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.boiler = bool(parent and parent.boiler) or tag in BOILER_TAGS
+        # `main` can't be part of a menu or sidebar, whatever the names around it
+        self.boiler = bool(parent and parent.boiler and tag != "main") or tag in BOILER_TAGS
         self.article = bool(parent and parent.article) or tag in ("article", "main")
         self.header = (bool(parent and parent.header) or tag == "header") and not (tag in ("article", "main"))
         self.named = bool(parent and parent.named)
@@ -56,11 +76,9 @@ class Element:
             for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'").lower()
                 if name in ("class", "id"):
-                    words = set(NAME.findall(value))
-                    own = bool(words & BOILER_WORDS)
-                    # `article-footer` is boilerplate; `content with-sidebar` describes the content's layout
-                    self.boiler |= own and not (words & CONTENT_WORDS and words & {"with", "has", "no", "left", "right"})
-                    self.named |= bool(words & CONTENT_WORDS) and not own
+                    own = _boiler_name(value, tag)
+                    self.boiler |= own
+                    self.named |= bool(set(NAME.findall(value)) & CONTENT_WORDS) and not own
                 elif name == "role":
                     self.boiler |= value in BOILER_ROLES
                     self.article |= value in ("main", "article")
@@ -79,6 +97,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     top = Element("#", "", None)
     stack = [top]
+    opened: collections.Counter = collections.Counter()
     parts: list[str] = []
     linked = [0, False]  # characters inside links of this block, and whether a link is open
 
@@ -96,22 +115,22 @@ def blocks(page: str) -> list[Block]:
             if linked[1]:
                 linked[0] += len(text)
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
-        found = TOKEN.search(page, at)
+        found = (TOKEN if at <= last else UNCLOSED).search(page, at)
         if not found:
             add(page[at:])
             break
         add(page[at: found.start()])
         at = found.end()
-        slash, tag = found[1], (found[2] or "").lower()
-        if not tag:
+        if found.re is UNCLOSED or not found[2]:
             continue
+        slash, tag = found[1], found[2].lower()
         if tag in RAW and not slash:
             # what is inside isn't text of the page; without an end tag the rest is inside
             if found[3].endswith("/") and tag in ("svg", "math", "object"):
                 continue
-            shut = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            shut = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = shut.end() if shut else end
         elif tag == "br":
             parts.append(" ")
@@ -120,15 +139,16 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCK:
             close()
             if slash:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                shut = not opened[tag]
+                while not shut:
+                    shut = stack[-1].tag == tag
+                    opened[stack.pop().tag] -= 1
             else:
                 if stack[-1].tag == "p" or (stack[-1].tag == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th")):
-                    stack.pop()
+                    opened[stack.pop().tag] -= 1
                 if tag not in VOID:
                     stack.append(Element(tag, found[3], stack[-1]))
+                    opened[tag] += 1
     close()
     return out
 
@@ -160,31 +180,43 @@ def _apart(a: Element, b: Element) -> int:
 
 
 def source_side(capacity: list[dict[int, float]], source: int, sink: int) -> set[int]:
-    """Nodes on the source's side of a minimum cut: shortest augmenting paths until none is left."""
+    """Nodes on the source's side of a minimum cut: a blocking flow over shortest paths, level graph by level graph."""
     while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
+        level, queue = {source: 0}, deque([source])
+        while queue:
             u = queue.popleft()
             for v, c in capacity[u].items():
-                if c > 1e-9 and v not in came:
-                    came[v] = u
+                if c > LEAST and v not in level:
+                    level[v] = level[u] + 1
                     queue.append(v)
-        if sink not in came:
-            return set(came)
-        path, v = [], sink
-        while v != source:
-            path.append((came[v], v))
-            v = came[v]
-        flow = min(capacity[u][v] for u, v in path)
-        for u, v in path:
-            capacity[u][v] -= flow
-            capacity[v][u] = capacity[v].get(u, 0.0) + flow
+        if sink not in level:
+            return set(level)
+        onward = {u: [v for v in capacity[u] if level.get(v) == level[u] + 1] for u in level}
+        path = [source]
+        while path:
+            u = path[-1]
+            if u == sink:
+                flow = min(capacity[a][b] for a, b in pairwise(path))
+                full = len(path)
+                for k in range(len(path) - 2, -1, -1):
+                    a, b = path[k], path[k + 1]
+                    capacity[a][b] -= flow
+                    capacity[b][a] = capacity[b].get(a, 0.0) + flow
+                    if capacity[a][b] <= LEAST:
+                        full = k
+                del path[full + 1:]
+            elif not onward[u]:
+                path.pop()
+                if path:
+                    onward[path[-1]].pop()
+            elif capacity[u][onward[u][-1]] > LEAST:
+                path.append(onward[u][-1])
+            else:
+                onward[u].pop()
 
 
-def label(found: list[Block]) -> list[bool]:
-    """Which blocks are content."""
-    if not found:
-        return []
+def graph(found: list[Block]) -> tuple[list[int], list[dict[int, float]]]:
+    """The node of each block, and the capacities; the last two nodes are the terminals, content first."""
     score = [evidence(b) for b in found]
     node, nodes, place = [0], [score[0]], [found[0].element]
     for i in range(1, len(found)):
@@ -196,6 +228,7 @@ def label(found: list[Block]) -> list[bool]:
         node.append(len(nodes) - 1)
     n = len(nodes)
     capacity: list[dict[int, float]] = [{} for _ in range(n + 2)]
+    nearest: dict[Element, int] = {}
     for i, z in enumerate(nodes):
         if z > 0:
             capacity[n][i], capacity[i][n] = z, 0.0
@@ -205,7 +238,19 @@ def label(found: list[Block]) -> list[bool]:
             same = _container(place[i]) is _container(place[i - 1])
             tie = ADJACENT + (NEARER if same else NEARER / (2 + _apart(place[i], place[i - 1])))
             capacity[i][i - 1] = capacity[i - 1][i] = tie
-    content = source_side(capacity, n, n + 1)
+        before = nearest.get(_container(place[i]), i)
+        if before < i - 1:
+            capacity[i][before] = capacity[before][i] = APART
+        nearest[_container(place[i])] = i
+    return node, capacity
+
+
+def label(found: list[Block]) -> list[bool]:
+    """Which blocks are content."""
+    if not found:
+        return []
+    node, capacity = graph(found)
+    content = source_side(capacity, len(capacity) - 2, len(capacity) - 1)
     return [k in content for k in node]
 
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -521,6 +522,41 @@ def test_extract(spark):
     assert extract.extract(pages.where("false")).count() == 0
 
 
+PROSE = "<p>The first sentence is here and it has some length.</p><p>Let <math><mi>x</mi> = 3</math> be <noscript>given</noscript>.</p>"
+
+
+@pytest.mark.parametrize("opened, kept", [
+    ("article", True), ('article class="post-12 post category-search tag-social"', True), ('article id="post-cookie-recipes"', True),
+    ('main class="content content-sidebar-wrap"', True), ('div class="post tag-social"', True), ('article class="comment"', False),
+    ('article class="post comment-7 comment"', False), ('div class="article-footer"', False), ('div class="post sidebar"', False), ('div id="cookie-notice"', False)])
+def test_names_of_articles_and_of_boilerplate(opened, kept):
+    page = f"<body><nav><a>Home</a></nav><main><{opened}>{PROSE}</{opened.split()[0]}></main><footer>Site</footer>"
+    assert extract.main_text(page) == ("The first sentence is here and it has some length.\n\nLet x = 3 be given." if kept else "")
+
+
+@pytest.mark.parametrize("part, n, close", [("<p ", 330_000, ""), ("<p ", 330_000, ">"), ("<p ", 330_000, "\" >"), ("<p \">x", 160_000, ""), ("<!--", 250_000, ""),
+                                            ("</script ", 100_000, ""), ("<div>", 100_000, "x" + "</nav>" * 100_000),
+                                            ("<article><p>A sentence of the article that is long.</p></article><nav><a>Menu</a></nav>", 10_000, "")])
+def test_bad_and_long_pages_take_linear_time(part, n, close):
+    start = time.process_time()
+    extract.main_text(part * n + close)
+    assert time.process_time() - start < 10  # about a second; hours where time is quadratic
+
+
+def test_labels_of_small_pages_are_the_cheapest():
+    rng = random.Random(6)
+    for _ in range(80):
+        parts = [rng.choice(["<div>", "</div>", "<article>", "</article>", "<nav>", "</nav>", '<div class="post">', '<p class="share">', "<p>One more sentence of it.",
+                             "<p>Word", "<h2>Title</h2>", "<a href=x>link</a>", "<li>entry"]) for _ in range(rng.randint(1, 14))]
+        found = extract.blocks("".join(parts))
+        if found:
+            node, capacity = extract.graph(found)
+            n = len(capacity) - 2
+            cost = lambda side: sum(c for u in side for v, c in capacity[u].items() if v not in side)
+            kept = {k for k, yes in zip(node, extract.label(found)) if yes}
+            assert abs(cost({n} | kept) - min(cost({n} | {i for i in range(n) if m >> i & 1}) for m in range(1 << n))) < 1e-6
+
+
 def test_minimum_cut_is_least():
     rng = random.Random(4)
     for _ in range(60):
