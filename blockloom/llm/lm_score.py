@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from blockloom.llm.words import Words, utf8
 from blockloom.session import prepare
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
-SLICE_DOCS = 1_200  # documents of a slice, on average
+SLICE_DOCS = 800  # documents of a slice, on average
 TABLE_DOCS = 4_000 # documents for which there is one count table
 ALL = np.uint64(0) # stands for all words
 

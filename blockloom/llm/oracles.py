@@ -22,15 +22,17 @@ FROM s JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) c ON
 
 LM_SCORES = rf"""WITH w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
 t0 AS (SELECT doc_id, len(ws) AS nd, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w),
-t AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM t0),
+t AS (SELECT *, lag(w) OVER d AS h, lag(w, 2) OVER d AS g FROM t0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 one AS (SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
-      count(*) OVER (PARTITION BY h, w) - count(*) OVER (PARTITION BY doc_id, h, w) AS c2, count(*) OVER () - nd AS n FROM t),
-u AS (SELECT doc_id, w, any_value(c1) AS c1 FROM one GROUP BY ALL),
-p AS (SELECT one.doc_id, h, one.c1, c2, CASE WHEN h IS NOT NULL AND c2 > 0 THEN c2 / u.c1
-      ELSE CASE WHEN h IS NOT NULL THEN 0.4 ELSE 1.0 END * CASE WHEN one.c1 > 0 THEN one.c1 / n ELSE CAST(0.4 AS DOUBLE) / (n + 1) END END AS p
-      FROM one LEFT JOIN u ON u.doc_id = one.doc_id AND u.w = one.h)
+      count(*) OVER (PARTITION BY h, w) - count(*) OVER (PARTITION BY doc_id, h, w) AS c2,
+      count(*) OVER (PARTITION BY g, h, w) - count(*) OVER (PARTITION BY doc_id, g, h, w) AS c3, count(*) OVER () - nd AS n FROM t),
+b AS (SELECT *, lag(c1) OVER d AS b1, lag(c2) OVER d AS b2 FROM one WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, CASE WHEN g IS NOT NULL THEN c3 WHEN h IS NOT NULL THEN c2 ELSE c1 END > 0 AS seen,
+      CASE WHEN g IS NOT NULL AND c3 > 0 THEN c3 / b2 ELSE CASE WHEN g IS NOT NULL THEN 0.4 ELSE 1.0 END
+      * CASE WHEN h IS NOT NULL AND c2 > 0 THEN c2 / b1 ELSE CASE WHEN h IS NOT NULL THEN 0.4 ELSE 1.0 END
+      * CASE WHEN c1 > 0 THEN c1 / n ELSE CAST(0.4 AS DOUBLE) / (n + 1) END END END AS p FROM b)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_seen, 0) AS BIGINT) AS n_seen, round(score, 6) AS score
-FROM w LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE CASE WHEN h IS NULL THEN c1 > 0 ELSE c2 > 0 END) AS n_seen,
+FROM w LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE seen) AS n_seen,
       avg(log10(p)) AS score FROM p GROUP BY doc_id) x ON x.doc_id = w.doc_id"""
 
 _COMMON = "[" + ", ".join(f"'{c}'" for c in q.COMMON) + "]"
