@@ -45,7 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("jaccard_join", jaccard_join), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
-ORACLE_SQL = None  # models, sketches, bootstrapping and tokenizers aren't SQL; tests/llm compares with brute force
+ORACLE_SQL = None  # models, sketches, bootstrapping and tokenizers aren't SQL; tests/llm compares the operators with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
