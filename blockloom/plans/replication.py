@@ -232,8 +232,9 @@ def apply_window(m):
             "bets": m.bets.withColumns({"bet_status_id": F.when(unsettled, F.lit(0)).otherwise(F.col("bet_status_id")).cast("bigint"), "settled_block": F.when(~unsettled, F.col("settled_block"))})}
     base["balances"] = agg.balances(base["credits"], base["debits"])
     versions.write_version(spark, root, base, SPLIT[0] - 1)
-    # bets settle up to some way beyond the last block
-    for low, high in ((SPLIT[0], SPLIT[1] - 1), (SPLIT[1], 10 * LAST)):
+    # bets settle up to some way beyond the last block: the second window ends with the last change there is
+    ends = m.bets.agg(F.max("settled_block").alias("h")).first()["h"]
+    for low, high in ((SPLIT[0], SPLIT[1] - 1), (SPLIT[1], max(LAST, ends or LAST))):
         ap.window_payload(whole, low, high, None, GAS_TICK, m.statuses).write.parquet(f"{root}/payload/{low}")
         rows = spark.read.schema(pipeline.PAYLOAD).parquet(f"{root}/payload/{low}")
         pipeline.stage(spark, root, pipeline.load_tables(spark, root), rows, (low, high)).publish(high)
