@@ -162,9 +162,11 @@ def updated_rows_by_height(tables: dict[str, DataFrame], start: int, end: int, d
     return out
 
 
-def _one_per_identity(df: DataFrame, identity: list[str]) -> DataFrame:
+def _one_per_identity(df: DataFrame, identity: list[str], rank: Column | None = None) -> DataFrame:
+    """The greatest row per identity: by `rank` where given, then column by column."""
     rest = [c for c in df.columns if c not in identity]
-    kept = df.groupBy(*identity).agg(F.max(F.struct(*rest)).alias("__r"))
+    first = [] if rank is None else [rank.alias("__rank")]
+    kept = df.groupBy(*identity).agg(F.max(F.struct(*first, *rest)).alias("__r"))
     return kept.select(*[F.col(f"__r.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
@@ -201,11 +203,17 @@ def redriven_rewards(rewards: DataFrame, pending: DataFrame, pubkeys: DataFrame,
     named = rewards.join(pubkeys.select(F.col("id").alias("signing_pubkey_id"), "pubkey"), "signing_pubkey_id")
     hit = named.join(p, ["source_id", "reward_type", "amount", "block_index", "pubkey"]).where(
         F.col("round_reference").eqNullSafe(F.col("__round")) & (F.col("block_index") < F.col("applied_block")))
-    return _one_per_identity(hit.select(*rewards.columns), REWARD_IDENTITY)
+    return _one_per_identity(hit.select(*rewards.columns), REWARD_IDENTITY, _reward_rank())
 
 
 def derived_rewards(rewards: DataFrame, start: int, end: int) -> DataFrame:
     """Rewards derived in the window for an earlier earn height."""
     late = rewards.where(in_window("derive_block_index", start, end)
                          & (F.col("block_index") < F.col("derive_block_index")))
-    return _one_per_identity(late.dropna(subset=["source_id", "signing_pubkey_id"]), REWARD_IDENTITY)
+    return _one_per_identity(late.dropna(subset=["source_id", "signing_pubkey_id"]), REWARD_IDENTITY, _reward_rank())
+
+
+def _reward_rank() -> Column:
+    """Of several rewards with one identity the greatest `amount|height` text stands.  The mark after the amount counts:
+    it sorts above digits, so "5" beats "50" although "50" is the greater text."""
+    return F.concat("amount", F.lit("|"), F.lpad(F.col("block_index").cast("string"), 9, "0"))
