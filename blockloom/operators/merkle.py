@@ -1,15 +1,20 @@
 """Block-content Merkle trees: ordered leaves, roots, inclusion proofs.
 
 Leaf positions come from a range partitioning by (block, order), so a block of any size is
-ordered by many tasks; levels are folded in groups of at most 2^10 neighbours.
+ordered by many tasks.  Roots and proofs of blocks are folded where the sorted leaves lie: a task
+gives the greatest whole subtrees of its part, and those few meet per block.  Leaves with given
+positions are folded level by level, in groups of at most 2^10 neighbours.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -45,22 +50,67 @@ def block_leaves(tables: dict[str, DataFrame], state_key_binary: bool | Column =
     return reduce(DataFrame.unionByName, parts)
 
 
-def with_positions(df: DataFrame, group: list[str], order: list[str | Column], out: str = "position") -> DataFrame:
-    """0-based position of each row inside its group.
+@dataclass(frozen=True)
+class Sorted:
+    """Rows range-partitioned and sorted by group and order, kept once, with what a task can't see of its neighbours."""
+    rows: DataFrame  # the kept columns and __id, whose upper bits name the task
+    group: list[str]
+    base: dict[int, int]  # rows that the first group of a task has in earlier tasks
+    cut: set[tuple]  # groups that lie in several tasks
 
-    Rows are range-partitioned and sorted once and kept; a group that spans tasks has one small
-    count per task, and those counts give the offsets.
-    """
-    sorted_rows = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
-    kept = materialise(sorted_rows.withColumn("__id", F.monotonically_increasing_id()))
-    task = F.shiftright("__id", 33)
-    local = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    keyed = kept.withColumns({"__task": task, "__at": local})
-    spans = keyed.groupBy(*group, "__task").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spans.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).drop("__n", "__first")
-    return keyed.join(offsets, [*group, "__task"]).withColumn(out, F.col("__base") + F.col("__at")).drop(
-        "__id", "__task", "__at", "__base")
+    def over(self, walk, schema: str) -> DataFrame:
+        """`walk` over each task's rows as frames with their positions in the group."""
+        group, base = self.group, self.base
+        return self.rows.mapInPandas(lambda batches: walk(_numbered(batches, group, base)), schema)
+
+
+def _numbered(batches: Iterator[pd.DataFrame], group: list[str], base: dict[int, int]) -> Iterator[pd.DataFrame]:
+    current, at = None, 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        keys, index = pdf[group], np.arange(len(pdf))
+        new = (keys != keys.shift()).any(axis=1).to_numpy().copy()
+        new[0] = current is None or tuple(keys.iloc[0]) != current
+        start = np.maximum.accumulate(np.where(new, index, -1))
+        position = np.where(start >= 0, index - start, index + at)
+        if current is None:
+            position = position + np.where(start == 0, base.get(int(pdf["__id"].iloc[0]) >> 33, 0), 0)
+        current, at = tuple(keys.iloc[-1]), int(position[-1]) + 1
+        yield pdf.drop(columns="__id").assign(__position=position)
+
+
+def sorted_once(df: DataFrame, group: list[str], order: list[str | Column], keep: list[str]) -> Sorted:
+    """Only the first group of a task can begin in an earlier one, so one row of counts per task places all rows."""
+    by = df.dropna(subset=group).repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    rows = materialise(by.select(*keep, F.monotonically_increasing_id().alias("__id")))
+    spans = rows.groupBy(*group, F.shiftright("__id", 33).alias("__task")).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    one = F.struct(F.struct(*group).alias("g"), F.col("__n").alias("n"))
+    ends = spans.groupBy("__task").agg(F.min_by(one, "__first").alias("a"), F.max_by(one, "__first").alias("z")).collect()  # a row per task
+    base, cut, held, count = {}, set(), None, 0
+    for r in sorted(ends, key=lambda r: r["__task"]):
+        base[r["__task"]] = count if tuple(r.a.g) == held else 0
+        if base[r["__task"]]:
+            cut.add(held)
+        count = base[r["__task"]] + r.a.n if r.a.g == r.z.g else r.z.n
+        held = tuple(r.z.g)
+    return Sorted(rows, group, base, cut)
+
+
+def _types(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def with_positions(df: DataFrame, group: list[str], order: list[str | Column], out: str = "position", keep: list[str] | None = None) -> DataFrame:
+    """0-based position of each row inside its group; `keep` names the columns wanted beside it (default: all)."""
+    keep = list(df.columns if keep is None else keep)
+    kept = sorted_once(df, group, order, list(dict.fromkeys([*group, *keep])))
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.rename(columns={"__position": out})[[*keep, out]]
+
+    return kept.over(walk, f"{_types(df, keep)}, `{out}` bigint")
 
 
 def _fold(nodes: list[str], height: int, base: int) -> list[list[str]]:
@@ -122,16 +172,166 @@ def merkle_roots(leaves: DataFrame, group: list[str]) -> DataFrame:
     return counted.select(*group, F.coalesce("root", too_many.cast("string")).alias("root"), "leaf_count")
 
 
+def _push(stack: list[tuple[int, int, bytes]], level: int, at: int, node: bytes) -> None:
+    """Append a node to the greatest whole subtrees of a run; two halves become one."""
+    while stack and at & 1 and stack[-1][0] == level and stack[-1][1] == at - 1:
+        node = canon.pair_digest(stack.pop()[2], node)
+        level, at = level + 1, at >> 1
+    stack.append((level, at, node))
+
+
+def _runs(frames: Iterator[pd.DataFrame], group: list[str]) -> Iterator[tuple[tuple, int, list[bytes], bool]]:
+    """(group, first position, leaves, whether the group ends here) piece by piece."""
+    held = None
+    for pdf in frames:
+        leaves, places = pdf["leaf"].tolist(), pdf["__position"].to_numpy()
+        keys = pdf[group]
+        new = (keys != keys.shift()).any(axis=1).to_numpy().copy()
+        new[0] = True
+        marks = [*np.flatnonzero(new).tolist(), len(pdf)]
+        for a, b in zip(marks, marks[1:]):
+            key = tuple(keys.iloc[a])
+            if held is not None and held != key:
+                yield held, 0, [], True
+            held = key
+            yield key, int(places[a]), leaves[a:b], False
+    if held is not None:
+        yield held, 0, [], True
+
+
+def run_nodes(kept: Sorted, only: set[tuple] | None = None) -> DataFrame:
+    """(group, level, position, hash, n): the greatest whole subtrees of each group in each task, at most two a level;
+    `n` counts the leaves below.  No row leaves its task."""
+    group = kept.group
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stack, out = [], []
+        for key, at, leaves, last in _runs(frames, group):
+            if only is not None and key not in only:
+                continue
+            for i, leaf in enumerate(leaves):
+                _push(stack, 0, at + i, leaf)
+            if last:
+                out += [(*key, level, p, node, 1 << level) for level, p, node in stack]
+                stack = []
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=[*group, "level", "position", "hash", "n"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=[*group, "level", "position", "hash", "n"])
+
+    return kept.over(walk, f"{_types(kept.rows, group)}, level int, position bigint, hash binary, n bigint")
+
+
+class _Known:
+    """Nodes of one tree over `count` leaves, from whole subtrees that cover them; the rest is folded when asked."""
+
+    def __init__(self, count: int):
+        self.count, self.height, self.nodes = count, (count - 1).bit_length(), {}
+
+    def add(self, level: int, at: int, node: bytes) -> None:
+        self.nodes[level, at] = node
+
+    def add_run(self, first: int, leaves: list[bytes]) -> None:
+        """All nodes that lie within a run of leaves."""
+        level = 0
+        while leaves:
+            self.nodes.update(((level, first + i), node) for i, node in enumerate(leaves))
+            skip = first & 1
+            leaves = [canon.pair_digest(leaves[i], leaves[i + 1]) for i in range(skip, len(leaves) - 1, 2)]
+            first, level = (first + skip) >> 1, level + 1
+
+    def node(self, level: int, at: int) -> bytes:
+        found = self.nodes.get((level, at))
+        if found is None:
+            found = canon.EMPTY_ROOTS[level] if at << level >= self.count else canon.pair_digest(
+                self.node(level - 1, 2 * at), self.node(level - 1, 2 * at + 1))
+            self.nodes[level, at] = found
+        return found
+
+    def root(self) -> bytes:
+        return self.node(self.height, 0)
+
+
+@pandas_udf(T.StringType())
+def _root_of(count: pd.Series, levels: pd.Series, positions: pd.Series, hashes: pd.Series) -> pd.Series:
+    out = []
+    for n, *nodes in zip(count, levels, positions, hashes):
+        tree = _Known(int(n))
+        for level, at, node in zip(*nodes):
+            tree.add(int(level), int(at), bytes(node))
+        out.append(tree.root().hex())
+    return pd.Series(out, dtype=object)
+
+
+def sorted_leaves(leaves: DataFrame) -> Sorted:
+    """Block leaves in their order, kept as block and 32 bytes each."""
+    raw = leaves.withColumn("leaf", F.unhex("leaf"))
+    return sorted_once(raw, ["block_index"], ["rank", *ORDER, "leaf"], ["block_index", "leaf"])
+
+
+def block_positions(leaves: DataFrame) -> DataFrame:
+    """(block_index, leaf, position) of block leaves."""
+    raw = leaves.withColumn("leaf", F.unhex("leaf"))
+    placed = with_positions(raw, ["block_index"], ["rank", *ORDER, "leaf"], keep=["block_index", "leaf"])
+    return placed.select("block_index", F.lower(F.hex("leaf")).alias("leaf"), "position")
+
+
 def block_merkle_roots(tables: dict[str, DataFrame], blocks: DataFrame, state_key_binary: bool | Column = True) -> DataFrame:
     """Content root per block; a block with no rows has the empty-leaf root."""
     rows = block_leaves(tables, state_key_binary).join(blocks.select("block_index"), "block_index", "left_semi")
-    placed = with_positions(rows, ["block_index"], ["rank", *ORDER, "leaf"])
-    found = merkle_roots(placed, ["block_index"])
+    nodes = run_nodes(sorted_leaves(rows)).groupBy("block_index").agg(
+        F.sum("n").alias("leaf_count"), F.collect_list(F.struct("level", "position", "hash")).alias("__s"))
+    found = nodes.select("block_index", "leaf_count", _root_of("leaf_count", "__s.level", "__s.position", "__s.hash").alias("root"))
     return blocks.select("block_index").join(found, "block_index", "left").select(
         "block_index", F.coalesce("root", F.lit(canon.EMPTY_ROOTS[0].hex())).alias("block_merkle_root"),
         F.coalesce("leaf_count", F.lit(0)).cast("bigint").alias("leaf_count"))
 
 
+def block_inclusion_proofs(leaves: DataFrame, siblings: bool = True) -> DataFrame:
+    """(block_index, position, leaf, siblings bottom-up, root, verified) of every block leaf, each proof folded again from
+    its leaf.  A task makes the proofs of the leaves it holds; of a block in several tasks it is told the others' greatest
+    subtrees, so no path is shuffled.  Without `siblings` that column stays out."""
+    kept = sorted_leaves(leaves)
+    others: dict[int, list] = {}
+    for r in run_nodes(kept, kept.cut).collect() if kept.cut else ():  # at most two blocks a task, two nodes a level
+        others.setdefault(r.block_index, []).append((r.level, r.position, bytes(r.hash), r.n))
+    columns = ["block_index", "position", "leaf", *(["siblings"] if siblings else []), "root", "verified"]
+
+    def proofs(block: int, first: int, held: list[bytes]) -> Iterator[pd.DataFrame]:
+        far = others.get(block, ())
+        tree = _Known(sum(n for *_, n in far) or len(held))
+        for level, at, node, _ in far:
+            tree.add(level, at, node)
+        tree.add_run(first, held)
+        root, pair, out = tree.root(), canon.pair_digest, []
+        for at, leaf in enumerate(held, first):
+            path = [tree.node(k, at >> k ^ 1) for k in range(tree.height)]
+            node, i = leaf, at
+            for sibling in path:
+                node = pair(sibling, node) if i & 1 else pair(node, sibling)
+                i >>= 1
+            out.append((block, at, leaf.hex(), *([[p.hex() for p in path]] if siblings else []), root.hex(), node == root))
+            if len(out) == 10_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, first = [], 0
+        for (block,), at, piece, last in _runs(frames, ["block_index"]):
+            if last:
+                yield from proofs(int(block), first, held)
+                held = []
+                continue
+            first = first if held else at
+            held += piece
+
+    shown = "siblings array<string>, " if siblings else ""
+    return kept.over(walk, f"block_index bigint, position bigint, leaf string, {shown}root string, verified boolean")
+
+
 def inclusion_proofs(leaves: DataFrame, group: list[str]) -> DataFrame:
     """(group, position, leaf, siblings bottom-up, root) for every placed leaf."""
     nodes = tree_nodes(leaves, group)

@@ -118,8 +118,7 @@ def ledger_only(m):
 @query("block_leaf_positions", f"""SELECT block_index, leaf, row_number() OVER (PARTITION BY block_index ORDER BY rank, n1, s1, s2, s3, leaf) - 1 AS position FROM ({ledger_leaves_sql()})""",
        ("credits", "debits", "escrows", "actions", "index_addresses", "index_tickers"))
 def block_leaf_positions(m):
-    placed = merkle.with_positions(merkle.block_leaves(ledger_only(m)), ["block_index"], ["rank", *merkle.ORDER, "leaf"])
-    return placed.select("block_index", "leaf", "position")
+    return merkle.block_positions(merkle.block_leaves(ledger_only(m)))
 
 
 def node_sql(levels: int = 12) -> str:
@@ -141,8 +140,7 @@ def block_merkle_root(m):
 @query("block_merkle_proofs", f"""WITH {node_sql()} SELECT w0.block_index, w0.i AS position, w12.h AS root, true AS verified FROM w0 JOIN w12 ON w12.block_index = w0.block_index""",
        ("credits", "debits", "escrows", "actions", "index_addresses", "index_tickers"))
 def block_merkle_proofs(m):
-    placed = merkle.with_positions(merkle.block_leaves(ledger_only(m)), ["block_index"], ["rank", *merkle.ORDER, "leaf"])
-    proofs = merkle.verify_inclusion(merkle.inclusion_proofs(placed.select("block_index", "position", "leaf"), ["block_index"]))
+    proofs = merkle.block_inclusion_proofs(merkle.block_leaves(ledger_only(m)), siblings=False)
     return proofs.select("block_index", "position", "root", "verified")
 
 
@@ -210,8 +208,7 @@ def gated_leaves_sql() -> str:
 def contract_leaf_positions(m):
     """Order of the contract leaves of each block's content tree on both sides of the height."""
     leaves = merkle.block_leaves(contract_tables(m), F.col("block_index") >= ARMED).where("rank >= 4")
-    placed = merkle.with_positions(leaves, ["block_index"], ["rank", *merkle.ORDER, "leaf"])
-    return placed.select("block_index", "leaf", "position")
+    return merkle.block_positions(leaves)
 
 
 # ---- state trees ---------------------------------------------------------------------------------

@@ -1,14 +1,17 @@
 """What only shows beyond the small tables: late heights, many rows of one identity."""
 
+import hashlib
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from blockloom.operators import changes
+from blockloom.operators import changes, merkle
 from blockloom.sources.compare import TABLES, difference, duck_connection
+from tests.test_scale_shapes import tree
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +45,26 @@ def test_reward_of_an_identity_is_the_greatest_amount_and_height_text(spark):
                           F.lit(1).alias("applied"), F.col("derive_block_index").alias("applied_block"))
     keys = spark.createDataFrame([(2, "pk")], "id bigint, pubkey string")
     assert [(r.amount, r.block_index) for r in changes.redriven_rewards(rows, pending, keys, 1100, 1200).collect()] == [("5", 1120)]
+
+
+def test_block_roots_and_proofs_of_blocks_in_many_tasks(spark, request):
+    """Blocks of many sizes cut by task borders: one tree per block whatever the cuts, and no shuffle after the sort."""
+    sizes = {1: 5000, 2: 1, 3: 1024, 4: 1025, 5: 7, 6: 333}
+    rows = [(b, i % 4, 10 * i, hashlib.sha256(f"{b}/{i}".encode()).hexdigest()) for b, n in sizes.items() for i in range(n)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "block_index bigint, rank int, n1 bigint, leaf string").withColumns(
+        {c: F.lit(None).cast("bigint" if c[0] == "n" else "string") for c in merkle.ORDER if c != "n1"})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small as they are, the rows stay in several tasks
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    assert merkle.sorted_leaves(df).cut
+    want = {b: [x for _, _, x in sorted((r, n, x) for k, r, n, x in rows if k == b)] for b in sizes}
+    placed = merkle.block_positions(df)
+    got = {b: [None] * n for b, n in sizes.items()}
+    for r in placed.collect():
+        got[r.block_index][r.position] = r.leaf
+    assert got == want
+    proofs = merkle.block_inclusion_proofs(df)
+    again = merkle.verify_inclusion(proofs.drop("verified")).collect()
+    assert len(again) == len(rows) and all(r.verified and r.leaf == want[r.block_index][r.position] and r.root == tree(want[r.block_index]) for r in again)
+    assert proofs.where("not verified").count() == 0
+    assert "Exchange" not in proofs._jdf.queryExecution().executedPlan().toString()
