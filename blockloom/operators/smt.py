@@ -6,6 +6,7 @@ ledger's own skew is.  One task folds one prefix; the 2^bits prefix roots are fo
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -80,10 +81,26 @@ def stake_leaves(weights: DataFrame) -> DataFrame:
 
 
 # ---- tree --------------------------------------------------------------------------------------
+_EMPTY_BELOW = [canon.EMPTY_ROOTS[SMT_DEPTH - d - 1::-1] if d < SMT_DEPTH else [] for d in range(SMT_DEPTH + 1)]  # siblings from depth d down, all empty
+
+
 def _bit(key: bytes, depth: int) -> int:
     return key[depth >> 3] >> (7 - (depth & 7)) & 1
 
 
+def lifted(key: bytes, node: bytes, depth: int) -> bytes:
+    """A lone leaf carried up to `depth` against empty siblings."""
+    bits, sha = int.from_bytes(key, "big"), hashlib.sha256
+    for height in range(SMT_DEPTH - depth):
+        node = sha(_EMPTY_LEFT[height] + node if bits & 1 else _MARK + node + canon.EMPTY_ROOTS[height]).digest()
+        bits >>= 1
+    return node
+
+
+_MARK = canon.NODE_MARK
+_EMPTY_LEFT = [_MARK + e for e in canon.EMPTY_ROOTS]
+
+
 class _Subtree:
     """Leaves of one prefix, sorted by key; `node` gives the root of any run of them at a depth."""
 
@@ -103,11 +120,7 @@ class _Subtree:
 
     def lift(self, i: int, depth: int) -> bytes:
         """A lone leaf carried up to `depth` against empty siblings."""
-        node, key = self.leaves[i], self.keys[i]
-        for d in range(SMT_DEPTH - 1, depth - 1, -1):
-            empty = canon.EMPTY_ROOTS[SMT_DEPTH - 1 - d]
-            node = canon.pair_digest(empty, node) if _bit(key, d) else canon.pair_digest(node, empty)
-        return node
+        return lifted(self.keys[i], self.leaves[i], depth)
 
     def node(self, low: int, high: int, depth: int) -> bytes:
         if low == high:
@@ -126,6 +139,9 @@ class _Subtree:
         """Siblings from `depth` down to the leaf level, and the leaf when present."""
         low, high, siblings = 0, len(self.keys), []
         for d in range(depth, SMT_DEPTH):
+            if low == high or high - low == 1 and self.keys[low] == key:
+                siblings += _EMPTY_BELOW[d]  # nothing else lies below
+                break
             mid = self.split(low, high, d)
             if _bit(key, d):
                 siblings.append(self.node(low, mid, d + 1))
@@ -257,19 +273,20 @@ def smt_proofs(leaves: DataFrame, wanted: DataFrame, digits: int = PREFIX_DIGITS
     depth = 4 * digits
     asked = wanted.select("key").distinct()
     upper = _upper_siblings(prefix_roots(leaves, digits), asked, digits)
-    keyed = asked.withColumn("prefix", F.substring("key", 1, digits)).join(upper, "prefix")
     local = leaves.withColumn("prefix", F.substring("key", 1, digits)).join(
         asked.select(F.substring("key", 1, digits).alias("prefix")).distinct(), "prefix", "left_semi")
     both = local.select("prefix", F.lit(0).alias("asked"), "key", "leaf").unionByName(
-        keyed.select("prefix", F.lit(1).alias("asked"), "key", "root", "__up"), allowMissingColumns=True)
+        asked.select(F.substring("key", 1, digits).alias("prefix"), F.lit(1).alias("asked"), "key"), allowMissingColumns=True).unionByName(
+        upper.select("prefix", F.lit(2).alias("asked"), "root", "__up"), allowMissingColumns=True)  # once per prefix, not per key
 
     def prove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _runs(batches, ["prefix"]):
-            have, ask = pdf[pdf["asked"] == 0], pdf[pdf["asked"] == 1]
+            have, ask, top = (pdf[pdf["asked"] == k] for k in (0, 1, 2))
             sub, out = _Subtree(have["key"].tolist(), have["leaf"].tolist()), []
-            for key, root, up in zip(ask["key"], ask["root"], ask["__up"]):
+            root, up = top["root"].iloc[0], [bytes.fromhex(s) for s in top["__up"].iloc[0]]
+            for key in ask["key"]:
                 lower, leaf = sub.path(bytes.fromhex(key), depth)
-                bitmap, real = compress([bytes.fromhex(s) for s in up] + lower)
+                bitmap, real = compress(up + lower)
                 out.append((key, leaf.hex() if leaf else None, root, bitmap.hex(), [r.hex() for r in real]))
             if out:
                 yield pd.DataFrame(out, columns=["key", "leaf_value", "root", "bitmap", "siblings"])
@@ -280,8 +297,8 @@ def smt_proofs(leaves: DataFrame, wanted: DataFrame, digits: int = PREFIX_DIGITS
 
 def compress(siblings: list[bytes]) -> tuple[bytes, list[bytes]]:
     bits, real = bytearray(SMT_DEPTH // 8), []
-    for d, s in enumerate(siblings):
-        if s != canon.EMPTY_ROOTS[SMT_DEPTH - 1 - d]:
+    for d, (s, empty) in enumerate(zip(siblings, _EMPTY_BELOW[0])):
+        if s is not empty and s != empty:
             bits[d >> 3] |= 1 << (7 - (d & 7))
             real.append(s)
     return bytes(bits), real
@@ -301,14 +318,21 @@ def decompress(bitmap: bytes, real: list[bytes]) -> list[bytes]:
 @pandas_udf(T.BooleanType())
 def verify_smt(root: pd.Series, key: pd.Series, leaf: pd.Series, bitmap: pd.Series, siblings: pd.Series) -> pd.Series:
     """Does a compressed proof lead to the root?  A NULL leaf verifies absence."""
-    out = []
-    for r, k, v, b, s in zip(root, key, leaf, bitmap, siblings):
-        path, key_bytes = decompress(bytes.fromhex(b), [bytes.fromhex(x) for x in s]), bytes.fromhex(k)
-        node = canon.EMPTY_ROOTS[0] if v is None else bytes.fromhex(v)
-        for d in range(SMT_DEPTH - 1, -1, -1):
-            node = canon.pair_digest(path[d], node) if _bit(key_bytes, d) else canon.pair_digest(node, path[d])
-        out.append(node.hex() == r)
-    return pd.Series(out)
+    return pd.Series([_implied_root(k, v, b, x).hex() == r for r, k, v, b, x in zip(root, key, leaf, bitmap, siblings)])
+
+
+def _implied_root(key: str, leaf: str | None, bitmap: str, siblings) -> bytes:
+    """Root that a compressed proof gives; below its lowest real sibling a lone leaf or nothing at all is carried up."""
+    marked, bits, raw = int(bitmap, 16), int(key, 16), [bytes.fromhex(x) for x in siblings]
+    if marked.bit_count() != len(raw):
+        raise ValueError(f"too {'few' if marked.bit_count() > len(raw) else 'many'} siblings in compressed proof")
+    lowest = (marked & -marked).bit_length() - 1 if marked else SMT_DEPTH  # height of the lowest real sibling
+    node = canon.EMPTY_ROOTS[lowest] if leaf is None else lifted(bytes.fromhex(key), bytes.fromhex(leaf), SMT_DEPTH - lowest)
+    sha = hashlib.sha256
+    for height in range(lowest, SMT_DEPTH):
+        other = raw.pop() if marked >> height & 1 else canon.EMPTY_ROOTS[height]
+        node = sha(_MARK + other + node if bits >> height & 1 else _MARK + node + other).digest()
+    return node
 
 
 # ---- stored nodes ------------------------------------------------------------------------------

@@ -52,10 +52,7 @@ class Nodes:
         if not entries:
             return canon.EMPTY_ROOTS[SMT_DEPTH - depth]
         if len(entries) == 1:
-            key, node = entries[0]
-            for d in range(SMT_DEPTH - 1, depth - 1, -1):
-                empty = canon.EMPTY_ROOTS[SMT_DEPTH - 1 - d]
-                node = canon.pair_digest(empty, node) if smt._bit(key, d) else canon.pair_digest(node, empty)
+            node = smt.lifted(*entries[0], depth)
             self.lone[node] = self.fresh[node] = entries[0]
             return node
         mid = next((i for i, (k, _) in enumerate(entries) if smt._bit(k, depth)), len(entries))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from blockloom.operators import changes, merkle
+from blockloom.operators import changes, merkle, smt
 from blockloom.sources.compare import TABLES, difference, duck_connection
 from tests.test_scale_shapes import tree
 
@@ -68,3 +68,23 @@ def test_block_roots_and_proofs_of_blocks_in_many_tasks(spark, request):
     assert len(again) == len(rows) and all(r.verified and r.leaf == want[r.block_index][r.position] and r.root == tree(want[r.block_index]) for r in again)
     assert proofs.where("not verified").count() == 0
     assert "Exchange" not in proofs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paths_and_checks_hash_only_what_is_not_known(monkeypatch):
+    """Below a lone leaf all siblings are empty: a path looks at its real forks, a check of absence hashes down to the lowest only."""
+    names = [hashlib.sha256(f"k{i}".encode()).hexdigest() for i in range(64)]
+    sub = smt._Subtree(names, names)
+    root = sub.node(0, 64, 0).hex()
+    splits = []
+    monkeypatch.setattr(sub, "split", lambda *a, split=sub.split: splits.append(a) or split(*a))
+    for key in (names[5], hashlib.sha256(b"none").hexdigest()):
+        siblings, leaf = sub.path(bytes.fromhex(key), 0)
+        assert len(siblings) == 256 and (leaf is None) == (key not in names)
+        bitmap, real = smt.compress(siblings)
+        assert smt.decompress(bitmap, real) == siblings
+        args = [key, leaf.hex() if leaf else None, bitmap.hex(), [x.hex() for x in real]]
+        assert smt._implied_root(*args).hex() == root
+        assert smt._implied_root(key, hashlib.sha256(b"x").hexdigest(), *args[2:]).hex() != root
+        with pytest.raises(ValueError):
+            smt._implied_root(*args[:3], args[3][:-1])
+    assert len(splits) < 60
