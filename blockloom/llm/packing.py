@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.shards import placed
+from blockloom.session import task_count
 
 WINDOW = 2048
 END = 1
@@ -46,8 +47,8 @@ class Ids:
     """Token ids of texts as 16-bit arrays, the same as the tokenizer file gives.
 
     The tokenizer never joins what stands on the two sides of a space between two other characters,
-    so such texts are looked up chunk by chunk and only unseen chunks are encoded.  Texts with runs of
-    white space, or with the string of a special token, are encoded whole.
+    so without ranks such texts are looked up chunk by chunk and only unseen chunks are encoded.  Texts with
+    runs of white space, or with the string of a special token, are encoded whole, as all are where ranks are given.
     """
 
     def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
@@ -82,7 +83,7 @@ class Ids:
             return np.array([END], np.uint16)
         if any(s in text for s in self.special):
             return np.append(np.array(self._whole(text), np.uint16), np.uint16(END))
-        if _UNEVEN.search(text):
+        if self.fast or _UNEVEN.search(text):
             return np.append(np.frombuffer(self._encode(text), np.uint16), np.uint16(END))
         chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
         known, out = self.known, []
@@ -260,10 +261,11 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pa
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in shard_by if c in docs.columns]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                     F.concat_ws("\x1f", *keys).alias("kind"))
-    d = placed(d, SHARD_TOKENS).withColumn("h", F.xxhash64("doc_id", "text"))
-    by = ["kind", "place", "twin", "h", "doc_id"]
+    parts = task_count(docs.sparkSession)
+    # the parts come with the places: a range partitioning would place every text once more to find its own
+    d = placed(d.withColumn("h", F.xxhash64("doc_id", "text")), SHARD_TOKENS, parts).repartitionById(parts, "part")
     # one order of rows whichever way blocks arrive, so that a repeated task gives the same pieces
-    d = d.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
+    d = d.sortWithinPartitions("kind", "place", "twin", "h", "doc_id").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _ids(tokenizer_path, ranks_path, pattern)

@@ -9,6 +9,7 @@ The sample only steers the order of rows; what is found in a shard is scored exa
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from blockloom.llm.words import Words, mix, slices, utf8
 
 SAMPLE_DOCS = 8_000
+CUT_DOCS = 8         # of the sample in a part at least
 DIMENSIONS = 64
 BUCKETS = 1 << 16
 MOST_CENTRES = 256
@@ -66,6 +68,18 @@ class Places:
         at = 0 if centres is None else int(np.argmax(centres @ self.vector(bag)))
         return at, int(bag[np.argmin(self.cost[bag])]) if len(bag) else -1
 
+    def cut(self, rows: list[tuple], parts: int) -> None:
+        """Cuts between parts, from sorted rows (kind, place, twin, h, size).  More parts than CUT_DOCS rows allow
+        lie within those of the cuts, by h."""
+        ranges = max(min(parts, len(rows) // CUT_DOCS), 1)
+        self.within = parts // ranges
+        ends = np.cumsum([row[-1] for row in rows], dtype=float)
+        at = np.searchsorted(ends, np.arange(1, ranges) / ranges * ends[-1]) if ranges > 1 else []
+        self.cuts = [rows[k][:-1] for k in at]
+
+    def part(self, kind: str, place: int, twin: int, h: int) -> int:
+        return bisect_right(self.cuts, (kind, place, twin, h)) * self.within + h % self.within
+
 
 def _centres(v: np.ndarray, k: int) -> np.ndarray:
     rng = np.random.Generator(np.random.PCG64(k))
@@ -79,8 +93,8 @@ def _centres(v: np.ndarray, k: int) -> np.ndarray:
     return c[np.argsort(c @ along, kind="stable")]
 
 
-def fit(docs: DataFrame, shard_tokens: int) -> Places:
-    """From a sample of `docs` (doc_id, text, kind), drawn by a hash of the row."""
+def fit(docs: DataFrame, shard_tokens: int, parts: int = 1) -> Places:
+    """From a sample of `docs` (doc_id, text, kind, h), drawn by a hash of the row; with cuts between `parts` parts of about equal bytes."""
     n = docs.count()
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("place")), F.lit(1_000_000)) * F.lit(n) < F.lit(1_000_000 * SAMPLE_DOCS))
 
@@ -88,23 +102,30 @@ def fit(docs: DataFrame, shard_tokens: int) -> Places:
         for batch in batches:
             raw = [b.astype(np.uint16).tobytes() for b in bags(batch.column(1))] if batch.num_rows else []
             sizes = np.diff(utf8(batch.column(1))[1]) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(sizes, pa.int64())], ["kind", "bag", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw, pa.binary()), pa.array(sizes, pa.int64())], ["kind", "h", "bag", "size"])
 
-    got = drawn.select("kind", "text").mapInArrow(run, "kind string, bag binary, size long").toPandas().sort_values(["kind", "bag"])
+    got = drawn.select("kind", "text", "h").mapInArrow(run, "kind string, h long, bag binary, size long").toPandas().sort_values(["kind", "bag", "h"])
     whole = got.groupby("kind")["size"].sum() * (n / max(len(got), 1))
     centres_of = {kind: int(min(MOST_CENTRES, -(-size // (shard_tokens * TOKEN_BYTES)))) for kind, size in whole.items()}
-    return Places(got["kind"].tolist(), [np.frombuffer(b, np.uint16).astype(np.int64) for b in got["bag"]], centres_of)
+    kinds, found = got["kind"].tolist(), [np.frombuffer(b, np.uint16).astype(np.int64) for b in got["bag"]]
+    places = Places(kinds, found, centres_of)
+    places.cut(sorted((k, *places.place(k, b), h, size + 1) for k, b, h, size in zip(kinds, found, got["h"].tolist(), got["size"].tolist())), parts)
+    return places
 
 
-def placed(docs: DataFrame, shard_tokens: int) -> DataFrame:
-    """`docs` (doc_id, text, kind) with `place` and `twin`."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, shard_tokens))
+def placed(docs: DataFrame, shard_tokens: int, parts: int) -> DataFrame:
+    """`docs` (doc_id, text, kind, h) with `place` and `twin`, and with the one of `parts` parts in the order of kind,
+    place, twin and h that a row is in."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, shard_tokens, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = shared.value
         for batch in batches:
-            got = [places.place(k, b) for k, b in zip(batch.column(2).to_pylist(), bags(batch.column(1)))] if batch.num_rows else []
+            kinds, h = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            got = [places.place(k, b) for k, b in zip(kinds, bags(batch.column(1)))] if batch.num_rows else []
             place, twin = zip(*got) if got else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int32()), pa.array(twin, pa.int32())], ["doc_id", "text", "kind", "place", "twin"])
+            part = [places.part(*row) for row in zip(kinds, place, twin, h)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int32()) for x in (place, twin, part))],
+                                             ["doc_id", "text", "kind", "h", "place", "twin", "part"])
 
-    return docs.mapInArrow(run, "doc_id long, text string, kind string, place int, twin int")
+    return docs.mapInArrow(run, "doc_id long, text string, kind string, h long, place int, twin int, part int")

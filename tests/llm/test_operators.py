@@ -456,6 +456,22 @@ def test_packing(docs, texts):
     assert packing.pack(empty(docs), tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_parts_of_the_packing_come_with_the_places(docs):
+    """Even parts in the order of kind, place, twin and h, dealt without a second look at the texts."""
+    from blockloom.llm import shards
+
+    plan = packing.pack(docs, tokenizers.path("byte_bpe_50k.json"))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    rng = random.Random(4)
+    rows = sorted((rng.choice(["", "en"]), rng.randrange(3), rng.choice([7, 7, 7, rng.randrange(99)]), rng.getrandbits(64) - (1 << 63), 100) for _ in range(4000))
+    for parts in (1, 13, 1200):
+        places = shards.Places([], [], {})
+        places.cut(rows, parts)
+        got = [places.part(*row[:-1]) for row in rows]
+        assert max(collections.Counter(got).values()) <= 4000 / parts * 1.2 + 15 and 0 <= min(got) and max(got) < parts
+        assert parts == 1200 or got == sorted(got)
+
+
 def test_bm25_ranks_shared_rare_terms_first():
     docs = [np.array(x, np.uint16) for x in ([1, 2, 3, 9], [9, 9, 8], [1, 2, 3, 3], [7, 7])]
     assert packing.Index(docs).neighbours(0)[:2].tolist() == [0, 2]
