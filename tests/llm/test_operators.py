@@ -434,6 +434,18 @@ def test_pii_bootstrap_against_plain_loops(spark):
     assert all(r.n_id == sum(x.kind == "id" for x in r.span_list) for r in got)
 
 
+def test_lm_messages_are_short():
+    """Sorted hashes lose the bits that their order gives; counts take a byte."""
+    rng = np.random.default_rng(8)
+    for n, bits in ((1, 64), (2, 64), (5000, 64), (5000, 33), (5000, 10)):
+        grams = np.sort(rng.integers(0, 1 << bits, n, np.uint64, endpoint=False) if bits < 64 else rng.integers(0, (1 << 64) - 1, n, np.uint64))
+        raw = lm_score.packed(grams)
+        assert (lm_score.unpacked(raw) == grams).all()
+        assert len(raw) <= 17 + n * (max(bits - math.log2(n), 0) + 2.5) / 8 + 10
+        counts = rng.integers(0, 400, n)
+        assert (lm_score.unsmall(lm_score.small(counts), n) == counts).all()
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
