@@ -347,13 +347,17 @@ def content_digests(tables: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for name, df in tables.items():
         row = canon.sha256(canon.sorted_row_json(df.schema, set(reg.DIGEST_DROPPED_COLUMNS.get(name, ()))))
-        parts.append(df.select(F.lit(name).alias("table"), row.alias("h")))
+        parts.append(df.select(F.lit(name).alias("table"), F.unhex(row).alias("h")))
     counted = reduce(DataFrame.unionByName, parts).groupBy("table", "h").agg(F.count("*").alias("n"))
-    level = counted.select("table", F.substring("h", 1, DIGEST_DIGITS).alias("b"), F.concat_ws(":", "h", F.col("n").cast("string")).alias("d"), "n")
+    # hashes travel as bytes and lie by the bucket above the finest, so both levels fold where they lie
+    near = counted.withColumn("up", F.lower(F.hex(F.substring("h", 1, DIGEST_DIGITS // 2 - 1)))).repartition("table", "up")
+    text = F.lower(F.hex("h"))
+    level = near.select("table", "up", text.substr(1, DIGEST_DIGITS).alias("b"), F.concat_ws(":", text, F.col("n").cast("string")).alias("d"), "n")
     for digits in range(DIGEST_DIGITS - 2, -1, -2):
-        folded = level.groupBy("table", "b").agg(
+        folded = level.groupBy("table", *(["up", "b"] if digits == DIGEST_DIGITS - 2 else ["b"])).agg(
             canon.sha256(F.array_join(F.array_sort(F.collect_list("d")), ",")).alias("d"), F.sum("n").alias("n"))
-        level = folded.select("table", F.substring("b", 1, digits).alias("b"), F.concat_ws(":", "b", "d").alias("d"), "n")
+        up = F.col("up") if digits == DIGEST_DIGITS - 2 else F.substring("b", 1, digits)
+        level = folded.select("table", up.alias("b"), F.concat_ws(":", "b", "d").alias("d"), "n")
     return level.groupBy("table").agg(
         F.sum("n").alias("n_rows"), canon.sha256(F.array_join(F.array_sort(F.collect_list("d")), ",")).alias("digest"))
 

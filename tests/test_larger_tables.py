@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from blockloom.operators import changes, merkle, smt
+from blockloom.operators import changes, integrity, merkle, smt
 from blockloom.sources.compare import TABLES, difference, duck_connection
 from tests.test_scale_shapes import tree
 
@@ -88,3 +88,10 @@ def test_paths_and_checks_hash_only_what_is_not_known(monkeypatch):
         with pytest.raises(ValueError):
             smt._implied_root(*args[:3], args[3][:-1])
     assert len(splits) < 60
+
+
+def test_digest_rows_are_shuffled_twice_only(spark):
+    """Once to count copies and once to fold the two finest levels; digests of what is below are few."""
+    rows = spark.range(300).select("id", (F.col("id") % 7).cast("string").alias("text"))
+    plan = integrity.content_digests({"a": rows, "b": rows.unionByName(rows)})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4
