@@ -63,6 +63,25 @@ def task_count(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+PART_BYTES = 4 << 20  # bytes of input files for each task of a large shuffle
+MOST_PARTS = 20_000
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files that a frame reads."""
+    spark, size = df.sparkSession, 0
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    for file in map(path, df.inputFiles()):
+        size += file.getFileSystem(conf).getFileStatus(file).getLen()
+    return size
+
+
+def part_count(df: DataFrame, share: int = 1) -> int:
+    """Partitions of a shuffle of `df`: as many as the session's, more where its input is large, so that what a task
+    sorts or holds doesn't grow with the tables; `share` times as much lies in one."""
+    return max(task_count(df.sparkSession), min(MOST_PARTS, -(-input_bytes(df) // (share * PART_BYTES))))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give Python workers this package, once per application, through Spark's own file service."""
     context = spark.sparkContext
