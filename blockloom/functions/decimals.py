@@ -62,12 +62,13 @@ def _carry_out(values: list[str]) -> str:
     return f"aggregate(array({', '.join(values[:-1])}), cast(0 as {_WIDE}), (c, x) -> {_floor_div('(x + c)')})"
 
 
-def _carried(df: DataFrame, prefix: str, values: list[str]) -> DataFrame:
-    """Replace the limbs by ones in [0, 10^18); only the highest may exceed that."""
+def _carried(df: DataFrame, prefix: str, values: list[str], plain: str = "false") -> DataFrame:
+    """Replace the limbs by ones in [0, 10^18); only the highest may exceed that.  Where `plain` holds they already are."""
     names = limb_names(prefix)
     step = f"named_struct('c', {_floor_div('(x + a.c)')}, 'r', array_append(a.r, cast(pmod(x + a.c, {_BASE}) as {_WIDE})))"
     start = f"named_struct('c', cast(0 as {_WIDE}), 'r', cast(array() as array<{_WIDE}>))"
-    packed = f"aggregate(array({', '.join(values[:-1])}), {start}, (a, x) -> {step})"
+    lower = f"array({', '.join(values[:-1])})"
+    packed = f"case when {plain} then named_struct('c', cast(0 as {_WIDE}), 'r', {lower}) else aggregate({lower}, {start}, (a, x) -> {step}) end"
     out = {n: F.expr(f"{prefix}_packed.r[{k}]") for k, n in enumerate(names[:-1])}
     out[names[-1]] = F.expr(f"cast({values[-1]} + {prefix}_packed.c as {_WIDE})")
     return df.withColumns({f"{prefix}_packed": F.expr(packed)}).withColumns(out).drop(f"{prefix}_packed")
@@ -80,9 +81,12 @@ def settle(df: DataFrame, prefix: str) -> DataFrame:
     whole = f"coalesce(cast(substring_index({short}, '.', 1) as {_LIMB}), 0)"
     plain = [f"cast(coalesce({n}, 0) as {_WIDE})" for n in limb_names(prefix)]
     plain[0], plain[1] = f"cast({plain[0]} + {low} as {_WIDE})", f"cast({plain[1]} + {whole} as {_WIDE})"
-    sign = f"{prefix}_sign"
-    marked = df.withColumns({sign: F.expr(f"case when {plain[-1]} + {_carry_out(plain)} < 0 then -1 else 1 end")})
-    return _carried(marked, prefix, [f"cast({v} * {sign} as {_WIDE})" for v in plain]).drop(f"{prefix}_short")
+    sign, only = f"{prefix}_sign", f"{prefix}_only"
+    # a sum of short amounts below 10^18 has nothing to carry, and carrying is slow
+    is_only = " and ".join([f"{n} is null" for n in limb_names(prefix)] + [f"coalesce(abs({prefix}_short) < {_BASE}, true)"])
+    marked = df.withColumns({only: F.expr(is_only)}).withColumns({sign: F.expr(
+        f"case when {only} then case when {prefix}_short < 0 then -1 else 1 end when {plain[-1]} + {_carry_out(plain)} < 0 then -1 else 1 end")})
+    return _carried(marked, prefix, [f"cast({v} * {sign} as {_WIDE})" for v in plain], only).drop(f"{prefix}_short", only)
 
 
 def exceeds(left: str, times_left: int, right: str, times_right: int) -> Column:

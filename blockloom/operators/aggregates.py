@@ -38,9 +38,13 @@ def net_balance(credits: DataFrame, debits: DataFrame, wanted: DataFrame, keys:
 
 def balances_scoped(existing: DataFrame, credits: DataFrame, debits: DataFrame, touched: DataFrame,
                     keys: list[str] = PAIR) -> DataFrame:
-    """Rebuild only the touched keys and keep the rest; equals a full rebuild."""
+    """Rebuild only the touched keys and keep the rest; equals a full rebuild.
+
+    Keys are picked from the sums: Spark moves the pick below the sum where the touched keys are few enough to be sent
+    to all tasks, and where they aren't, sums are shuffled rather than rows.
+    """
     asked = touched.select(*keys).distinct()
-    fresh = balances(credits.join(asked, keys, "left_semi"), debits.join(asked, keys, "left_semi"), keys)
+    fresh = balances(credits, debits, keys).join(asked, keys, "left_semi")
     return existing.join(asked, keys, "left_anti").unionByName(fresh)
 
 

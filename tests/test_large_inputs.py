@@ -31,3 +31,22 @@ def test_ledger_join_has_more_tasks_for_more_input(spark, small_parts):
     keys = spark.read.parquet(f"{SF}/orders.parquet")
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
     assert ledger.count() == lines.join(keys, F.col("l_orderkey") == F.col("o_orderkey")).count()
+
+
+def test_scoped_balances_pick_keys_from_sums(spark):
+    rows = spark.createDataFrame([(1, 1, "5"), (1, 1, "2.5"), (2, 1, "1"), (3, 1, "7")], "address_id bigint, tick_id bigint, amount string")
+    spent = spark.createDataFrame([(3, 1, "7"), (1, 1, "0.5")], rows.schema)
+    existing = spark.createDataFrame([(2, 1, "1"), (3, 1, "9")], rows.schema)
+    touched = spark.createDataFrame([(1, 1), (3, 1), (9, 9)], "address_id bigint, tick_id bigint")
+    got = agg.balances_scoped(existing, rows, spent, touched)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "7"), (2, 1, "1")]
+    optimized = got._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("LeftSemi") == 1  # before, one pick from the credits and one from the debits
+
+
+def test_sums_that_carry_and_sums_that_need_not(spark):
+    cases = {1: ["0.1", "-0.1"], 2: ["-999999", "0.000000000000000001"], 3: ["999999999999999999", "1"], 4: ["0.5", None], 5: [None], 6: ["-0.5", "0.25"]}
+    rows = spark.createDataFrame([(k, v) for k, vs in cases.items() for v in vs], "k int, v string")
+    from blockloom.functions import decimals as D
+    got = {r.k: (r.s, r.s_nonzero) for r in D.exact_sum(rows, ["k"], "v", "s").collect()}
+    assert got == {1: ("0", False), 2: ("-999998.999999999999999999", True), 3: ("1000000000000000000", True), 4: ("0.5", True), 5: ("0", False), 6: ("-0.25", True)}
