@@ -10,6 +10,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ from blockloom.functions import decimals as D
 from blockloom.functions.decimals import canonical_amount
 from blockloom.operators import aggregates as agg
 from blockloom.operators import scan
-from blockloom.session import materialise, task_count
+from blockloom.session import materialise, part_count, task_count
 
 PREFIX_DIGITS = 3  # hex digits of the key that pick a subtree: 4096 even parts; raise with the data
 ZERO = "0." + "0" * D.SCALE
@@ -339,20 +340,25 @@ def _implied_root(key: str, leaf: str | None, bitmap: str, siblings) -> bytes:
 def reachable_nodes(nodes: DataFrame, roots: DataFrame, max_levels: int = SMT_DEPTH + 1) -> DataFrame:
     """Stored nodes reachable from the roots, level by level; each level only joins its own frontier.
 
-    The tree has at most 256 levels, so the loop is bounded; lineage is cut at every level.
+    Nodes are laid out by hash once and stay there, so a level shuffles the hashes that it asks for and no nodes; one
+    lookup tells which of them are stored and what they point at.  The tree has at most 256 levels, so the loop is
+    bounded; lineage is cut at every level.
     """
     empties = [e.hex() for e in canon.EMPTY_ROOTS]
-    edges = nodes.select("node_hash", F.explode(F.array("left_hash", "right_hash")).alias("child")).where(
-        F.col("child").isNotNull() & ~F.col("child").isin(*empties))
-    stored = nodes.select("node_hash").distinct()
-    frontier = materialise(roots.select("node_hash").where(~F.col("node_hash").isin(*empties)).distinct().join(stored, "node_hash", "left_semi"))
-    seen = frontier
-    for _ in range(max_levels):
-        step = edges.join(frontier, "node_hash", "left_semi").select(F.col("child").alias("node_hash")).distinct()
-        frontier = materialise(step.join(stored, "node_hash", "left_semi").join(seen, "node_hash", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+    children = F.filter(F.array("left_hash", "right_hash"), lambda c: c.isNotNull() & ~c.isin(*empties))
+    held = nodes.select("node_hash", children.alias("children")).repartition(part_count(nodes), "node_hash").sortWithinPartitions(
+        "node_hash").persist(StorageLevel.DISK_ONLY)
+    asked, seen = roots.select("node_hash").where(~F.col("node_hash").isin(*empties)).distinct(), None
+    try:
+        for _ in range(max_levels + 1):
+            found = materialise(held.join(asked, "node_hash", "left_semi"))
+            level = found.select("node_hash")
+            seen = level if seen is None else seen.unionByName(level)
+            if found.isEmpty():
+                return seen.distinct()
+            asked = found.select(F.explode("children").alias("node_hash")).distinct().join(seen, "node_hash", "left_anti")
+    finally:
+        held.unpersist()
     raise ValueError(f"nodes deeper than {max_levels} levels: not a tree of this depth")
 
 

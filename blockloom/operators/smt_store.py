@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from blockloom.fixed_values import SMT_DEPTH
 from blockloom.functions import canon
 from blockloom.operators import smt
-from blockloom.session import materialise, task_count
+from blockloom.session import task_count
 from blockloom.sources import versions
 from blockloom.sources.versions import Delta, Staged
 
@@ -156,7 +156,7 @@ def live_nodes(spark: SparkSession, root: str, kept: list[int] | None = None) ->
     tops = roots[0]
     for r in roots[1:]:
         tops = tops.unionByName(r)
-    return smt.reachable_nodes(materialise(stored_nodes(spark, root)), tops.distinct())
+    return smt.reachable_nodes(stored_nodes(spark, root), tops.distinct())
 
 
 def orphan_stats(spark: SparkSession, root: str, kept: list[int] | None = None) -> DataFrame:

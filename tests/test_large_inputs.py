@@ -50,3 +50,15 @@ def test_sums_that_carry_and_sums_that_need_not(spark):
     from blockloom.functions import decimals as D
     got = {r.k: (r.s, r.s_nonzero) for r in D.exact_sum(rows, ["k"], "v", "s").collect()}
     assert got == {1: ("0", False), 2: ("-999998.999999999999999999", True), 3: ("1000000000000000000", True), 4: ("0.5", True), 5: ("0", False), 6: ("-0.25", True)}
+
+
+def test_reachable_nodes_stay_where_they_lie(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(smt, "materialise", lambda df: steps.append(plan_of(df)) or session.materialise(df))
+    rows = [("a", "b", "c"), ("b", "d", None), ("c", "d", "gone"), ("d", "a", None), ("x", "a", None), ("a", "b", "c")]
+    nodes = spark.createDataFrame(rows, "node_hash string, left_hash string, right_hash string")
+    roots = spark.createDataFrame([("a",), ("none",)], "node_hash string")
+    assert sorted(r.node_hash for r in smt.reachable_nodes(nodes, roots).collect()) == ["a", "b", "c", "d"]
+    assert steps and all("InMemoryRelation" in p for p in steps)
+    with pytest.raises(ValueError):
+        smt.reachable_nodes(nodes, roots, max_levels=1)
