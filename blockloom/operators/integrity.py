@@ -123,10 +123,18 @@ def _block_fragments(tables: dict[str, DataFrame], state_key_binary: bool | Colu
     for (kind, i), df in block_rows(tables, state_key_binary).items():
         numbers, texts = sort_columns(df, kind, i)
         shown = [canon_address(c) if kind == "ledger" and c == "address" else F.col(c) for c in SHOWN[kind][i]]
-        parts.append(fragments(df, kind, i, shown, numbers, texts))
+        types = dict(df.dtypes)
+        late = kind == "ledger" and types["action_index"] in ("int", "bigint") and {types[c] for c in texts} == {"string"}
+        parts.append(fragments(df, kind, i, shown, numbers, texts, late))
     return parts
 
 
+def late_ledger_row() -> Column:
+    """Text of a ledger row from its sort keys, which are all that it shows."""
+    shown = F.struct(F.col("n1").alias("action_index"), scan.canonical_role(F.col("s1")).alias("address"), F.col("s2").alias("tick"), F.col("s3").alias("amount"))
+    return F.when(F.col("kind") == "ledger", F.to_json(shown, {"ignoreNullFields": "false"}))
+
+
 def canon_address(column: str) -> Column:
     """Addresses are replaced by their role only after the sort on the stored text."""
     return scan.canonical_role(F.col(column)).alias(column)
@@ -156,7 +164,7 @@ def block_hashes(tables: dict[str, DataFrame], blocks: DataFrame, state_key_bina
         parts.append(tails(heads, kind, F.concat(lead, _block_tail(previous))))
     wanted = blocks.select("block_index")
     rows = reduce(DataFrame.unionByName, parts).join(wanted, "block_index", "left_semi")
-    return _by_block(hash_documents(rows, BLOCK_LAYOUTS))
+    return _by_block(hash_documents(rows, BLOCK_LAYOUTS, late=late_ledger_row()))
 
 
 def _by_block(hashes: DataFrame) -> DataFrame:
@@ -174,7 +182,7 @@ def commit_block_hashes(tables: dict[str, DataFrame], new_blocks: DataFrame, see
         lead = F.lit("" if kind == "actions" else ",")
         parts.append(tails(new_blocks, kind, F.concat(lead, _block_tail(F.lit(',"previous_hash":"%PREVIOUS%"')))))
     rows = reduce(DataFrame.unionByName, parts).join(new_blocks.select("block_index"), "block_index", "left_semi")
-    return _by_block(hash_documents(rows, BLOCK_LAYOUTS, seeds))
+    return _by_block(hash_documents(rows, BLOCK_LAYOUTS, seeds, late_ledger_row()))
 
 
 # ---- state hash --------------------------------------------------------------------------------

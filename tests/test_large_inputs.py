@@ -62,3 +62,26 @@ def test_reachable_nodes_stay_where_they_lie(spark, monkeypatch):
     assert steps and all("InMemoryRelation" in p for p in steps)
     with pytest.raises(ValueError):
         smt.reachable_nodes(nodes, roots, max_levels=1)
+
+
+def test_ledger_rows_travel_without_their_text(spark):
+    rows = spark.createDataFrame([(1, 10, "a", "T", "5")], "block_index bigint, action_index bigint, address string, tick string, amount string")
+    assert integrity._block_fragments({"credits": rows}, True)[0].first().row is None
+    wide = rows.withColumn("amount", F.col("amount").cast("decimal(9,2)"))  # shown as a number, sorted as text
+    assert '"amount":5.00' in integrity._block_fragments({"credits": wide}, True)[0].first().row
+
+
+@pytest.mark.parametrize("kept", [0, 1 << 20])
+def test_groups_whole_in_a_task_are_hashed_there(spark, monkeypatch, kept):
+    import pandas as pd
+    monkeypatch.setattr(ordered_hash, "KEPT_CHARS", kept)
+    monkeypatch.setattr(ordered_hash, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    layout = ordered_hash.Layout("k", (ordered_hash.Segment(0, "[", "]"),))
+    rows = [(b, "k", 0, f"{b}-{i}") for b in range(5) for i in range(3)] + [(b, "k", ordered_hash.TAIL, "!") for b in range(4)]
+    rows = sorted(rows, key=lambda r: r[:1] + r[2:])
+    frames = [pd.DataFrame(list(g), columns=["block_index", "kind", "part", "row"]) for _, g in itertools.groupby(enumerate(rows), lambda x: x[0] // 2) for g in [[r for _, r in g]]]
+    out = pd.concat(ordered_hash._chunks({"k": layout})(iter(frames)))
+    done = out[out["part"] == ordered_hash.DONE]
+    assert dict(zip(done["block_index"], done["text"])) == ({} if not kept else {b: hashlib.sha256(f"[{b}-0,{b}-1,{b}-2]!".encode()).hexdigest() for b in (1, 2, 3)})
+    again = pd.concat(ordered_hash._hasher({"k": layout}, None)(iter([out.sort_values(["kind", "block_index", "part", "run", "seq"])])))
+    assert dict(zip(again["block_index"], again["hash"])) == {b: hashlib.sha256(f"[{b}-0,{b}-1,{b}-2]!".encode()).hexdigest() for b in range(4)}
