@@ -13,6 +13,7 @@ from blockloom.functions import canon, gates
 from blockloom.operators import scan
 from blockloom.operators.aggregates import latest_in_block
 from blockloom.operators.ordered_hash import Layout, Segment, fragments, hash_documents, tails
+from blockloom.session import part_count
 
 
 def _arrays(*names: str) -> tuple[Segment, ...]:
@@ -355,10 +356,14 @@ def content_digests(tables: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for name, df in tables.items():
         row = canon.sha256(canon.sorted_row_json(df.schema, set(reg.DIGEST_DROPPED_COLUMNS.get(name, ()))))
-        parts.append(df.select(F.lit(name).alias("table"), F.unhex(row).alias("h")))
-    counted = reduce(DataFrame.unionByName, parts).groupBy("table", "h").agg(F.count("*").alias("n"))
+        parts.append(df.select(F.lit(name).alias("table"), F.unhex(row).alias("h"), F.spark_partition_id().alias("at")))
+    rows = reduce(DataFrame.unionByName, parts)
+    tasks = part_count(rows)  # grows with the input, so what a task counts and folds doesn't
+    # copies of one row lie by the task they come from, so a row with many is spread; then each task's counts are one entry
+    counted = rows.repartition(tasks, "table", "h", "at").groupBy("table", "h", "at").agg(F.count("*").alias("n"))
     # hashes travel as bytes and lie by the bucket above the finest, so both levels fold where they lie
-    near = counted.withColumn("up", F.lower(F.hex(F.substring("h", 1, DIGEST_DIGITS // 2 - 1)))).repartition("table", "up")
+    near = counted.withColumn("up", F.lower(F.hex(F.substring("h", 1, DIGEST_DIGITS // 2 - 1)))).repartition(tasks, "table", "up").groupBy(
+        "table", "up", "h").agg(F.sum("n").alias("n"))
     text = F.lower(F.hex("h"))
     level = near.select("table", "up", text.substr(1, DIGEST_DIGITS).alias("b"), F.concat_ws(":", text, F.col("n").cast("string")).alias("d"), "n")
     for digits in range(DIGEST_DIGITS - 2, -1, -2):

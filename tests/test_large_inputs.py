@@ -85,3 +85,15 @@ def test_groups_whole_in_a_task_are_hashed_there(spark, monkeypatch, kept):
     assert dict(zip(done["block_index"], done["text"])) == ({} if not kept else {b: hashlib.sha256(f"[{b}-0,{b}-1,{b}-2]!".encode()).hexdigest() for b in (1, 2, 3)})
     again = pd.concat(ordered_hash._hasher({"k": layout}, None)(iter([out.sort_values(["kind", "block_index", "part", "run", "seq"])])))
     assert dict(zip(again["block_index"], again["hash"])) == {b: hashlib.sha256(f"[{b}-0,{b}-1,{b}-2]!".encode()).hexdigest() for b in range(4)}
+
+
+
+def test_digest_is_counted_in_more_tasks_for_more_input(spark, monkeypatch):
+    df = DriverModel(spark, SF).table("orders").select("o_custkey", "o_orderstatus").where("o_custkey < 40")
+    df = df.unionByName(df).unionByName(df.limit(1))
+    want = integrity.content_digests({"t": df}).collect()
+    monkeypatch.setattr(session, "PART_BYTES", 1_000)
+    parts = session.part_count(df)
+    got = integrity.content_digests({"t": df})
+    assert parts > session.task_count(spark) and plan_of(got).count(f", {parts}), REPARTITION_BY_NUM") >= 2
+    assert got.collect() == want
