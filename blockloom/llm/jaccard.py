@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockloom.llm.components import components
-from blockloom.llm.idfilter import filter_of, passes
+from blockloom.llm.idfilter import filter_of, held, spots
 from blockloom.llm.words import Words, distinct_sets, mix, slices, utf8
-from blockloom.session import materialise, prepare
+from blockloom.session import RUNTIME_FILTERS, materialise, prepare
 
 SIMILARITY = 75            # percent
 SAMPLE_DOCS = 20_000       # documents in the sample that shows frequent parts: it steers order, not results
@@ -367,24 +367,31 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, sid, set of the documents in `wanted` (and a few others, which the join after this drops)."""
+    """doc_id, sid, set of the documents in `wanted` (and a few others, which the join after this drops).
+
+    The filter is looked up in the same Python node: a second one would hold a second worker for each core, and
+    executors keep idle workers.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(filter_of(wanted, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(held(shared.value, batch.column(2).to_numpy(), batch.column(3).to_numpy())))
             for first, last in slices(batch.column(1)):
                 hashes, offsets = _sets(batch.column(1).slice(first, last - first))
                 sid, _ = _identity(hashes, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sid.view(np.int64)),
                                                   pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], ["doc_id", "sid", "set"])
 
-    return docs.where(F.col("doc_id").isNotNull() & passes(shared, F.col("doc_id"))).mapInArrow(run, "doc_id long, sid long, set binary")
+    known = docs.where(F.col("doc_id").isNotNull())
+    return known.select("doc_id", "text", *spots(F.col("doc_id"))).mapInArrow(run, "doc_id long, sid long, set binary")
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (least doc_id with the same set), a row per document."""
     spark = docs.sparkSession
     prepare(spark)
+    spark.conf.set(RUNTIME_FILTERS, "false")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     given = _give_out(docs, spark.sparkContext.broadcast(_frequent(docs)))
     met = materialise(given.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_meet, MET))
@@ -398,8 +405,8 @@ def similar(docs: DataFrame) -> DataFrame:
     near = coarse.join(named, F.col("node") == F.col("rep")).select("component", "rep", "sid", "n")
     weight = near.groupBy("component").agg(F.sum("n").alias("weight"))
     sets = _needed_sets(docs, near.select("rep").distinct())
-    held = near.join(weight, "component").join(sets.withColumnRenamed("sid", "s"), (F.col("rep") == F.col("doc_id")) & (F.col("sid") == F.col("s")))
-    blocks = _blocks(held.select("component", "weight", "rep", "sid", "set"), F.col("weight"), BLOCK_SHINGLES) \
+    heavy = near.join(weight, "component").join(sets.withColumnRenamed("sid", "s"), (F.col("rep") == F.col("doc_id")) & (F.col("sid") == F.col("s")))
+    blocks = _blocks(heavy.select("component", "weight", "rep", "sid", "set"), F.col("weight"), BLOCK_SHINGLES) \
         .repartition("component", "b1", "b2").sortWithinPartitions("component", "b1", "b2", "rep", "sid")
     several = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("doc_id")
     one_id = rows.join(several, "doc_id", "left_semi").join(classes.select("sid", "other", "rep"), ["sid", "other"]) \

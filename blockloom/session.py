@@ -15,6 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
 
 
+# A runtime filter is merged in one task from one array of a mebibyte for each partition, so that task's garbage
+# grows with the partitions.
+RUNTIME_FILTERS = "spark.sql.optimizer.runtime.bloomFilter.enabled"
+
+
 def prepare(spark: SparkSession) -> None:
     """Settings every session needs before running these operators, and the package on the workers."""
     spark.conf.set(UNION_PARTITIONING, "false")

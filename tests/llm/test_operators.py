@@ -158,6 +158,27 @@ def test_jensen_shannon(spark):
     assert row.ab == 1 and row.aa == 0 and abs(row.ac ** 2 - (0.5 * math.log2(1 / 0.75) + 0.25 * math.log2(0.5 / 0.75) + 0.25)) < 1e-12
 
 
+def test_needed_sets_hold_one_python_worker(spark, capsys):
+    """One Python node in a task, not two in a row, and the sets of the wanted documents."""
+    docs = spark.createDataFrame([(i, f"w{i} a b c d e {i % 7}") for i in range(50)] + [(None, "x y z a b c")], "doc_id long, text string")
+    found = jaccard._needed_sets(docs, docs.where("doc_id < 20").select(F.col("doc_id").alias("rep")))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
+    assert set(range(20)) <= {r["doc_id"] for r in found.collect()} < set(range(50))
+
+
+def test_jaccard_joins_have_no_runtime_filter(spark, docs, capsys):
+    before = spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.enabled")
+    try:
+        spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+        jaccard.similar(docs).explain()
+        assert spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.enabled") == "false"
+        assert "might_contain" not in capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", before)
+
+
 def test_jaccard(docs, texts):
     def shingles(t):
         w = words(t)
