@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from blockloom.operators import changes, integrity, merkle, smt
+from blockloom.plans import commitments
 from blockloom.sources.compare import TABLES, difference, duck_connection
 from tests.test_scale_shapes import tree
 
@@ -70,6 +71,18 @@ def test_block_roots_and_proofs_of_blocks_in_many_tasks(spark, request):
     assert "Exchange" not in proofs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_block_of_more_than_4096_leaves_has_one_root(spark, tables):
+    """The registered SQL folds 12 levels and stops at several nodes there; the same SQL with 14 levels reaches the root."""
+    put(tables, "orders", "* REPLACE (TIMESTAMP '1996-01-01' AS o_orderdate)")
+    con = duck_connection(str(tables))
+    short, deep = commitments.node_sql(), commitments.node_sql(14)
+    for name in ("block_merkle_proofs", "block_merkle_root"):
+        sql = entry.oracle_sql()[name]
+        got = entry.queries()[name](spark, str(tables))
+        assert difference(got, con, sql.replace(short, "%TREE%").replace("w12", "w14").replace("%TREE%", deep)) is None
+        assert con.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0] > got.count()
+
+
 def test_paths_and_checks_hash_only_what_is_not_known(monkeypatch):
     """Below a lone leaf all siblings are empty: a path looks at its real forks, a check of absence hashes down to the lowest only."""
     names = [hashlib.sha256(f"k{i}".encode()).hexdigest() for i in range(64)]
