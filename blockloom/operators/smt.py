@@ -91,10 +91,9 @@ def _bit(key: bytes, depth: int) -> int:
 
 def lifted(key: bytes, node: bytes, depth: int) -> bytes:
     """A lone leaf carried up to `depth` against empty siblings."""
-    bits, sha = int.from_bytes(key, "big"), hashlib.sha256
-    for height in range(SMT_DEPTH - depth):
-        node = sha(_EMPTY_LEFT[height] + node if bits & 1 else _MARK + node + canon.EMPTY_ROOTS[height]).digest()
-        bits >>= 1
+    sha, mark = hashlib.sha256, _MARK
+    for bit, left, right in zip(f"{int.from_bytes(key, 'big'):0{SMT_DEPTH}b}"[:depth - 1 if depth else None:-1], _EMPTY_LEFT, canon.EMPTY_ROOTS):
+        node = sha(left + node if bit == "1" else mark + node + right).digest()
     return node
 
 

@@ -83,15 +83,20 @@ class Nodes:
         return out
 
 
-def stored_nodes(spark: SparkSession, root: str, prefixes: list[str] | None = None) -> DataFrame:
-    """Distinct stored nodes, of the given prefixes only if named: folders of other prefixes aren't listed for reading."""
+def _written(spark: SparkSession, root: str, prefixes: list[str] | None = None) -> DataFrame:
+    """Node rows as commits wrote them: one that two commits wrote is there twice."""
     fs, path = versions._path(spark, f"{root}/nodes")
     if not fs.exists(path):
         return spark.createDataFrame([], NODE)
     nodes = spark.read.schema(NODE).parquet(f"{root}/nodes")
     if prefixes is not None:
         nodes = nodes.where(F.col("head").isin(sorted({p[:HEAD_DIGITS] for p in prefixes})) & F.col("prefix").isin(prefixes))
-    return nodes.dropDuplicates(["prefix", "node_hash"])
+    return nodes
+
+
+def stored_nodes(spark: SparkSession, root: str, prefixes: list[str] | None = None) -> DataFrame:
+    """Distinct stored nodes, of the given prefixes only if named: folders of other prefixes aren't listed for reading."""
+    return _written(spark, root, prefixes).dropDuplicates(["prefix", "node_hash"])
 
 
 def prefix_roots(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
@@ -118,7 +123,7 @@ def commit(spark: SparkSession, root: str, changes: DataFrame, height: int, digi
     touched = [r.prefix for r in asked.select("prefix").distinct().collect()]  # at most 16^digits short names
     part = lambda df, kind: df.withColumn("kind", F.lit(kind))
     before = prefix_roots(spark, root).where(F.col("prefix").isin(touched))
-    rows = part(stored_nodes(spark, root, touched).drop("head"), 0).unionByName(
+    rows = part(_written(spark, root, touched).drop("head"), 0).unionByName(
         part(before.select("prefix", F.col("root").alias("node_hash")), 1), allowMissingColumns=True).unionByName(
         part(asked, 2), allowMissingColumns=True)
 
@@ -149,18 +154,53 @@ def commit(spark: SparkSession, root: str, changes: DataFrame, height: int, digi
     return Staged(spark, root, {ROOTS: Delta(roots, [(done.where(is_root).select("prefix"), ["prefix"])])}).publish(height, kind="tree")
 
 
+def _walked(spark: SparkSession, root: str, kept: list[int] | None, shown, schema: str) -> DataFrame:
+    """`shown(prefix, stored, live)` of every prefix: its nodes by hash, as (left, right, key), and the hashes that the
+    roots of the kept versions (default: the newest) reach.  A prefix holds all nodes below its roots, so it is walked
+    where its nodes meet: one shuffle whatever the tree's depth."""
+    kept = [versions.latest_version(spark, root)] if kept is None else kept
+    raw = lambda c: F.unhex(c).alias(c)
+    rows = _written(spark, root).select("prefix", raw("node_hash"), raw("left_hash"), raw("right_hash"), raw("key"), F.lit(False).alias("top"))
+    for v in kept:
+        rows = rows.unionByName(prefix_roots(spark, root, v).select("prefix", F.unhex("root").alias("node_hash"), F.lit(True).alias("top")),
+                                allowMissingColumns=True)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in smt._runs(batches, ["prefix"]):
+            nodes, tops = pdf[~pdf["top"]], pdf.loc[pdf["top"], "node_hash"]
+            stored = dict(zip(nodes["node_hash"], zip(nodes["left_hash"], nodes["right_hash"], nodes["key"])))
+            live, open_nodes = set(), list(tops)
+            while open_nodes:
+                at = open_nodes.pop()
+                if at in stored and at not in live:
+                    live.add(at)
+                    open_nodes += [c for c in stored[at][:2] if c is not None]
+            yield from shown(pdf["prefix"].iloc[0], stored, live)
+
+    return rows.repartition(task_count(spark), "prefix").sortWithinPartitions("prefix").mapInPandas(walk, schema)
+
+
 def live_nodes(spark: SparkSession, root: str, kept: list[int] | None = None) -> DataFrame:
     """Hashes of stored nodes that some kept version (default: the newest) still reaches."""
-    kept = [versions.latest_version(spark, root)] if kept is None else kept
-    roots = [prefix_roots(spark, root, v).select(F.col("root").alias("node_hash")) for v in kept]
-    tops = roots[0]
-    for r in roots[1:]:
-        tops = tops.unionByName(r)
-    return smt.reachable_nodes(stored_nodes(spark, root), tops.distinct())
+    def shown(prefix: str, stored: dict, live: set) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"node_hash": [h.hex() for h in live]}, dtype=object)
+
+    return _walked(spark, root, kept, shown, "node_hash string").distinct()
+
+
+def node_counts(spark: SparkSession, root: str, kept: list[int] | None = None) -> DataFrame:
+    """One row: nodes stored under each prefix, those that kept versions (default: the newest) reach, and the keys of the
+    lone leaves among these."""
+    def shown(prefix: str, stored: dict, live: set) -> Iterator[pd.DataFrame]:
+        keys = {stored[h][2] for h in live} - {None}
+        yield pd.DataFrame([(len(stored), len(live), len(keys))], columns=["stored", "live", "leaves"])
+
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return _walked(spark, root, kept, shown, "stored bigint, live bigint, leaves bigint").agg(total("stored"), total("live"), total("leaves"))
 
 
 def orphan_stats(spark: SparkSession, root: str, kept: list[int] | None = None) -> DataFrame:
     """Stored nodes, those that kept versions reach, and the rest, which a sweep may remove."""
-    total = stored_nodes(spark, root).agg(F.countDistinct("node_hash").alias("total_nodes"))
+    total = _written(spark, root).agg(F.countDistinct("node_hash").alias("total_nodes"))
     reached = live_nodes(spark, root, kept).agg(F.count("*")).scalar()
     return total.withColumn("reachable_nodes", reached).withColumn("orphan_count", F.col("total_nodes") - F.col("reachable_nodes"))

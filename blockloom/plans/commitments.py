@@ -321,18 +321,17 @@ def smt_nodes(m):
     lone-leaf nodes that the new version reaches, which is the number of its leaves."""
     ensure_checkpoint_dir(m.spark)
     root = f"{m.spark.sparkContext.getCheckpointDir()}/tree-{uuid.uuid4().hex}"
-    before = F.col("action_index") < 1200 * 1_000_000_000
-    old = materialise(smt.balance_leaves(m.credits.where(before), m.debits.where(before), m.index_addresses, m.index_tickers, CHAIN, NETWORK))
-    now = materialise(balance_leaves(m))
+    early = (F.col("action_index") < 1200 * 1_000_000_000).alias("early")
+    rows = [t.select(*agg.PAIR, "amount", early) for t in (m.credits, m.debits)]
+    sums = materialise(agg.balances(*rows, keys=[*agg.PAIR, "early"]))  # the ledger is read once, both states are sums of these
+    old, now = [materialise(smt.balance_leaves(net, net.where("false"), m.index_addresses, m.index_tickers, CHAIN, NETWORK))
+                for net in (sums.where("early"), sums)]
     smt_store.commit(m.spark, root, old, 1199)
-    changed = now.join(old, ["key", "leaf"], "left_anti").unionByName(
-        old.join(now, "key", "left_anti").select("key", F.lit(None).cast("string").alias("leaf")))
+    changed = materialise(now.join(old, ["key", "leaf"], "left_anti").unionByName(
+        old.join(now, "key", "left_anti").select("key", F.lit(None).cast("string").alias("leaf"))))
     smt_store.commit(m.spark, root, changed, 2404)
-    stored = smt_store.stored_nodes(m.spark, root)
-    live = materialise(smt_store.live_nodes(m.spark, root))
-    leaves = stored.where("key is not null").join(live, "node_hash", "left_semi").agg(F.countDistinct("key").alias("n"))
-    stats = stored.agg((F.countDistinct("node_hash") < 4 * live.agg(F.count("*")).scalar()).alias("s"))
-    return smt_store.tree_root(m.spark, root).select("root", leaves.select("n").scalar().alias("n_leaves"), stats.select("s").scalar().alias("shares_nodes"))
+    counts = materialise(smt_store.node_counts(m.spark, root).select(F.col("leaves").alias("n"), (F.col("stored") < 4 * F.col("live")).alias("s")))
+    return smt_store.tree_root(m.spark, root).select("root", counts.select("n").scalar().alias("n_leaves"), counts.select("s").scalar().alias("shares_nodes"))
 
 
 @query("smt_proofs", f"""WITH RECURSIVE leaves AS ({BALANCE_LEAVES_SQL}), {tree_sql('tree', 'SELECT * FROM leaves')}

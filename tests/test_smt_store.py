@@ -78,3 +78,29 @@ def test_only_touched_prefixes_are_read(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert re.search(rf"PartitionFilters: \[[^\]]*head#\d+ = {prefix[:2]}", plan) and re.search(rf"PushedFilters: \[[^\]]*prefix,{prefix}", plan)
+
+
+def test_live_nodes_are_walked_under_their_prefix(spark, tmp_path, monkeypatch):
+    """No lookup per level of the tree: a prefix's nodes meet once, and nothing is kept in between."""
+    def refused(df):
+        raise AssertionError("a level was kept")
+
+    monkeypatch.setattr(smt, "materialise", refused)
+    root, digits = str(tmp_path / "tree"), 2
+    first = {sha(i): sha(-i) for i in range(200)}
+    second = {sha(0): None, sha(1): sha("new"), sha(300): sha("more")}
+    for height, leaves in enumerate((first, second)):
+        smt_store.commit(spark, root, spark.createDataFrame(list(leaves.items()), SCHEMA), height, digits)
+    live = {r.node_hash for r in smt_store.live_nodes(spark, root).collect()}
+    held = {r.node_hash: r for r in smt_store.stored_nodes(spark, root).collect()}
+    want, asked = set(), [r.root for r in smt_store.prefix_roots(spark, root).collect()]
+    while asked:
+        at = asked.pop()
+        if at in held and at not in want:
+            want.add(at)
+            asked += [held[at].left_hash, held[at].right_hash]
+    assert live == want and len(want) < len(held)
+    counts = smt_store.node_counts(spark, root).first()
+    assert (counts.stored, counts.live, counts.leaves) == (len(held), len(want), 200)
+    assert smt_store.node_counts(spark, root, [0, 1]).first().live == len(held)
+    assert smt_store.node_counts(spark, str(tmp_path / "none"), []).first() == (0, 0, 0)
