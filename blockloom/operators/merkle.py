@@ -8,48 +8,72 @@ positions are folded level by level, in groups of at most 2^10 neighbours.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from blockloom.functions import canon
+from blockloom.operators import scan
 from blockloom.operators.integrity import SHOWN, block_rows, canon_address, sort_columns
 from blockloom.operators.ordered_hash import ORDER
-from blockloom.session import materialise, task_count
+from blockloom.session import ensure_checkpoint_dir, materialise, part_count, task_count
 
 FAN_BITS = 10
 ROUNDS = 4  # 2^40 leaves per block
 LEDGER_KINDS = ("credit", "debit", "escrow")
+ACTIONS = 3  # rank after those of the ledger kinds
 
 
-def block_leaves(tables: dict[str, DataFrame], state_key_binary: bool | Column = True) -> DataFrame:
-    """(block_index, rank, order keys, leaf): all ledger leaves, then actions, then the contract arrays."""
+LATE = ["x1", "x2"]  # what an action shows beside its sort key
+
+
+def block_leaves(tables: dict[str, DataFrame], state_key_binary: bool | Column = True, late: bool = False) -> DataFrame:
+    """(block_index, rank, order keys, leaf): all ledger leaves, then actions, then the contract arrays.
+
+    With `late`, ledger rows and actions have no leaf yet and `LATE` beside their sort keys, which is less to shuffle than
+    a hash; `sorted_leaves` and `block_positions` hash them where they lie sorted.
+    """
     parts = []
     for (kind, i), df in block_rows(tables, state_key_binary).items():
-        cols = [F.col(c) for c in SHOWN[kind][i]]
+        cols, shown = [F.col(c) for c in SHOWN[kind][i]], {}
+        numbers, texts = sort_columns(df, kind, i)
+        types = dict(df.dtypes)
+        waits = late and kind != "contracts" and types["action_index"] in ("int", "bigint") and {types[c] for c in texts} <= {"string"}
         if kind == "ledger":
             cols[1] = canon_address("address")
             rank, leaf = i, canon.ledger_leaf(F.lit(LEDGER_KINDS[i]), *cols)
         elif kind == "actions":
-            rank, leaf = 3, canon.action_leaf(*cols)
+            rank, leaf = ACTIONS, canon.action_leaf(*cols)
+            shown = dict(zip(LATE, cols[1:])) if waits else {}
         else:
             name = ("contracts", "state", "executions", "emissions", "deposits", "withdrawals")[i]
             rank, leaf = 4 + i, canon.contract_leaf(name, *cols)
-        numbers, texts = sort_columns(df, kind, i)
         keys = {f"n{j + 1}": F.col(c).cast("bigint") for j, c in enumerate(numbers)}
         keys.update({f"s{j + 1}": F.col(c).cast("string") for j, c in enumerate(texts)})
         order = [keys.get(k, F.lit(None).cast("bigint" if k[0] == "n" else "string")).alias(k) for k in ORDER]
-        parts.append(df.select(F.col("block_index").cast("bigint").alias("block_index"), F.lit(rank).alias("rank"), *order, leaf.alias("leaf")))
+        more = [shown.get(c, F.lit(None)).cast("string").alias(c) for c in LATE] if late else []
+        parts.append(df.select(F.col("block_index").cast("bigint").alias("block_index"), F.lit(rank).alias("rank"), *order, *more,
+                               (F.lit(None).cast("string") if waits else leaf).alias("leaf")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _late_leaf(*ranks: int) -> Column:
+    """The leaf as bytes, made from the sort keys and `LATE` where a row of these ranks has none yet."""
+    made = {i: canon.ledger_leaf(F.lit(kind), F.col("n1"), scan.canonical_role(F.col("s1")), F.col("s2"), F.col("s3")) for i, kind in enumerate(LEDGER_KINDS)}
+    made[ACTIONS] = canon.action_leaf(F.col("n1"), *map(F.col, LATE))
+    return F.coalesce("leaf", *[F.when(F.col("rank") == r, F.unhex(made[r])) for r in ranks]).alias("leaf")
+
+
 @dataclass(frozen=True)
 class Sorted:
     """Rows range-partitioned and sorted by group and order, kept once, with what a task can't see of its neighbours."""
@@ -64,29 +88,42 @@ class Sorted:
         return self.rows.mapInPandas(lambda batches: walk(_numbered(batches, group, base)), schema)
 
 
+def _placed(keys: pd.DataFrame, current: tuple, at: int) -> tuple[np.ndarray, int]:
+    """Positions of rows in their groups, where `current` is the group before them and has `at` rows; and how many rows
+    at the front go on with it."""
+    index, new = np.arange(len(keys)), np.zeros(len(keys), bool)
+    for values in (keys[c].to_numpy() for c in keys):
+        new[1:] |= values[1:] != values[:-1]
+    new[0] = tuple(keys.iloc[0]) != current
+    start = np.maximum.accumulate(np.where(new, index, -1))
+    return np.where(start >= 0, index - start, index + at), int((start < 0).sum())
+
+
 def _numbered(batches: Iterator[pd.DataFrame], group: list[str], base: dict[int, int]) -> Iterator[pd.DataFrame]:
     current, at = None, 0
     for pdf in batches:
         if not len(pdf):
             continue
-        keys, index = pdf[group], np.arange(len(pdf))
-        new = (keys != keys.shift()).any(axis=1).to_numpy().copy()
-        new[0] = current is None or tuple(keys.iloc[0]) != current
-        start = np.maximum.accumulate(np.where(new, index, -1))
-        position = np.where(start >= 0, index - start, index + at)
+        keys = pdf[group]
         if current is None:
-            position = position + np.where(start == 0, base.get(int(pdf["__id"].iloc[0]) >> 33, 0), 0)
+            current, at = tuple(keys.iloc[0]), base.get(int(pdf["__id"].iloc[0]) >> 33, 0)
+        position, _ = _placed(keys, current, at)
         current, at = tuple(keys.iloc[-1]), int(position[-1]) + 1
         yield pdf.drop(columns="__id").assign(__position=position)
 
 
-def sorted_once(df: DataFrame, group: list[str], order: list[str | Column], keep: list[str]) -> Sorted:
-    """Only the first group of a task can begin in an earlier one, so one row of counts per task places all rows."""
-    by = df.dropna(subset=group).repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
-    rows = materialise(by.select(*keep, F.monotonically_increasing_id().alias("__id")))
-    spans = rows.groupBy(*group, F.shiftright("__id", 33).alias("__task")).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-    one = F.struct(F.struct(*group).alias("g"), F.col("__n").alias("n"))
-    ends = spans.groupBy("__task").agg(F.min_by(one, "__first").alias("a"), F.max_by(one, "__first").alias("z")).collect()  # a row per task
+def _in_order(df: DataFrame, group: list[str], order: list[str | Column], late: dict[str, Column]) -> DataFrame:
+    """Rows range-partitioned and sorted by group and order; `late` columns are made after the shuffle.  Partitions grow
+    with the input."""
+    ranged = df.dropna(subset=group).repartitionByRange(part_count(df, 2), *group, *order)
+    return ranged.withColumns(late).sortWithinPartitions(*group, *order)
+
+
+def _bases(spans: DataFrame, group: list[str]) -> tuple[dict[int, int], set[tuple]]:
+    """Rows that the first group of each task has in earlier ones, and the groups cut by task borders; `spans` are the
+    groups of each __task with their __n rows."""
+    one, key = F.struct(F.struct(*group).alias("g"), F.col("__n").alias("n")), F.struct(*group)
+    ends = spans.groupBy("__task").agg(F.min_by(one, key).alias("a"), F.max_by(one, key).alias("z")).collect()  # a row per task
     base, cut, held, count = {}, set(), None, 0
     for r in sorted(ends, key=lambda r: r["__task"]):
         base[r["__task"]] = count if tuple(r.a.g) == held else 0
@@ -94,23 +131,56 @@ def sorted_once(df: DataFrame, group: list[str], order: list[str | Column], keep
             cut.add(held)
         count = base[r["__task"]] + r.a.n if r.a.g == r.z.g else r.z.n
         held = tuple(r.z.g)
-    return Sorted(rows, group, base, cut)
+    return base, cut
+
+
+def sorted_once(df: DataFrame, group: list[str], order: list[str | Column], keep: list[str | Column], late: dict[str, Column] | None = None) -> Sorted:
+    """Only the first group of a task can begin in an earlier one, so one row of counts per task places all rows."""
+    rows = materialise(_in_order(df, group, order, late or {}).select(*keep, F.monotonically_increasing_id().alias("__id")))
+    spans = rows.groupBy(*group, F.shiftright("__id", 33).alias("__task")).agg(F.count("*").alias("__n"))
+    return Sorted(rows, group, *_bases(spans, group))
 
 
 def _types(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def with_positions(df: DataFrame, group: list[str], order: list[str | Column], out: str = "position", keep: list[str] | None = None) -> DataFrame:
-    """0-based position of each row inside its group; `keep` names the columns wanted beside it (default: all)."""
-    keep = list(df.columns if keep is None else keep)
-    kept = sorted_once(df, group, order, list(dict.fromkeys([*group, *keep])))
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf.rename(columns={"__position": out})[[*keep, out]]
+def with_positions(df: DataFrame, group: list[str], order: list[str | Column], out: str = "position", keep: list[str | Column] | None = None,
+                   late: dict[str, Column] | None = None) -> DataFrame:
+    """0-based position of each row inside its group; `keep` names the columns wanted beside it (default: all).
 
-    return kept.over(walk, f"{_types(df, keep)}, `{out}` bigint")
+    A task numbers its rows as it writes them, compressed, to the checkpoint folder; rows of its first group then get the
+    number of those in earlier tasks on top.  `late` columns are made after the shuffle.
+    """
+    keep, spark = list(df.columns if keep is None else keep), df.sparkSession
+    ordered = _in_order(df, group, order, late or {})
+    names = ordered.select(*keep).columns
+    by = ordered.select(*[g for g in group if g not in names], *keep)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, current, at, front = TaskContext.get().partitionId(), None, 0, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.select(group).to_pandas()
+            if current is None:
+                current = tuple(keys.iloc[0])
+            position, same = _placed(keys, current, at)
+            first = np.arange(len(keys)) < same if front else np.zeros(len(keys), bool)
+            front = front and same == len(keys)
+            current, at = tuple(keys.iloc[-1]), int(position[-1]) + 1
+            more = [pa.array(np.full(len(keys), task, "int32")), pa.array(first), pa.array(position.astype("int64"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "__task", "__first", "__at"])
+
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/sorted-{uuid.uuid4().hex}"
+    schema = f"{_types(by, by.columns)}, __task int, __first boolean, __at bigint"
+    by.mapInArrow(number, schema).write.option("compression", "zstd").parquet(folder)
+    rows = spark.read.schema(schema).parquet(folder)
+    base, _ = _bases(rows.groupBy(*group, "__task").agg(F.count("*").alias("__n")), group)
+    listed = ", ".join(f"{base.get(t, 0)}L" for t in range(max(base, default=0) + 1))
+    before = F.when(F.col("__first"), F.get(F.expr(f"array({listed})"), F.col("__task"))).otherwise(0)
+    return rows.select(*names, (F.col("__at") + before).alias(out))
 
 
 def _fold(nodes: list[str], height: int, base: int) -> list[list[str]]:
@@ -264,22 +334,36 @@ def _root_of(count: pd.Series, levels: pd.Series, positions: pd.Series, hashes:
     return pd.Series(out, dtype=object)
 
 
+IN_BLOCK = ["rank", *ORDER, "leaf"]
+
+
+def _to_sort(leaves: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Leaves as bytes, and the columns made after the shuffle: leaves of actions, which may decide between equal keys
+    (equal keys of ledger rows are equal leaves)."""
+    return leaves.withColumn("leaf", F.unhex("leaf")), {"leaf": _late_leaf(ACTIONS)} if "x1" in leaves.columns else {}
+
+
 def sorted_leaves(leaves: DataFrame) -> Sorted:
     """Block leaves in their order, kept as block and 32 bytes each."""
-    raw = leaves.withColumn("leaf", F.unhex("leaf"))
-    return sorted_once(raw, ["block_index"], ["rank", *ORDER, "leaf"], ["block_index", "leaf"])
+    raw, late = _to_sort(leaves)
+    return sorted_once(raw, ["block_index"], IN_BLOCK, ["block_index", _late_leaf(*range(ACTIONS)) if late else F.col("leaf")], late)
 
 
 def block_positions(leaves: DataFrame) -> DataFrame:
-    """(block_index, leaf, position) of block leaves."""
-    raw = leaves.withColumn("leaf", F.unhex("leaf"))
-    placed = with_positions(raw, ["block_index"], ["rank", *ORDER, "leaf"], keep=["block_index", "leaf"])
+    """(block_index, leaf, position) of block leaves; late ones are kept as what they are made from."""
+    raw, late = _to_sort(leaves)
+    if not late:
+        placed = with_positions(raw, ["block_index"], IN_BLOCK, keep=["block_index", "leaf"])
+    else:
+        given = F.when(F.col("rank") > ACTIONS, F.col("leaf")).alias("leaf")
+        placed = with_positions(raw, ["block_index"], IN_BLOCK, keep=["block_index", "rank", "n1", "s1", "s2", "s3", *LATE, given], late=late)
+        placed = placed.withColumn("leaf", _late_leaf(*range(ACTIONS + 1)))
     return placed.select("block_index", F.lower(F.hex("leaf")).alias("leaf"), "position")
 
 
 def block_merkle_roots(tables: dict[str, DataFrame], blocks: DataFrame, state_key_binary: bool | Column = True) -> DataFrame:
     """Content root per block; a block with no rows has the empty-leaf root."""
-    rows = block_leaves(tables, state_key_binary).join(blocks.select("block_index"), "block_index", "left_semi")
+    rows = block_leaves(tables, state_key_binary, late=True).join(blocks.select("block_index"), "block_index", "left_semi")
     nodes = run_nodes(sorted_leaves(rows)).groupBy("block_index").agg(
         F.sum("n").alias("leaf_count"), F.collect_list(F.struct("level", "position", "hash")).alias("__s"))
     found = nodes.select("block_index", "leaf_count", _root_of("leaf_count", "__s.level", "__s.position", "__s.hash").alias("root"))

@@ -118,7 +118,7 @@ def ledger_only(m):
 @query("block_leaf_positions", f"""SELECT block_index, leaf, row_number() OVER (PARTITION BY block_index ORDER BY rank, n1, s1, s2, s3, leaf) - 1 AS position FROM ({ledger_leaves_sql()})""",
        ("credits", "debits", "escrows", "actions", "index_addresses", "index_tickers"))
 def block_leaf_positions(m):
-    return merkle.block_positions(merkle.block_leaves(ledger_only(m)))
+    return merkle.block_positions(merkle.block_leaves(ledger_only(m), late=True))
 
 
 def node_sql(levels: int = 12) -> str:
@@ -140,7 +140,7 @@ def block_merkle_root(m):
 @query("block_merkle_proofs", f"""WITH {node_sql()} SELECT w0.block_index, w0.i AS position, w12.h AS root, true AS verified FROM w0 JOIN w12 ON w12.block_index = w0.block_index""",
        ("credits", "debits", "escrows", "actions", "index_addresses", "index_tickers"))
 def block_merkle_proofs(m):
-    proofs = merkle.block_inclusion_proofs(merkle.block_leaves(ledger_only(m)), siblings=False)
+    proofs = merkle.block_inclusion_proofs(merkle.block_leaves(ledger_only(m), late=True), siblings=False)
     return proofs.select("block_index", "position", "root", "verified")
 
 

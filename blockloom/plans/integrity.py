@@ -61,7 +61,7 @@ BLOCK_TABLES = ("credits", "debits", "escrows", "actions", "blocks", "index_addr
 
 def block_tables(m):
     executions, emissions = execution_tables(m)
-    return {"credits": m.credits, "debits": m.debits, "escrows": m.escrows, "actions": m.actions, "contract_state": m.contract_state,
+    return {**m.ledger_tables(m.ledger_in_blocks, "block_index"), "actions": m.actions, "contract_state": m.contract_state,
             "contract_executions": executions, "contract_emissions": emissions, "index_addresses": m.index_addresses,
             "index_tickers": m.index_tickers, "index_statuses": m.statuses}
 

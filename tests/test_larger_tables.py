@@ -3,14 +3,17 @@
 import hashlib
 import os
 import random
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from blockloom.fixed_values import ADDRESS_ROLES
 from blockloom.operators import changes, integrity, merkle, smt
 from blockloom.plans import commitments
+from blockloom.session import ensure_checkpoint_dir
 from blockloom.sources.compare import TABLES, difference, duck_connection
 from tests.test_scale_shapes import tree
 
@@ -83,6 +86,38 @@ def test_a_block_of_more_than_4096_leaves_has_one_root(spark, tables):
         assert con.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0] > got.count()
 
 
+def test_positions_keep_less_than_a_hash_of_a_leaf(spark, tables):
+    """Sorted rows are kept as what their leaves are made from; orders that are there twice count as the SQL has it."""
+    os.unlink(tables / "orders.parquet")
+    duckdb.execute(f"COPY (SELECT o.* FROM '{SF}/orders.parquet' o, range(CASE WHEN o_orderkey % 50 = 0 THEN 2 ELSE 1 END)) TO '{tables / 'orders.parquet'}' (FORMAT parquet)")
+    ensure_checkpoint_dir(spark)
+    kept = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in kept.rglob("*") if f.is_file())
+    before = size()
+    got = entry.queries()["block_leaf_positions"](spark, str(tables))
+    assert 0 < size() - before < 20 * got.count()
+    con = duck_connection(str(tables))
+    assert difference(got, con, entry.oracle_sql()["block_leaf_positions"]) is None
+    assert difference(entry.queries()["block_merkle_root"](spark, str(tables)), con, entry.oracle_sql()["block_merkle_root"]) is None
+
+
+def test_late_leaves_lie_as_leaves_do(spark):
+    """Whatever is made after the shuffle: roles, nulls, actions of one index, ledger rows that are equal, state rows."""
+    rows = [(1, 7 + i % 3, i % 2 or None, str(i % 5)) for i in range(60)]
+    frame = spark.createDataFrame
+    ledger = frame(rows, "block_index bigint, action_index bigint, address_id bigint, amount string").withColumn("tick_id", F.col("address_id"))
+    tables = {"credits": ledger, "escrows": ledger.where("action_index > 7"),
+              "actions": frame([(1, 7, i or None, a) for i in range(4) for a in ("SEND", None)], "block_index bigint, action_index bigint, tx_index bigint, action string"),
+              "contract_state": frame([(i, 1, i % 3, f"k{i}", str(i)) for i in range(9)], "id bigint, block_index bigint, contract_index bigint, state_key string, state_value string"),
+              "index_addresses": frame([(1, next(iter(ADDRESS_ROLES)))], "id bigint, address string"), "index_tickers": frame([(1, "T")], "id bigint, tick string")}
+    plain, late = merkle.block_leaves(tables), merkle.block_leaves(tables, late=True)
+    assert late.where("rank < 4 and leaf is not null").count() == 0
+    placed = [sorted(map(tuple, merkle.block_positions(df).collect())) for df in (plain, late)]
+    assert placed[0] == placed[1] and len(placed[0]) == plain.count()
+    proofs = [sorted(map(tuple, merkle.block_inclusion_proofs(df, siblings=False).collect())) for df in (plain, late)]
+    assert proofs[0] == proofs[1]
+
+
 def test_paths_and_checks_hash_only_what_is_not_known(monkeypatch):
     """Below a lone leaf all siblings are empty: a path looks at its real forks, a check of absence hashes down to the lowest only."""
     names = [hashlib.sha256(f"k{i}".encode()).hexdigest() for i in range(64)]
